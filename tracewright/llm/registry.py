@@ -6,17 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import suffix_dedup
+from tracewright.llm import mixing, packing, quality_rules, suffix_dedup, token_store, warc
 from tracewright.llm.common import documents
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.filter_by_lines(documents(spark, sf_dir))
+
+
+SQL["op1_quality_rules"] = quality_rules.SQL
+
+
+@query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("spans")
 
 
+@query
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri, _ = token_store.write(documents(spark, sf_dir))
+    return token_store.read(spark, uri)
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(documents(spark, sf_dir))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("given")
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri, _ = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read(spark, uri)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_suffix_dedup": op3_suffix_dedup}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
