@@ -71,12 +71,15 @@ def member(data: bytes) -> bytes:
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of a file."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        if not z.eof:
-            raise ValueError("the archive is cut short")
-        data = z.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("the archive is cut short")
+            parts.append(z.decompress(view[at : at + 65536]))
+            at = min(at + 65536, len(view)) - len(z.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
@@ -142,7 +145,7 @@ def write(pages: DataFrame, shard_records: int = SHARD_RECORDS, file_bytes: int
                     shard, first, count, size, digest = s, page_id, 0, 0, hashlib.sha1()
                     name = f"pages-{shard:06d}-{seq:05d}.warc.gz"
                     temporary = f".{name}.{uuid.uuid4().hex}.tmp"
-                    out = fs.open_output_stream(f"{root}/{temporary}")
+                    out = fs.open_output_stream(f"{root}/{temporary}", compression=None)
                 data = member(record(page_id, url, html.encode(), mark[2] if mark and mark[:2] == (page_id, key) else None))
                 out.write(data)
                 digest.update(data)
@@ -175,7 +178,7 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
         length = re.compile(rb"\r\nContent-Length: (\d+)\r\n")
         for b in batches:
             for name in b.column("name").to_pylist():
-                with fs.open_input_stream(f"{root}/{name}") as f:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
                     data = f.read()
                 rows = []
                 for head, block in records(data):
