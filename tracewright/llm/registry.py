@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import embedding_dedup, mixing, near_dedup, packing, quality_model, quality_rules, suffix_dedup, token_store, warc
+import corpus_pipeline
+from tracewright.llm import embedding_dedup, language_crf, mixing, near_dedup, packing, quality_model, quality_rules, suffix_dedup, token_store, warc
 from tracewright.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +69,16 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.predict(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.labelled(documents(spark, sf_dir))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
