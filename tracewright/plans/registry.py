@@ -26,8 +26,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_ORACLE)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from tracewright.plans import rollup_queries  # noqa: F401
