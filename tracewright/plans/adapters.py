@@ -84,6 +84,41 @@ TABLES: dict[str, tuple[str, list[str], str]] = {
         ],
         "event_type = 'error'",
     ),
+    # a line item is a record of an execution of its order's run; a line number that repeats is a later record
+    "records": (
+        "lineitem",
+        [
+            "CAST(1 + CASE WHEN l_partkey % 41 = 0 THEN 1 ELSE 0 END AS BIGINT) AS v",
+            "'r' || CAST(l_orderkey AS STRING) AS run_id",
+            "'r' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS execution_id",
+            "CASE WHEN l_linenumber = 7 THEN 'r' || CAST(l_orderkey AS STRING) || '-7' WHEN l_linenumber > 1 THEN 'r' || CAST(l_orderkey AS STRING) || '-' || CAST(CAST(floor(l_linenumber / 2) AS INT) AS STRING) END AS parent_execution_id",
+            "CASE WHEN l_linenumber = 1 THEN 'root' WHEN l_partkey % 29 = 0 THEN 'other' ELSE 'subagent' END AS execution_kind",
+            "CASE l_returnflag WHEN 'A' THEN 'success' WHEN 'R' THEN 'failed' END AS outcome",
+            "CASE WHEN l_discount > 0.02 THEN l_linestatus END AS stage",
+            "l_shipdate AS started_at",
+            "CASE WHEN l_tax > 0.01 THEN {sec:l_shipdate:CAST(l_quantity AS BIGINT) - 2} END AS ended_at",
+            "l_shipdate AS recorded_at",
+            "l_partkey",
+            "l_suppkey",
+            "l_extendedprice",
+        ],
+        "",
+    ),
+    # an order is an invocation in its customer's session
+    "invocations": (
+        "orders",
+        [
+            AGENT.format(k="o_custkey") + " AS agent",
+            "'k' || CAST(o_custkey AS STRING) AS session_id",
+            "CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS idx",
+            "o_orderdate AS started_at",
+            "CASE WHEN o_custkey % 3 = 0 THEN TIMESTAMP_NTZ '2001-09-01 00:00:00' END AS session_end",
+            "TIMESTAMP_NTZ '1995-01-01 00:00:00' AS session_start",
+            "'tk-' || CAST(o_orderkey % 30 AS STRING) AS ticket",
+            "o_orderpriority AS model",
+        ],
+        "",
+    ),
     "tickets": (
         "part",
         [
@@ -93,9 +128,9 @@ TABLES: dict[str, tuple[str, list[str], str]] = {
             "p_type AS type",
             "CASE WHEN p_partkey % 9 = 1 THEN 'tk-' || CAST(p_partkey - 1 AS STRING) END AS parent",
             "p_size % 5 AS priority",
-            "{sec:TIMESTAMP '1999-01-01 00:00:00':p_partkey * 3600}  AS created",
-            "CASE WHEN p_partkey % 3 <> 0 THEN {sec:TIMESTAMP '1999-01-01 00:00:00':p_partkey * 7200} END AS updated",
-            "CASE WHEN p_size % 4 = 3 THEN {sec:TIMESTAMP '1999-01-01 00:00:00':p_partkey * 9000} END AS closed",
+            "{sec:TIMESTAMP_NTZ '1999-01-01 00:00:00':p_partkey * 3600}  AS created",
+            "CASE WHEN p_partkey % 3 <> 0 THEN {sec:TIMESTAMP_NTZ '1999-01-01 00:00:00':p_partkey * 7200} END AS updated",
+            "CASE WHEN p_size % 4 = 3 THEN {sec:TIMESTAMP_NTZ '1999-01-01 00:00:00':p_partkey * 9000} END AS closed",
         ],
         "",
     ),
@@ -125,5 +160,6 @@ def cte(*names: str) -> str:
     parts = []
     for name in names:
         source, columns, where = TABLES[name]
+        columns = [c.replace("TIMESTAMP_NTZ", "TIMESTAMP") for c in columns]
         parts.append(f"{name} AS (SELECT {', '.join(_seconds(c, False) for c in columns)} FROM {source}{' WHERE ' + where if where else ''})")
     return "WITH " + ",\n".join(parts)

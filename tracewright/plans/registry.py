@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tracewright.plans import rollup_queries  # noqa: F401
+    from tracewright.plans import friction_queries, pricing_queries, rollup_queries, run_queries  # noqa: F401
