@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.scalars import round_usd
-
 
 def rate_intervals(rates: DataFrame) -> DataFrame:
     """Each rate with the time that the model's next one takes over."""
@@ -64,12 +62,12 @@ def in_span(start: str = "started_at", at: str = "at", until: str = "until") ->
 def cost_or_null(priced: DataFrame, keys: list[str]) -> DataFrame:
     """The cost of a group is known only if each unit with tokens is priced; 0 when there is nothing to price. Warnings are distinct, in order.
 
-    ``priced`` has ord, tokens, cost and reason.
+    ``priced`` has ord, tokens, cost and reason. Sums are of whole nano-dollars, so they don't depend on the order of rows.
     """
     bears = F.coalesce(F.col("tokens"), F.lit(0)) > 0
     warn = F.array_sort(F.collect_list(F.when(bears & F.col("cost").isNull(), F.struct(F.col("ord"), F.col("reason")))))
-    got = priced.groupBy(*keys).agg(F.count("*").alias("units"), F.count_if(bears & F.col("cost").isNull()).alias("unpriced"), F.sum(F.when(bears, F.col("cost"))).alias("total"), F.array_distinct(F.transform(warn, lambda x: x["reason"])).alias("warnings"))
-    return got.withColumn("cost_usd", F.when(F.col("unpriced") == 0, round_usd(F.coalesce("total", F.lit(0.0))))).drop("total")
+    got = priced.groupBy(*keys).agg(F.count("*").alias("units"), F.count_if(bears & F.col("cost").isNull()).alias("unpriced"), F.sum(F.when(bears, F.floor(F.col("cost") * 1e9 + 0.5))).alias("total"), F.array_distinct(F.transform(warn, lambda x: x["reason"])).alias("warnings"))
+    return got.withColumn("cost_usd", F.when(F.col("unpriced") == 0, F.floor((F.coalesce("total", F.lit(0)) + 500) / 1000) / 1e6)).drop("total")
 
 
 def in_range(at: Column, since: Column | None, until: Column | None) -> Column:

@@ -46,9 +46,9 @@ def priced(spark, sf):
     return rows.withColumn("cost", cost).withColumn("reason", F.coalesce("reason", F.when(F.col("input_rate").isNull(), F.concat(F.lit("no rate for "), "model"))))
 
 
-@query("e2_price_usage", f"{cte('sessions', 'tool_calls')}, {ASOF}, {BILL} SELECT session_id, seq, round((billed_input * input_rate + output_tokens * output_rate + cached_tokens * cache_read_rate) / 1e6, 6) AS cost FROM c")
+@query("e2_price_usage", f"{cte('sessions', 'tool_calls')}, {ASOF}, {BILL} SELECT session_id, seq, floor((billed_input * input_rate + output_tokens * output_rate + cached_tokens * cache_read_rate) / 1e6 * 1e9 + 0.5)::BIGINT AS nano_usd FROM c")
 def e2(spark, sf):
-    return priced(spark, sf).select("session_id", "seq", F.round("cost", 6).alias("cost"))
+    return priced(spark, sf).select("session_id", "seq", F.floor(F.col("cost") * 1e9 + 0.5).alias("nano_usd"))
 
 
 @query("e3_split_cache_ttl", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_partkey % 60 <= CAST(l_quantity AS BIGINT) THEN CAST(l_quantity AS BIGINT) - l_partkey % 60 END AS five_minutes, CASE WHEN l_partkey % 60 <= CAST(l_quantity AS BIGINT) THEN l_partkey % 60 END AS one_hour FROM lineitem")
@@ -104,12 +104,12 @@ def e6(spark, sf):
 d AS (SELECT session_id, agent, seq, input_tokens + output_tokens + cached_tokens AS tokens, (billed_input * input_rate + output_tokens * output_rate + cached_tokens * cache_read_rate) / 1e6 AS cost, coalesce(reason, CASE WHEN input_rate IS NULL THEN 'no rate for ' || model END) AS reason FROM c),
 w AS (SELECT agent, session_id, reason, min(seq) AS seq FROM d WHERE tokens > 0 AND cost IS NULL GROUP BY ALL),
 v AS (SELECT agent, session_id, array_to_string(list(reason ORDER BY seq), '; ') AS warnings FROM w GROUP BY ALL)
-SELECT agent, session_id, count(*) AS units, count(*) FILTER (tokens > 0 AND cost IS NULL) AS unpriced, coalesce(any_value(warnings), '') AS warnings, CASE WHEN count(*) FILTER (tokens > 0 AND cost IS NULL) = 0 THEN round(coalesce(sum(cost) FILTER (tokens > 0), 0.0), 4) END AS cost_usd FROM d LEFT JOIN v USING (agent, session_id) GROUP BY agent, session_id""",
+SELECT agent, session_id, count(*) AS units, count(*) FILTER (tokens > 0 AND cost IS NULL) AS unpriced, coalesce(any_value(warnings), '') AS warnings, CASE WHEN count(*) FILTER (tokens > 0 AND cost IS NULL) = 0 THEN ((coalesce(sum(floor(cost * 1e9 + 0.5)::BIGINT) FILTER (tokens > 0), 0) + 500)::BIGINT // 1000) / 1e6 END AS cost_usd FROM d LEFT JOIN v USING (agent, session_id) GROUP BY agent, session_id""",
 )
 def e7(spark, sf):
     rows = priced(spark, sf).withColumn("tokens", F.col("input_tokens") + F.col("output_tokens") + F.col("cached_tokens")).withColumn("ord", F.col("seq"))
     got = p.cost_or_null(rows, ["agent", "session_id"])
-    return got.select("agent", "session_id", "units", "unpriced", F.array_join("warnings", "; ").alias("warnings"), F.round("cost_usd", 4).alias("cost_usd"))
+    return got.select("agent", "session_id", "units", "unpriced", F.array_join("warnings", "; ").alias("warnings"), "cost_usd")
 
 
 SESSION_COMMITS = "k AS (SELECT CASE o_custkey % 3 WHEN 0 THEN 'claude-code' WHEN 1 THEN 'codex-cli' ELSE 'cursor-cli' END AS agent, 'k' || CAST(o_custkey AS {s}) AS session_id, CASE WHEN o_orderkey % 14 <> 0 THEN o_orderdate + INTERVAL 1 HOUR END AS committed_at, '[' || CASE WHEN o_orderkey % 3 = 0 THEN 'ns/' ELSE '' END || 'tk-' || CAST(o_orderkey % 30 AS {s}) || '] x' AS subject FROM {t} WHERE o_orderkey % 5 = 0)"
