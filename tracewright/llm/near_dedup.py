@@ -7,11 +7,13 @@ have a chunk that differs in at most ERRORS of its values, so each chunk is ente
 for each way to leave ERRORS values out: all pairs under that distance meet in a bucket. At the linked
 similarity of 0.75 and above fewer than one pair in 10**5 differs so much that no bucket is shared.
 
-In a bucket each class is compared with one class of the bucket only, the one that comes first in an
-order that differs from chunk to chunk. Links are confirmed on full sets. What a bucket then still has
-in two or more components is compared across components, whole, by signature first and sets second; so
-no link between different texts that a bucket holds is lost, and a group of copies costs a few
-comparisons a copy. Components are connected afterwards.
+In a bucket each class is first compared with one class of the bucket only, the one that comes first in
+an order that differs from chunk to chunk. Links are confirmed on full sets. Then each class outside a
+bucket's largest component is compared with the few members of other components that its signature is
+closest to, and last, what a bucket still has in two or more components is compared across components,
+whole. A pair's sets are fetched only if SKETCH further values of eight bits agree well enough. So no
+link between different texts that a bucket holds is lost, and a group of copies costs a few comparisons
+a copy. Components are connected after each step.
 
 Null or wordless texts have no shingle and are linked with nothing, as are rows without doc_id. Rows
 that share a doc_id are one document with several texts: their links join. Other columns are not read.
@@ -34,19 +36,19 @@ SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 10, 4, 1
 VALUES = CHUNKS * WIDTH
 PERCENT = 75
-#: Pairs whose signatures agree in fewer values are no links: at 0.75 fewer than one in 10**6 agrees so little.
-LEAST_AGREED = 16
+#: Values of eight bits by which pairs are sifted, and how many must agree: at 0.75 fewer than one pair in 10**5 agrees so little.
+SKETCH, LEAST_AGREED = 256, 162
 CHUNK_BYTES = 2 << 20
-#: Members of a bucket that are compared with each other at once.
-BLOCK = 2048
+#: Closest members that a class is compared with before all are.
+CLOSEST = 3
 
 _rng = np.random.default_rng(75)
 TABLE = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 ODD = _rng.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-MUL_A = _rng.integers(0, 1 << 31, VALUES, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-MUL_B = _rng.integers(0, 1 << 31, VALUES, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+MUL_A = _rng.integers(0, 1 << 31, SKETCH, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+MUL_B = _rng.integers(0, 1 << 31, SKETCH, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -55,10 +57,10 @@ SPACE[[32, *range(9, 14)]] = True
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.ones(1, np.uint64)
-    step = base
+    step = int(base)
     while len(out) < n:
-        out = np.concatenate([out, out * step])
-        step = step * step
+        out = np.concatenate([out, out * np.uint64(step)])
+        step = step * step % (1 << 64)
     return out[:n]
 
 
@@ -102,23 +104,25 @@ class Shingler:
             if b - a >= SHINGLE:
                 out.append(np.unique(s[a : b - SHINGLE + 1]))
             elif b > a:
-                short = np.uint64(b - a)
+                short = np.array([b - a], np.uint64)
                 for k in range(a, b):
-                    short = mixed(np.array([short + h[k]]) * ODD[1])[0]
-                out.append(np.array([short], np.uint64))
+                    short = mixed((short + h[k : k + 1]) * ODD[1])
+                out.append(short)
             else:
                 out.append(np.zeros(0, np.uint64))
         return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """The index values (16 bits of the first VALUES hashes) and the sketch (8 bits of all SKETCH)."""
     low, high = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(VALUES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(shingles), 4096):
-        x = low[at : at + 4096, None] * MUL_A + high[at : at + 4096, None] * MUL_B
-        x ^= x >> np.uint32(15)
-        least = np.minimum(least, (x * np.uint32(0x2C1B3C6D)).min(0))
-    return (least & np.uint32(0xFFFF)).astype("<u2")
+    least = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(shingles), 512):
+        x = low[at : at + 512, None] * MUL_A
+        x += high[at : at + 512, None] * MUL_B
+        least = np.minimum(least, x.min(0))
+    least = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return (least[:VALUES] >> np.uint32(16)).astype("<u2").tobytes(), (least >> np.uint32(12)).astype("u1").tobytes()
 
 
 def batches_of_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -128,7 +132,7 @@ def batches_of_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndar
         yield c.rows, shingler.sets([raw[a:b] for a, b in zip(c.at[:-1].tolist(), c.at[1:].tolist())])
 
 
-SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, sig binary"
+SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, sig binary, sketch binary"
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +140,8 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in batches_of_sets(b.column("text")):
             digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             d = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-            sig = [signature(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
+            sig = [signature(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), *(pa.array([x[k] for x in sig], pa.binary()) for k in (0, 1))], names=["doc_id", "n_shingles", "s1", "s2", "sig", "sketch"])
 
 
 WILD = [tuple(k for k in range(WIDTH) if k not in out) for out in combinations(range(WIDTH), ERRORS)]
@@ -190,35 +194,53 @@ def confirmed(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     return written(both.mapInArrow(confirm, "a long, b long").distinct(), name)
 
 
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, component, sig) sorted by key: pairs of a key's members in different components whose signatures agree enough."""
+def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, sketch, other) the pairs whose sketches agree well enough."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3))
+            some = pa.array(np.flatnonzero((x == y).sum(1) >= LEAST_AGREED))
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(some) for k in (0, 1)], names=["a", "b"])
+
+
+def across(closest: int | None):
+    """For rows (key, id, component, sketch) sorted by key: pairs of a key's members in different components whose sketches agree well enough.
 
-    def pairs(ids, comps, sigs):
+    closest: only so many for each member outside the largest component, those that agree best.
+    """
+
+    def pairs(ids, comps, sketches):
         ids, comps = np.array(ids), np.array(comps)
-        sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, VALUES)
-        for i in range(0, len(ids), BLOCK):
-            for j in range(i, len(ids), BLOCK):
-                for k in range(i, min(i + BLOCK, len(ids))):
-                    other = np.flatnonzero(comps[j : j + BLOCK] != comps[k]) + j
-                    other = other[other > k]
-                    other = other[(sig[other] == sig[k]).sum(1) >= LEAST_AGREED] if len(other) else other
-                    if len(other):
-                        yield np.minimum(ids[k], ids[other]), np.maximum(ids[k], ids[other])
+        sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+        names, size = np.unique(comps, return_counts=True)
+        main = comps == names[size.argmax()]
+        for k in np.flatnonzero(~main):
+            # those of the largest component, and of the others that come later (all of them where only the closest count)
+            other = np.flatnonzero((comps != comps[k]) & (main | (np.arange(len(ids)) > k) | (closest is not None)))
+            agreed = np.concatenate([(sketch[other[i : i + 8192]] == sketch[k]).sum(1) for i in range(0, len(other), 8192)])
+            other, agreed = other[agreed >= LEAST_AGREED], agreed[agreed >= LEAST_AGREED]
+            if closest is not None and len(other) > closest:
+                other = other[np.lexsort((ids[other], -agreed))[:closest]]
+            if len(other):
+                yield np.minimum(ids[k], ids[other]), np.maximum(ids[k], ids[other])
 
     def given(group):
         got = list(pairs(*group)) if len(set(group[1])) > 1 else []
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in (0, 1)], names=["a", "b"])
 
-    key, group = None, ([], [], [])
-    for batch in batches:
-        for k, *row in zip(*(batch.column(x).to_pylist() for x in range(4))):
-            if k != key:
-                yield from given(group)
-                key, group = k, ([], [], [])
-            for g, x in zip(group, row):
-                g.append(x)
-    yield from given(group)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, ([], [], [])
+        for batch in batches:
+            for k, *row in zip(*(batch.column(x).to_pylist() for x in range(4))):
+                if k != key:
+                    yield from given(group)
+                    key, group = k, ([], [], [])
+                for g, x in zip(group, row):
+                    g.append(x)
+        yield from given(group)
+
+    return run
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -226,24 +248,24 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(sign, SIGNED), "op10-signed")
     known = docs.where("doc_id is not null")
-    reps = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "op10-classes")
+    reps = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "op10-classes")
     keys = reps.select("id", "sig").mapInArrow(index, "key long, id long, chunk int")
     hubs = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "chunk").alias("o"), "id")).alias("first")).where("n > 1").select("key", F.col("first.id").alias("hub"))
     members = written(keys.join(hubs, "key").select("key", "id", "hub"), "op10-members")
-    tried = written(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "op10-tried")
-    sigs = reps.select("id", "sig")
-    agreed = F.aggregate(F.sequence(F.lit(0), F.lit(VALUES - 1)), F.lit(0), lambda n, k: n + (F.substring("sig", 2 * k + 1, F.lit(2)) == F.substring("other", 2 * k + 1, F.lit(2))).cast("int"))
-    near = tried.join(sigs.withColumnRenamed("id", "a"), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("other")), "b").where(agreed >= LEAST_AGREED).select("a", "b").distinct()
+    tried = written(members.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "op10-tried")
+    sketches = reps.select("id", "sketch")
+    both = tried.join(sketches.withColumnRenamed("id", "a"), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("other")), "b")
+    near = both.select("a", "b", "sketch", "other").mapInArrow(alike, "a long, b long")
     links = confirmed(written(near, "op10-near"), known, "op10-links")
-    first = components(links, "op10-first")
-    placed = members.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = placed.join(open_, "key").join(sigs, "id").select("key", "id", "component", "sig").repartition("key").sortWithinPartitions("key", "id")
-    more = rest.mapInArrow(across, "a long, b long").distinct()
-    both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(more.join(both, ["a", "b"], "left_anti"), "op10-more")
-    if not more.isEmpty():
-        links = links.union(confirmed(more, known, "op10-links2"))
+    for step, closest in enumerate((CLOSEST, None)):
+        now = components(links, "op10-now")
+        placed = members.select("key", "id").join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        rest = placed.join(open_, "key").join(sketches, "id").select("key", "id", "component", "sketch").repartition("key").sortWithinPartitions("key", "id")
+        more = written(rest.mapInArrow(across(closest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "op10-more")
+        if more.isEmpty():
+            break
+        links, tried = links.union(confirmed(more, known, f"op10-links{step}")), tried.union(more)
     # a doc_id with several texts ties their classes
     of_doc = signed.where("n_shingles > 0").join(reps, ["s1", "s2"]).select("doc_id", "id")
     several = of_doc.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
