@@ -14,6 +14,8 @@ from tracewright.plans.registry import query
 from tracewright.streaming import streams as p
 
 STOP = ", ".join(f"'{w}'" for w in k.STOP_WORDS)
+#: The items share few words, so their pairs are taken from a lower similarity on.
+LEAST = 0.06
 WORDS = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: len(w) >= 3 AND w NOT IN ({STOP})))"
 
 
@@ -41,19 +43,19 @@ def k6(spark, sf):
 
 PAIRS = f"""WITH s AS (SELECT item_id // 2 AS node, item_id AS file, {WORDS} AS words FROM benchmark), t AS (SELECT node, file, len(words) AS n, unnest(words) AS word FROM s),
 e AS (SELECT a.node AS a, b.node AS b, count(*) / (a.n + b.n - count(*)) AS score FROM t a JOIN t b ON a.word = b.word AND a.node < b.node GROUP BY a.node, a.file, a.n, b.node, b.file, b.n),
-pairs AS (SELECT a, b, max(score) AS score FROM e GROUP BY a, b HAVING max(score) >= 0.2)"""
+pairs AS (SELECT a, b, max(score) AS score FROM e GROUP BY a, b HAVING max(score) >= {LEAST})"""
 
 
 @query("k7_jaccard_pairs", f"{PAIRS} SELECT a, b, round(score, 9) AS score FROM pairs")
 def k7(spark, sf):
-    return k.jaccard_pairs(notes(spark, sf)).withColumn("score", F.round("score", 9))
+    return k.jaccard_pairs(notes(spark, sf), LEAST).withColumn("score", F.round("score", 9))
 
 
 @query("k8_clusters")
 def k8(spark, sf):
     p.shared_dir(spark)
     members = notes(spark, sf).select("node").distinct()
-    return k.clusters(members, k.jaccard_pairs(notes(spark, sf)))
+    return k.clusters(members, k.jaccard_pairs(notes(spark, sf), LEAST), LEAST)
 
 
 @query("k9_partition_faults", "WITH g AS (SELECT CASE WHEN n_nationkey = 3 THEN 4 WHEN n_nationkey = 9 THEN 99 ELSE n_nationkey END AS node FROM nation), n AS (SELECT node, count(*) AS c FROM g GROUP BY node) SELECT coalesce(m.n_nationkey, n.node) AS node, CASE WHEN m.n_nationkey IS NULL THEN 'foreign' WHEN n.node IS NULL THEN 'missing' ELSE 'repeated' END AS fault FROM nation m FULL JOIN n ON m.n_nationkey = n.node WHERE m.n_nationkey IS NULL OR n.node IS NULL OR c > 1")

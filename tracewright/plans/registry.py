@@ -38,3 +38,8 @@ def oracle_sql() -> dict[str, str]:
 def load() -> None:
     """Import the modules that register queries."""
     from tracewright.plans import attribution_queries, friction_queries, knowledge_queries, pricing_queries, rollup_queries, run_queries, transcript_queries  # noqa: F401
+
+
+def names() -> list[str]:
+    load()
+    return list(_QUERIES)
