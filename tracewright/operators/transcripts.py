@@ -207,3 +207,8 @@ def quiet_commits(calls: DataFrame) -> DataFrame:
     tail = F.call_function("substring_index", cmd, head, F.lit(-1))
     cut = F.col("key_arg").endswith("…") & (F.octet_length(bare) >= 20) & cmd.contains(head) & F.startswith(bare, F.concat(head, tail))
     return rows.where((bare != "") & (F.contains(F.col("key_arg"), bare) | cut)).select(*KEY, "seq", F.coalesce("started_at", "session_start").alias("committed_at"), "commit_hash", "subject")
+
+
+def message_turns(lines: DataFrame) -> DataFrame:
+    """The turns of each session, from its raw lines."""
+    return with_turns(route(lines)).groupBy(*KEY).agg((F.max("turn") + 1).alias("turns"))
