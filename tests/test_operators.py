@@ -121,3 +121,30 @@ def test_clusters_match_brute_force(spark):
     want, shed = brute_clusters(nodes, edges)
     assert sorted(sorted(g) for g in groups.values()) == want and sorted(r.node for r in got if r.shed) == shed
     assert all(2 <= len(g) <= 8 for g in groups.values())
+
+
+def test_greedy_match_is_one_to_one_and_best_first(spark):
+    from tracewright.operators import compliance as h
+
+    rows = [("s", r, c, v) for r, c, v in ((0, 0, 0.5), (0, 1, 0.9), (1, 0, 0.4), (1, 1, 0.9), (2, 0, 0.4), (2, 2, 0.0))] + [("t", 0, 0, 0.1)]
+    got = h.greedy_match(spark.createDataFrame(rows, "session string, ref long, cand long, score double"))
+    assert sorted(map(tuple, got.collect())) == [("s", 0, 1, 0.9), ("s", 1, 0, 0.4), ("s", 2, 2, 0.0), ("t", 0, 0, 0.1)]
+
+
+def test_human_executions_are_judged_on_what_is_merged_so_far(spark):
+    from tracewright.operators import compliance as h
+
+    rows = [("e", 1, "human", None, None, None), ("e", 2, "human", None, None, "p"), ("e", 3, None, "a", None, None), ("e", 4, None, None, "s", None), ("f", 1, "subagent", "a", None, "p"), ("f", 2, "human", None, None, None), ("f", 3, None, "b", None, None)]
+    got = h.human_execution_faults(spark.createDataFrame(rows, "execution_id string, seq long, execution_kind string, agent string, session_id string, parent_execution_id string"))
+    assert sorted(map(tuple, got.collect())) == [("e", 1, "parent_execution_id"), ("e", 3, "agent"), ("e", 4, "session_id"), ("f", 2, "execution_kind")]
+
+
+def test_a_record_serves_one_call(spark):
+    from datetime import datetime as dt
+
+    from tracewright.operators import compliance as h
+
+    at = lambda s: dt(2024, 1, 1, 0, 0, s)
+    calls = spark.createDataFrame([("r", "c1", "x", at(10), at(20)), ("r", "c2", "x", at(12), at(20)), ("r", "c3", "x", at(40), None), ("r", "c4", "y", at(10), at(20))], "run_id string, call_id string, lens string, started_at timestamp, ended_at timestamp")
+    records = spark.createDataFrame([("r", "a", "c3", "x", at(1)), ("r", "b", None, "x", at(6)), ("r", "c", None, "x", at(25)), ("r", "d", None, "x", at(26)), ("r", "e", None, "z", at(11))], "run_id string, record_id string, dispatch_id string, r_lens string, r_started timestamp")
+    assert sorted(map(tuple, h.call_windows(calls, records).collect())) == [("r", "c1", "b", "time"), ("r", "c2", "c", "time"), ("r", "c3", "a", "dispatch")]

@@ -1,0 +1,142 @@
+"""Review compliance (H) and evaluation (M11-M13): classification, attempts, greedy matching."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def classify_run() -> Column:
+    """H2: the class of a run by ordered tests of runtime, activity, readable, lines, evidence, tool_evidence and committed."""
+    none = F.col("lines") == 0
+    return (
+        F.when(F.col("runtime") == "unknown", "unknown")
+        .when(~F.col("activity"), "unknown")
+        .when(~F.col("readable"), "unknown")
+        .when(~none & F.col("evidence"), "compliant")
+        .when(none & F.col("tool_evidence"), "compliant")
+        .when(none & ~F.col("evidence") & F.col("committed"), "skipped_fan_out")
+        .when(none & ~F.col("evidence") & ~F.col("committed"), "incomplete")
+        .otherwise("unknown")
+    )
+
+
+def compliance_totals(classified: DataFrame) -> DataFrame:
+    """H3: runs by class."""
+    return classified.groupBy("class").agg(F.count("*").alias("runs"))
+
+
+def number_attempts(attempts: DataFrame) -> DataFrame:
+    """H7: the number of each attempt of a lens in a round, whether a later one supersedes it, and its order in the run.
+
+    attempts: run_id, lens, round, at, attempt_id.
+    """
+    w = Window.partitionBy("run_id", "lens", "round").orderBy("at", "attempt_id")
+    rows = attempts.withColumn("attempt", F.row_number().over(w)).withColumn("superseded", F.lead("attempt_id").over(w).isNotNull())
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("round", "lens", "attempt"))
+    return rows.withColumn("place", place)
+
+
+def missing_attempts(committed: DataFrame, attempts: DataFrame) -> DataFrame:
+    """H7: lenses that a run committed to (run_id, lens) and never attempted."""
+    return committed.select("run_id", "lens").distinct().join(attempts, ["run_id", "lens"], "left_anti")
+
+
+def call_windows(calls: DataFrame, records: DataFrame, slack: int = 5) -> DataFrame:
+    """H5: the record of each lens call: by dispatch id, else the earliest of the lens that starts in the call's time widened by ``slack`` seconds; a record serves one call.
+
+    calls: run_id, call_id, lens, started_at, ended_at; records: run_id, record_id, dispatch_id, r_lens, r_started. The calls of
+    a run take their records in order of time, which is a fold within the run.
+    """
+    by_id = calls.join(records.where("dispatch_id is not null").select("run_id", F.col("dispatch_id").alias("call_id"), "record_id"), ["run_id", "call_id"])
+    rest = calls.join(by_id.select("run_id", "call_id"), ["run_id", "call_id"], "left_anti")
+    free = records.join(by_id.select("run_id", "record_id"), ["run_id", "record_id"], "left_anti")
+    wide = F.expr(f"INTERVAL {slack} SECONDS")
+    near = rest.join(free.select("run_id", "record_id", "r_lens", "r_started"), "run_id").where((F.col("lens") == F.col("r_lens")) & (F.col("r_started") >= F.col("started_at") - wide) & (F.col("r_started") <= F.coalesce("ended_at", "started_at") + wide))
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, done, out = set(), set(), []
+        for r in pdf.sort_values(["started_at", "call_id", "r_started", "record_id"]).itertuples():
+            if r.call_id not in done and r.record_id not in used:
+                used.add(r.record_id)
+                done.add(r.call_id)
+                out.append((r.run_id, r.call_id, r.record_id))
+        return pd.DataFrame(out, columns=["run_id", "call_id", "record_id"])
+
+    kinds = dict(near.dtypes)
+    greedy = near.groupBy("run_id").applyInPandas(take, f"run_id {kinds['run_id']}, call_id {kinds['call_id']}, record_id {kinds['record_id']}")
+    return by_id.select("run_id", "call_id", "record_id", F.lit("dispatch").alias("basis")).union(greedy.withColumn("basis", F.lit("time")))
+
+
+def truth_similarity() -> Column:
+    """Of reference (r_) and candidate (c_) title words, claim words and evidence paths; 1 where the ids are equal."""
+    jaccard = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    score = 0.4 * jaccard("r_title", "c_title") + 0.4 * jaccard("r_claim", "c_claim") + F.when(F.arrays_overlap("r_paths", "c_paths"), 0.2).otherwise(0.0)
+    return F.when(F.col("r_id") == F.col("c_id"), 1.0).otherwise(F.least(score, F.lit(1.0)))
+
+
+def greedy_match(pairs: DataFrame) -> DataFrame:
+    """One-to-one matches of each session, best scores first (ties: reference order, then candidate order).
+
+    pairs: session, ref, cand, score; a session's pairs are few and make one group.
+    """
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        refs, cands, out = set(), set(), []
+        for r in pdf.sort_values(["score", "ref", "cand"], ascending=[False, True, True]).itertuples():
+            if r.ref not in refs and r.cand not in cands:
+                refs.add(r.ref)
+                cands.add(r.cand)
+                out.append((r.session, r.ref, r.cand, float(r.score)))
+        return pd.DataFrame(out, columns=["session", "ref", "cand", "score"])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.groupBy("session").applyInPandas(match, f"session {kinds['session']}, ref {kinds['ref']}, cand {kinds['cand']}, score double")
+
+
+def eval_matrix(results: DataFrame, configs: list[str]) -> DataFrame:
+    """Mean score of each session (rows) under each configuration (columns)."""
+    return results.groupBy("session").pivot("config", configs).agg(F.avg("score"))
+
+
+def human_execution_faults(records: DataFrame) -> DataFrame:
+    """records that break the rules of human executions: no agent or session of its own or so far, and a parent.
+
+    A record that breaks a rule is not merged, so the rule for later ones depends on it: a fold in order within each execution.
+    records: execution_id, seq, execution_kind, agent, session_id, parent_execution_id.
+    """
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        have = {"execution_kind": "", "agent": "", "session_id": "", "parent_execution_id": ""}
+        out = []
+        for r in pdf.sort_values("seq").to_dict("records"):
+            new = {k: (r[k] if isinstance(r[k], str) else "") for k in have}
+            fault = None
+            if (new["execution_kind"] or have["execution_kind"]) == "human":
+                if new["agent"]:
+                    fault = "agent"
+                elif new["session_id"]:
+                    fault = "session_id"
+                elif have["agent"] or have["session_id"]:
+                    fault = "execution_kind"
+                elif not (new["parent_execution_id"] or have["parent_execution_id"]):
+                    fault = "parent_execution_id"
+            if fault:
+                out.append((r["execution_id"], int(r["seq"]), fault))
+            else:
+                have = {k: new[k] or have[k] for k in have}
+        return pd.DataFrame(out, columns=["execution_id", "seq", "fault"])
+
+    return records.groupBy("execution_id").applyInPandas(check, "execution_id string, seq long, fault string")
+
+
+def attach_subagents(spans: DataFrame, dispatches: DataFrame, recorded: DataFrame) -> DataFrame:
+    """dispatches in an invocation's turns that no recorded execution has by dispatch id or transcript.
+
+    spans: agent, session_id, idx, last_idx, run_id; dispatches: agent, session_id, turn_idx, tool_use_id, transcript.
+    """
+    inside = (F.col("turn_idx") >= F.col("idx")) & (F.col("last_idx").isNull() | (F.col("turn_idx") <= F.col("last_idx")))
+    both = spans.join(dispatches, ["agent", "session_id"]).where(inside)
+    free = both.join(recorded.where("dispatch_id is not null").select("run_id", F.col("dispatch_id").alias("tool_use_id")), ["run_id", "tool_use_id"], "left_anti")
+    return free.join(recorded.where("transcript is not null").select("run_id", "transcript"), ["run_id", "transcript"], "left_anti").select("run_id", "tool_use_id", "turn_idx", "transcript")
