@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,21 +91,26 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     """
     both = edges.where(F.col("a") != F.col("b"))
     cur = written(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    flat = lambda: cur.select(F.col("a").alias("id"), F.col("b").alias("component")).union(cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    if cur.isEmpty():
+        return flat()
     before = None
     for _ in range(rounds):
         # large star: the larger neighbours of each node are tied to the least of its neighbourhood
         way = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = way.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = way.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = way.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where(F.col("a") != F.col("b"))
         # small star: a node and its smaller neighbours are tied to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         cur2 = small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = written(cur2.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
-        # settled when every node has one edge only and no root is a leaf: the forest is flat
-        got = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        step = cur2.union(least.select("a", F.col("m").alias("b"))).distinct()
+        cur = written(step.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), name)
+        # settled when a step changes nothing
+        got = seen.get
         if got == before:
-            return cur.select(F.col("a").alias("id"), F.col("b").alias("component")).union(cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+            return flat()
         before = got
     raise RuntimeError(f"components did not settle in {rounds} rounds")
