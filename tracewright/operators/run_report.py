@@ -52,3 +52,41 @@ def stage_groups(executions: DataFrame) -> DataFrame:
     """Attempts of each stage of a run; retries are those after the first."""
     got = executions.where("stage is not null").groupBy("run_id", "stage").agg(F.count("*").alias("attempts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("started_at", "execution_id"))), lambda x: x["execution_id"]), ",").alias("order"))
     return got.withColumn("retries", F.col("attempts") - 1)
+
+
+def ticket_index(sessions: DataFrame, spans: DataFrame) -> DataFrame:
+    """The one ticket that spans place a session's time under; null if they name none or several.
+
+    sessions: agent, session_id, at; spans: agent, session_id, started_at, until, ticket.
+    """
+    s = spans.select(F.col("agent").alias("s_agent"), F.col("session_id").alias("s_session"), F.col("started_at").alias("s_start"), F.col("until").alias("s_until"), "ticket")
+    both = sessions.join(s, (F.col("agent") == F.col("s_agent")) & (F.col("session_id") == F.col("s_session")) & (F.col("at") >= F.col("s_start")) & (F.col("s_until").isNull() | (F.col("at") < F.col("s_until"))), "left")
+    got = both.groupBy("agent", "session_id", "at").agg(F.count_distinct("ticket").alias("n"), F.min("ticket").alias("t"))
+    return got.select("agent", "session_id", "at", F.when(F.col("n") == 1, F.col("t")).alias("ticket"))
+
+
+def lens_groups(executions: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Lens executions with their attempts: by execution id, else by (run, lens, round, attempt); what is left on either side stays.
+
+    executions: run_id, execution_id, lens, round, attempt; attempts: run_id, attempt_id, a_execution_id, lens, round, attempt.
+    """
+    by_id = executions.join(attempts.where("a_execution_id is not null").select("run_id", F.col("a_execution_id").alias("execution_id"), "attempt_id"), ["run_id", "execution_id"])
+    e = executions.join(by_id.select("run_id", "execution_id"), ["run_id", "execution_id"], "left_anti")
+    a = attempts.join(by_id.select("run_id", "attempt_id"), ["run_id", "attempt_id"], "left_anti")
+    key = ["run_id", "lens", "round", "attempt"]
+    rest = e.select(*key, "execution_id").join(a.select(*key, "attempt_id"), key, "full_outer")
+    basis = F.when(F.col("execution_id").isNotNull() & F.col("attempt_id").isNotNull(), "transcript").when(F.col("execution_id").isNotNull(), "execution").otherwise("unknown")
+    return by_id.select(*key, "execution_id", "attempt_id", F.lit("execution").alias("attribution")).union(rest.select(*key, "execution_id", "attempt_id", basis.alias("attribution")))
+
+
+def telemetry_gaps(units: DataFrame) -> DataFrame:
+    """The distinct gaps of a run in the order of its walk, and whether its telemetry is complete. units: run_id, place, gap."""
+    from tracewright.functions.scalars import ordered_distinct
+
+    got = units.groupBy("run_id").agg(ordered_distinct(F.col("place"), F.col("gap")).alias("gaps"))
+    return got.withColumn("telemetry", F.when(F.size("gaps") == 0, "complete").otherwise("partial"))
+
+
+def invocation_outcome(runs: DataFrame) -> DataFrame:
+    """The recorded outcome, else running if it has not ended, else unknown."""
+    return runs.withColumn("shown_outcome", F.coalesce("outcome", F.when(F.col("ended_at").isNull(), "running").otherwise("unknown")))
