@@ -8,7 +8,7 @@ for each way to leave ERRORS values out: all pairs under that distance meet in a
 similarity of 0.75 and above fewer than one pair in 10**5 differs so much that no bucket is shared.
 
 In a bucket each class is first compared with one class of the bucket only, the one that comes first in
-an order that differs from chunk to chunk. Links are confirmed on full sets. Then each class outside a
+an order that differs between thirds of the chunks. Links are confirmed on full sets. Then each class outside a
 bucket's largest component is compared with the few members of other components that its signature is
 closest to, and last, what a bucket still has in two or more components is compared across components,
 whole. A pair's sets are fetched only if SKETCH further values of eight bits agree well enough. So no
@@ -37,8 +37,10 @@ CHUNKS, WIDTH, ERRORS = 10, 4, 1
 VALUES = CHUNKS * WIDTH
 PERCENT = 75
 #: Values of eight bits by which pairs are sifted, and how many must agree: at 0.75 fewer than one pair in 10**5 agrees so little.
-SKETCH, LEAST_AGREED = 256, 162
+SKETCH, LEAST_AGREED = 512, 343
 CHUNK_BYTES = 2 << 20
+#: Orders by which a bucket's first class is found; with few of them the classes of a group mostly meet the same ones.
+ORDERS = 3
 #: Closest members that a class is compared with before all are.
 CLOSEST = 3
 
@@ -152,13 +154,10 @@ def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, CHUNKS, WIDTH)
         for c in range(CHUNKS):
-            for w, keep in enumerate(WILD):
-                key = np.full(len(sig), c * len(WILD) + w + 1, np.uint64)
-                for k in keep:
-                    key = key << np.uint64(16) | sig[:, c, k]
-                yield pa.RecordBatch.from_arrays([pa.array(mixed(key).view(np.int64)), b.column("id"), pa.array(np.full(len(sig), c, np.int32))], names=["key", "id", "chunk"])
+            for w in range(len(WILD)):
+                yield pa.RecordBatch.from_arrays([pa.array(index_key(sig, c, w)), b.column("id"), pa.array(np.full(len(sig), c, np.int32))], names=["key", "id", "chunk"])
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +202,32 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(k).take(some) for k in (0, 1)], names=["a", "b"])
 
 
+def index_key(sig: np.ndarray, chunk: int, wild: int) -> np.ndarray:
+    """The index key of signatures (rows of CHUNKS x WIDTH values) for one chunk and one choice of values left out."""
+    key = np.full(len(sig), chunk * len(WILD) + wild + 1, np.uint64)
+    for k in WILD[wild]:
+        key = key << np.uint64(16) | sig[:, chunk, k].astype(np.uint64)
+    return mixed(key).view(np.int64)
+
+
+def first_key(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of the keys that a signature shares with each of others, the first: the bucket that a pair is told by."""
+    same = others == one
+    met = np.stack([same[:, :, list(keep)].all(2) for keep in WILD], 2).reshape(len(others), -1)
+    keys = np.array([index_key(one[None], c, w)[0] for c in range(CHUNKS) for w in range(len(WILD))])
+    return keys[met.argmax(1)]
+
+
 def across(closest: int | None):
-    """For rows (key, id, component, sketch) sorted by key: pairs of a key's members in different components whose sketches agree well enough.
+    """For rows (key, id, component, sketch, sig) sorted by key: pairs of a key's members in different components whose sketches agree well enough.
 
-    closest: only so many for each member outside the largest component, those that agree best.
+    A pair is told by the first of the keys that it shares. closest: only so many for each member outside the largest
+    component, those that agree best.
     """
 
-    def pairs(ids, comps, sketches):
+    def pairs(key, ids, comps, sketches, sigs):
         ids, comps = np.array(ids), np.array(comps)
+        sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, CHUNKS, WIDTH)
         sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
         names, size = np.unique(comps, return_counts=True)
         main = comps == names[size.argmax()]
@@ -219,26 +236,29 @@ def across(closest: int | None):
             other = np.flatnonzero((comps != comps[k]) & (main | (np.arange(len(ids)) > k) | (closest is not None)))
             agreed = np.concatenate([(sketch[other[i : i + 8192]] == sketch[k]).sum(1) for i in range(0, len(other), 8192)])
             other, agreed = other[agreed >= LEAST_AGREED], agreed[agreed >= LEAST_AGREED]
+            if len(other):
+                mine = first_key(sig[k], sig[other]) == key
+                other, agreed = other[mine], agreed[mine]
             if closest is not None and len(other) > closest:
                 other = other[np.lexsort((ids[other], -agreed))[:closest]]
             if len(other):
                 yield np.minimum(ids[k], ids[other]), np.maximum(ids[k], ids[other])
 
-    def given(group):
-        got = list(pairs(*group)) if len(set(group[1])) > 1 else []
+    def given(key, group):
+        got = list(pairs(key, *group)) if len(set(group[1])) > 1 else []
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, ([], [], [])
+        key, group = None, ([], [], [], [])
         for batch in batches:
-            for k, *row in zip(*(batch.column(x).to_pylist() for x in range(4))):
+            for k, *row in zip(*(batch.column(x).to_pylist() for x in range(5))):
                 if k != key:
-                    yield from given(group)
-                    key, group = k, ([], [], [])
+                    yield from given(key, group)
+                    key, group = k, ([], [], [], [])
                 for g, x in zip(group, row):
                     g.append(x)
-        yield from given(group)
+        yield from given(key, group)
 
     return run
 
@@ -250,18 +270,19 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = docs.where("doc_id is not null")
     reps = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "op10-classes")
     keys = reps.select("id", "sig").mapInArrow(index, "key long, id long, chunk int")
-    hubs = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "chunk").alias("o"), "id")).alias("first")).where("n > 1").select("key", F.col("first.id").alias("hub"))
+    hubs = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.col("chunk") % ORDERS).alias("o"), "id")).alias("first")).where("n > 1").select("key", F.col("first.id").alias("hub"))
     members = written(keys.join(hubs, "key").select("key", "id", "hub"), "op10-members")
     tried = written(members.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "op10-tried")
-    sketches = reps.select("id", "sketch")
-    both = tried.join(sketches.withColumnRenamed("id", "a"), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("other")), "b")
+    sketches = reps.select("id", "sketch", "sig")
+    both = tried.join(sketches.select(F.col("id").alias("a"), "sketch"), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("other")), "b")
     near = both.select("a", "b", "sketch", "other").mapInArrow(alike, "a long, b long")
     links = confirmed(written(near, "op10-near"), known, "op10-links")
     for step, closest in enumerate((CLOSEST, None)):
         now = components(links, "op10-now")
         placed = members.select("key", "id").join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        rest = placed.join(open_, "key").join(sketches, "id").select("key", "id", "component", "sketch").repartition("key").sortWithinPartitions("key", "id")
+        rest = placed.join(open_, "key").join(sketches, "id").select("key", "id", "component", "sketch", "sig").repartition("key").sortWithinPartitions("key", "id")
+        # distinct, as a class that two texts of one doc_id share may stand in a bucket twice
         more = written(rest.mapInArrow(across(closest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "op10-more")
         if more.isEmpty():
             break

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import written
-from tracewright.llm.tokens import encoder, groups_of
+from tracewright.llm.tokens import encoder, groups_of, release
 
 CAPACITY = 4096
 END_ID = 1
@@ -52,6 +52,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
             cols = list(zip(*out)) or [[]] * 4
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("tk").take(at), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "tk", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text").mapInArrow(cut, PIECES)
 

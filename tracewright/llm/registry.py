@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tracewright.llm import embedding_dedup, language_crf, mixing, near_dedup, packing, quality_model, quality_rules, suffix_dedup, token_store, warc
-from tracewright.llm.common import documents
+from tracewright.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
     return f
 
 

@@ -78,6 +78,11 @@ def encoder(path: str | None = None) -> Encoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Give back the memory of this worker's encoders, which outlives its tasks otherwise."""
+    _ENCODERS.clear()
+
+
 def groups_of(texts: list[str | None], most: int = 2_000_000):
     """(first, last) of runs of texts of at most ``most`` characters, a longer text alone."""
     first, size = 0, 0
