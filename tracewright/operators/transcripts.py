@@ -212,3 +212,43 @@ def quiet_commits(calls: DataFrame) -> DataFrame:
 def message_turns(lines: DataFrame) -> DataFrame:
     """The turns of each session, from its raw lines."""
     return with_turns(route(lines)).groupBy(*KEY).agg((F.max("turn") + 1).alias("turns"))
+
+
+def source_tickets(commits: DataFrame, most: int = 32) -> DataFrame:
+    """C17: the tickets that a session's confirmed commits mark, in the order of their first sight, at most ``most`` of them.
+
+    commits: agent, session_id, seq, part, subject.
+    """
+    from tracewright.functions.scalars import ticket_marker
+
+    marked = commits.withColumn("ticket", ticket_marker(F.col("subject"))).where("ticket is not null")
+    first = marked.groupBy(*KEY, "ticket").agg(F.min(F.struct("seq", "part")).alias("at"))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy(*KEY).orderBy("at", "ticket"))).where(F.col("n") <= most)
+    return ranked.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "ticket"))), lambda x: x["ticket"]).alias("tickets"))
+
+
+def subagent_rollup(dispatches: DataFrame, children: DataFrame) -> DataFrame:
+    """One row per dispatch: its child transcript's measures, or nulls where none was shipped; children that no dispatch claims stay too.
+
+    dispatches: agent, session_id, seq, tool_use_id, agent_type, started_at; children: agent, parent_session_id, tool_use_id,
+    line_no, ts, role, text, model, input_tokens, output_tokens. A span needs two stamps; models that differ read ``mixed``.
+    """
+    tokens = F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull()
+    text = lambda role: F.when((F.col("role") == role) & (F.col("text") != ""), F.col("line_no"))
+    c = children.groupBy("agent", F.col("parent_session_id").alias("session_id"), "tool_use_id").agg(
+        F.count("ts").alias("stamps"),
+        F.min("ts").alias("child_start"),
+        F.max("ts").alias("child_end"),
+        F.min_by("text", text("user")).alias("prompt"),
+        F.max_by("text", text("assistant")).alias("result"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+        F.min_by("model", F.when(tokens & F.col("model").isNotNull(), F.col("line_no"))).alias("first_model"),
+        F.count_distinct(F.when(tokens, F.col("model"))).alias("models"),
+    )
+    both = dispatches.join(c, [*KEY, "tool_use_id"], "full_outer")
+    ms = F.floor((F.unix_micros(F.col("child_end").cast("timestamp")) - F.unix_micros(F.col("child_start").cast("timestamp"))) / 1000).cast("long")
+    start = F.coalesce("child_start", "started_at")
+    order = Window.partitionBy(*KEY).orderBy(F.asc_nulls_last("began"), "tool_use_id", F.asc_nulls_last("seq"))
+    got = both.withColumn("began", start).withColumn("n", F.row_number().over(order).cast("long") - 1)
+    return got.select(*KEY, F.col("n").alias("seq"), "tool_use_id", "agent_type", "began", F.when(F.col("stamps") >= 2, ms).alias("duration_ms"), "prompt", F.col("result").alias("result_summary"), F.when(F.col("models") > 1, "mixed").otherwise(F.col("first_model")).alias("model"), "input_tokens", "output_tokens")

@@ -153,3 +153,28 @@ def c2(spark, sf):
     cmd = f"CASE o_orderkey % 4 WHEN 0 THEN 'git -C /x commit -m \"' || {subject} || '\"' WHEN 1 THEN 'git commit -m \"a subject of the order…' WHEN 2 THEN 'git commit-tree ' || {subject} ELSE 'git commit -m \"other\"' END"
     calls = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("'a' AS agent", "'o' || CAST(o_orderkey AS STRING) AS session_id", "0L AS seq", "'bash' AS tool_kind", f"'noise\\n' || substring(md5(CAST(o_orderkey AS STRING)), 1, 8) || ' ' || {subject} AS result_summary", f"{cmd} AS key_arg", "o_orderdate AS started_at", "o_orderdate AS session_start")
     return t.quiet_commits(calls).select("session_id", "commit_hash", "subject")
+
+
+SESSION_COMMITS = "SELECT 'a' AS agent, 'k' || CAST(o_custkey AS {s}) AS session_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq, 1 AS part, CASE o_orderkey % 3 WHEN 0 THEN '[tk-' || CAST(o_orderkey % 40 AS {s}) || '] x' WHEN 1 THEN 'x [ns/tk-' || CAST(o_orderkey % 40 AS {s}) || ']' ELSE 'plain' END AS subject FROM {t}"
+
+
+@query("c17_source_tickets", f"""WITH c AS ({SESSION_COMMITS.format(s='VARCHAR', t='orders')}), m AS (SELECT *, regexp_extract(subject, '\\[([^\\]]+)\\]', 1) AS ticket FROM c WHERE subject <> 'plain'), f AS (SELECT agent, session_id, ticket, min(seq) AS seq FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, ticket) AS n FROM f)
+SELECT agent, session_id, string_agg(ticket, ',' ORDER BY n) AS tickets FROM r WHERE n <= 5 GROUP BY ALL""")
+def c17(spark, sf):
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("ticket_orders")
+    return t.source_tickets(spark.sql(SESSION_COMMITS.format(s="STRING", t="ticket_orders")), 5).withColumn("tickets", F.array_join("tickets", ","))
+
+
+DISPATCHED = "SELECT 'a' AS agent, 'c' || CAST(conv_id % 10 AS {s}) AS session_id, CAST(conv_id AS BIGINT) AS seq, 't' || CAST(conv_id AS {s}) AS tool_use_id, 'explorer' AS agent_type, CAST({ts} AS {k}) AS started_at FROM {t} WHERE conv_id % 4 <> 0 GROUP BY conv_id"
+CHILDREN = "SELECT 'a' AS agent, 'c' || CAST(conv_id % 10 AS {s}) AS parent_session_id, 't' || CAST(conv_id AS {s}) AS tool_use_id, turn AS line_no, {ts} AS ts, role, text, CASE WHEN role = 'assistant' THEN 'm' || CAST((conv_id + CASE WHEN conv_id % 5 = 0 THEN turn ELSE 0 END) % 7 AS {s}) END AS model, CASE WHEN role = 'assistant' THEN turn END AS input_tokens, CASE WHEN role = 'assistant' THEN turn * 2 END AS output_tokens FROM {t} WHERE conv_id % 3 <> 0"
+
+
+@query("b15_subagent_rollup", f"""WITH d AS ({DISPATCHED.format(s='VARCHAR', t='conversations', ts="TIMESTAMP '2024-01-01' + to_seconds(conv_id)", k='TIMESTAMP')}), k AS ({CHILDREN.format(s='VARCHAR', t='conversations', ts="TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn)")}),
+c AS (SELECT agent, parent_session_id AS session_id, tool_use_id, count(ts) AS stamps, min(ts) AS a, max(ts) AS z, arg_min(text, line_no) FILTER (role = 'user' AND text <> '') AS prompt, arg_max(text, line_no) FILTER (role = 'assistant' AND text <> '') AS result, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, arg_min(model, line_no) FILTER (input_tokens IS NOT NULL AND model IS NOT NULL) AS first_model, count(DISTINCT model) FILTER (input_tokens IS NOT NULL) AS models FROM k GROUP BY ALL)
+SELECT agent, session_id, row_number() OVER (PARTITION BY agent, session_id ORDER BY coalesce(a, started_at) NULLS LAST, tool_use_id, seq NULLS LAST) - 1 AS seq, tool_use_id, agent_type, CASE WHEN stamps >= 2 THEN (epoch_us(z) - epoch_us(a)) // 1000 END AS duration_ms, prompt, result AS result_summary, CASE WHEN models > 1 THEN 'mixed' ELSE first_model END AS model, input_tokens, output_tokens FROM d FULL JOIN c USING (agent, session_id, tool_use_id)""")
+def b15(spark, sf):
+    spark.read.parquet(f"{sf}/conversations.parquet").createOrReplaceTempView("child_conversations")
+    at = "timestampadd(SECOND, CAST({x} AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00')"
+    d = spark.sql(DISPATCHED.format(s="STRING", t="child_conversations", ts=at.format(x="conv_id"), k="TIMESTAMP_NTZ"))
+    c = spark.sql(CHILDREN.format(s="STRING", t="child_conversations", ts=at.format(x="conv_id * 60 + turn")))
+    return t.subagent_rollup(d, c).drop("began")
