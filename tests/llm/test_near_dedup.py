@@ -82,3 +82,30 @@ def test_a_group_costs_a_few_comparisons_a_copy(spark):
 
 def test_empty_table(spark):
     assert nd.link(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_large_bucket_is_compared_in_bounded_places(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    members = [(7, i, 0 if i < 300 else i) for i in range(400)] + [(8, 1, 1), (8, 2, 2)]
+    got = nd.places(spark.createDataFrame(members, "key long, id long, component long")).collect()
+    at = {}
+    for r in got:
+        at.setdefault((r.key, r.x, r.y), []).append(r)
+    assert len(at) > 100 and max(map(len, at.values())) < 100
+    met = Counter((r.key, v.id, r.id) for rows in at.values() for v in rows if v.visits for r in rows if r.lives)
+    assert met == Counter({(7, v, i): 1 for v in range(300, 400) for i in range(400)} | {(8, 1, 1): 1, (8, 1, 2): 1})
+
+
+def test_the_pairs_of_a_class_are_dealt_to_bounded_slots(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SLOT", 16)
+    pairs = [(0, i) for i in range(1, 400)] + [(500, 501)]
+    got = nd.slotted(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((r.a, r.b) for r in got) == pairs and max(Counter((r.a, r.slot) for r in got).values()) < 50
+
+
+def test_small_places_and_slots_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    monkeypatch.setattr(nd, "SLOT", 2)
+    rows = corpus(2, 12)
+    got = nd.link(spark.createDataFrame([(i, t, 1, "s", "k") for i, t in rows], SCHEMA)).drop("class_id").collect()
+    assert Counter(map(tuple, got)) == brute(rows)

@@ -13,7 +13,8 @@ bucket's largest component is compared with the few members of other components
 closest to, and last, what a bucket still has in two or more components is compared across components,
 whole. A pair's sets are fetched only if SKETCH further values of eight bits agree well enough. So no
 link between different texts that a bucket holds is lost, and a group of copies costs a few comparisons
-a copy. Components are connected after each step.
+a copy. Components are connected after each step. However large a bucket is, it is compared in places of
+about BLOCK by BLOCK members, and the pairs of one class are confirmed about SLOT at a time.
 
 Null or wordless texts have no shingle and are linked with nothing, as are rows without doc_id. Rows
 that share a doc_id are one document with several texts: their links join. Other columns are not read.
@@ -27,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import chunks, components, written
@@ -43,6 +44,8 @@ CHUNK_BYTES = 2 << 20
 ORDERS = 3
 #: Closest members that a class is compared with before all are.
 CLOSEST = 3
+#: Members of a bucket that are residents, or visitors, of one place, and pairs of a class that are confirmed in one: about so many.
+BLOCK, SLOT = 2048, 1024
 
 _rng = np.random.default_rng(75)
 TABLE = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -167,13 +170,13 @@ def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, shingles) sorted by a with a's own set first (b null): the pairs whose sets are similar enough."""
-    a_now, sets = None, []
+    """Rows (a, slot, b, shingles) sorted by a and slot with a's own set first (b null): the pairs whose sets are similar enough."""
+    now, sets = None, []
     for batch in batches:
         out = []
-        for a, b, shingles in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if a != a_now:
-                a_now, sets = a, []
+        for a, slot, b, shingles in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if (a, slot) != now:
+                now, sets = (a, slot), []
             got = np.frombuffer(shingles, np.uint64)
             if b is None:
                 sets.append(got)
@@ -182,14 +185,21 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def slotted(pairs: DataFrame) -> DataFrame:
+    """(a, b, slot): the pairs of an a with more than SLOT of them dealt by b to slots of about SLOT pairs."""
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SLOT).select("a", F.ceil(F.col("n") / SLOT).alias("slots"))
+    return pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("slots", F.lit(1).cast("long"))).alias("slot"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Those of ``pairs`` (distinct a, b) whose full sets have a similarity of PERCENT or more. A pair moves one set, the other meets all its pairs at once."""
+    """Those of ``pairs`` (distinct a, b) whose full sets have a similarity of PERCENT or more. A pair moves one set, the other meets the pairs of a slot at once."""
     wanted = pairs.select(F.col("a").alias("want")).union(pairs.select("b")).distinct()
     texts = docs.join(wanted, F.col("doc_id") == F.col("want"), "left_semi")
     sets = written(texts.mapInArrow(shingle_sets, "id long, shingles binary"), f"{name}-sets")
-    own = pairs.select("a").distinct().join(sets, F.col("a") == F.col("id")).select("a", F.lit(None).cast("long").alias("b"), "shingles")
-    others = pairs.join(sets, F.col("b") == F.col("id")).select("a", "b", "shingles")
-    both = own.union(others).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    dealt = slotted(pairs)
+    own = dealt.select("a", "slot").distinct().join(sets, F.col("a") == F.col("id")).select("a", "slot", F.lit(None).cast("long").alias("b"), "shingles")
+    others = dealt.join(sets, F.col("b") == F.col("id")).select("a", "slot", "b", "shingles")
+    both = own.union(others).repartition("a", "slot").sortWithinPartitions("a", "slot", F.asc_nulls_first("b"))
     return written(both.mapInArrow(confirm, "a long, b long").distinct(), name)
 
 
@@ -218,51 +228,83 @@ def first_key(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return keys[met.argmax(1)]
 
 
+def places(rows: DataFrame) -> DataFrame:
+    """Members (key, id, component, ...) of buckets dealt to places (key, x, y): with main (in the bucket's largest component), lives and visits.
+
+    A bucket has a place for each block x of its members and each block y of its visitors, those outside its largest
+    component. A member lives in all places of its x, a visitor visits all places of its y: at exactly one place it meets
+    each member, and no place has more than about BLOCK of either.
+    """
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("largest"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1).cast("long"))
+    sizes = sizes.select("key", F.col("largest.component").alias("largest"), blocks(F.col("members")).alias("xs"), blocks(F.col("members") - F.col("largest.n")).alias("ys"))
+    got = rows.join(sizes, "key").withColumn("main", F.col("component") == F.col("largest"))
+    got = got.withColumn("own_x", F.pmod(F.xxhash64("id"), F.col("xs"))).withColumn("own_y", F.pmod(F.xxhash64("id"), F.col("ys")))
+    place = lambda x, y, lives, visits: F.struct(x.alias("x"), y.alias("y"), lives.alias("lives"), visits.alias("visits"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    home = F.transform(upto(F.col("ys")), lambda y: place(F.col("own_x"), y, F.lit(True), ~F.col("main") & (y == F.col("own_y"))))
+    away = F.transform(F.filter(upto(F.col("xs")), lambda x: ~F.col("main") & (x != F.col("own_x"))), lambda x: place(x, F.col("own_y"), F.lit(False), F.lit(True)))
+    return got.withColumn("at", F.explode(F.concat(home, away))).select("key", "at.x", "at.y", *(c for c in rows.columns if c != "key"), "main", "at.lives", "at.visits")
+
+
+PLACED = ["key", "x", "y", "id", "component", "sketch", "sig", "main", "lives", "visits"]
+
+
 def across(closest: int | None):
-    """For rows (key, id, component, sketch, sig) sorted by key: pairs of a key's members in different components whose sketches agree well enough.
+    """For rows (PLACED) sorted by key, x, y: pairs (key, id, a, b, agreed) of a visitor (id) and a resident of a place in different components whose sketches agree well enough.
 
-    A pair is told by the first of the keys that it shares. closest: only so many for each member outside the largest
-    component, those that agree best.
+    A pair is told by the first of the keys that it shares. closest: only so many for each visitor, those that agree best.
     """
 
-    def pairs(key, ids, comps, sketches, sigs):
-        ids, comps = np.array(ids), np.array(comps)
+    def pairs(key, ids, comps, sketches, sigs, main, lives, visits):
+        ids, comps, main, lives, visits = (np.array(x) for x in (ids, comps, main, lives, visits))
         sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, CHUNKS, WIDTH)
         sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
-        names, size = np.unique(comps, return_counts=True)
-        main = comps == names[size.argmax()]
-        for k in np.flatnonzero(~main):
+        for k in np.flatnonzero(visits):
             # those of the largest component, and of the others that come later (all of them where only the closest count)
-            other = np.flatnonzero((comps != comps[k]) & (main | (np.arange(len(ids)) > k) | (closest is not None)))
-            agreed = np.concatenate([(sketch[other[i : i + 8192]] == sketch[k]).sum(1) for i in range(0, len(other), 8192)])
+            other = np.flatnonzero(lives & (comps != comps[k]) & (main | (ids > ids[k]) | (closest is not None)))
+            agreed = np.concatenate([np.zeros(0, int), *((sketch[other[i : i + 8192]] == sketch[k]).sum(1) for i in range(0, len(other), 8192))])
             other, agreed = other[agreed >= LEAST_AGREED], agreed[agreed >= LEAST_AGREED]
             if len(other):
                 mine = first_key(sig[k], sig[other]) == key
                 other, agreed = other[mine], agreed[mine]
             if closest is not None and len(other) > closest:
-                other = other[np.lexsort((ids[other], -agreed))[:closest]]
+                some = np.lexsort((ids[other], -agreed))[:closest]
+                other, agreed = other[some], agreed[some]
             if len(other):
-                yield np.minimum(ids[k], ids[other]), np.maximum(ids[k], ids[other])
+                yield np.full(len(other), key), np.full(len(other), ids[k]), np.minimum(ids[k], ids[other]), np.maximum(ids[k], ids[other]), agreed
 
-    def given(key, group):
-        got = list(pairs(key, *group)) if len(set(group[1])) > 1 else []
+    def given(place, group):
+        got = list(pairs(place[0], *group)) if any(group[-1]) else []
         if got:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got]), pa.int64()) for k in range(5)], names=["key", "id", "a", "b", "agreed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, ([], [], [], [])
+        place, group = None, None
         for batch in batches:
-            for k, *row in zip(*(batch.column(x).to_pylist() for x in range(5))):
-                if k != key:
-                    yield from given(key, group)
-                    key, group = k, ([], [], [], [])
-                for g, x in zip(group, row):
-                    g.append(x)
-        yield from given(key, group)
+            for key, x, y, *row in zip(*(batch.column(c).to_pylist() for c in PLACED)):
+                if (key, x, y) != place:
+                    if group:
+                        yield from given(place, group)
+                    place, group = (key, x, y), tuple([] for _ in row)
+                for g, v in zip(group, row):
+                    g.append(v)
+        if group:
+            yield from given(place, group)
 
     return run
 
 
+def meetings(rows: DataFrame, closest: int | None) -> DataFrame:
+    """Pairs (a, b) across the components of each bucket; a visitor's closest ones are chosen among those of all its places."""
+    dealt = places(rows).select(*PLACED).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+    got = dealt.mapInArrow(across(closest), "key long, id long, a long, b long, agreed long")
+    if closest is not None:
+        best = Window.partitionBy("key", "id").orderBy(F.desc("agreed"), F.when(F.col("a") == F.col("id"), F.col("b")).otherwise(F.col("a")))
+        got = got.withColumn("n", F.row_number().over(best)).where(F.col("n") <= closest)
+    return got.select("a", "b").distinct()
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signed documents, component of each class that is linked: id, component)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -281,9 +323,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         now = components(links, "op10-now")
         placed = members.select("key", "id").join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        rest = placed.join(open_, "key").join(sketches, "id").select("key", "id", "component", "sketch", "sig").repartition("key").sortWithinPartitions("key", "id")
-        # distinct, as a class that two texts of one doc_id share may stand in a bucket twice
-        more = written(rest.mapInArrow(across(closest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "op10-more")
+        rest = written(placed.join(open_, "key"), "op10-open").join(sketches, "id").select("key", "id", "component", "sketch", "sig")
+        more = written(meetings(rest, closest).join(tried, ["a", "b"], "left_anti"), "op10-more")
         if more.isEmpty():
             break
         links, tried = links.union(confirmed(more, known, f"op10-links{step}")), tried.union(more)
