@@ -109,3 +109,12 @@ def test_small_places_and_slots_lose_no_link(spark, monkeypatch):
     rows = corpus(2, 12)
     got = nd.link(spark.createDataFrame([(i, t, 1, "s", "k") for i, t in rows], SCHEMA)).drop("class_id").collect()
     assert Counter(map(tuple, got)) == brute(rows)
+
+
+@pytest.mark.parametrize("hubs", [{9: [1, 2, 3]}, {1: [9], 2: [9], 3: [9]}])
+def test_pairs_already_tried_do_not_take_the_place_of_the_closest(spark, hubs):
+    sig, sketch = bytes(2 * nd.VALUES), bytes(nd.SKETCH)
+    key = int(nd.index_key(nd.np.zeros((1, nd.CHUNKS, nd.WIDTH), "<u2"), 0, 0)[0])
+    rows = [(key, i, 9 if i == 9 else 1, sketch, sig, hubs.get(i)) for i in (1, 2, 3, 4, 9)]
+    got = nd.meetings(spark.createDataFrame(rows, "key long, id long, component long, sketch binary, sig binary, hubs array<long>"), nd.CLOSEST)
+    assert [tuple(r) for r in got.collect()] == [(4, 9)]

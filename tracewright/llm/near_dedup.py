@@ -22,6 +22,7 @@ that share a doc_id are one document with several texts: their links join. Other
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -247,26 +248,31 @@ def places(rows: DataFrame) -> DataFrame:
     return got.withColumn("at", F.explode(F.concat(home, away))).select("key", "at.x", "at.y", *(c for c in rows.columns if c != "key"), "main", "at.lives", "at.visits")
 
 
-PLACED = ["key", "x", "y", "id", "component", "sketch", "sig", "main", "lives", "visits"]
+PLACED = ["key", "x", "y", "id", "component", "sketch", "sig", "hubs", "main", "lives", "visits"]
 
 
 def across(closest: int | None):
     """For rows (PLACED) sorted by key, x, y: pairs (key, id, a, b, agreed) of a visitor (id) and a resident of a place in different components whose sketches agree well enough.
 
-    A pair is told by the first of the keys that it shares. closest: only so many for each visitor, those that agree best.
+    A pair is told by the first of the keys that it shares. Pairs of a class and one of its hubs were compared before.
+    closest: only so many for each visitor, those that agree best.
     """
 
-    def pairs(key, ids, comps, sketches, sigs, main, lives, visits):
+    def pairs(key, ids, comps, sketches, sigs, hubs, main, lives, visits):
         ids, comps, main, lives, visits = (np.array(x) for x in (ids, comps, main, lives, visits))
         sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, CHUNKS, WIDTH)
         sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+        tried = defaultdict(list)
+        for k, known in enumerate(hubs):
+            for hub in known or ():
+                tried[hub].append(k)
         for k in np.flatnonzero(visits):
             # those of the largest component, and of the others that come later (all of them where only the closest count)
             other = np.flatnonzero(lives & (comps != comps[k]) & (main | (ids > ids[k]) | (closest is not None)))
             agreed = np.concatenate([np.zeros(0, int), *((sketch[other[i : i + 8192]] == sketch[k]).sum(1) for i in range(0, len(other), 8192))])
             other, agreed = other[agreed >= LEAST_AGREED], agreed[agreed >= LEAST_AGREED]
             if len(other):
-                mine = first_key(sig[k], sig[other]) == key
+                mine = (first_key(sig[k], sig[other]) == key) & ~np.isin(other, tried.get(int(ids[k]), [])) & ~np.isin(ids[other], hubs[k] or [])
                 other, agreed = other[mine], agreed[mine]
             if closest is not None and len(other) > closest:
                 some = np.lexsort((ids[other], -agreed))[:closest]
@@ -323,10 +329,12 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         now = components(links, "op10-now")
         placed = members.select("key", "id").join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        rest = written(placed.join(open_, "key"), "op10-open").join(sketches, "id").select("key", "id", "component", "sketch", "sig")
+        opened = written(placed.join(open_, "key"), "op10-open")
+        hubs_of = members.where("id <> hub").join(opened.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("hub").alias("hubs"))
+        rest = opened.join(sketches, "id").join(hubs_of, "id", "left").select("key", "id", "component", "sketch", "sig", "hubs")
         more = written(meetings(rest, closest).join(tried, ["a", "b"], "left_anti"), "op10-more")
         if more.isEmpty():
-            break
+            continue
         links, tried = links.union(confirmed(more, known, f"op10-links{step}")), tried.union(more)
     # a doc_id with several texts ties their classes
     of_doc = signed.where("n_shingles > 0").join(reps, ["s1", "s2"]).select("doc_id", "id")
