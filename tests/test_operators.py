@@ -194,3 +194,24 @@ def test_commitment_lines(spark):
     assert (got.lines, got.max_round, got.unparseable, got.lenses) == (3, 3, True, ["contract", "quality", "security", "docs"])
     got = one(spark, d.commitments, "none")
     assert (got.lines, got.max_round, got.unparseable) == (0, 0, False)
+
+
+def test_trees_have_a_limit_of_depth_but_none_of_rows(spark):
+    from tracewright.operators import registry_runs as f
+
+    rows = [("r", "e0", None, "root", 0)] + [("r", f"e{k}", f"e{(k - 1) // 2}", "subagent", k) for k in range(1, 60)]
+    runs = spark.createDataFrame(rows, "run_id string, execution_id string, parent_execution_id string, execution_kind string, started_at long")
+    sessions = runs.selectExpr("'a' AS agent", "execution_id AS session_id", "parent_execution_id AS parent_session_id")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        tree = {r.execution_id: r for r in f.build_tree(runs).collect()}
+        below = {r.session_id: r for r in f.descendants(sessions).collect()}
+        assert len(f.build_tree(runs, 5).collect()) == 60
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    depth = {f"e{k}": (k + 1).bit_length() - 1 for k in range(60)}
+    assert {e: r.depth for e, r in tree.items()} == depth == {e: r.depth for e, r in below.items()}
+    assert tree["e4"].path == "e0/e1/e4" and {r.root_id for r in below.values()} == {"e0"}
+    for build in (lambda: f.build_tree(runs, 4), lambda: f.descendants(sessions, 4)):
+        with pytest.raises(RuntimeError):
+            build().collect()

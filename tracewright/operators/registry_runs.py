@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import written
+
 
 def last_known(column: str, order: Column) -> Column:
     """The last value of a column that is not null, in the given order."""
@@ -41,25 +46,32 @@ def unresolved(executions: DataFrame, runs: DataFrame) -> DataFrame:
     return no_run.union(no_parent)
 
 
+def grown(first: DataFrame, step: Callable[[DataFrame], DataFrame], deepest: int, name: str) -> DataFrame:
+    """A first level and all levels that ``step`` makes one of the other, each written to the shared folder; one deeper than ``deepest`` fails."""
+    levels = [written(first, name)]
+    while not levels[-1].isEmpty():
+        if len(levels) > deepest + 1:
+            raise RuntimeError(f"{name}: deeper than {deepest} levels")
+        levels.append(written(step(levels[-1]), name))
+    return reduce(DataFrame.union, levels)
+
+
 def build_tree(executions: DataFrame, deepest: int = 64) -> DataFrame:
     """each execution with its depth and path under its run's root, or what keeps it out: second_root, orphan or cyclic.
 
     The root is the first parentless ``root`` by (started_at, execution_id). A level is one join on (run, parent); what
     no level reaches hangs from a missing parent or a cycle.
     """
-    spark = executions.sparkSession
+    executions = written(executions, "tree-executions")
     first = F.row_number().over(Window.partitionBy("run_id").orderBy(F.asc_nulls_last("started_at"), "execution_id"))
-    roots = executions.where("parent_execution_id is null and execution_kind = 'root'").withColumn("n", first)
-    executions.createOrReplaceTempView("tree_executions")
-    roots.where("n = 1").createOrReplaceTempView("tree_roots")
-    placed = spark.sql(f"""
-        WITH RECURSIVE tree(run_id, execution_id, depth, path) MAX RECURSION LEVEL {deepest} AS (
-          SELECT run_id, execution_id, 0, array(execution_id) FROM tree_roots
-          UNION ALL
-          SELECT e.run_id, e.execution_id, t.depth + 1, concat(t.path, array(e.execution_id))
-          FROM tree t JOIN tree_executions e ON e.run_id = t.run_id AND e.parent_execution_id = t.execution_id
-          WHERE NOT array_contains(t.path, e.execution_id))
-        SELECT * FROM tree""")
+    roots = executions.where("parent_execution_id is null and execution_kind = 'root'").withColumn("n", first).where("n = 1")
+    edges = executions.select("run_id", F.col("parent_execution_id").alias("above"), F.col("execution_id").alias("child"))
+
+    def step(level: DataFrame) -> DataFrame:
+        both = level.withColumnRenamed("execution_id", "above").join(edges, ["run_id", "above"]).where(~F.array_contains("path", F.col("child")))
+        return both.select("run_id", F.col("child").alias("execution_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path"))
+
+    placed = grown(roots.select("run_id", "execution_id", F.lit(0).alias("depth"), F.array("execution_id").alias("path")), step, deepest, "tree")
     parents = executions.select("run_id", F.col("execution_id").alias("parent_execution_id"), F.lit(True).alias("has_parent"))
     got = executions.join(placed, ["run_id", "execution_id"], "left").join(parents, ["run_id", "parent_execution_id"], "left")
     state = F.when(F.col("depth").isNotNull(), "placed").when(F.col("parent_execution_id").isNull(), "second_root").when(F.col("has_parent").isNull(), "orphan").otherwise("unreached")
@@ -92,12 +104,12 @@ def historical_runs(invocations: DataFrame, claimed: DataFrame) -> DataFrame:
 
 def descendants(sessions: DataFrame, deepest: int = 32) -> DataFrame:
     """(root session, session, depth) over parent links, each path without repeats."""
-    spark = sessions.sparkSession
-    sessions.select("agent", "session_id", "parent_session_id").createOrReplaceTempView("child_sessions")
-    return spark.sql(f"""
-        WITH RECURSIVE t(agent, root_id, session_id, depth, path) MAX RECURSION LEVEL {deepest} AS (
-          SELECT agent, session_id, session_id, 0, array(session_id) FROM child_sessions WHERE parent_session_id IS NULL
-          UNION ALL
-          SELECT t.agent, t.root_id, c.session_id, t.depth + 1, concat(t.path, array(c.session_id))
-          FROM t JOIN child_sessions c ON c.agent = t.agent AND c.parent_session_id = t.session_id WHERE NOT array_contains(t.path, c.session_id))
-        SELECT agent, root_id, session_id, depth FROM t""")
+    links = written(sessions.select("agent", "session_id", "parent_session_id"), "child-sessions")
+    edges = links.select("agent", F.col("parent_session_id").alias("above"), F.col("session_id").alias("child"))
+
+    def step(level: DataFrame) -> DataFrame:
+        both = level.withColumnRenamed("session_id", "above").join(edges, ["agent", "above"]).where(~F.array_contains("path", F.col("child")))
+        return both.select("agent", "root_id", F.col("child").alias("session_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path"))
+
+    roots = links.where("parent_session_id is null").select("agent", F.col("session_id").alias("root_id"), "session_id", F.lit(0).alias("depth"), F.array("session_id").alias("path"))
+    return grown(roots, step, deepest, "descendants").drop("path")
