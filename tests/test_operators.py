@@ -215,3 +215,17 @@ def test_trees_have_a_limit_of_depth_but_none_of_rows(spark):
     for build in (lambda: f.build_tree(runs, 4), lambda: f.descendants(sessions, 4)):
         with pytest.raises(RuntimeError):
             build().collect()
+
+
+def test_source_tickets_keeps_all_up_to_the_reference_s_cap(spark, tmp_path):
+    from tracewright.operators import transcripts as t
+    from tracewright.plans import registry
+
+    subjects = [f"[tk-{k}] x" for k in range(40)]
+    commits = spark.createDataFrame([("a", "s", k, 1, x) for k, x in enumerate(subjects)], "agent string, session_id string, seq long, part int, subject string")
+    assert t.source_tickets(commits).first().tickets == [f"tk-{k}" for k in range(32)]
+    assert t.source_tickets(commits, 5).first().tickets == [f"tk-{k}" for k in range(5)]
+    orders = spark.range(40).selectExpr("1L AS o_custkey", "3 * id AS o_orderkey", "date_add(date'2024-01-01', CAST(id AS INT)) AS o_orderdate")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.queries()["c17_source_tickets"](spark, str(tmp_path)).first().tickets.split(",")
+    assert got == [f"tk-{3 * k % 40}" for k in range(32)]

@@ -162,7 +162,7 @@ SESSION_COMMITS = "SELECT 'a' AS agent, 'k' || CAST(o_custkey AS {s}) AS session
 SELECT agent, session_id, string_agg(ticket, ',' ORDER BY n) AS tickets FROM r WHERE n <= 5 GROUP BY ALL""")
 def c17(spark, sf):
     spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("ticket_orders")
-    return t.source_tickets(spark.sql(SESSION_COMMITS.format(s="STRING", t="ticket_orders")), 5).withColumn("tickets", F.array_join("tickets", ","))
+    return t.source_tickets(spark.sql(SESSION_COMMITS.format(s="STRING", t="ticket_orders"))).withColumn("tickets", F.array_join("tickets", ","))
 
 
 DISPATCHED = "SELECT 'a' AS agent, 'c' || CAST(conv_id % 10 AS {s}) AS session_id, CAST(conv_id AS BIGINT) AS seq, 't' || CAST(conv_id AS {s}) AS tool_use_id, 'explorer' AS agent_type, CAST({ts} AS {k}) AS started_at FROM {t} WHERE conv_id % 4 <> 0 GROUP BY conv_id"
