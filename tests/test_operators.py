@@ -229,3 +229,47 @@ def test_source_tickets_keeps_all_up_to_the_reference_s_cap(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     got = registry.queries()["c17_source_tickets"](spark, str(tmp_path)).first().tickets.split(",")
     assert got == [f"tk-{3 * k % 40}" for k in range(32)]
+
+
+def test_batches_of_a_session_are_judged_with_its_offset_only(spark):
+    import pyarrow as pa
+
+    from tracewright.operators import journal as j
+
+    fields = [("session_id", pa.string()), *((c, pa.int64()) for c in ("arrival", "from_offset", "to_offset")), ("start", pa.bool_())]
+    rows = [("s", 0, 0, 5), ("s", 1, 0, 5), ("s", 2, 9, 5), ("s", 3, 5, 9), ("s", 4, 11, 12), ("t", 0, 0, 2)]
+    # a batch a row, so that a session's state has to outlive a batch
+    small = [pa.RecordBatch.from_pylist([dict(zip([n for n, _ in fields], (*r, False)))], schema=pa.schema(fields)) for r in rows]
+    want = [("s", 0, "append"), ("s", 1, "replay"), ("s", 2, "bad"), ("s", 3, "append"), ("s", 4, "conflict"), ("t", 0, "append")]
+    assert [tuple(r.values())[:3] for b in j.judge(iter(small)) for r in b.to_pylist()] == want
+    got = j.classify_batches(spark.createDataFrame(rows, "session_id string, arrival long, from_offset long, to_offset long"))
+    assert sorted(map(tuple, got.collect())) == [(*w, 9 if w[0] == "s" else 2) for w in want]
+    plan = got._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_streams_carry_state_from_batch_to_batch(spark, tmp_path):
+    import os
+    import time
+
+    from tracewright.streaming import streams
+
+    files = [[("s", 1, 0, 5), ("s", 0, 0, 0), ("t", 0, 0, 3)], [("s", 2, 5, 9), ("s", 3, 5, 9)], [("t", 1, 4, 5), ("s", 4, 9, 8), ("s", 5, 9, 10)]]
+    schema = "session_id string, arrival long, from_offset long, to_offset long"
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/f={k}")
+        for name in os.listdir(f"{tmp_path}/in/f={k}"):
+            os.utime(f"{tmp_path}/in/f={k}/{name}", (time.time() - 100 + 10 * k,) * 2)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = streams.offsets(stream()).collect()
+    assert sorted(map(tuple, got)) == [("s", 0, "append"), ("s", 1, "append"), ("s", 2, "append"), ("s", 3, "replay"), ("s", 4, "bad"), ("s", 5, "append"), ("t", 0, "append"), ("t", 1, "conflict")]
+    used = streams.token_deltas(stream().selectExpr("session_id", "arrival AS seq", "to_offset AS total", "from_offset AS last")).collect()
+    assert sorted(map(tuple, used)) == [("s", 0, 0), ("s", 1, 5), ("s", 2, 4), ("s", 3, 0), ("s", 4, 9), ("s", 5, 2), ("t", 0, 0), ("t", 1, 2)]
+
+
+def test_no_session_is_one_pandas_frame(spark):
+    from tracewright.operators import compliance as h
+
+    got = h.greedy_match(spark.createDataFrame([("s", 1, 1, 0.5), ("s", 1, 2, 0.9), ("s", 2, 2, 0.8), ("s", 2, 1, None)], "session string, ref long, cand long, score double"))
+    assert sorted(map(tuple, got.collect())) == [("s", 1, 2, 0.9), ("s", 2, 1, None)]
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()

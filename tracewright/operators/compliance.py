@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,20 +82,27 @@ def truth_similarity() -> Column:
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """One-to-one matches of each session, best scores first (ties: reference order, then candidate order).
 
-    pairs: session, ref, cand, score; a session's pairs are few and make one group.
+    pairs: session, ref, cand, score. Of a session only the references and candidates that are taken are kept.
     """
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        refs, cands, out = set(), set(), []
-        for r in pdf.sort_values(["score", "ref", "cand"], ascending=[False, True, True]).itertuples():
-            if r.ref not in refs and r.cand not in cands:
-                refs.add(r.ref)
-                cands.add(r.cand)
-                out.append((r.session, r.ref, r.cand, float(r.score)))
-        return pd.DataFrame(out, columns=["session", "ref", "cand", "score"])
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, refs, cands = None, set(), set()
+        for batch in batches:
+            some = []
+            for k, (s, ref, cand) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if (s,) != session:
+                    session, refs, cands = (s,), set(), set()
+                if ref not in refs and cand not in cands:
+                    refs.add(ref)
+                    cands.add(cand)
+                    some.append(k)
+            yield batch.take(pa.array(some, pa.int64()))
 
     kinds = dict(pairs.dtypes)
-    return pairs.groupBy("session").applyInPandas(match, f"session {kinds['session']}, ref {kinds['ref']}, cand {kinds['cand']}, score double")
+    score = F.col("score").cast("double")
+    best = F.desc_nulls_last(F.when(~F.isnan(score), score))
+    ordered = pairs.select("session", "ref", "cand", score.alias("score")).repartition("session").sortWithinPartitions("session", best, "ref", "cand")
+    return ordered.mapInArrow(match, f"session {kinds['session']}, ref {kinds['ref']}, cand {kinds['cand']}, score double")
 
 
 def eval_matrix(results: DataFrame, configs: list[str]) -> DataFrame:

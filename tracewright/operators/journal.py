@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,19 +43,44 @@ def path_collisions(folds: DataFrame) -> DataFrame:
     return rows.where("n = 1 and paths > 1").select("agent", "session_id", "path", "paths")
 
 
-def classify_batches(batches: DataFrame) -> DataFrame:
-    """What becomes of delta batches in arrival order: append (from = next), replay (to <= next), conflict, or bad (to < from).
+def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (session_id, arrival, from_offset, to_offset, start) sorted by session and arrival: session_id, arrival, verdict, n (place in the session), next (the offset accepted next).
 
-    The offset that is accepted next is the end of the last append, so a batch is judged by a fold in order; an append is known
-    by the running maximum of the ends of a contiguous chain. batches: session_id, arrival, from_offset, to_offset.
+    The offset is all that is kept of a session. A start row, the first of its session, sets it and has no verdict.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("arrival", "from_offset", "to_offset")))
-    verdict = lambda s, b: F.when(b["to_offset"] < b["from_offset"], "bad").when(b["from_offset"] == s["next"], "append").when(b["to_offset"] <= s["next"], "replay").otherwise("conflict")
-    start = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<struct<arrival:long,verdict:string>>").alias("out"))
+    session, n, at = None, 0, 0
+    for batch in batches:
+        verdicts, places, after = [], [], []
+        for s, a, b, start in zip(*(batch.column(c).to_pylist() for c in ("session_id", "from_offset", "to_offset", "start"))):
+            if (s,) != session:
+                session, n, at = (s,), 0, 0
+            if start:
+                verdict, at = None, b
+            elif None not in (a, b) and b < a:
+                verdict = "bad"
+            elif None not in (a, at) and a == at:
+                verdict, at = "append", b
+            else:
+                verdict = "replay" if None not in (b, at) and b <= at else "conflict"
+            n += 1
+            verdicts.append(verdict)
+            places.append(n)
+            after.append(at)
+        yield pa.RecordBatch.from_arrays([batch.column("session_id"), batch.column("arrival"), pa.array(verdicts, pa.string()), pa.array(places, pa.int64()), pa.array(after, pa.int64())], names=["session_id", "arrival", "verdict", "n", "next"])
+
+
+def judged(batches: DataFrame) -> DataFrame:
+    """The verdicts of ``judge`` on batches (session_id, arrival, from_offset, to_offset, start), a session's one after another in arrival order."""
+    longs = batches.select("session_id", *(F.col(c).cast("long").alias(c) for c in ("arrival", "from_offset", "to_offset")), "start")
+    ordered = longs.repartition("session_id").sortWithinPartitions("session_id", F.desc("start"), "arrival", "from_offset", "to_offset")
+    return ordered.mapInArrow(judge, f"session_id {dict(batches.dtypes)['session_id']}, arrival long, verdict string, n long, next long")
 
-    def fold(s, b):
-        v = verdict(s, b)
-        return F.struct(F.when(v == "append", b["to_offset"]).otherwise(s["next"]).alias("next"), F.concat(s["out"], F.array(F.struct(b["arrival"].cast("long").alias("arrival"), v.alias("verdict")))).alias("out"))
 
-    got = batches.groupBy("session_id").agg(F.aggregate(ordered, start, fold).alias("x"))
-    return got.select("session_id", F.explode("x.out").alias("o"), F.col("x.next").alias("next_offset")).select("session_id", "o.arrival", "o.verdict", "next_offset")
+def classify_batches(batches: DataFrame) -> DataFrame:
+    """What becomes of delta batches in arrival order: append (from = next), replay (to <= next), conflict, or bad (to < from).
+
+    The offset that is accepted next is the end of the last append, so a batch is judged by a fold in order.
+    batches: session_id, arrival, from_offset, to_offset.
+    """
+    last = F.max_by("next", "n").over(Window.partitionBy("session_id"))
+    return judged(batches.withColumn("start", F.lit(False))).select("session_id", "arrival", "verdict", last.alias("next_offset"))

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tracewright.operators.journal import judged
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,46 +58,50 @@ def sample_range(samples: DataFrame, since: str, until: str) -> DataFrame:
     return samples.where((F.unix_seconds(F.col("ts").cast("timestamp")) >= up(since)) & (F.unix_seconds(F.col("ts").cast("timestamp")) < up(until))).orderBy("host", "ts")
 
 
+def carried(stream: DataFrame, name: str, each: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """The tables that ``each`` makes of a stream's batches, of a batch and the table of the batch before (none: the first)."""
+    spark, at = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    part = lambda n: f"{at}/table/part={n}"
+
+    def take(df: DataFrame, n: int) -> None:
+        each(df, df.sparkSession.read.parquet(part(n - 1)) if n else None).write.mode("overwrite").parquet(part(n))
+
+    drained(stream, "append", take, at)
+    return spark.read.parquet(f"{at}/table").drop("part")
+
+
 def token_deltas(samples: DataFrame) -> DataFrame:
-    """The advance of a cumulative counter by session, kept as state; a counter that fell gives the sample's own usage.
+    """The advance of a cumulative counter by session; a counter that fell gives the sample's own usage.
 
-    samples: session_id, seq, total, last. A batch is put in order by seq; samples arrive in order across batches.
+    samples: session_id, seq, total, last. A batch is put in order by seq; samples arrive in order across batches. Each
+    session's last total goes from batch to batch as a start row; a window, which spills, looks back one sample.
     """
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        base = state.get[0] if state.exists else None
-        rows = pd.concat(list(pdfs)).sort_values("seq")
-        out = []
-        for seq, total, last in zip(rows["seq"], rows["total"], rows["last"]):
-            out.append((key[0], int(seq), int(total - base) if base is not None and total >= base else int(last)))
-            base = int(total)
-        state.update((base,))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "used"])
-
-    spark, at = samples.sparkSession, f"{shared_dir(samples.sparkSession)}/p6-{uuid.uuid4().hex}"
-    got = samples.groupBy("session_id").applyInPandasWithState(step, "session_id string, seq long, used long", "base long", "append", GroupStateTimeout.NoTimeout)
-    drained(got, "append", lambda df, n: df.write.mode("overwrite").parquet(f"{at}/table/part={n}"), at)
-    return spark.read.parquet(f"{at}/table").drop("part")
+    def each(df: DataFrame, before: DataFrame | None) -> DataFrame:
+        rows = df.select("session_id", F.col("seq").cast("long").alias("seq"), F.col("total").cast("long").alias("total"), F.col("last").cast("long").alias("last"), F.lit(False).alias("start"))
+        if before is not None:
+            base = before.groupBy("session_id").agg(F.max_by("total", F.struct(~F.col("start"), "seq")).alias("total"))
+            rows = rows.unionByName(base.withColumn("start", F.lit(True)), allowMissingColumns=True)
+        base = F.lag("total").over(Window.partitionBy("session_id").orderBy(F.desc("start"), "seq"))
+        return rows.withColumn("base", base).select("session_id", "seq", F.when(F.col("total") >= F.col("base"), F.col("total") - F.col("base")).otherwise(F.col("last")).alias("used"), "total", "start")
+
+    return carried(samples, "p6", each).where("not start").select("session_id", "seq", "used")
 
 
 def offsets(batches: DataFrame) -> DataFrame:
-    """Delta batches by the session's accepted offset, kept as state: append, replay, conflict or bad. batches: session_id, arrival, from_offset, to_offset."""
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at = state.get[0] if state.exists else 0
-        rows = pd.concat(list(pdfs)).sort_values("arrival")
-        out = []
-        for arrival, a, b in zip(rows["arrival"], rows["from_offset"], rows["to_offset"]):
-            verdict = "bad" if b < a else "append" if a == at else "replay" if b <= at else "conflict"
-            at = int(b) if verdict == "append" else at
-            out.append((key[0], int(arrival), verdict))
-        state.update((at,))
-        yield pd.DataFrame(out, columns=["session_id", "arrival", "verdict"])
-
-    spark, at = batches.sparkSession, f"{shared_dir(batches.sparkSession)}/p2-{uuid.uuid4().hex}"
-    got = batches.groupBy("session_id").applyInPandasWithState(step, "session_id string, arrival long, verdict string", "next long", "append", GroupStateTimeout.NoTimeout)
-    drained(got, "append", lambda df, n: df.write.mode("overwrite").parquet(f"{at}/table/part={n}"), at)
-    return spark.read.parquet(f"{at}/table").drop("part")
+    """Delta batches by the session's accepted offset: append, replay, conflict or bad. batches: session_id, arrival, from_offset, to_offset.
+
+    Each session's offset goes from batch to batch as a start row.
+    """
+
+    def each(df: DataFrame, before: DataFrame | None) -> DataFrame:
+        rows = df.select("session_id", "arrival", "from_offset", "to_offset", F.lit(False).alias("start"))
+        if before is not None:
+            base = before.groupBy("session_id").agg(F.max_by("next", "n").alias("to_offset"))
+            rows = rows.unionByName(base.withColumn("start", F.lit(True)), allowMissingColumns=True)
+        return judged(rows)
+
+    return carried(batches, "p2", each).where("verdict is not null").select("session_id", "arrival", "verdict")
 
 
 def sessions(lines: DataFrame, fold: Callable[[DataFrame], DataFrame], reread: Callable[[DataFrame], DataFrame], table: str) -> None:
