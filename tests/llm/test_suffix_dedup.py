@@ -52,6 +52,35 @@ def test_matches_brute_force(spark, monkeypatch, limit, block):
     assert Counter((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == want
 
 
+def test_texts_beyond_the_piece_size(spark, monkeypatch):
+    monkeypatch.setattr(sd, "PIECE", 1000)
+    rows = [(i, t, "s", None, 1) for i, t in enumerate(texts(5, 12))]
+    rows += [(900 + k, " ".join(t for _, t, *_ in rows[k : k + 12] if t), "s", None, 1) for k in range(0, 24, 6)]
+    got = sd.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = Counter((r[0], *b) for r, b in zip(rows, brute([r[1] for r in rows])))
+    assert Counter((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == want
+
+
+def test_one_passage_in_many_contexts_stays_about_one_row_a_snippet(spark, monkeypatch):
+    tables = {}
+    kept = sd.written
+
+    def counted(df, name):
+        out = kept(df, name)
+        tables[name] = tables.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(sd, "written", counted)
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = prose(60)
+    rows = [(i, f"{prose(30)} {passage} {prose(30)}", "s", None, 1) for i in range(600)]
+    got = sd.remove_repeats(spark.createDataFrame(rows, SCHEMA), 20).collect()
+    want = Counter((r[0], *b) for r, b in zip(rows, brute([r[1] for r in rows])))
+    assert Counter((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == want
+    assert tables["op3-compared"] < 2.5 * tables["op3-snips"]
+
+
 def test_blocks_are_merged_by_binary_search(monkeypatch):
     monkeypatch.setattr(sd, "BLOCK_BYTES", 900)
     rng = np.random.default_rng(0)
@@ -84,5 +113,12 @@ def test_text_is_cut_and_other_columns_stay(spark):
     assert got[1].text == "ab" and got[2].text == "cd" and got[3].text is None and got[2].spans == "q" and got[2].tk == 3
 
 
+def test_column_names_with_dots_and_clashes(spark):
+    rows = [(1, "a" + "é" * 150, 1, 2, 3, 4), (2, "c" + "é" * 150, 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, rest int, `q``r` int, spans int")
+    got = sd.deduplicated(docs)
+    assert got.columns == docs.columns and [r[2:] for r in got.collect()] == [(1, 2, 3, 4)] * 2
+
+
 def test_empty_table(spark):
     assert sd.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []

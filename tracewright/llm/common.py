@@ -15,11 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (as in tests), a new one is set."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a new local one in local mode (as in tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -37,6 +39,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows of ``rows``, one for each value of ``keys``, those with the least hash of it.
+
+    Rows above a cut of the hash that the number of rows gives are dropped where they are read, so about 1.5
+    times ``most`` rows are ordered and no more reach the driver, however many tasks read them.
+    """
+    n = rows.count()
+    rows = rows.withColumn("sample_k", F.xxhash64(*keys))
+    if 2 * n > 3 * most:
+        rows = rows.where(F.col("sample_k") < F.lit(-(1 << 63) + (3 * most << 63) // n))
+    # rows with equal keys are one, the least
+    return rows.groupBy("sample_k").agg(F.min(F.struct(*(c for c in rows.columns if c != "sample_k"))).alias("row")).orderBy("sample_k").limit(most).select("row.*")
+
+
+def drawn(text: Column, key: Column, chars: int) -> Column:
+    """``chars`` characters of a text from a place that ``key``'s hash draws; all of a shorter one."""
+    return F.substring(text, (1 + F.pmod(F.xxhash64(key), F.greatest(F.length(text) - chars, F.lit(0)) + 1)).cast("int"), F.lit(chars))
+
+
+def kept_columns(docs: DataFrame, without: tuple[str, ...] = ("text",)) -> Column:
+    """All columns but ``without`` as one struct; names are taken as they are, whatever characters they hold."""
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns if c not in without))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 #: Rows of an Arrow batch: texts are long, and a batch is held by the executor and by its Python worker.
 BATCH_ROWS = 1000
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import let, words_of, written
+from tracewright.llm.common import kept_columns, let, quoted, words_of, written
 
 BLOCK_WORDS = 64
 WEIGHTS = (3, 1, 2)
@@ -159,7 +159,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     each = got.withColumn("epoch", F.explode(F.array_distinct(F.transform("given", lambda g: g["epoch"]))))
     each = each.withColumn("given", F.array_sort(F.filter("given", lambda g: g["epoch"] == F.col("epoch"))))
     each = each.join(m.source_table(), "number")
-    keyed = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("rest"), "text", F.xxhash64("text").alias("tk"))
+    keyed = docs.select(kept_columns(docs).alias("rest"), "text", F.xxhash64("text").alias("tk"))
     both = keyed.join(each, F.col("rest.doc_id").cast("long").eqNullSafe(F.col("mix_id")) & (F.col("tk") == F.col("mix_tk")) & F.col("rest.source").eqNullSafe(F.col("of_source")))
     whole = F.aggregate("given", F.lit(0).cast("long"), lambda a, g: a + g["words"]) == F.col("mix_size")
 
@@ -167,4 +167,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         return F.array_join(F.flatten(F.transform("given", lambda g: F.slice(words, g["first"].cast("int") + 1, g["words"].cast("int")))), " ")
 
     text = F.when(whole, F.col("text")).otherwise(let(words_of(F.col("text")), cut))
-    return both.select(*(text.alias("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    return both.select(*(text.alias("text") if c == "text" else F.col(f"rest.{quoted(c)}").alias(c) for c in docs.columns))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import chunks, components, written
+from tracewright.llm.common import chunks, components, quoted, written
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 10, 4, 1
@@ -328,7 +328,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for step, closest in enumerate((CLOSEST, None)):
         now = components(links, "op10-now")
         placed = members.select("key", "id").join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        # the pairs of a bucket's first class were tried, so a bucket of two has none left
+        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
         opened = written(placed.join(open_, "key"), "op10-open")
         hubs_of = members.where("id <> hub").join(opened.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("hub").alias("hubs"))
         rest = opened.join(sketches, "id").join(hubs_of, "id", "left").select("key", "id", "component", "sketch", "sig", "hubs")
@@ -356,5 +357,6 @@ def link(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents of which each group keeps the one with the smallest doc_id; all columns kept."""
-    gone = link(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = link(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.join(gone, "doc_id", "left_anti").select(*(F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns))

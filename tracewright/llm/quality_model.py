@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import chunks
+from tracewright.llm.common import chunks, kept_columns, quoted
 
 SAMPLE = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -182,13 +182,11 @@ def predict(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """The documents that are not rejected, all columns kept."""
     model = fit(docs, labels, sample=sample)
-    rest = [c for c in docs.columns if c != "text"]
-
     def keep(batches):
         def kept(b, at, x):
             return b.take(at.filter(pa.array(model.score(x) >= cut)))
 
         return of_batches(batches, kept)
 
-    rows = docs.select(F.struct(*rest).alias("rest"), "text")
-    return rows.mapInArrow(keep, rows.schema).select(*("text" if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    rows = docs.select(kept_columns(docs).alias("rest"), "text")
+    return rows.mapInArrow(keep, rows.schema).select(*("text" if c == "text" else F.col(f"rest.{quoted(c)}").alias(c) for c in docs.columns))

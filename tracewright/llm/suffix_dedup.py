@@ -13,9 +13,10 @@ steps, all exact and none quadratic in a group:
    block gets a suffix array by Larsson-Sadakane refinement and Kasai's common prefixes, which tell
    the repeated windows. An anchor whose snippets stretch over blocks is merged by binary search of
    its windows in the sorted windows of the blocks before.
-4. An anchor with more than ``group_limit`` different snippets (one passage in very many contexts) is
-   split: its windows are parted by their distance to the anchor, which lengthens the part that all
-   windows of a piece share, until groups are small or one window each. Nothing is dropped.
+4. The snippets of an anchor with more than ``group_limit`` different ones (one passage in very many
+   contexts) are compared with one of them, its lead. The windows that both have are settled; those left
+   can only be found again in snippets that leave the lead at the same place by the same byte, so they
+   go to smaller groups that share more bytes. Nothing is dropped, and a snippet stays about one row.
 
 Null text is empty. Documents shorter than ``LENGTH`` have no window. Rows that repeat a doc_id, with
 equal or other texts, are documents of their own. Other columns are not read.
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import chunks, packed_words, written
+from tracewright.llm.common import chunks, kept_columns, packed_words, quoted, written
 
 LENGTH = 200
 GRAM = 32
@@ -301,52 +302,103 @@ def runs_of_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield solved(rows)
 
 
-SNIPPET = "h long, sh long, c long, n int, back int, part int, body binary"
+SNIPPET = "h long, sh long, c long, n int, back int, body binary"
+SNIPPET_ARROW = pa.schema([("h", pa.int64()), ("sh", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("back", pa.int32()), ("body", pa.binary())])
 
+RUN = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+PART = pa.struct([("ph", pa.int64()), ("ps", pa.int64()), ("shift", pa.int32()), ("n", pa.int32()), ("back", pa.int32()), ("body", pa.binary())])
+COMPARED = "h long, sh long, c long, own array<struct<a:int,b:int>>, lead_sh long, lead array<struct<a:int,b:int>>, parts array<struct<ph:long,ps:long,shift:int,n:int,back:int,body:binary>>"
+COMPARED_ARROW = pa.schema([("h", pa.int64()), ("sh", pa.int64()), ("c", pa.int64()), ("own", pa.list_(RUN)), ("lead_sh", pa.int64()), ("lead", pa.list_(RUN)), ("parts", pa.list_(PART))])
 
-def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Part each snippet's windows by their distance to the anchor; ``part`` is the width of that range of distances, halved."""
+
+def same_start(x: bytes, y: bytes) -> int:
+    """How many bytes x and y begin with alike."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    low, high = 0, n - 1
+    while low < high:
+        k = (low + high + 1) // 2
+        low, high = (k, high) if x[:k] == y[:k] else (low, k - 1)
+    return low
+
+
+def long_of(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def against_lead(h: int, n: int, back: int, body: bytes, lead_n: int, lead_back: int, lead: bytes) -> tuple[tuple[int, int] | None, tuple[int, int] | None, list[dict]]:
+    """A snippet against the lead of its anchor: windows that both have (in each) and the parts with the snippet's other windows.
+
+    A window at distance d has d bytes before the anchor and LENGTH - GRAM - d after it. With ``left`` and ``right`` bytes alike
+    around the anchor the windows of distances LENGTH - GRAM - right to left are the lead's too. A window that reaches
+    farther left can only be found again in snippets that leave the lead at the same place by the same byte, likewise on
+    the right, so each side's windows are a part under the hash of the bytes up to there.
+    """
+    left = same_start(body[:back][::-1], lead[:lead_back][::-1])
+    right = same_start(body[back + GRAM :], lead[lead_back + GRAM :])
+    low, least = LENGTH - GRAM - right, back - n + 1
+    own = lead_has = None
+    if low <= left:
+        own, lead_has = (back - left, back - low + 1), (lead_back - left, lead_back - low + 1)
+    parts = []
+
+    def part(far, near, side, key):
+        # windows of distances far down to near
+        if far >= near:
+            w = back - far
+            text = body[w : back - near + LENGTH]
+            parts.append({"ph": long_of(xxhash.xxh3_64_intdigest(key, (h ^ side) & 0xFFFFFFFFFFFFFFFF)), "ps": long_of(xxhash.xxh3_64_intdigest(text)), "shift": w, "n": far - near + 1, "back": far, "body": text})
+
+    part(back, max(left + 1, least), 0x4C, body[max(0, back - left - 1) : back])
+    part(min(left, low - 1), least, 0x52, body[back + GRAM : back + GRAM + right + 1])
+    return own, lead_has, parts
+
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of snippets with their leads (SNIPPET, lead_sh, lead_n, lead_back, lead_body): COMPARED."""
+    as_runs = lambda x: [] if x is None else [{"a": x[0], "b": x[1]}]
     for b in batches:
         out = []
-        for h, sh, c, n, back, part, body in zip(*(b.column(k).to_pylist() for k in range(7))):
-            # distances of the windows to the anchor: back, back-1, .. back-n+1
-            w = 0
-            while w < n:
-                q = (back - w) // part
-                m = min(n, back - q * part + 1) - w  # windows with this q
-                near, far = q * part, q * part + part - 1
-                # what every window of this range has: from the nearest window's first byte to the farthest window's last
-                core = body[max(0, back - near) : back - far + LENGTH] if back - far + LENGTH > max(0, back - near) else b""
-                text = body[w : w + m - 1 + LENGTH]
-                key = xxhash.xxh3_64_intdigest(core, q ^ (h & 0xFFFFFFFFFFFF))
-                out.append((h, sh, w, np.uint64(key).astype(np.int64).item(), np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64).item(), c, m, back - w, max(1, part // 2), text))
-                w += m
+        for h, sh, c, n, back, body, lead_sh, lead_n, lead_back, lead in zip(*(b.column(k).to_pylist() for k in range(10))):
+            if sh == lead_sh:
+                own, has, parts = (0, n) if c > 1 else None, None, []
+            else:
+                own, has, parts = against_lead(h, n, back, body, lead_n, lead_back, lead)
+                own = (0, n) if c > 1 else own
+            out.append((h, sh, c, as_runs(own), lead_sh, as_runs(has), parts))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), HALVES_ARROW.types)], schema=HALVES_ARROW)
-
-
-HALVES = "ph long, ps long, shift int, h long, sh long, c long, n int, back int, part int, body binary"
-HALVES_ARROW = pa.schema([("ph", pa.int64()), ("ps", pa.int64()), ("shift", pa.int32()), ("h", pa.int64()), ("sh", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("back", pa.int32()), ("part", pa.int32()), ("body", pa.binary())])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), COMPARED_ARROW.types)], schema=COMPARED_ARROW)
 
 
 def solve(snips: DataFrame, group_limit: int) -> DataFrame:
-    """(h, sh, runs) for distinct snippets (SNIPPET columns) of which each h has two or more, or one with c >= 2."""
-    spark = snips.sparkSession
-    count = snips.groupBy("h").agg(F.count("*").alias("nv"))
-    hot = written(count.where(F.col("nv") > group_limit).select("h"), "op3-hot")
+    """(h, sh, runs) for distinct snippets (SNIPPET columns), of which each h has two or more; a snippet may have several rows.
+
+    A snippet of an anchor with more than ``group_limit`` of them is compared with one of them, the anchor's lead. What
+    both have is settled; the few windows left go to parts that share more bytes, and so on until no group is large.
+    """
+    hot = snips.groupBy("h").agg(F.count("*").alias("nv"), F.min("sh").alias("lead_sh")).where(F.col("nv") > group_limit).select("h", "lead_sh")
+    hot = written(hot, "op3-hot")
     if hot.isEmpty():
         return by_shards(snips)
     cool = by_shards(snips.join(hot, "h", "left_anti"))
-    split = written(snips.join(hot, "h", "left_semi").mapInArrow(halves, HALVES), "op3-halves")
-    child = split.groupBy("h", "sh").agg(F.sum("c").alias("c"), *(F.first(x).alias(x) for x in ("n", "back", "part", "body")))
-    child = written(child, "op3-child")
-    per = child.groupBy("h").agg(F.count("*").alias("nv"), F.sum("c").alias("total"))
-    alone = child.select("h", "sh", "c", "n").join(per.where("nv = 1 and total > 1"), "h").select("h", "sh", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("runs"))
-    below = solve(written(child.join(per.where("nv > 1").select("h"), "h", "left_semi").select(*(x.split()[0] for x in SNIPPET.split(", "))), "op3-below"), group_limit)
-    found = split.select("ph", "ps", "shift", "h", "sh").join(alone.union(below), ["h", "sh"])
-    found = found.select(F.col("ph").alias("h"), F.col("ps").alias("sh"), F.explode("runs").alias("r"), "shift")
-    up = found.groupBy("h", "sh").agg(F.collect_list(F.struct((F.col("r.a") + F.col("shift")).alias("a"), (F.col("r.b") + F.col("shift")).alias("b"))).alias("runs"))
-    return cool.union(up)
+    leads = snips.withColumnRenamed("sh", "lead_sh").join(hot, ["h", "lead_sh"]).select("h", "lead_sh", *(F.col(x).alias(f"lead_{x}") for x in ("n", "back", "body")))
+    leads = written(leads, "op3-leads")
+    both = snips.join(leads, "h").select("h", "sh", "c", "n", "back", "body", "lead_sh", "lead_n", "lead_back", "lead_body")
+    compared = written(both.mapInArrow(compare, COMPARED), "op3-compared")
+    own = compared.where(F.size("own") > 0).select("h", "sh", F.col("own").alias("runs"))
+    # the runs of a lead differ in their two ends only, so there are some thousands at most
+    of_leads = compared.where(F.size("lead") > 0).groupBy("h", "lead_sh").agg(F.array_distinct(F.flatten(F.collect_set("lead"))).alias("runs")).select("h", F.col("lead_sh").alias("sh"), "runs")
+    parts = compared.select("h", "sh", "c", F.explode("parts").alias("p")).select("h", "sh", "c", "p.*")
+    kinds = parts.groupBy("ph", "ps").agg(F.sum("c").alias("c"), *(F.first(x).alias(x) for x in ("n", "back", "body"))).select(F.col("ph").alias("h"), F.col("ps").alias("sh"), "c", "n", "back", "body")
+    kinds = written(kinds, "op3-parts")
+    per = written(kinds.groupBy("h").agg(F.count("*").alias("nv"), F.sum("c").alias("total")).where("total > 1"), "op3-per")
+    alone = kinds.select("h", "sh", "n").join(per.where("nv = 1").select("h"), "h", "left_semi").select("h", "sh", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("runs"))
+    below = solve(written(kinds.join(per.where("nv > 1").select("h"), "h", "left_semi"), "op3-below"), group_limit)
+    settled = written(alone.union(below.where(F.size("runs") > 0)), "op3-settled")
+    found = parts.select("ph", "ps", "shift", "h", "sh").join(settled.select(F.col("h").alias("ph"), F.col("sh").alias("ps"), "runs"), ["ph", "ps"])
+    up = found.select("h", "sh", F.transform("runs", lambda r: F.struct((r["a"] + F.col("shift")).alias("a"), (r["b"] + F.col("shift")).alias("b"))).alias("runs"))
+    return cool.union(own).union(of_leads).union(up)
 
 
 def by_shards(snips: DataFrame) -> DataFrame:
@@ -358,36 +410,37 @@ def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame
     """(doc_id, tk, spans): for each document with repeated passages its byte runs, unmerged and unsorted. tk: hash of the text."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
     anchors = written(keyed.mapInArrow(find_snippets, ANCHORS), "op3-anchors")
-    again = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    rows = written(anchors.join(again, "h", "left_semi"), "op3-rows")
-    kinds = rows.groupBy("h", "sh").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "tk", "lo", "n", "back")).alias("at"))
-    kinds = written(kinds.select("h", "sh", "c", "at.*"), "op3-kinds")
-    per = kinds.groupBy("h").agg(F.count("*").alias("nv"))
-    several = kinds.join(per.where("nv > 1").select("h"), "h", "left_semi")
-    wanted = several.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "sh", "c", "lo", "n", "back")).alias("want"))
+    # a hot anchor is met in a join that adaptive execution can split, as both sides are read from tables
+    again = anchors.groupBy("h").agg(F.count("*").alias("c"), F.min("sh").alias("low"), F.max("sh").alias("high")).where("c > 1")
+    again = written(again.select("h", (F.col("low") == F.col("high")).alias("same")), "op3-again")
+    rows = written(anchors.join(again, "h"), "op3-rows")
+    # an anchor with equal snippets only: all of their windows are found again
+    span = lambda a, b: F.struct(a.cast("long").alias("a"), (b - 1 + LENGTH).cast("long").alias("b"))
+    whole = rows.where("same").select("doc_id", "tk", F.array(span(F.col("lo"), F.col("lo") + F.col("n"))).alias("spans"))
+    mixed = rows.where("not same")
+    kinds = mixed.groupBy("h", "sh").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "tk", "lo", "n", "back")).alias("at"))
+    wanted = kinds.select("h", "sh", "c", "at.*").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "sh", "c", "lo", "n", "back")).alias("want"))
     texts = keyed.join(wanted.withColumnsRenamed({"doc_id": "wid", "tk": "wtk"}), F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("tk") == F.col("wtk")))
     snips = written(texts.select("want", "text").mapInArrow(cut_snippets, SNIPPET), "op3-snips")
-    alone = kinds.join(per.where("nv = 1").select("h"), "h", "left_semi").select("h", "sh", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("runs"))
-    runs = alone.union(solve(snips, group_limit).where(F.size("runs") > 0))
-    spans = rows.select("h", "sh", "doc_id", "tk", "lo").join(runs, ["h", "sh"]).select("doc_id", "tk", F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] - 1 + LENGTH).alias("b"))).alias("spans"))
-    return spans.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    runs = written(solve(snips, group_limit).where(F.size("runs") > 0), "op3-runs")
+    parted = mixed.select("h", "sh", "doc_id", "tk", "lo").join(runs, ["h", "sh"]).select("doc_id", "tk", F.transform("runs", lambda r: span(F.col("lo") + r["a"], F.col("lo") + r["b"])).alias("spans"))
+    return whole.union(parted).groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def cut_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("h", pa.int64()), ("sh", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("back", pa.int32()), ("part", pa.int32()), ("body", pa.binary())])
     for b in batches:
         size, out = 0, []
         for want, text in zip(b.column(0), b.column(1).cast(pa.binary()) if not pa.types.is_large_string(b.column(1).type) else b.column(1).cast(pa.large_binary())):
             data = text.as_py() or b""
             for w in want.as_py():
                 body = data[w["lo"] : w["lo"] + w["n"] - 1 + LENGTH]
-                out.append((w["h"], w["sh"], w["c"], w["n"], w["back"], 85, body))
+                out.append((w["h"], w["sh"], w["c"], w["n"], w["back"], body))
                 size += len(body)
             if size > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), SNIPPET_ARROW.types)], schema=SNIPPET_ARROW)
                 size, out = 0, []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), SNIPPET_ARROW.types)], schema=SNIPPET_ARROW)
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -403,7 +456,7 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 def with_kept(docs: DataFrame, group_limit: int) -> DataFrame:
     """(rest, text, spans) of every document: rest has its other columns, spans the byte runs to remove or null."""
     spans = repeated_spans(docs, group_limit).withColumnsRenamed({"doc_id": "span_id", "tk": "span_tk"})
-    keyed = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("rest"), "text", F.xxhash64("text").alias("tk"))
+    keyed = docs.select(kept_columns(docs).alias("rest"), "text", F.xxhash64("text").alias("tk"))
     both = keyed.join(spans, F.col("rest.doc_id").eqNullSafe(F.col("span_id")) & (F.col("tk") == F.col("span_tk")), "left")
     return both.select("rest", "text", "spans")
 
@@ -449,4 +502,4 @@ def deduplicated(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """The documents with their repeated passages cut from text, all columns kept. A character of which a byte went goes whole; null stays null."""
     both = with_kept(docs, group_limit)
     cut = both.mapInArrow(cut_texts, both.select("rest", "text").schema)
-    return cut.select(*("text" if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    return cut.select(*("text" if c == "text" else F.col(f"rest.{quoted(c)}").alias(c) for c in docs.columns))
