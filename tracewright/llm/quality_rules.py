@@ -1,8 +1,8 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
 A document's lines that hold a word are normalised (A-Z lowered, digit runs to 0, white space to single
-spaces) and hashed. A line that more than ``most_documents`` documents of a host (the source) have is
-removed from all of them; a document that keeps fewer than ``least_words`` words, or less than
+spaces) and hashed. A line that more than ``most_percent`` percent of the documents of a host (the source)
+have, and more than ``most_documents``, is removed from all of them; a document that keeps fewer than ``least_words`` words, or less than
 ``least_share`` of its words, is depleted and rejected, as is one that fails the base rules.
 
 Null text has no words and no lines and fails the base rules. A null source is a host of its own. Every
@@ -18,7 +18,8 @@ from tracewright.llm.common import let, words_of, written
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_DOCUMENTS = 100
+#: A line is boilerplate of a host above both: this share of the host's documents, and this number of them.
+MOST_PERCENT, MOST_DOCUMENTS = 2, 2
 LEAST_WORDS = 10
 LEAST_SHARE = 0.3
 WINDOW = 5
@@ -66,13 +67,15 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     )
 
 
-def filter_by_lines(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def filter_by_lines(docs: DataFrame, most_percent: int = MOST_PERCENT, most_documents: int = MOST_DOCUMENTS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept."""
     base = written(base_metrics(docs), "op1-base")
     # one row for each line of a document; counting is by partial sums, however frequent a line is
     lines = base.select("rid", "source", F.explode("lines").alias("line")).groupBy("rid", "source", "line.h").agg(F.sum("line.w").alias("w"))
     lines = written(lines, "op1-lines")
-    frequent = lines.groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") > most_documents).select(F.col("source").alias("host"), F.col("h").alias("line"))
+    hosts = base.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("documents"))
+    often = lines.groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") > most_documents).join(hosts, F.col("source").eqNullSafe(F.col("host")))
+    frequent = written(often.where(100 * F.col("n") > most_percent * F.col("documents")).select("host", F.col("h").alias("line")), "op1-frequent")
     removed = lines.join(frequent, F.col("source").eqNullSafe(F.col("host")) & (F.col("h") == F.col("line"))).groupBy("rid").agg(F.sum("w").alias("n_removed_words"))
     got = base.drop("lines").join(removed, "rid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -88,7 +91,8 @@ g AS (SELECT rid, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM (S
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
 v AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY rid),
 l AS (SELECT rid, source, trim(regexp_replace(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT rid, source, unnest(ls) AS x FROM w)),
-f AS (SELECT source, x FROM l GROUP BY ALL HAVING count(DISTINCT rid) > {MOST_DOCUMENTS}),
+h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+f AS (SELECT c.source, x FROM (SELECT source, x, count(DISTINCT rid) AS n FROM l GROUP BY ALL) c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE n > {MOST_DOCUMENTS} AND 100 * n > {MOST_PERCENT} * docs),
 m AS (SELECT rid, sum(n) AS n FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.x = f.x GROUP BY rid),
 b AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words, coalesce(m.n, 0)::BIGINT AS n_removed_words FROM w LEFT JOIN v USING (rid) LEFT JOIN m USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
