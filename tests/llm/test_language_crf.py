@@ -55,6 +55,30 @@ def test_code_switched_text_is_labelled_word_by_word():
     assert m.tie[0, 0] > m.tie[0, 1]
 
 
+def test_a_long_text_in_pieces_is_as_in_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    word = {"x": lambda: "".join(rng.choice(list("abcde"), 4)), "y": lambda: "".join(rng.choice(list("defgh"), 4))}
+    m = crf.learn([(" ".join(word[k]() for _ in range(50)), k) for _ in range(60) for k in "xy"])
+    text = "\n".join(" ".join(word[k]() for _ in range(40)) for k in "xyxxyx") + "  12 "
+    split = [text.lower().encode().split()]
+    whole = m.sums(split)[0]
+    for size in (30, 200, 400):
+        monkeypatch.setattr(crf, "PIECE_CHARS", size)
+        assert np.allclose(m.long_sums(text), whole)
+    monkeypatch.setattr(crf, "PIECE_CHARS", 100)
+    assert m.texts([text, None, "w" * 950, " " * 500]) == (["x", "und", m.texts(["w" * 950])[0][0], "und"], [m.texts([text])[1][0], 0.0, m.texts(["w" * 950])[1][0], 0.0])
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    import resource
+
+    m = crf.learn([("abc abd " * 30, "x"), ("xyz xyy " * 30, "y")] * 20)
+    m.texts(["abc " * 300_000])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert m.texts(["abc abd " * 2_500_000])[0] == ["x"]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # kB; 78 bytes a byte would be 1.5 GB
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, lang string, score int"
     rows = [(k, "der die das und nicht " * 9, "de", 1) for k in range(9)] + [(k, "the of and that with " * 9, "en", 1) for k in range(20, 29)]

@@ -4,12 +4,15 @@ A word's features are its byte n-grams with one boundary on either side (so thos
 affixes) and the word itself as an entry of a learned lexicon, all hashed into weight tables, one weight
 a language. Neighbouring words are tied by learned transitions. Forward-backward gives each word the
 probability of each language, so code-switched text is labelled word by word; a text's language is the
-one with the largest mean over its words that hold a letter, which is also its score.
+one with the largest mean over its words that hold a letter, which is also its score; on a tie the
+language that comes first in the order of names.
 
 Training takes a bounded sample of texts with a known language that are not held out, cuts spans from
 them and strings spans of several texts together, so that the chain sees languages change. A text of
 any length is read whole: it is cut into segments whose transfer matrices are multiplied first, then
-forward and backward run in all segments at once; the result is that of one pass. A null text, or one
+forward and backward run in all segments at once; the result is that of one pass. A text beyond
+PIECE_CHARS goes through in pieces, so its features are never held at once (a word that is longer is
+read as several). A null text, or one
 without a letter, is ``und`` with score 0. If nothing can be learned from, every text is ``und``. Every
 row is labelled, also where doc_ids repeat or are null.
 """
@@ -25,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import drawn, sampled
 from tracewright.llm.quality_model import bucket
 from tracewright.llm.tokens import groups_of
 
@@ -36,10 +40,13 @@ SAMPLE = 3000
 TEXT_WORDS, SPAN_WORDS, SPANS = 60, 20, 3
 ROUNDS, RATE, DECAY = 40, 0.5, 1e-4
 SEGMENT = 128
+#: Characters of a text that are held as features at once; a piece ends between words, or within one that is longer.
+PIECE_CHARS = 1_000_000
 LETTER = re.compile(r"[^\W\d_]")
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 UND = "und"
+SPACES = " \t\n\r\x0b\x0c"
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,10 +78,22 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return grams, start, ((total >> np.uint64(32)) % np.uint64(LEXICON)).astype(np.int64), np.logical_or.reduceat(_IS_LETTER[data[:n]], start) if len(start) else np.zeros(0, bool)
 
 
-def chain(potential: np.ndarray, sizes: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def through_of(potential: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The transfer matrix of a stretch of words, up to a factor."""
+    m = (potential[:, None, :] * tie).reshape(-1, *tie.shape)
+    while len(m) > 1:
+        if len(m) % 2:
+            m = np.concatenate([m, np.eye(len(tie))[None]])
+        m = m[::2] @ m[1::2]
+        m = m / m.sum((1, 2), keepdims=True)
+    return m[0]
+
+
+def chain(potential: np.ndarray, sizes: np.ndarray, tie: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over sequences laid end to end: the probabilities of each word's labels, and the expected transitions in all.
 
-    potential: word x label, positive; sizes: words of each sequence; tie: label x label. The label before a sequence is uniform.
+    potential: word x label, positive; sizes: words of each sequence; tie: label x label. The label before a sequence is
+    uniform. Where there is one sequence only, ``before`` and ``after`` are what its text before and after it says.
     """
     n, labels = potential.shape
     gamma = np.zeros((n, labels))
@@ -99,6 +118,8 @@ def chain(potential: np.ndarray, sizes: np.ndarray, tie: np.ndarray) -> tuple[np
         through[:k] = m / m.sum((1, 2), keepdims=True)
     enter, leave = np.full((len(begin), labels), 1 / labels), np.ones((len(begin), labels))
     head = np.cumsum(parts) - parts
+    if before is not None:
+        enter[where[0]], leave[where[-1]] = before, after
     for k in range(1, int(parts.max())):
         some = np.flatnonzero(parts > k)
         here, prior = where[head[some] + k], where[head[some] + k - 1]
@@ -122,14 +143,26 @@ def chain(potential: np.ndarray, sizes: np.ndarray, tie: np.ndarray) -> tuple[np
         g = alpha[at] * b[:k]
         gamma[at] = g / g.sum(1, keepdims=True)
         right = potential[at] * b[:k]
-        before = alpha[at - 1] if t else enter[:k]
-        scale = np.einsum("si,ij,sj->s", before, tie, right)
-        moves += np.einsum("si,sj->ij", before / scale[:, None], right) * tie
+        prior = alpha[at - 1] if t else enter[:k]
+        scale = np.einsum("si,ij,sj->s", prior, tie, right)
+        moves += np.einsum("si,sj->ij", prior / scale[:, None], right) * tie
         v = right @ tie.T
         b[:k] = v / v.sum(1, keepdims=True)
     return gamma, moves
 
 
+def piece_places(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of about PIECE_CHARS characters that end before white space, or where a word alone is longer."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + PIECE_CHARS)
+        if end < len(text):
+            last = max((text.rfind(c, at + 1, end) for c in SPACES), default=-1)
+            end = last if last > at else end
+        yield at, end
+        at = end
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -145,22 +178,47 @@ class Model:
         return np.exp((s - s.max(1, keepdims=True)).clip(-30)).astype(float)
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text."""
-        split = [(t or "").lower().encode().split() for t in texts]
-        sizes = np.array([len(w) for w in split])
+        """Language and score of each text. Of a text beyond PIECE_CHARS only a piece at a time is held as features."""
         names, scores = [UND] * len(texts), [0.0] * len(texts)
-        if not self.languages or not sizes.sum():
+        if not self.languages:
             return names, scores
-        grams, start, lexicon, letters = word_features([w for ws in split for w in ws])
-        gamma, _ = chain(self.potential(grams, start, lexicon), sizes, self.tie)
-        row = np.repeat(np.arange(len(texts)), sizes)[letters]
-        sums = np.stack([np.bincount(row, gamma[letters, k], len(texts)) for k in range(len(self.languages))], 1)
+        sums = np.zeros((len(texts), len(self.languages)))
+        short = [k for k, t in enumerate(texts) if t and len(t) <= PIECE_CHARS]
+        sums[short] = self.sums([texts[k].lower().encode().split() for k in short])
         for k, t in enumerate(texts):
+            if t and len(t) > PIECE_CHARS:
+                sums[k] = self.long_sums(t)
             if t and LETTER.search(t) and sums[k].sum() > 0:
                 best = int(sums[k].argmax())
                 names[k], scores[k] = self.languages[best], float(min(1.0, sums[k, best] / sums[k].sum()))
         return names, scores
 
+    def sums(self, split: list[list[bytes]], before=None, after=None) -> np.ndarray:
+        """Of each text's words that hold a letter the summed probabilities of the languages."""
+        sizes = np.array([len(w) for w in split], np.int64)
+        if not sizes.sum():
+            return np.zeros((len(split), len(self.languages)))
+        grams, start, lexicon, letters = word_features([w for ws in split for w in ws])
+        gamma, _ = chain(self.potential(grams, start, lexicon), sizes, self.tie, before, after)
+        row = np.repeat(np.arange(len(split)), sizes)[letters]
+        return np.stack([np.bincount(row, gamma[letters, k], len(split)) for k in range(len(self.languages))], 1)
+
+    def long_sums(self, text: str) -> np.ndarray:
+        """The same of one long text: its pieces' transfer matrices first, then each piece between what comes before and after it."""
+        at = list(piece_places(text))
+        words = lambda i, j: text[i:j].lower().encode().split()
+        through = []
+        for i, j in at:
+            ws = words(i, j)
+            through.append(through_of(self.potential(*word_features(ws)[:3]), self.tie) if ws else np.eye(len(self.languages)))
+        before = [np.full(len(self.languages), 1 / len(self.languages))]
+        for m in through[:-1]:
+            before.append((v := before[-1] @ m) / v.sum())
+        after = [np.ones(len(self.languages))]
+        for m in through[:0:-1]:
+            after.append((v := m @ after[-1]) / v.sum())
+        return sum(self.sums([words(i, j)], b, a)[0] for (i, j), b, a in zip(at, before, after[::-1]))
+
     def words(self, text: str) -> list[tuple[str, str]]:
         """Each word of a text with its own language."""
         words = text.split()
@@ -219,10 +277,10 @@ def learn(texts: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` texts (least hash of doc_id) with a language that are not held out; of each a bounded piece."""
+    """Learn from at most ``sample`` texts (least hash of doc_id) with a language that are not held out; of each a piece from a place drawn by the hash."""
     rows = docs.where(F.col("lang").isNotNull() & (F.col("text") != "") & (bucket(F.col("doc_id"), 4) != 2))
-    rows = rows.select(F.xxhash64("doc_id").alias("k"), "doc_id", "lang", F.substring("text", 1, 20 * TEXT_WORDS).alias("text"))
-    got = rows.orderBy("k", "doc_id", "text").limit(sample).collect()
+    rows = rows.select("doc_id", "lang", drawn(F.col("text"), F.col("doc_id"), 20 * TEXT_WORDS).alias("text"))
+    got = sampled(rows, ["doc_id"], sample).collect()
     return learn([(r.text, r.lang) for r in got])
 
 
