@@ -23,6 +23,10 @@ PLAIN = regex.compile(r"[\x21-\x7E¡-¬®-ɏ]+")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: Texts by which a vocabulary's splitting is known.
+PROBES = ["Don't WE'LL it's a'b", "x1234 +-*/ ab12cd ... $5.00", "Äpfel, déjà-vu ¿qué? ß½ µ", "two  spaces\tand\nlines "]
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, others from U+0100 on in order."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -30,14 +34,42 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+def splits_as_assumed(tokenizer: Tokenizer) -> bool:
+    """Whether a vocabulary's own normaliser and pre-tokenizer do with PROBES what this module does: lower case, white space dropped, PIECE."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return False
+    letters = byte_characters()
+    for text in PROBES:
+        got = [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
+        if got != ["".join(letters[b] for b in p.encode()) for part in text.split() for p in PIECE.findall(part.lower())]:
+            return False
+    return True
+
+
+class Parts(dict):
+    """The ids of parts; a part that is not there is encoded, and kept while there is room."""
+
+    def __init__(self, encode):
+        super().__init__({"": b""})
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.encode(part)
+        if len(self) < CACHED and len(part) <= LONG_PART:
+            self[part] = ids
+        return ids
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, in bytes."""
 
     def __init__(self, path: str | None = None):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+        #: Whether the file prepares and splits texts as is assumed here; if not, the library encodes whole texts.
+        self.known_kind = splits_as_assumed(self.tokenizer)
         self.model = self.tokenizer.model
         self.letters = byte_characters()
-        self.parts: dict[str, bytes] = {"": b""}
+        self.parts = Parts(self._part)
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -54,18 +86,10 @@ class Encoder:
         return b"".join([known[p] if p in known else self._piece(p) for p in PIECE.findall(part.lower())])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.parts
-        extra: dict[str, bytes] = {}
-        for p in {p for ps in split for p in ps if p not in known}:
-            ids = self._part(p)
-            if len(known) < CACHED and len(p) <= LONG_PART:
-                known[p] = ids
-            else:
-                extra[p] = ids
-        if extra:
-            return [b"".join([known[p] if p in known else extra[p] for p in ps]) for ps in split]
-        return [b"".join(map(known.__getitem__, ps)) for ps in split]
+        if not self.known_kind:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        known = self.parts.__getitem__
+        return [b"".join(map(known, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
 _ENCODERS: dict[str | None, Encoder] = {}
