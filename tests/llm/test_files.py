@@ -29,12 +29,13 @@ def test_token_store_round_trip(spark):
     order = [-1 if g.doc_id is None else g.doc_id for g in sorted(got, key=lambda g: g.start)]
     assert order == sorted(order)
     fs, root = token_store.file_system(uri)
-    with fs.open_input_stream(f"{root}/{manifest[0]['name']}") as f:
-        data = f.read()
     words = next(x for x in fs.get_file_info(token_store.pafs.FileSelector(root)) if "dictionary" in x.path)
     with fs.open_input_stream(words.path) as f:
-        reader = token_store.FileReader(data, f.read())
-    assert np.frombuffer(reader.document(reader.n - 1), "<u4")[-1] == 2
+        words = f.read()
+    with fs.open_input_file(f"{root}/{manifest[0]['name']}") as f:
+        reader = token_store.FileReader(f, words)
+        assert np.frombuffer(reader.document(reader.n - 1), "<u4")[-1] == 2
+        assert [reader.document(k) for k in range(reader.n)] == list(reader.documents())
     assert not [x.path for x in fs.get_file_info(token_store.pafs.FileSelector(root)) if x.path.endswith(".tmp")]
 
 

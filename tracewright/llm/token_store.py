@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import new_path
+from tracewright.llm.common import drawn, new_path, sampled
 from tracewright.llm.tokens import encoder, groups_of
 
 MAGIC = b"TWTOKEN1"
@@ -36,6 +36,7 @@ SAMPLE_DOCUMENTS = 2000
 SAMPLE_CHARS = 2000
 DICTIONARY_BYTES = 65536
 FILE_BYTES = 32 << 20
+READ_BYTES = 4 << 20
 LEVEL = 3
 FOOT = struct.Struct("<QQ8s")
 
@@ -46,8 +47,8 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def train_dictionary(docs: DataFrame, end_id: int = END_ID, path: str | None = None) -> bytes:
-    """A zstandard dictionary of the ids of at most SAMPLE_DOCUMENTS documents (least hash of doc_id), SAMPLE_CHARS characters of each."""
-    some = docs.select(F.xxhash64("doc_id").alias("k"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text <> ''").orderBy("k", "text").limit(SAMPLE_DOCUMENTS)
+    """A zstandard dictionary of the ids of at most SAMPLE_DOCUMENTS documents (least hash of doc_id), SAMPLE_CHARS characters of each from a place drawn by the hash."""
+    some = sampled(docs.select("doc_id", drawn(F.col("text"), F.col("doc_id"), SAMPLE_CHARS).alias("text")).where("text <> ''"), ["doc_id"], SAMPLE_DOCUMENTS)
     end = np.array([end_id], "<u4").tobytes()
     samples = [x + end for x in encoder(path).encode([r.text for r in some.collect()])]
     if sum(map(len, samples)) < 8 * DICTIONARY_BYTES or len(samples) < 16:
@@ -143,27 +144,43 @@ def write(docs: DataFrame, end_id: int = END_ID, path: str | None = None, uri: s
 
 
 class FileReader:
-    """A file's index; ``document(k)`` reads and unpacks the k-th document alone."""
+    """A file's index; ``document(k)`` reads and unpacks the k-th document alone: of the file only its foot, its index and that frame."""
 
-    def __init__(self, data: bytes, words: bytes):
-        if data[:8] != MAGIC or data[8:40] != hashlib.sha256(words).digest():
+    def __init__(self, file: pa.NativeFile, words: bytes):
+        size = file.size()
+        head, foot = file.read_at(40, 0), file.read_at(FOOT.size, max(0, size - FOOT.size))
+        if head[:8] != MAGIC or head[8:] != hashlib.sha256(words).digest():
             raise ValueError("not a file of this format, or of another dictionary")
-        place, n, magic = FOOT.unpack(data[-FOOT.size :])
+        place, n, magic = FOOT.unpack(foot)
         if magic != MAGIC:
             raise ValueError("the file is cut short")
-        self.data, self.n = data, n
-        self.ids = np.frombuffer(data, "<i8", n, place)
-        self.null = np.frombuffer(data, "u1", n, place + 8 * n)
-        self.at = np.frombuffer(data, "<u8", n + 1, place + 9 * n)
-        self.counts = np.frombuffer(data, "<u4", n, place + 17 * n + 8)
+        index = file.read_at(size - FOOT.size - place, place)
+        self.file, self.n = file, n
+        self.ids = np.frombuffer(index, "<i8", n)
+        self.null = np.frombuffer(index, "u1", n, 8 * n)
+        self.at = np.frombuffer(index, "<u8", n + 1, 9 * n)
+        self.counts = np.frombuffer(index, "<u4", n, 17 * n + 8)
         self.open = zstandard.ZstdDecompressor(dict_data=dictionary(words))
 
-    def document(self, k: int) -> bytes:
-        got = self.open.decompress(self.data[self.at[k] : self.at[k + 1]])
+    def unpacked(self, k: int, frame: bytes) -> bytes:
+        got = self.open.decompress(frame)
         if len(got) != 4 * self.counts[k]:
             raise ValueError(f"document {k} of the file is damaged")
         return got
 
+    def document(self, k: int) -> bytes:
+        return self.unpacked(k, self.file.read_at(int(self.at[k + 1] - self.at[k]), int(self.at[k])))
+
+    def documents(self) -> Iterator[bytes]:
+        """All documents, read in stretches of about READ_BYTES."""
+        first = 0
+        while first < self.n:
+            last = max(first + 1, int(np.searchsorted(self.at, self.at[first] + READ_BYTES, "right")) - 1)
+            data, base = memoryview(self.file.read_at(int(self.at[last] - self.at[first]), int(self.at[first]))), int(self.at[first])
+            for k in range(first, last):
+                yield self.unpacked(k, data[int(self.at[k]) - base : int(self.at[k + 1]) - base])
+            first = last
+
 
 def read(spark: SparkSession, uri: str) -> DataFrame:
     """Per document, from the files of the manifest: doc_id, start, n_tokens, ids_crc32."""
@@ -181,10 +198,10 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
         for b in batches:
             for name, start in zip(b.column("name").to_pylist(), b.column("file_start").to_pylist()):
                 fs, root = file_system(uri)
-                with fs.open_input_stream(f"{root}/{name}") as f:
-                    r = FileReader(f.read(), words)
+                with fs.open_input_file(f"{root}/{name}") as f:
+                    r = FileReader(f, words)
+                    crc = np.fromiter(map(zlib.crc32, r.documents()), np.int64, r.n)
                 begin = start + np.concatenate([[0], np.cumsum(r.counts[:-1].astype(np.int64))])[: r.n]
-                crc = np.fromiter((zlib.crc32(r.document(k)) for k in range(r.n)), np.int64, r.n)
                 yield pa.RecordBatch.from_arrays([pa.array(r.ids, mask=r.null.astype(bool)), pa.array(begin), pa.array(r.counts.astype(np.int64)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return starts.repartition(len(manifest["files"])).mapInArrow(documents, out)
