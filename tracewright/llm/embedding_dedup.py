@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import components, written
+from tracewright.llm.common import components, sampled, written
 
 THRESHOLD = 0.95
 AXES = 8
@@ -43,7 +43,7 @@ def unit(column: pa.Array, dim: int) -> np.ndarray:
 
 def axes(rows: DataFrame, dim: int) -> np.ndarray:
     """Principal axes (columns) of a sample of at most SAMPLE vectors, those with the least hash."""
-    some = [r[0] for r in rows.orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding").collect()]
+    some = [r[0] for r in sampled(rows.select("embedding"), ["embedding"], SAMPLE).collect()]
     x = unit(pa.array(some, pa.list_(pa.float64())), dim) if some else np.eye(dim)
     _, vectors = np.linalg.eigh(np.cov(x.T).reshape(dim, dim) if len(x) > 1 else np.eye(dim))
     return vectors[:, ::-1]
