@@ -49,8 +49,8 @@ PAGES = [(k, f"http://h/{k}?q=é x", f"<p>{k % 7}é</p>" if k % 3 else f"<b>{k}<
 
 def test_warc_round_trip_and_rerun(spark):
     pages = spark.createDataFrame([(*p, 1) for p in PAGES], "page_id long, url string, html string, digest int")
-    uri, manifest = warc.write(pages, shard_records=20, file_bytes=600)
-    again = warc.write(pages.repartition(5), shard_records=20, file_bytes=600)[1]
+    uri, manifest = warc.write(pages, shard_bytes=16000, file_bytes=600)
+    again = warc.write(pages.repartition(5), shard_bytes=16000, file_bytes=600)[1]
     assert manifest == again and len(manifest) > 3
     last = {}
     for i, _, h in PAGES:
@@ -65,6 +65,20 @@ def test_warc_round_trip_and_rerun(spark):
     assert sorted(map(tuple, warc.read(spark, uri).collect()), key=str) == sorted(want, key=str)
 
 
+def test_warc_shards_are_cut_by_bytes_also_within_one_page_id():
+    ids, k = np.array([1, 5, 5, 5, 9]), np.array([0, -7, 0, 4, 2])
+    page, h = np.array([0, 1, 4, 5, 5, 5, 5, 9, 9, 10, 1]), np.array([3, 0, 9, -8, -7, 3, 4, 1, 2, 0, -1])
+    want = [sum((a, b) <= (p, x) for a, b in zip(ids, k)) for p, x in zip(page, h)]
+    assert warc.shard_number(page, h, ids, k).tolist() == want
+
+
+def test_warc_deals_a_hot_page_id_over_shards(spark):
+    pages = spark.createDataFrame([(None if k % 2 else k, "u", f"page {k} " * 20) for k in range(200)], "page_id long, url string, html string")
+    uri, manifest = warc.write(pages, shard_bytes=10_000)
+    assert len(manifest) > 10 and max(m["records"] for m in manifest) < 40
+    assert warc.read(spark, uri).count() == 200
+
+
 def test_warc_without_pages(spark):
     uri, manifest = warc.write(spark.createDataFrame([], "page_id long, url string, html string"))
     assert manifest == [] and warc.read(spark, uri).collect() == []

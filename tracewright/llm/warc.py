@@ -1,11 +1,12 @@
 """A deterministic, sharded WARC writer, and its reader.
 
-Pages are dealt by ranges of page_id over shards, sorted, and written as one gzip member a record;
-a file is rolled when its compressed size passes ``file_bytes``. Headers and digests are made anew from
-the payload (the html in UTF-8). Of equal payloads the page with the largest page_id is the response,
-the others are revisits that refer to it. Range bounds come from a hash sample of the ids, dates and
-ids from the page, so a rerun writes the same bytes. Each file is written under a temporary name and
-renamed; the manifest, written the same way and last, lists the files that count.
+Pages are dealt by ranges of (page_id, payload digest) over shards of about ``shard_bytes`` of payload,
+sorted, and written as one gzip member a record; a file is rolled when its compressed size passes
+``file_bytes``. Headers and digests are made anew from the payload (the html in UTF-8). Of equal payloads
+the page with the largest page_id is the response, the others are revisits that refer to it. Range bounds
+come from a sample of the keys, chosen by hash and weighed by bytes, dates and ids from the page, so a
+rerun writes the same bytes. Each file is written under a temporary name and renamed; the manifest,
+written the same way and last, lists the files that count.
 
 A null html is an empty payload. Pages that repeat the page_id of a response with the same payload are
 responses too; a page without page_id revisits if another page has one, else it is a response. Null and
@@ -29,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import new_path
+from tracewright.llm.common import new_path, written
 from tracewright.llm.token_store import file_system
 
-SHARD_RECORDS = 4096
+SHARD_BYTES = 32 << 20
 FILE_BYTES = 64 << 20
-SAMPLE_IDS = 100_000
+#: Keys that the bounds of shards come from, at most about so many; beyond as many shards, shards get larger.
+SAMPLE_KEYS = 100_000
+#: Bytes of a record besides its payload, about.
+HEAD_BYTES = 700
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 6
@@ -94,34 +98,60 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 MANIFEST = "shard int, seq int, name string, first_id long, records long, bytes long, sha1 string"
 
 
-def bounds(pages: DataFrame, shard_records: int) -> np.ndarray:
-    """Lower bounds of the shards after the first, from at most about SAMPLE_IDS ids chosen by their hash."""
-    n = pages.count()
-    shards = max(1, -(-n // shard_records))
-    some = pages.select("page_id").where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(max(1, n // SAMPLE_IDS))) == 0))
-    ids = np.sort(np.array([r[0] for r in some.collect()], np.int64))
-    return np.unique(ids[np.arange(1, shards) * len(ids) // shards]) if len(ids) and shards > 1 else np.zeros(0, np.int64)
+def bounds(keys: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bounds (page_id, k) of the shards after the first. keys: page_id, k (hash of the digest), bytes; one row for each (page_id, k).
 
+    A key stands for all its bytes, so a page_id with very many payloads is cut between them. Null ids come first.
+    """
+    total = keys.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    shards = max(1, -(-(total["bytes"] or 0) // shard_bytes))
+    some = keys.where(F.pmod(F.xxhash64("page_id", "k"), F.lit(max(1, total["n"] // SAMPLE_KEYS))) == 0).select(F.coalesce("page_id", F.lit(LEAST)).alias("page_id"), "k", "bytes").toPandas().sort_values(["page_id", "k"])
+    ids, k = some["page_id"].to_numpy(np.int64), some["k"].to_numpy(np.int64)
+    if not len(ids) or shards == 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = np.cumsum(some["bytes"].to_numpy(np.int64))
+    cut = np.unique(np.searchsorted(size, np.arange(1, shards) * int(size[-1]) / shards, "right"))
+    cut = cut[(cut > 0) & (cut < len(ids))]
+    return ids[cut], k[cut]
 
-def write(pages: DataFrame, shard_records: int = SHARD_RECORDS, file_bytes: int = FILE_BYTES, uri: str | None = None) -> tuple[str, list[dict]]:
+
+LEAST = -(1 << 63)
+
+
+def shard_number(page_id: np.ndarray, k: np.ndarray, bound_ids: np.ndarray, bound_k: np.ndarray) -> np.ndarray:
+    """How many bounds are at or below each (page_id, k)."""
+    low, high = np.searchsorted(bound_ids, page_id, "left"), np.searchsorted(bound_ids, page_id, "right")
+    for i in np.unique(page_id[high > low]):
+        mine = np.flatnonzero(page_id == i)
+        a, b = int(low[mine[0]]), int(high[mine[0]])
+        low[mine] = a + np.searchsorted(bound_k[a:b], k[mine], "right")
+    return low.astype(np.int32)
+
+
+def write(pages: DataFrame, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, uri: str | None = None) -> tuple[str, list[dict]]:
     """Write the archives of all pages; returns the folder and the manifest, in page_id order."""
     uri = uri or new_path(pages.sparkSession, "op9-warc")
     fs, root = file_system(uri)
     fs.create_dir(root)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    keys = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"))
-    groups = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    revisits = keys.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
-    at = bounds(pages, shard_records)
+    digest = F.sha1(F.col("html").cast("binary"))
+    keys = pages.select("page_id", digest.alias("digest"), F.octet_length("html").alias("size")).groupBy("page_id", "digest").agg(F.sum(F.col("size") + HEAD_BYTES).alias("bytes"), F.count("*").alias("n"))
+    keys = written(keys, "op9-keys")
+    groups = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.sum("n").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    groups = written(groups, "op9-groups")
+    revisits = keys.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    at = bounds(keys.select("page_id", F.xxhash64("digest").alias("k"), "bytes"), shard_bytes)
 
     @F.pandas_udf("int")
-    def shard_of(page_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, page_id.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), "right").astype(np.int32))
+    def shard_of(page_id: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series(shard_number(page_id.to_numpy(np.int64), k.to_numpy(np.int64), *at))
 
+    number = shard_of(F.coalesce("page_id", F.lit(LEAST)), F.xxhash64("digest")) if len(at[0]) else F.lit(0)
     # what is known of a page's digest comes just before the page in the sorted stream, so the html moves once
     marks = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
-    full = pages.select("page_id", "url", "html", F.sha1(F.col("html").cast("binary")).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    both = marks.union(full).withColumn("shard", shard_of("page_id")).repartition("shard").sortWithinPartitions("shard", "page_id", "digest", F.desc_nulls_last("refers_to"), "url")
+    full = pages.select("page_id", "url", "html", digest.alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    both = marks.union(full).withColumn("shard", number).withColumn("k", F.xxhash64("digest"))
+    both = both.repartitionById(len(at[0]) + 1, "shard").sortWithinPartitions("shard", "page_id", "k", "digest", F.desc_nulls_last("refers_to"), "url")
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(uri)
