@@ -24,11 +24,15 @@ def test_targets_stop_at_twice_the_size():
 
 
 def test_permutation_and_draws():
-    for n in (1, 2, 3, 64, 1000):
-        a, c = mixing.multiplier(n, 4)
-        assert sorted((a * k + c) % n for k in range(n)) == list(range(n))
-    shards = mixing.draw([50, 0, 7, 1], 10, 1)
-    assert shards.sum(0).tolist() == [50, 0, 7, 1] and set(shards.sum(1)) <= {10, 8}
+    for n in (1, 2, 3, 5, 64, 1000, 4097):
+        got = mixing.permuted(np.arange(n), n, 4)
+        assert sorted(got.tolist()) == list(range(n)) and got[::3].tolist() == mixing.permuted(np.arange(0, n, 3), n, 4).tolist()
+    steps = np.diff(mixing.permuted(np.arange(4097), 4097, 4))
+    assert len(set(steps.tolist())) > 2000
+    for slots, shards in ((50, 10), (3, 10), (0, 4), (7, 1), (100_000, 40)):
+        at, n = mixing.draw(slots, shards, [1, 2])
+        assert n.sum() == slots and (n > 0).all() and len(set(at.tolist())) == len(at) and all(0 <= x < shards for x in at)
+    assert abs(n - 2500).max() < 300
 
 
 def test_mix_meets_targets_and_reruns_agree(spark):
@@ -60,7 +64,7 @@ def test_mix_meets_targets_and_reruns_agree(spark):
 def test_slots_and_spans_meet_by_index(spark):
     m = mixing.Mix(spark.createDataFrame(rows(), SCHEMA))
     slots, spans = m.slots().collect(), m.spans().where("words > 0").collect()
-    assert len({(s.shard, s.slot) for s in slots}) == len(slots) and len({(s.number, s.block, s.epoch) for s in slots}) == len(slots)
+    assert len({(s.number, s.block, s.epoch) for s in slots}) == len(slots)
     fill = {}
     for s in spans:
         fill[s.number, s.block] = fill.get((s.number, s.block), 0) + s.words
@@ -81,5 +85,11 @@ def test_mixed_documents_have_the_words_taken(spark):
     assert got == want
 
 
+def test_column_names_with_dots_and_clashes(spark):
+    docs = spark.createDataFrame([(k, f"some words of number {k} " * 20, "s", 1, 2, 3) for k in range(30)], "doc_id long, text string, source string, `a.b` int, rest int, mix_id int")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns and {r[3:] for r in got.collect()} == {(1, 2, 3)}
+
+
 def test_no_documents(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []

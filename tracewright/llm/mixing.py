@@ -2,11 +2,14 @@
 
 Each source's words are one stream, in a fixed order of its documents, cut into blocks of ``block``
 words. Targets are a share of all words by weight, capped at ``most`` times a source's own words, the
-excess shared again by weight. A target is so many block slots; slots are drawn for one output shard
-after the other by a multinomial over what each source still has to give, so that the totals are met.
-The k-th slot of a source takes block ``perm(k mod n)`` of its n blocks, a pseudorandom permutation by
-index that needs no table, so no block is taken more than ``most`` times. Blocks and documents meet by
-index. A source with less than half a block to give is met to the nearest block.
+excess shared again by weight. A target is so many block slots, which a multinomial draw deals over the
+output shards, source by source in tasks of their own, so that shards have about their number of slots
+and the sources' totals are met. The k-th slot of a source takes block ``perm(k mod n)`` of its n blocks,
+a pseudorandom permutation by index (a Feistel network that walks on until it is below n) that needs no
+table, so no block is taken more than ``most`` times. Blocks and documents meet by index. A source with
+less than half a block to give is met to the nearest block.
+
+One row a source is all that the driver sees.
 
 Sizes are words; a null text has none. Null sources are one source, last. Rows that repeat a doc_id
 are documents of their own.
@@ -14,9 +17,10 @@ are documents of their own.
 
 from __future__ import annotations
 
-from math import gcd
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +31,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SHARD_SLOTS = 4096
-#: Output shards at most; beyond, shards get longer.
-SHARDS = 50_000
-#: Tables of one row per source are broadcast up to so many sources.
-BROADCAST_SOURCES = 20_000
+#: Documents of one source and salt, about: the stream of a source is numbered salt by salt.
+SALT_DOCUMENTS = 20_000
+#: Slots of one Arrow batch.
+SLOT_ROWS = 100_000
 SEED = 20240
 
 
@@ -52,29 +56,33 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     return got
 
 
-def draw(slots: list[int], shard_slots: int, seed: int) -> np.ndarray:
-    """Slots of each source (columns) in each output shard (rows): multinomial draws whose totals are ``slots``."""
+def draw(slots: int, shards: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A multinomial draw of a source's slots over the output shards: the shards that get some, and how many."""
     rng = np.random.default_rng(seed)
-    left = np.array(slots, np.int64)
-    out = []
-    while left.sum():
-        n = min(shard_slots, int(left.sum()))
-        take = np.minimum(rng.multinomial(n, left / left.sum()), left)
-        while take.sum() < n:  # what a source could not give is drawn from the others
-            more = left - take
-            take = np.minimum(take + rng.multinomial(n - take.sum(), more / more.sum()), left)
-        out.append(take)
-        left = left - take
-    return np.array(out, np.int64).reshape(len(out), len(slots))
-
-
-def multiplier(n: int, salt: int) -> tuple[int, int]:
-    """(a, c) of the permutation k -> (a k + c) mod n."""
-    rng = np.random.default_rng([SEED, salt, n])
-    while True:
-        a = int(rng.integers(1, max(2, min(n, 2**62 // n))))  # the product fits a long
-        if gcd(a, n) == 1:
-            return a, int(rng.integers(0, n))
+    if slots < shards:
+        return np.unique(rng.integers(0, shards, slots), return_counts=True)
+    n = rng.multinomial(slots, np.full(shards, 1 / shards))
+    got = np.flatnonzero(n)
+    return got, n[got]
+
+
+def permuted(k: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The places of ``k`` (below n) under a pseudorandom permutation of 0 .. n - 1."""
+    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    low = np.uint64((1 << half) - 1)
+    keys = np.random.default_rng([SEED, seed, n]).integers(0, 1 << 63, 4, np.uint64)
+    out, open_ = k.astype(np.uint64), np.arange(len(k))
+    while len(open_):
+        x = out[open_]
+        left, right = x >> np.uint64(half), x & low
+        for key in keys:
+            f = (right ^ key) * np.uint64(0x9E3779B97F4A7C15)
+            f = (f ^ (f >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((f >> np.uint64(33)) & low)
+        x = left << np.uint64(half) | right
+        out[open_] = x
+        open_ = open_[x >= n]
+    return out.astype(np.int64)
 
 
 def streams(docs: DataFrame) -> DataFrame:
@@ -84,7 +92,8 @@ def streams(docs: DataFrame) -> DataFrame:
     of a source, so that no task gets a whole source.
     """
     rows = docs.select("source", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
-    rows = written(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(1024))), "op7-sizes")
+    rows = written(rows, "op7-sizes")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(max(1, -(-rows.count() // SALT_DOCUMENTS)))))
     within = Window.partitionBy("source", "salt").orderBy("doc_id", "tk").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     salts = rows.groupBy("source", "salt").agg(F.sum("size").alias("n")).select("source", "salt", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
@@ -105,27 +114,35 @@ class Mix:
         blocks = [-(-n // block) for _, n in found]
         slots = [min(int(most * b), round(g * b / n)) if n else 0 for (_, n), g, b in zip(found, goal, blocks)]
         self.sources = list(zip((s for s, _ in found), range(len(found)), (n for _, n in found), goal, blocks, slots))
-        self.shards = draw(slots, max(shard_slots, -(-sum(slots) // SHARDS)), seed)
+        self.shards, self.seed = max(1, -(-sum(slots) // shard_slots)), seed
 
     def source_table(self) -> DataFrame:
-        """One row per source, broadcast while they are few."""
-        rows = [(s, k, n, float(g)) for s, k, n, g, _, _ in self.sources]
-        table = self.spark.createDataFrame(rows, "of_source string, number int, source_size long, target double")
-        return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
+        """One row per source."""
+        return self.spark.createDataFrame([(s, k, n, float(g)) for s, k, n, g, _, _ in self.sources], "of_source string, number int, source_size long, target double")
 
     def slots(self) -> DataFrame:
-        """A row for each slot of the output: shard, slot (its place there), number (of the source), block, epoch.
-
-        Made from one row per shard and source, whose slots are exploded.
-        """
-        before = np.cumsum(self.shards, 0) - self.shards
-        place = np.cumsum(self.shards, 1) - self.shards
-        perm = {k: (b, *multiplier(b, k)) for _, k, _, _, b, _ in self.sources if b}
-        rows = [(i, j, int(before[i, j]), int(place[i, j]), int(self.shards[i, j]), *perm[j]) for i, j in zip(*(x.tolist() for x in np.nonzero(self.shards)))]
-        counts = self.spark.createDataFrame(rows, "shard int, number int, first long, place long, n long, blocks long, mul long, add long")
-        each = counts.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-        k = F.col("first") + F.col("j")
-        return each.select("shard", (F.col("place") + F.col("j")).alias("slot"), "number", F.pmod(F.pmod(k, F.col("blocks")) * F.col("mul") + F.col("add"), F.col("blocks")).alias("block"), F.floor(k / F.col("blocks")).cast("int").alias("epoch"))
+        """A row for each slot of the output: shard, number (of the source), block, epoch."""
+        shards, seed = self.shards, self.seed
+
+        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for number, blocks, slots in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    got, n = draw(slots, shards, [seed, number])
+                    first = np.cumsum(n) - n
+                    for k in range(0, len(got), 4096):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got[k : k + 4096]), number, np.int32)), pa.array(np.full(len(got[k : k + 4096]), blocks)), *(pa.array(x[k : k + 4096]) for x in (got, first, n))], names=["number", "blocks", "shard", "first", "n"])
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for number, blocks, shard, first, n in zip(*(b.column(k).to_pylist() for k in range(5))):
+                    for at in range(first, first + n, SLOT_ROWS):
+                        k = np.arange(at, min(at + SLOT_ROWS, first + n))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard)), pa.array(np.full(len(k), number, np.int32)), pa.array(permuted(k % blocks, blocks, number)), pa.array((k // blocks).astype(np.int32))], names=["shard", "number", "block", "epoch"])
+
+        counts = self.spark.createDataFrame([(k, b, n) for _, k, _, _, b, n in self.sources if n], "number int, blocks long, slots long")
+        # a source's shards are dealt out again, so that a large source is placed by many tasks
+        counts = counts.repartition("number").mapInArrow(drawn, "number int, blocks long, shard long, first long, n long").repartition("number", "shard")
+        return counts.mapInArrow(placed, "shard long, number int, block long, epoch int")
 
     def spans(self) -> DataFrame:
         """The document spans of each block: number, block, salt, rn, doc_id, tk, size, first (word of the document), words."""
