@@ -73,6 +73,33 @@ def test_rows_that_share_an_id_join_their_links(spark):
 SCHEMA_COLUMNS = ["doc_id", "text", "id", "sig", "key"]
 
 
+def test_column_names_with_dots_and_clashes(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, text, 1, 2, 3), (2, text, 1, 2, 3), (None, text, 1, 2, 3)], "doc_id long, text string, gone int, `a.b` int, row int")
+    got = nd.one_of_each(docs)
+    assert got.columns == docs.columns and sorted((r[0] or 0, *r[2:]) for r in got.collect()) == [(0, 1, 2, 3), (1, 1, 2, 3)]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["ab", "cde", "fg", "hij"]) + str(rng.randrange(999)) for _ in range(400_000))
+    rows = [(1, long), (2, long + " and a little more"), (3, "short text of a few words only")]
+    got = nd.link(spark.createDataFrame([(i, t, 1, "s", "k") for i, t in rows], SCHEMA)).drop("class_id").collect()
+    assert Counter(map(tuple, got)) == brute(rows)
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    rows = []
+    for k in range(3000):
+        words = [f"p{k}w{j}" for j in range(200)]
+        at = 20 + k % 150
+        other = words[:at] + [f"q{k}w{j}" for j in range(24)] + words[at + 24 :]  # 168 of 224 shingles in both
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = nd.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = sum(r.component_id != r.doc_id for r in got)
+    assert all(r.component_id in (r.doc_id, r.doc_id - r.doc_id % 2) for r in got) and linked >= 2999
+
+
 def test_a_group_costs_a_few_comparisons_a_copy(spark):
     rows = corpus(4, 80)
     docs = spark.createDataFrame([(i, t, 1, "s", "k") for i, t in rows], SCHEMA)

@@ -45,3 +45,11 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 5
     empty = spark.createDataFrame([], schema)
     assert qm.predict(empty, none).collect() == [] and qm.accepted(empty, none).collect() == []
+
+
+def test_column_names_with_dots_and_clashes(spark):
+    rows = [(k, "plain words in a line " * 8 if k % 2 else "# $ | % & <> " * 8, 1, 2, 3) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, rest int, y int")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = qm.accepted(docs, labels)
+    assert got.columns == docs.columns and {r[2:] for r in got.collect()} == {(1, 2, 3)}

@@ -58,12 +58,12 @@ def test_packing_is_gapless_and_tight(spark):
 
 def test_patterns_are_as_good_as_best_fit():
     rng = np.random.default_rng(1)
-    for lengths in (rng.integers(513, 4096, 3000), rng.integers(1, 4097, 3000), np.full(900, 2049), np.full(900, 1365), np.array([4096, 1])):
+    for lengths in (rng.integers(513, 4096, 3000), rng.integers(1, 4097, 3000), np.full(900, 2049), np.full(900, 1365), np.array([4096, 1]), np.array([3000]), np.array([600, 900, 2500, 3000]), np.array([], int)):
         where, offset = packing.pack(lengths)
         load = np.bincount(where, lengths)
-        assert load.max() <= 4096 and (where >= 0).all()
-        plain = packing.pack(lengths, groups=10**9)[0].max() + 1  # best fit decreasing alone
-        assert where.max() + 1 <= 1.01 * plain + 2
+        assert load.max(initial=0) <= 4096 and (where >= 0).all()
+        plain = packing.pack(lengths, groups=0)[0].max(initial=-1) + 1  # best fit decreasing alone
+        assert where.max(initial=-1) + 1 <= 1.01 * plain + 2
 
 
 def test_no_documents(spark):

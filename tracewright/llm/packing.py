@@ -98,7 +98,7 @@ def patterns(sizes: np.ndarray, need: np.ndarray, room: int, rounds: int = 400)
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each length."""
+    """Sequence number and offset of each length. Without ``groups`` all is put where it fits best."""
     n = len(lengths)
     where, offset = np.full(n, -1), np.zeros(n, int)
     used: list[int] = []
@@ -107,7 +107,8 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
     where[full] = np.arange(len(full))
     used += [capacity] * len(full)
     large = order[(lengths[order] < capacity) & (lengths[order] > capacity // 8)]
-    if len(large) > 2 * groups:
+    groups = min(groups, len(large))
+    if groups:
         parts = np.array_split(large, groups)
         sizes = np.array([-(-int(lengths[p[0]]) // UNIT) for p in parts])
         # a group whose rounded length passes the room in units still fits alone
