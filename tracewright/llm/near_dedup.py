@@ -46,7 +46,7 @@ ORDERS = 3
 #: Closest members that a class is compared with before all are.
 CLOSEST = 3
 #: Members of a bucket that are residents, or visitors, of one place, and pairs of a class that are confirmed in one: about so many.
-BLOCK, SLOT = 2048, 1024
+BLOCK, SLOT = 1024, 1024
 
 _rng = np.random.default_rng(75)
 TABLE = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -192,15 +192,22 @@ def slotted(pairs: DataFrame) -> DataFrame:
     return pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("slots", F.lit(1).cast("long"))).alias("slot"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents with the ids ``wanted``, whose texts move once for all confirmations.
+
+    Tables of texts, sets and sketches are joined by a merge at every size of the other side, so that the plan does not
+    change as the corpus grows.
+    """
+    texts = docs.join(wanted.select(F.col("id").alias("want")).distinct().hint("merge"), F.col("doc_id") == F.col("want"), "left_semi")
+    return written(texts.mapInArrow(shingle_sets, "id long, shingles binary"), "op10-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """Those of ``pairs`` (distinct a, b) whose full sets have a similarity of PERCENT or more. A pair moves one set, the other meets the pairs of a slot at once."""
-    wanted = pairs.select(F.col("a").alias("want")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, F.col("doc_id") == F.col("want"), "left_semi")
-    sets = written(texts.mapInArrow(shingle_sets, "id long, shingles binary"), f"{name}-sets")
     dealt = slotted(pairs)
-    own = dealt.select("a", "slot").distinct().join(sets, F.col("a") == F.col("id")).select("a", "slot", F.lit(None).cast("long").alias("b"), "shingles")
-    others = dealt.join(sets, F.col("b") == F.col("id")).select("a", "slot", "b", "shingles")
-    both = own.union(others).repartition("a", "slot").sortWithinPartitions("a", "slot", F.asc_nulls_first("b"))
+    own = dealt.select("a", "slot").distinct().select(F.col("a").alias("id"), "a", "slot", F.lit(None).cast("long").alias("b"))
+    asked = own.union(dealt.select(F.col("b").alias("id"), "a", "slot", "b"))
+    both = asked.hint("merge").join(sets, "id").select("a", "slot", "b", "shingles").repartition("a", "slot").sortWithinPartitions("a", "slot", F.asc_nulls_first("b"))
     return written(both.mapInArrow(confirm, "a long, b long").distinct(), name)
 
 
@@ -321,10 +328,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hubs = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.col("chunk") % ORDERS).alias("o"), "id")).alias("first")).where("n > 1").select("key", F.col("first.id").alias("hub"))
     members = written(keys.join(hubs, "key").select("key", "id", "hub"), "op10-members")
     tried = written(members.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "op10-tried")
-    sketches = reps.select("id", "sketch", "sig")
-    both = tried.join(sketches.select(F.col("id").alias("a"), "sketch"), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("other")), "b")
-    near = both.select("a", "b", "sketch", "other").mapInArrow(alike, "a long, b long")
-    links = confirmed(written(near, "op10-near"), known, "op10-links")
+    sketches = written(reps.select("id", "sketch", "sig").join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "op10-sketches")
+    both = tried.hint("merge").join(sketches.select(F.col("id").alias("a"), "sketch"), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("other")).hint("merge"), "b")
+    near = written(both.select("a", "b", "sketch", "other").mapInArrow(alike, "a long, b long"), "op10-near")
+    # the pairs that are met later are in buckets of three or more
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
+    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).union(members.join(several, "key", "left_semi").select("id").distinct())
+    sets = sets_of(wanted, known)
+    links = confirmed(near, sets, "op10-links")
     for step, closest in enumerate((CLOSEST, None)):
         now = components(links, "op10-now")
         placed = members.select("key", "id").join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -332,11 +343,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
         opened = written(placed.join(open_, "key"), "op10-open")
         hubs_of = members.where("id <> hub").join(opened.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("hub").alias("hubs"))
-        rest = opened.join(sketches, "id").join(hubs_of, "id", "left").select("key", "id", "component", "sketch", "sig", "hubs")
+        rest = opened.hint("merge").join(sketches, "id").join(hubs_of, "id", "left").select("key", "id", "component", "sketch", "sig", "hubs")
         more = written(meetings(rest, closest).join(tried, ["a", "b"], "left_anti"), "op10-more")
         if more.isEmpty():
             continue
-        links, tried = links.union(confirmed(more, known, f"op10-links{step}")), tried.union(more)
+        links, tried = links.union(confirmed(more, sets, f"op10-links{step}")), tried.union(more)
     # a doc_id with several texts ties their classes
     of_doc = signed.where("n_shingles > 0").join(reps, ["s1", "s2"]).select("doc_id", "id")
     several = of_doc.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
