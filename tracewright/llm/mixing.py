@@ -32,7 +32,9 @@ SHARE = 1.5
 MOST = 2
 SHARD_SLOTS = 4096
 #: Documents of one source and salt, about: the stream of a source is numbered salt by salt.
-SALT_DOCUMENTS = 20_000
+SALT_DOCUMENTS = 4096
+#: The table of one row per source is broadcast up to so many sources; beyond, it is joined by shuffling.
+BROADCAST_SOURCES = 20_000
 #: Slots of one Arrow batch.
 SLOT_ROWS = 100_000
 SEED = 20240
@@ -117,8 +119,9 @@ class Mix:
         self.shards, self.seed = max(1, -(-sum(slots) // shard_slots)), seed
 
     def source_table(self) -> DataFrame:
-        """One row per source."""
-        return self.spark.createDataFrame([(s, k, n, float(g)) for s, k, n, g, _, _ in self.sources], "of_source string, number int, source_size long, target double")
+        """One row per source, broadcast while they are few."""
+        table = self.spark.createDataFrame([(s, k, n, float(g)) for s, k, n, g, _, _ in self.sources], "of_source string, number int, source_size long, target double")
+        return F.broadcast(table) if len(self.sources) <= BROADCAST_SOURCES else table
 
     def slots(self) -> DataFrame:
         """A row for each slot of the output: shard, number (of the source), block, epoch."""

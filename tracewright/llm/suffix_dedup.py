@@ -92,7 +92,8 @@ def snippets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[anchor[first]], np.searchsorted(at, first, "right") - 1, first, windows, anchor[first] - first
 
 
-ANCHORS = "h long, sh long, doc_id long, tk long, lo long, n int, back int"
+#: A document's equal snippets are one row, with the places of all of them.
+ANCHORS = "h long, sh long, doc_id long, tk long, lo array<long>, n int, back int"
 
 
 def find_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +110,16 @@ def find_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     continue
                 raw = memoryview(data)
                 sh = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + m + LENGTH - 1]) for a, m in zip(lo.tolist(), n.tolist())), np.uint64, len(lo))
-                row = c.rows[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), ids.take(pa.array(row)), pa.array(keys[row]), pa.array(lo - at[doc] + base), pa.array(n.astype(np.int32)), pa.array(back.astype(np.int32))], names=["h", "sh", "doc_id", "tk", "lo", "n", "back"])
+                doc_of = doc.copy()
+                order = np.lexsort((lo, sh, h, doc))
+                new = np.ones(len(order), bool)
+                for x in (doc, h, sh):
+                    x[:] = x[order]
+                new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (sh[1:] != sh[:-1])
+                one = np.flatnonzero(new)
+                places = pa.ListArray.from_arrays(pa.array(np.append(one, len(order)).astype(np.int32)), pa.array((lo - at[doc_of] + base)[order]))
+                row = c.rows[doc[one]]
+                yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(sh[one].view(np.int64)), ids.take(pa.array(row)), pa.array(keys[row]), places, pa.array(n[order[one]].astype(np.int32)), pa.array(back[order[one]].astype(np.int32))], names=["h", "sh", "doc_id", "tk", "lo", "n", "back"])
 
 
 # --- suffix arrays -------------------------------------------------------------------------------
@@ -411,19 +420,19 @@ def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
     anchors = written(keyed.mapInArrow(find_snippets, ANCHORS), "op3-anchors")
     # a hot anchor is met in a join that adaptive execution can split, as both sides are read from tables
-    again = anchors.groupBy("h").agg(F.count("*").alias("c"), F.min("sh").alias("low"), F.max("sh").alias("high")).where("c > 1")
+    again = anchors.groupBy("h").agg(F.sum(F.size("lo")).alias("c"), F.min("sh").alias("low"), F.max("sh").alias("high")).where("c > 1")
     again = written(again.select("h", (F.col("low") == F.col("high")).alias("same")), "op3-again")
     rows = written(anchors.join(again, "h"), "op3-rows")
     # an anchor with equal snippets only: all of their windows are found again
     span = lambda a, b: F.struct(a.cast("long").alias("a"), (b - 1 + LENGTH).cast("long").alias("b"))
-    whole = rows.where("same").select("doc_id", "tk", F.array(span(F.col("lo"), F.col("lo") + F.col("n"))).alias("spans"))
+    whole = rows.where("same").select("doc_id", "tk", F.transform("lo", lambda lo: span(lo, lo + F.col("n"))).alias("spans"))
     mixed = rows.where("not same")
-    kinds = mixed.groupBy("h", "sh").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "tk", "lo", "n", "back")).alias("at"))
+    kinds = mixed.groupBy("h", "sh").agg(F.sum(F.size("lo")).alias("c"), F.min(F.struct("doc_id", "tk", F.get("lo", F.lit(0)).alias("lo"), "n", "back")).alias("at"))
     wanted = kinds.select("h", "sh", "c", "at.*").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "sh", "c", "lo", "n", "back")).alias("want"))
     texts = keyed.join(wanted.withColumnsRenamed({"doc_id": "wid", "tk": "wtk"}), F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("tk") == F.col("wtk")))
     snips = written(texts.select("want", "text").mapInArrow(cut_snippets, SNIPPET), "op3-snips")
     runs = written(solve(snips, group_limit).where(F.size("runs") > 0), "op3-runs")
-    parted = mixed.select("h", "sh", "doc_id", "tk", "lo").join(runs, ["h", "sh"]).select("doc_id", "tk", F.transform("runs", lambda r: span(F.col("lo") + r["a"], F.col("lo") + r["b"])).alias("spans"))
+    parted = mixed.select("h", "sh", "doc_id", "tk", "lo").join(runs, ["h", "sh"]).select("doc_id", "tk", F.flatten(F.transform("lo", lambda lo: F.transform("runs", lambda r: span(lo + r["a"], lo + r["b"])))).alias("spans"))
     return whole.union(parted).groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
