@@ -273,3 +273,55 @@ def test_no_session_is_one_pandas_frame(spark):
     got = h.greedy_match(spark.createDataFrame([("s", 1, 1, 0.5), ("s", 1, 2, 0.9), ("s", 2, 2, 0.8), ("s", 2, 1, None)], "session string, ref long, cand long, score double"))
     assert sorted(map(tuple, got.collect())) == [("s", 1, 2, 0.9), ("s", 2, 1, None)]
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_walks_are_depth_first_and_what_is_left_out_says_why(spark):
+    from tracewright.operators import registry_runs as f
+    from tracewright.operators.run_report import walk
+
+    rows = [("a", None, "root", 1), ("b", "a", "x", 3), ("c", "b", "x", 9), ("b-1", "a", "x", 4), ("late", "a", "x", None), ("r2", None, "root", 5), ("below", "r2", "x", 6), ("o", "gone", "x", 1), ("o2", "o", "x", 2), ("y", "z", "x", 1), ("z", "y", "x", 1), ("w", "z", "x", 1)]
+    runs = spark.createDataFrame([("r", *r) for r in rows], "run_id string, execution_id string, parent_execution_id string, execution_kind string, started_at long")
+    tree = f.build_tree(runs)
+    assert [r.execution_id for r in walk(tree).orderBy("place").collect()] == ["a", "b", "c", "b-1", "late"]
+    state = {r.execution_id: r.state for r in tree.collect()}
+    assert state == {**dict.fromkeys(("a", "b", "c", "b-1", "late"), "placed"), **dict.fromkeys(("r2", "below"), "second_root"), **dict.fromkeys(("o", "o2"), "orphan"), **dict.fromkeys(("y", "z", "w"), "cyclic")}
+
+
+def test_records_without_an_execution_id_are_told(spark):
+    from tracewright.operators import registry_runs as f
+
+    rows = spark.createDataFrame([(1, "r", None, "root", None, 1, 2), (1, "", "e", "root", None, 1, 2), (1, "r", "e", "root", None, 1, 2)], "v long, run_id string, execution_id string, execution_kind string, outcome string, started_at long, ended_at long")
+    kept, told = f.validate(rows, ["root"], [])
+    assert kept.count() == 1 and {r.code for r in told.collect()} == {"missing_execution_id", "missing_run_id"}
+
+
+def test_places_go_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from tracewright.functions.tables import placed
+
+    df = spark.range(5000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(700)))
+    got = placed(df.repartition(7), [F.desc("x"), F.asc("id")]).collect()
+    want = sorted(((r.x, r.id) for r in got), key=lambda t: (-t[0], t[1]))
+    assert [(r.x, r.id) for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, 5001))
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from tracewright.streaming import streams as p
+
+    schema = "session_id string, seq long, total long, last long"
+    batches = [[("s", 1, 10, 10), ("s", 2, 15, 5), ("t", 1, 7, 7)], [("s", 3, 15, 0), ("s", 4, 3, 3), ("t", 2, 9, 2)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        got = p.token_deltas(stream, f"file://{tmp_path}/at")
+    assert sorted(map(tuple, got.collect())) == [("s", 1, 10), ("s", 2, 5), ("s", 3, 0), ("s", 4, 3), ("t", 1, 7), ("t", 2, 2)]
+
+
+def test_end_events_of_calls(spark):
+    from pyspark.sql import functions as F
+
+    from tracewright.operators import codex as c
+
+    raw = spark.createDataFrame([('{"secs":2,"nanos":5000000}',), ("0.25",), ('"x"',), (None,), ("",)], "d string")
+    assert [r[0] for r in raw.select(c.duration_ms(F.col("d"))).collect()] == [2005, 250, 0, 0, 0]

@@ -30,10 +30,10 @@ def resolve_short(short: DataFrame, full: DataFrame) -> DataFrame:
     return short.select("short_hash").distinct().join(both, "short_hash", "left").select("short_hash", F.when(F.col("n") == 1, F.col("hash")).alias("hash"))
 
 
-def first_owner(commits: DataFrame) -> DataFrame:
-    """The session that owns a commit: the first row in time (nulls last)."""
+def first_owner(commits: DataFrame, *also: str) -> DataFrame:
+    """The session that owns a commit: the first row in time (nulls last), with columns ``also``."""
     n = F.row_number().over(Window.partitionBy("commit_hash").orderBy(F.asc_nulls_last("committed_at"), "agent", "session_id"))
-    return commits.withColumn("n", n).where("n = 1").select("commit_hash", "agent", "session_id", "committed_at")
+    return commits.withColumn("n", n).where("n = 1").select("commit_hash", "agent", "session_id", "committed_at", *also)
 
 
 def owner_parent(commits: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -66,13 +66,16 @@ def class_counts(attributed: DataFrame) -> DataFrame:
     return attributed.groupBy("class", "reason").agg(F.count("*").alias("bugs")).orderBy(F.desc("bugs"), "class", "reason")
 
 
+SLICE = ["agent", "model", "cli_version"]
+
+
 def credit_slices(rollup: DataFrame, attributed: DataFrame, owners: DataFrame) -> DataFrame:
-    """By agent: introducing commits and the credit, of which each bug gives one in equal parts."""
+    """By agent, model and version: commits, those that introduced a bug, the credit, of which each bug gives one in equal parts, and the share that introduced one."""
     share = rollup.join(attributed.select("ticket", F.col("commits").alias("n")), "ticket").withColumn("credit", F.lit(1.0) / F.col("n"))
-    got = share.join(owners.select(F.col("commit_hash").alias("introducing_hash"), "agent"), "introducing_hash").groupBy("agent").agg(F.count_distinct("introducing_hash").alias("introducing"), F.sum("credit").alias("credit"))
-    all_ = owners.groupBy("agent").agg(F.count_distinct("commit_hash").alias("commits"))
-    got = all_.join(got, "agent", "left").select("agent", "commits", F.coalesce("introducing", F.lit(0)).alias("introducing"), F.coalesce("credit", F.lit(0.0)).alias("credit"))
-    return got.withColumn("rate", F.col("credit") / F.col("commits"))
+    of = share.groupBy(F.col("introducing_hash").alias("commit_hash")).agg(F.sum("credit").alias("credit"))
+    named = owners.select("commit_hash", *(F.coalesce(c, F.lit("")).alias(c) for c in SLICE)).distinct()
+    got = named.join(of, "commit_hash", "left").groupBy(*SLICE).agg(F.count("*").alias("commits"), F.count("credit").alias("introducing"), F.coalesce(F.sum("credit"), F.lit(0.0)).alias("credit"))
+    return got.withColumn("rate", F.col("introducing") / F.col("commits"))
 
 
 def precision(rollup: DataFrame, attributed: DataFrame, labels: DataFrame) -> DataFrame:

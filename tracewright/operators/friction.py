@@ -45,8 +45,12 @@ def plan_backfill(sessions: DataFrame, visited: DataFrame, scopes: DataFrame, le
         .when(F.col("scope").isNull() | F.col("known").isNull(), "no-scope")
     )
     rows = rows.withColumn("reason", reason)
-    place = F.row_number().over(Window.partitionBy(F.col("reason").isNull()).orderBy(F.desc("start_time"), "agent", "session_id"))
-    return rows.withColumn("place", F.when(F.col("reason").isNull(), place)).withColumn("reason", F.when(F.col("place") > most, "limit").otherwise(F.col("reason"))).select("agent", "session_id", "reason", F.when(F.col("reason").isNull(), F.col("place")).alias("place"))
+    # the limit counts accepted sessions only; a task hands on its first ``most`` of them
+    first = rows.where("reason is null").select("agent", "session_id", "start_time").orderBy(F.desc("start_time"), "agent", "session_id").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc("start_time"), "agent", "session_id"))
+    first = first.select("agent", "session_id", place.alias("place"))
+    rows = rows.join(first, ["agent", "session_id"], "left")
+    return rows.select("agent", "session_id", F.when(F.col("reason").isNull() & F.col("place").isNull(), "limit").otherwise(F.col("reason")).alias("reason"), "place")
 
 
 def resolve_scope(sessions: DataFrame, markers: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import written
+from tracewright.functions.tables import written
 
 
 def last_known(column: str, order: Column) -> Column:
@@ -28,12 +28,9 @@ def freeze_run(records: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]
     return marked.where(F.col("run_id").eqNullSafe(F.col("first_run"))).drop("first_run"), marked.where(~F.col("run_id").eqNullSafe(F.col("first_run"))).select("execution_id", "run_id", F.lit("identity_conflict").alias("code"))
 
 
-REQUIRED = [("run_id", "missing_run_id"), ("execution_id", "missing_execution_id")]
-
-
 def validate(records: DataFrame, kinds: list[str], outcomes: list[str]) -> tuple[DataFrame, DataFrame]:
     """(valid records, diagnostics with the first code that applies)."""
-    code = F.when(F.col("v") != 1, "unsupported_version").when(F.coalesce("run_id", F.lit("")) == "", "missing_run_id").when(~F.coalesce(F.col("execution_kind").isin(kinds), F.lit(False)), "unknown_execution_kind").when(F.col("outcome").isNotNull() & ~F.col("outcome").isin(outcomes), "unknown_outcome").when(F.col("ended_at") < F.col("started_at"), "ends_before_start")
+    code = F.when(F.col("v") != 1, "unsupported_version").when(F.coalesce("run_id", F.lit("")) == "", "missing_run_id").when(F.coalesce("execution_id", F.lit("")) == "", "missing_execution_id").when(~F.coalesce(F.col("execution_kind").isin(kinds), F.lit(False)), "unknown_execution_kind").when(F.col("outcome").isNotNull() & ~F.col("outcome").isin(outcomes), "unknown_outcome").when(F.col("ended_at") < F.col("started_at"), "ends_before_start")
     marked = records.withColumn("code", code)
     return marked.where("code is null").drop("code"), marked.where("code is not null").select("execution_id", "run_id", "code")
 
@@ -57,25 +54,30 @@ def grown(first: DataFrame, step: Callable[[DataFrame], DataFrame], deepest: int
 
 
 def build_tree(executions: DataFrame, deepest: int = 64) -> DataFrame:
-    """each execution with its depth and path under its run's root, or what keeps it out: second_root, orphan or cyclic.
+    """each execution with its depth, path and walk under its run's root, or what keeps it out: second_root, orphan or cyclic.
 
-    The root is the first parentless ``root`` by (started_at, execution_id). A level is one join on (run, parent); what
-    no level reaches hangs from a missing parent or a cycle.
+    The root is the first parentless ``root`` by (started_at, execution_id). A level is one join on (run, parent). What
+    hangs below a second root or below an execution whose parent is missing has the state of that topmost one; what no top
+    reaches is in a cycle or below one. ``walk``: the keys of the ancestors, by which siblings go in the order of their starts.
     """
     executions = written(executions, "tree-executions")
     first = F.row_number().over(Window.partitionBy("run_id").orderBy(F.asc_nulls_last("started_at"), "execution_id"))
-    roots = executions.where("parent_execution_id is null and execution_kind = 'root'").withColumn("n", first).where("n = 1")
-    edges = executions.select("run_id", F.col("parent_execution_id").alias("above"), F.col("execution_id").alias("child"))
+    roots = executions.where("parent_execution_id is null and execution_kind = 'root'").withColumn("n", first).where("n = 1").select("run_id", "execution_id", F.lit(True).alias("is_root"))
+    parents = executions.select("run_id", F.col("execution_id").alias("parent_execution_id"), F.lit(True).alias("has_parent"))
+    key = F.struct(F.col("started_at").isNull().alias("untimed"), F.col("started_at").alias("at"), F.col("execution_id").alias("id"))
+    marked = executions.join(roots, ["run_id", "execution_id"], "left").join(parents, ["run_id", "parent_execution_id"], "left")
+    state = F.when(F.col("is_root"), "placed").when(F.col("parent_execution_id").isNull(), "second_root").otherwise("orphan")
+    tops = marked.where("is_root or parent_execution_id is null or has_parent is null")
+    edges = executions.select("run_id", F.col("parent_execution_id").alias("above"), F.col("execution_id").alias("child"), key.alias("key"))
 
     def step(level: DataFrame) -> DataFrame:
         both = level.withColumnRenamed("execution_id", "above").join(edges, ["run_id", "above"]).where(~F.array_contains("path", F.col("child")))
-        return both.select("run_id", F.col("child").alias("execution_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path"))
+        return both.select("run_id", F.col("child").alias("execution_id"), "state", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.concat("walk", F.array("key")).alias("walk"))
 
-    placed = grown(roots.select("run_id", "execution_id", F.lit(0).alias("depth"), F.array("execution_id").alias("path")), step, deepest, "tree")
-    parents = executions.select("run_id", F.col("execution_id").alias("parent_execution_id"), F.lit(True).alias("has_parent"))
-    got = executions.join(placed, ["run_id", "execution_id"], "left").join(parents, ["run_id", "parent_execution_id"], "left")
-    state = F.when(F.col("depth").isNotNull(), "placed").when(F.col("parent_execution_id").isNull(), "second_root").when(F.col("has_parent").isNull(), "orphan").otherwise("unreached")
-    return got.select("run_id", "execution_id", "parent_execution_id", "depth", F.array_join("path", "/").alias("path"), state.alias("state"))
+    reached = grown(tops.select("run_id", "execution_id", state.alias("state"), F.lit(0).alias("depth"), F.array("execution_id").alias("path"), F.array(key).alias("walk")), step, deepest, "tree")
+    got = executions.select("run_id", "execution_id", "parent_execution_id").join(reached, ["run_id", "execution_id"], "left").withColumn("state", F.coalesce("state", F.lit("cyclic")))
+    under = lambda c: F.when(F.col("state") == "placed", c)
+    return got.select("run_id", "execution_id", "parent_execution_id", under(F.col("depth")).alias("depth"), under(F.array_join("path", "/")).alias("path"), "state", under(F.col("walk")).alias("walk"))
 
 
 def spanning_invocation(runs: DataFrame, invocations: DataFrame) -> DataFrame:

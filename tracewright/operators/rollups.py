@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import first_non_empty, normalize_remote, split_worktree
+from tracewright.functions.tables import placed
 
 KEY = ["agent", "session_id"]
 
@@ -97,24 +98,24 @@ PROJECT_SORTS = {
 }
 
 
-def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows in the order of keys such as ``x desc nulls last``."""
+def sort_columns(keys: list[str]) -> list[Column]:
+    """Columns to sort by from keys such as ``x desc nulls last``."""
     out = []
     for k in keys:
         name, *way = k.split()
         c = F.col(name)
         out.append((c.desc_nulls_last() if "last" in way else c.desc()) if "desc" in way else (c.asc_nulls_last() if "last" in way else c.asc()))
-    return df.orderBy(*out)
+    return out
+
+
+def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in that order."""
+    return df.orderBy(*sort_columns(keys))
 
 
 def ranked(df: DataFrame, keys: list[str], name: str = "place") -> DataFrame:
     """The rows with their place in that order."""
-    sorts = []
-    for k in keys:
-        column, *way = k.split()
-        c = F.col(column)
-        sorts.append((c.desc_nulls_last() if "last" in way else c.desc()) if "desc" in way else (c.asc_nulls_last() if "last" in way else c.asc()))
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*sorts)))
+    return placed(df, sort_columns(keys), name)
 
 
 def ticket_summary(tickets: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def walk(tree: DataFrame) -> DataFrame:
-    """G1: the placed executions of each run in depth-first order of their paths."""
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy("path"))
+    """G1: the placed executions of each run, depth first; siblings by start, then id."""
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("walk"))
     return tree.where("state = 'placed'").select("run_id", "execution_id", place.alias("place"))
 
 
@@ -33,10 +33,62 @@ def meter_tokens(units: DataFrame) -> DataFrame:
     return got.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens") + cached)
 
 
-def failure_classes(calls: DataFrame) -> DataFrame:
-    """Failed calls of a session by class, and tool time (null when nothing was timed)."""
-    kind = F.when(F.col("tool_kind").isNull(), "other").when(F.col("tool_kind") == "A", "api").when(F.col("tool_kind") == "R", "process").otherwise("tool")
-    return calls.withColumn("class", kind).groupBy("agent", "session_id").agg(F.count("*").alias("tool_calls"), F.count_if("is_error").alias("failures"), *(F.count_if(F.col("is_error") & (F.col("class") == c)).alias(f"{c}_failures") for c in ("api", "tool", "process", "other")), F.sum(F.when(F.col("duration_ms") >= 0, F.col("duration_ms"))).alias("tool_ms"))
+#: The class of each error source; a stop hook is a signal and no failure, other sources are ``other``.
+FAILURE_CLASSES = {"api_error": "api", "tool_error": "tool", "exec_error": "tool", "patch_error": "tool", "turn_aborted": "process", "stop_hook": "hook"}
+
+
+def meter_units(units: DataFrame, turns: DataFrame, calls: DataFrame, errors: DataFrame) -> DataFrame:
+    """What each unit's span of turns holds: turns and how many tell their conditions, calls by kind, tool time of timed calls only, failures by class.
+
+    units: unit, agent, session_id, first, last (turns; null: to the end); turns: agent, session_id, idx, model, effort,
+    cli_version; calls: agent, session_id, turn_idx, tool_kind, is_error, duration_ms; errors: agent, session_id, turn_idx, source.
+    Each fact is summed by unit on its own and joined after, so nothing is counted twice.
+    """
+    inside = lambda facts, idx: units.join(facts, ["agent", "session_id"]).where((F.col(idx) >= F.col("first")) & (F.col("last").isNull() | (F.col(idx) <= F.col("last"))))
+    told = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "").alias(f"turns_with_{c}")
+    t = inside(turns, "idx").groupBy("unit").agg(F.count("*").alias("turns"), *(told(c) for c in ("model", "effort", "cli_version")))
+    timed = F.col("duration_ms") >= 0
+    c = inside(calls, "turn_idx").withColumn("kind", F.coalesce(F.nullif("tool_kind", F.lit("")), F.lit("unknown"))).groupBy("unit", "kind").agg(F.count("*").alias("n"), F.count_if("is_error").alias("errored"), F.count_if(timed).alias("timed"), F.sum(F.when(timed, F.col("duration_ms"))).alias("ms"))
+    c = c.groupBy("unit").agg(F.sum("n").alias("tool_calls"), F.sum("errored").alias("errored_calls"), F.sum("timed").alias("timed_calls"), F.sum("ms").alias("tool_ms"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "kind", "n"))), ",").alias("calls_by_kind"))
+    table = F.create_map(*(F.lit(x) for kv in FAILURE_CLASSES.items() for x in kv))
+    e = inside(errors, "turn_idx").withColumn("class", F.coalesce(F.try_element_at(table, F.col("source")), F.lit("other")))
+    e = e.groupBy("unit").agg(*(F.count_if(F.col("class") == x).alias(f"{x}_failures" if x != "hook" else "hook_signals") for x in ("api", "tool", "process", "other", "hook")))
+    got = units.select("unit").join(t, "unit", "left").join(c, "unit", "left").join(e, "unit", "left")
+    return got.fillna(0, [x for x in got.columns if x not in ("unit", "tool_ms", "calls_by_kind")]).fillna("", ["calls_by_kind"])
+
+
+def root_span(runs: DataFrame, invocations: DataFrame, turns: DataFrame) -> DataFrame:
+    """The turns of a run's root: its invocation's, from the first turn that begins at or after the run's start and up to the last that begins by its cutoff.
+
+    runs: run_id, agent, session_id, idx (of the invocation, null: the whole session), at, cutoff; invocations: agent,
+    session_id, idx, first, last (null: session end); turns: agent, session_id, idx, started_at, ended_at. A start within the
+    invocation's own turn, or before it, narrows nothing. basis: session, invocation or started_at, with what bounds its end.
+    """
+    i = invocations.select("agent", "session_id", "idx", "first", "last", F.lit(True).alias("found"))
+    spans = runs.join(i, ["agent", "session_id", "idx"], "left").withColumn("low", F.coalesce("first", F.lit(0)))
+    t = turns.select("agent", "session_id", F.col("idx").alias("turn"), "started_at", "ended_at")
+    both = spans.join(t, ["agent", "session_id"], "left").where(F.col("turn").isNull() | ((F.col("turn") >= F.col("low")) & (F.col("last").isNull() | (F.col("turn") <= F.col("last")))))
+    own = F.col("turn") == F.col("low")
+    late = F.max(F.when(own, (F.col("at") > F.col("started_at")) & (F.col("ended_at").isNull() | (F.col("at") > F.col("ended_at"))))).over(Window.partitionBy("run_id"))
+    both = both.withColumn("narrowed", F.coalesce(F.col("found") & late, F.lit(False)))
+    kept = (~F.col("narrowed") | (F.col("started_at") >= F.col("at"))) & (F.col("cutoff").isNull() | (F.col("started_at") <= F.col("cutoff")))
+    got = both.groupBy("run_id").agg(F.min(F.when(kept, F.col("turn"))).alias("first_turn"), F.max(F.when(kept, F.col("turn"))).alias("last_turn"), F.bool_or("narrowed").alias("narrowed"), F.bool_or(F.coalesce("found", F.lit(False))).alias("found"), F.bool_or(F.col("last").isNotNull()).alias("bounded"))
+    basis = F.when(F.col("narrowed"), "started_at").when(F.col("found"), "invocation").otherwise("session")
+    bound = F.when(F.col("bounded"), "next invocation").otherwise("session end")
+    return got.select("run_id", "first_turn", "last_turn", basis.alias("basis"), bound.alias("bound"))
+
+
+def drift_gaps(unknown: DataFrame) -> DataFrame:
+    """A journal session's records that are not understood, but for type ``usage``, as gaps. unknown: agent, session_id, type, subtype, count."""
+    odd = unknown.where((F.col("agent") == "cursor-cli") & (F.col("type") != "usage"))
+    return odd.select("session_id", F.concat(F.col("type"), F.lit(":"), F.col("subtype"), F.lit(" count="), F.col("count").cast("string")).alias("gap"))
+
+
+def run_summaries(runs: DataFrame, scopes: DataFrame, failures: DataFrame) -> DataFrame:
+    """A run's list row: its units by scope, children and failures in all. scopes: G5 rows; failures: run_id and the classes of G3."""
+    wide = scopes.groupBy("run_id").agg(*(F.coalesce(F.max(F.when(F.col("scope") == s, F.col("units"))), F.lit(0)).alias(n) for s, n in (("total", "units"), ("descendants", "children"))))
+    total = sum((F.col(f"{c}_failures") for c in ("api", "tool", "process", "other")), F.lit(0))
+    return runs.join(wide, "run_id", "left").join(failures.select("run_id", total.alias("failures")), "run_id", "left")
 
 
 def run_time(executions: DataFrame) -> DataFrame:
@@ -49,8 +101,9 @@ def run_time(executions: DataFrame) -> DataFrame:
 
 
 def stage_groups(executions: DataFrame) -> DataFrame:
-    """Attempts of each stage of a run; retries are those after the first."""
-    got = executions.where("stage is not null").groupBy("run_id", "stage").agg(F.count("*").alias("attempts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("started_at", "execution_id"))), lambda x: x["execution_id"]), ",").alias("order"))
+    """Attempts of each (stage, occurrence) of a run, an untold occurrence being 0; retries are those after the first."""
+    at = F.array_sort(F.collect_list(F.struct("started_at", "execution_id")))
+    got = executions.where("stage is not null").groupBy("run_id", "stage", F.coalesce("stage_occurrence", F.lit(0)).alias("occurrence")).agg(F.count("*").alias("attempts"), F.array_join(F.transform(at, lambda x: x["execution_id"]), ",").alias("order"))
     return got.withColumn("retries", F.col("attempts") - 1)
 
 

@@ -42,3 +42,42 @@ def redacted(df: DataFrame, column: str = "text") -> DataFrame:
     shown = F.regexp_replace(column, f"{OPEN}([a-z-]+){CLOSE}", "[REDACTED:$1]")
     names = [c for c in df.columns if c != column]
     return out.select(*names, shown.alias(column), *(n.alias("n_" + kind.replace("-", "_")) for kind, n in counts.items()))
+
+
+#: How many characters of a shell command, and of any other value, are shown.
+COMMAND_CHARS, VALUE_CHARS = 120, 80
+
+
+def shortened(text: Column, most: int) -> Column:
+    """The first characters and three dots; a redaction mark that the cut breaks goes."""
+    return F.when(F.length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most), r"\[REDACTED[^\]]*$", ""), F.lit("..."))).otherwise(text)
+
+
+def tool_input_summary(calls: DataFrame, key: list[str]) -> DataFrame:
+    """L4: a short form of each call's arguments: key columns, name, input (JSON) give key columns and ``summary``. Values are redacted before they are cut.
+
+    A file tool shows its path, a search its pattern, an agent its description, a shell its command, an MCP tool its last name
+    and four arguments, any other tool two.
+    """
+    arg = lambda *names, none="?": F.coalesce(*(F.get_json_object("input", f"$.{n}") for n in names), F.lit(none))
+    name, mcp = F.col("name"), F.startswith(F.col("name"), F.lit("mcp__"))
+    plain = F.when(name.isin("Read", "Edit", "Write"), arg("file_path", "path")).when(name == "Grep", F.concat(F.lit('"'), arg("pattern"), F.lit('" in '), arg("path", none="."))).when(name == "Glob", arg("pattern")).when(name == "Agent", arg("description"))
+    entries = F.coalesce(F.map_entries(F.from_json("input", "MAP<STRING, STRING>")), F.array().cast("array<struct<key:string,value:string>>"))
+    entries = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    given = F.filter(entries, lambda e: (F.coalesce(e["value"], F.lit("")) != "") & (e["key"] != "sessionId"))
+    command = F.array(F.struct(F.lit("").alias("key"), arg("command", none="").alias("value")))
+    shown = F.when(plain.isNotNull(), F.array().cast("array<struct<key:string,value:string>>")).when(name == "Bash", command).when(mcp, F.slice(given, 1, 4)).otherwise(F.slice(entries, 1, 2))
+    pairs = redacted(calls.select(*key, "name", F.posexplode(shown).alias("pos", "e")).select(*key, "name", "pos", F.col("e.key").alias("arg"), F.coalesce("e.value", F.lit("None")).alias("text")))
+    value = F.when(F.col("name") == "Bash", shortened(F.col("text"), COMMAND_CHARS)).otherwise(F.concat("arg", F.lit("="), shortened(F.col("text"), VALUE_CHARS)))
+    texts = pairs.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("v")))), lambda x: x["v"]), ", ").alias("pairs"))
+    last = F.element_at(F.split("name", "__"), -1)
+    got = calls.join(texts, key, "left")
+    return got.select(*key, F.coalesce(plain, F.when(mcp, F.concat_ws(": ", last, "pairs")).otherwise(F.coalesce("pairs", F.lit("")))).alias("summary"))
+
+
+def command_text(text: Column) -> Column:
+    """The command and its output out of a command's wrappers; empty if there is neither."""
+    name = F.nullif(F.regexp_extract(text, r"<command-name>(/\w+)</command-name>", 1), F.lit(""))
+    out = F.regexp_replace(F.regexp_extract(text, r"(?s)<local-command-stdout>(.*?)</local-command-stdout>", 1), r"^\s+|\s+$", "")
+    out = F.when((out != "") & (out != "(no content)"), F.concat(F.lit("→ "), out))
+    return F.concat_ws(" ", name, out)

@@ -47,6 +47,7 @@ TABLES: dict[str, tuple[str, list[str], str]] = {
             "CASE o_orderkey % 4 WHEN 0 THEN '[tk-' || CAST(o_orderkey % 200 AS STRING) || '] fix it' WHEN 2 THEN 'work [ns/tk-' || CAST(o_orderkey % 200 AS STRING) || ']' END AS subject",
             "CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 6 END AS files_changed",
             "o_orderpriority AS model",
+            "CASE WHEN o_orderkey % 12 <> 0 THEN '1.' || CAST(o_orderkey % 3 AS STRING) END AS cli_version",
         ],
         "o_orderkey % 2 = 0",
     ),
@@ -68,6 +69,17 @@ TABLES: dict[str, tuple[str, list[str], str]] = {
         ],
         "",
     ),
+    # a failed line item is an error of its order's session
+    "errors": (
+        "lineitem",
+        [
+            AGENT.format(k="l_orderkey") + " AS agent",
+            "'o' || CAST(l_orderkey AS STRING) AS session_id",
+            "l_linenumber AS turn_idx",
+            "CASE l_partkey % 8 WHEN 0 THEN 'api_error' WHEN 1 THEN 'tool_error' WHEN 2 THEN 'exec_error' WHEN 3 THEN 'patch_error' WHEN 4 THEN 'turn_aborted' WHEN 5 THEN 'stop_hook' WHEN 6 THEN 'quota' ELSE 'tool_error' END AS source",
+        ],
+        "l_linestatus = 'F'",
+    ),
     # a turn of a conversation
     "turns": (
         "conversations",

@@ -73,9 +73,10 @@ def i5(spark, sf):
     return attributed(spark, sf)
 
 
-@query("i6_credit_slices", f"{FULL}, w AS (SELECT DISTINCT commit_hash, agent FROM commits), s AS (SELECT agent, count(DISTINCT introducing_hash) AS introducing, sum(1.0::DOUBLE / commits) AS credit FROM roll JOIN att USING (ticket) JOIN w ON introducing_hash = commit_hash GROUP BY agent) SELECT agent, count(DISTINCT commit_hash) AS commits, coalesce(any_value(introducing), 0) AS introducing, round(coalesce(any_value(credit), 0.0::DOUBLE), 6) AS credit, round(coalesce(any_value(credit), 0.0::DOUBLE) / count(DISTINCT commit_hash), 6) AS rate FROM w LEFT JOIN s USING (agent) GROUP BY agent")
+@query("i6_credit_slices", f"{FULL}, w AS (SELECT commit_hash, agent, coalesce(model, '') AS model, coalesce(cli_version, '') AS cli_version FROM commits QUALIFY row_number() OVER (PARTITION BY commit_hash ORDER BY committed_at NULLS LAST, agent, session_id) = 1), s AS (SELECT introducing_hash, sum(1.0::DOUBLE / commits) AS credit FROM roll JOIN att USING (ticket) GROUP BY 1) SELECT agent, model, cli_version, count(*) AS commits, count(credit) AS introducing, round(coalesce(sum(credit), 0.0::DOUBLE), 6) AS credit, round(count(credit) / count(*), 6) AS rate FROM w LEFT JOIN s ON commit_hash = introducing_hash GROUP BY ALL")
 def i6(spark, sf):
-    return a.credit_slices(rollup(spark, sf), attributed(spark, sf), a.first_owner(table(spark, sf, "commits"))).select("agent", "commits", "introducing", F.round("credit", 6).alias("credit"), F.round("rate", 6).alias("rate"))
+    owners = a.first_owner(table(spark, sf, "commits"), "model", "cli_version")
+    return a.credit_slices(rollup(spark, sf), attributed(spark, sf), owners).select("agent", "model", "cli_version", "commits", "introducing", F.round("credit", 6).alias("credit"), F.round("rate", 6).alias("rate"))
 
 
 @query("i7_attribution_precision", f"{FULL}, lab AS (SELECT ticket, min(introducing_hash) AS h FROM roll GROUP BY 1 HAVING length(ticket) % 2 = 0 UNION ALL SELECT ticket, 'none' FROM roll GROUP BY 1 HAVING length(ticket) % 2 = 1) SELECT count(*) AS labelled, count(*) FILTER (h = introducing_hash) AS right, count(*) FILTER (h = introducing_hash) / nullif(count(*), 0) AS precision FROM att JOIN roll USING (ticket) JOIN lab USING (ticket) WHERE class = 'single'")
@@ -194,10 +195,57 @@ def g4(spark, sf):
     return g.meter_tokens(table(spark, sf, "tool_calls").withColumn("run_id", F.col("session_id")))
 
 
-@query("g3_failure_classes", f"""{cte('tool_calls')}, k AS (SELECT *, CASE WHEN tool_kind IS NULL THEN 'other' WHEN tool_kind = 'A' THEN 'api' WHEN tool_kind = 'R' THEN 'process' ELSE 'tool' END AS class FROM tool_calls)
-SELECT agent, session_id, count(*) AS tool_calls, count(*) FILTER (is_error) AS failures, count(*) FILTER (is_error AND class = 'api') AS api_failures, count(*) FILTER (is_error AND class = 'tool') AS tool_failures, count(*) FILTER (is_error AND class = 'process') AS process_failures, count(*) FILTER (is_error AND class = 'other') AS other_failures, sum(duration_ms) FILTER (duration_ms >= 0)::BIGINT AS tool_ms FROM k GROUP BY ALL""")
+U = "u AS (SELECT session_id || '/a' AS unit, agent, session_id, 2 AS first, 5 AS last FROM sessions WHERE turn_count > 1 UNION ALL SELECT session_id || '/b', agent, session_id, 0, NULL FROM sessions WHERE turn_count IS NULL)"
+METER = f"""{cte('sessions', 'tool_calls', 'errors')}, {U}, c AS (SELECT *, (seq + 1)::INT AS turn_idx FROM tool_calls),
+t AS (SELECT unit, count(*) AS turns, count(*) FILTER (c.tool_kind IS NOT NULL) AS turns_with_model, 0::BIGINT AS turns_with_effort, count(*) FILTER (duration_ms IS NOT NULL) AS turns_with_cli_version FROM u JOIN c USING (agent, session_id) WHERE turn_idx >= first AND (last IS NULL OR turn_idx <= last) GROUP BY unit),
+k AS (SELECT unit, coalesce(tool_kind, 'unknown') AS kind, count(*) AS n, count(*) FILTER (is_error) AS e, count(*) FILTER (duration_ms >= 0) AS timed, sum(duration_ms) FILTER (duration_ms >= 0) AS ms FROM u JOIN c USING (agent, session_id) WHERE turn_idx >= first AND (last IS NULL OR turn_idx <= last) GROUP BY ALL),
+kk AS (SELECT unit, sum(n)::BIGINT AS tool_calls, sum(e)::BIGINT AS errored_calls, sum(timed)::BIGINT AS timed_calls, sum(ms)::BIGINT AS tool_ms, string_agg(kind || '=' || CAST(n AS VARCHAR), ',' ORDER BY kind) AS calls_by_kind FROM k GROUP BY unit),
+e AS (SELECT unit, count(*) FILTER (source = 'api_error') AS api_failures, count(*) FILTER (source IN ('tool_error', 'exec_error', 'patch_error')) AS tool_failures, count(*) FILTER (source = 'turn_aborted') AS process_failures, count(*) FILTER (source = 'quota') AS other_failures, count(*) FILTER (source = 'stop_hook') AS hook_signals FROM u JOIN errors USING (agent, session_id) WHERE turn_idx >= first AND (last IS NULL OR turn_idx <= last) GROUP BY unit),
+metered AS (SELECT unit, coalesce(turns, 0) AS turns, coalesce(turns_with_model, 0) AS turns_with_model, coalesce(turns_with_effort, 0) AS turns_with_effort, coalesce(turns_with_cli_version, 0) AS turns_with_cli_version, coalesce(tool_calls, 0) AS tool_calls, coalesce(errored_calls, 0) AS errored_calls, coalesce(timed_calls, 0) AS timed_calls, tool_ms, coalesce(calls_by_kind, '') AS calls_by_kind, coalesce(api_failures, 0) AS api_failures, coalesce(tool_failures, 0) AS tool_failures, coalesce(process_failures, 0) AS process_failures, coalesce(other_failures, 0) AS other_failures, coalesce(hook_signals, 0) AS hook_signals FROM u LEFT JOIN t USING (unit) LEFT JOIN kk USING (unit) LEFT JOIN e USING (unit))"""
+
+
+def metered(spark, sf):
+    s = table(spark, sf, "sessions")
+    u = s.where("turn_count > 1").selectExpr("session_id || '/a' AS unit", "agent", "session_id", "2 AS first", "5 AS last").union(s.where("turn_count IS NULL").selectExpr("session_id || '/b'", "agent", "session_id", "0", "CAST(NULL AS INT)"))
+    c = table(spark, sf, "tool_calls").withColumn("turn_idx", (F.col("seq") + 1).cast("int"))
+    turns = c.selectExpr("agent", "session_id", "turn_idx AS idx", "tool_kind AS model", "'' AS effort", "CAST(duration_ms AS STRING) AS cli_version")
+    return g.meter_units(u, turns, c, table(spark, sf, "errors"))
+
+
+@query("g3_meter_units", f"{METER} SELECT * FROM metered")
 def g3(spark, sf):
-    return g.failure_classes(table(spark, sf, "tool_calls"))
+    return metered(spark, sf)
+
+
+@query("g11_run_summaries", f"""{METER.replace('WITH ', 'WITH RECURSIVE ', 1)}, {EXECUTIONS.replace('WITH ', '', 1)}, {TREE}, r AS (SELECT DISTINCT run_id FROM executions), n AS (SELECT run_id, count(*) AS units, count(*) FILTER (NOT (b.depth = 0 OR execution_kind = 'human')) AS children FROM executions e JOIN built b USING (run_id, execution_id) WHERE state = 'placed' GROUP BY run_id)
+SELECT r.run_id, units, children, api_failures + tool_failures + process_failures + other_failures AS failures FROM r LEFT JOIN n USING (run_id) LEFT JOIN metered ON unit = 'o' || substring(run_id, 2) || '/a'""")
+def g11(spark, sf):
+    runs = executions(spark, sf).select("run_id").distinct()
+    failures = metered(spark, sf).where(F.col("unit").endswith("/a")).withColumn("run_id", F.concat(F.lit("r"), F.regexp_extract("unit", "^o(.*)/a$", 1)))
+    return g.run_summaries(runs, g.meter_scopes(units(spark, sf), ["records"]), failures)
+
+
+@query("g14_drift_gaps", "SELECT 's' || CAST(user_id AS VARCHAR) AS session_id, event_type || ':t' || CAST(user_id % 3 AS VARCHAR) || ' count=' || CAST(count(*) AS VARCHAR) AS gap FROM events WHERE user_id % 3 = 2 AND event_type <> 'view' GROUP BY user_id, event_type")
+def g14(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("CASE WHEN user_id % 3 = 2 THEN 'cursor-cli' ELSE 'codex-cli' END AS agent", "'s' || CAST(user_id AS STRING) AS session_id", "CASE WHEN event_type = 'view' THEN 'usage' ELSE event_type END AS type", "'t' || CAST(user_id % 3 AS STRING) AS subtype")
+    return g.drift_gaps(e.groupBy("agent", "session_id", "type", "subtype").agg(F.count("*").alias("count")))
+
+
+SPAN_RUNS = "SELECT 'q' || CAST(o_orderkey AS {s}) AS run_id, 'a' AS agent, 'k' || CAST(o_custkey AS {s}) AS session_id, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS idx, o_orderdate AS at, CASE WHEN o_orderkey % 4 = 0 THEN {cut} END AS cutoff FROM {t} WHERE o_orderkey % 5 = 0"
+SPAN_TURNS = "SELECT 'a' AS agent, 'k' || CAST(o_custkey AS {s}) AS session_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS idx, o_orderdate AS started_at, CASE WHEN o_orderkey % 2 = 0 THEN {end} END AS ended_at FROM {t}"
+SPAN_INVOCATIONS = "SELECT DISTINCT 'a' AS agent, 'k' || CAST(o_custkey AS {s}) AS session_id, i AS idx, i * 3 AS first, CASE i WHEN 0 THEN 2 END AS last FROM {t} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1)"
+
+
+@query("g2_root_span", f"""WITH r AS ({SPAN_RUNS.format(s='VARCHAR', t='orders', cut='o_orderdate + INTERVAL 400 DAY')}), t AS ({SPAN_TURNS.format(s='VARCHAR', t='orders', end='o_orderdate + INTERVAL 2 DAY')}), i AS ({SPAN_INVOCATIONS.format(s='VARCHAR', t='orders')}),
+s AS (SELECT r.*, i.idx IS NOT NULL AS found, coalesce(first, 0) AS low, last FROM r LEFT JOIN i USING (agent, session_id, idx)),
+n AS (SELECT s.run_id, bool_or(s."at" > t.started_at AND (t.ended_at IS NULL OR s."at" > t.ended_at)) AS late FROM s JOIN t USING (agent, session_id) WHERE t.idx = s.low GROUP BY 1),
+b AS (SELECT s.*, t.idx AS turn, t.started_at, coalesce(found AND late, false) AS narrowed FROM s LEFT JOIN n USING (run_id) JOIN t USING (agent, session_id) WHERE t.idx >= low AND (last IS NULL OR t.idx <= last)),
+k AS (SELECT *, (NOT narrowed OR started_at >= "at") AND (cutoff IS NULL OR started_at <= cutoff) AS kept FROM b)
+SELECT run_id, min(turn) FILTER (kept) AS first_turn, max(turn) FILTER (kept) AS last_turn, CASE WHEN bool_or(narrowed) THEN 'started_at' WHEN bool_or(found) THEN 'invocation' ELSE 'session' END AS basis, CASE WHEN bool_or(last IS NOT NULL) THEN 'next invocation' ELSE 'session end' END AS "bound" FROM k GROUP BY run_id""")
+def g2(spark, sf):
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("span_orders")
+    got = lambda x, **more: spark.sql(x.format(s="STRING", t="span_orders", **more))
+    return g.root_span(got(SPAN_RUNS, cut="o_orderdate + INTERVAL 400 DAY"), got(SPAN_INVOCATIONS), got(SPAN_TURNS, end="o_orderdate + INTERVAL 2 DAY"))
 
 
 @query("g7_run_time", f"""{EXECUTIONS}, e AS (SELECT run_id, min(started_at) AS a, max(ended_at) AS z, max(last_seen) AS seen, sum((epoch_us(ended_at) - epoch_us(started_at)) // 1000) FILTER (ended_at >= started_at)::BIGINT AS execution_ms, count(*) FILTER (ended_at >= started_at) AS timed, count(*) AS executions FROM executions GROUP BY run_id)
@@ -206,6 +254,6 @@ def g7(spark, sf):
     return g.run_time(executions(spark, sf))
 
 
-@query("g9_stage_groups", f"""{EXECUTIONS} SELECT run_id, stage, count(*) AS attempts, string_agg(execution_id, ',' ORDER BY started_at, execution_id) AS "order", count(*) - 1 AS retries FROM executions WHERE stage IS NOT NULL GROUP BY ALL""")
+@query("g9_stage_groups", f"""{EXECUTIONS}, o AS (SELECT *, coalesce(CASE WHEN records < 3 THEN records END, 0) AS occurrence FROM executions) SELECT run_id, stage, occurrence, count(*) AS attempts, string_agg(execution_id, ',' ORDER BY started_at, execution_id) AS "order", count(*) - 1 AS retries FROM o WHERE stage IS NOT NULL GROUP BY ALL""")
 def g9(spark, sf):
-    return g.stage_groups(executions(spark, sf))
+    return g.stage_groups(executions(spark, sf).withColumn("stage_occurrence", F.when(F.col("records") < 3, F.col("records"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import friction_signature
+from tracewright.functions.tables import shared_dir
 from tracewright.operators import journal as j
 from tracewright.operators import knowledge as k
 from tracewright.operators import text as x
@@ -53,16 +54,16 @@ def k7(spark, sf):
 
 @query("k8_clusters")
 def k8(spark, sf):
-    p.shared_dir(spark)
+    shared_dir(spark)
     members = notes(spark, sf).select("node").distinct()
     return k.clusters(members, k.jaccard_pairs(notes(spark, sf), LEAST), LEAST)
 
 
-@query("k9_partition_faults", "WITH g AS (SELECT CASE WHEN n_nationkey = 3 THEN 4 WHEN n_nationkey = 9 THEN 99 ELSE n_nationkey END AS node FROM nation), n AS (SELECT node, count(*) AS c FROM g GROUP BY node) SELECT coalesce(m.n_nationkey, n.node) AS node, CASE WHEN m.n_nationkey IS NULL THEN 'foreign' WHEN n.node IS NULL THEN 'missing' ELSE 'repeated' END AS fault FROM nation m FULL JOIN n ON m.n_nationkey = n.node WHERE m.n_nationkey IS NULL OR n.node IS NULL OR c > 1")
+@query("k9_partition_faults", "WITH g AS (SELECT CASE WHEN c_custkey = 3 THEN 4 WHEN c_custkey = 9 THEN 99999999 ELSE c_custkey END AS node FROM customer), n AS (SELECT node, count(*) AS c FROM g GROUP BY node) SELECT coalesce(m.c_custkey, n.node) AS node, CASE WHEN m.c_custkey IS NULL THEN 'foreign' WHEN n.node IS NULL THEN 'missing' ELSE 'repeated' END AS fault FROM customer m FULL JOIN n ON m.c_custkey = n.node WHERE m.c_custkey IS NULL OR n.node IS NULL OR c > 1")
 def k9(spark, sf):
-    nation = spark.read.parquet(f"{sf}/nation.parquet")
-    groups = nation.selectExpr("n_regionkey AS g", "CASE WHEN n_nationkey = 3 THEN 4 WHEN n_nationkey = 9 THEN 99 ELSE n_nationkey END AS node")
-    return k.partition_faults(nation.select(F.col("n_nationkey").alias("node")), groups)
+    customer = spark.read.parquet(f"{sf}/customer.parquet")
+    groups = customer.selectExpr("c_nationkey AS g", "CASE WHEN c_custkey = 3 THEN 4 WHEN c_custkey = 9 THEN 99999999 ELSE c_custkey END AS node")
+    return k.partition_faults(customer.select(F.col("c_custkey").alias("node")), groups)
 
 
 NOTE_WORDS = WORDS.replace("text", "p_name")

@@ -1,0 +1,118 @@
+"""Queries of messages and review blocks: conversations and orders give the cases, SQL says what each must give."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracewright.functions import scalars as n
+from tracewright.operators import derive as d
+from tracewright.operators import text as x
+from tracewright.plans.registry import query
+
+K = "(conv_id + turn)"
+TK = "'tk-' || CAST(turn AS STRING)"
+MESSAGE = f"""CASE {K} % 8 WHEN 0 THEN '<system-reminder>note</system-reminder> <command-name>/work</command-name><command-args> ' || {TK} || ' more</command-args>' WHEN 1 THEN '#work ' || {TK} WHEN 2 THEN '$work' WHEN 3 THEN '<task-notification>done' WHEN 4 THEN '   '
+ WHEN 5 THEN 'please look at file ' || CAST(turn AS STRING) WHEN 6 THEN '<skill> <name>work</name></skill> #work ' || {TK} ELSE '<system-reminder>a</system-reminder>  <system-reminder>b</system-reminder>hello ' || CAST(turn AS STRING) END"""
+
+
+def rows(spark, sf, **columns):
+    """Key and computed columns of the conversations."""
+    return spark.read.parquet(f"{sf}/conversations.parquet").selectExpr("conv_id", "turn", *(f"{e} AS {c}" for c, e in columns.items()))
+
+
+@query("c12_work_invocations", f"SELECT conv_id, turn, CASE WHEN {K} % 8 IN (0, 1, 6) THEN {TK} ELSE '' END AS ticket FROM conversations WHERE {K} % 8 IN (0, 1, 2, 6)")
+def c12(spark, sf):
+    return rows(spark, sf, m=MESSAGE).select("conv_id", "turn", d.work_invocation(F.col("m")).alias("ticket")).where("ticket is not null")
+
+
+@query("c13_human_interaction", f"SELECT conv_id, turn, {K} % 8 IN (5, 7) AS human FROM conversations")
+def c13(spark, sf):
+    return rows(spark, sf, m=MESSAGE).select("conv_id", "turn", d.human_interaction(F.col("m")).alias("human"))
+
+
+@query("c14_strip_reminders", f"SELECT conv_id, turn, CASE {K} % 8 WHEN 0 THEN '<command-name>/work</command-name><command-args> ' || {TK} || ' more</command-args>' WHEN 4 THEN '' WHEN 7 THEN 'hello ' || CAST(turn AS STRING) ELSE {MESSAGE} END AS message FROM conversations")
+def c14(spark, sf):
+    return rows(spark, sf, m=MESSAGE).select("conv_id", "turn", d.strip_reminders(F.col("m")).alias("message"))
+
+
+LINES = f"CASE {K} % 3 WHEN 0 THEN 'Dispatching (x round ' || CAST(turn AS STRING) || '): contract, Quality' || chr(10) || 'dispatching (round 2): docs' WHEN 1 THEN 'dispatching (no number): tests' ELSE 'none' END"
+
+
+@query("c15_dispatch_commitments", f"SELECT conv_id, turn, CASE {K} % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS lines, CASE {K} % 3 WHEN 0 THEN greatest(turn, 2) ELSE 0 END::INT AS max_round, {K} % 3 = 1 AS unparseable, CASE {K} % 3 WHEN 0 THEN 'contract,quality,docs' WHEN 1 THEN 'tests' ELSE '' END AS lenses FROM conversations")
+def c15(spark, sf):
+    got = rows(spark, sf, m=LINES).withColumn("c", d.commitments(F.col("m")))
+    return got.select("conv_id", "turn", "c.lines", "c.max_round", "c.unparseable", F.array_join("c.lenses", ",").alias("lenses"))
+
+
+SUMMARY = f"CASE {K} % 4 WHEN 0 THEN 'the context was shared' WHEN 1 THEN 'this was not contaminated' WHEN 2 THEN 'fine' END"
+STATE = f"CASE {K} % 5 WHEN 0 THEN 'contaminated' WHEN 1 THEN 'clean' END"
+
+
+@query("c11_contamination", f"SELECT conv_id, turn, CASE {K} % 5 WHEN 0 THEN true WHEN 1 THEN false ELSE {K} % 4 = 0 END AS contaminated FROM conversations")
+def c11(spark, sf):
+    return rows(spark, sf, s=SUMMARY, state=STATE).select("conv_id", "turn", d.contaminated(F.col("state"), F.col("s")).alias("contaminated"))
+
+
+@query("c10_lens_response_id", "SELECT conv_id, turn, sha256(concat_ws(chr(31), 'a', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))) AS response_id FROM conversations")
+def c10(spark, sf):
+    return rows(spark, sf).select("conv_id", "turn", d.response_id(F.lit("a"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("response_id"))
+
+
+EVENT = f"""CASE {K} % 7 WHEN 0 THEN 'The user doesn''t want this' WHEN 1 THEN 'permission was denied by the classifier' WHEN 2 THEN 'exit 1' WHEN 3 THEN '[Request interrupted by user]' ELSE 'plain' END"""
+
+
+@query("c5_friction_events", f"SELECT conv_id, turn, CASE {K} % 7 WHEN 0 THEN 'permission.denied_by_user' WHEN 1 THEN 'permission.classifier_denied' WHEN 2 THEN 'tool.error' WHEN 3 THEN 'user.interrupt' WHEN 4 THEN 'hook.ask' ELSE 'hook.deny' END AS kind FROM conversations WHERE {K} % 7 <> 6")
+def c5(spark, sf):
+    got = rows(spark, sf, e=EVENT, r=f"{K} % 7 < 3", h=f"CASE {K} % 7 WHEN 4 THEN 'ask' WHEN 5 THEN 'deny' END")
+    return got.select("conv_id", "turn", d.friction_kind(F.col("r"), F.col("r"), F.col("e"), F.col("h")).alias("kind")).where("kind is not null")
+
+
+FENCED = f"""'intro' || chr(10) || '```json' || chr(10) || CASE {K} % 5 WHEN 0 THEN '{{"lens":"contract","verdict":"pass","summary":"s' || CAST(turn AS STRING) || '","criteria":[{{"id":"c1","text":"t","status":"met","evidence":"e"}},{{"id":"c2"}}]}}' WHEN 1 THEN '{{"lens": "tests", ' WHEN 2 THEN '{{"lens":"taste","verdict":"pass"}}' WHEN 3 THEN '{{"lens":"docs","verdict":"fail"}}' ELSE '{{"a":1}}' END || chr(10) || CASE {K} % 5 WHEN 3 THEN '' ELSE '```' || chr(10) || 'after' END"""
+
+
+def blocks(spark, sf):
+    return d.lens_status(d.lens_blocks(rows(spark, sf, text=FENCED)))
+
+
+@query("c7_lens_blocks", f"SELECT conv_id, turn, 0 AS ordinal, {K} % 5 = 3 AS unterminated FROM conversations WHERE {K} % 5 < 4")
+def c7(spark, sf):
+    return d.lens_blocks(rows(spark, sf, text=FENCED)).select("conv_id", "turn", "ordinal", "unterminated")
+
+
+@query("c8_lens_validate", f"SELECT conv_id, turn, CASE {K} % 5 WHEN 0 THEN 'parsed' ELSE 'malformed' END AS status, CASE {K} % 5 WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'unknown_lens' WHEN 3 THEN 'unterminated' END AS reason, CASE {K} % 5 WHEN 0 THEN 'contract' WHEN 1 THEN 'tests' WHEN 2 THEN 'taste' ELSE 'docs' END AS lens, CASE {K} % 5 WHEN 0 THEN 's' || CAST(turn AS VARCHAR) END AS summary FROM conversations WHERE {K} % 5 < 4")
+def c8(spark, sf):
+    return blocks(spark, sf).select("conv_id", "turn", "status", "reason", "lens", "summary")
+
+
+@query("c9_lens_criteria", f"SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS response_id, i AS ordinal, CASE i WHEN 0 THEN 'c1' ELSE 'c2' END AS id, CASE i WHEN 0 THEN 'met' END AS status FROM conversations, (SELECT unnest([0, 1])::INT AS i) WHERE {K} % 5 = 0")
+def c9(spark, sf):
+    got = blocks(spark, sf).withColumn("response_id", F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")))
+    return d.lens_items(got, "criteria").select("response_id", "ordinal", "id", "status")
+
+
+@query("l4_tool_input_summary", f"""SELECT conv_id, turn, CASE {K} % 6 WHEN 0 THEN 'run ' || CAST(turn AS VARCHAR) || ' --key [REDACTED:openai-key]' WHEN 1 THEN '/src/' || CAST(turn AS VARCHAR) WHEN 2 THEN '"p' || CAST(turn AS VARCHAR) || '" in .' WHEN 3 THEN 'send: to=x' || CAST(turn AS VARCHAR) || ', body=' || repeat('y', 80) || '...' WHEN 4 THEN 'a=1, b=2' ELSE repeat('z', 120) || '...' END AS summary FROM conversations""")
+def l4(spark, sf):
+    name = f"CASE {K} % 6 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Read' WHEN 2 THEN 'Grep' WHEN 3 THEN 'mcp__mail__send' WHEN 4 THEN 'Other' ELSE 'Bash' END"
+    given = f"""CASE {K} % 6 WHEN 0 THEN map('command', 'run ' || turn || ' --key sk-abcdefghijklmnopqrstuvwxyz') WHEN 1 THEN map('file_path', '/src/' || turn) WHEN 2 THEN map('pattern', 'p' || turn) WHEN 3 THEN map('sessionId', 's', 'to', 'x' || turn, 'none', '', 'body', repeat('y', 90)) WHEN 4 THEN map('a', '1', 'b', '2', 'c', '3') ELSE map('command', repeat('z', 200)) END"""
+    return x.tool_input_summary(rows(spark, sf, name=name, input=f"to_json({given})"), ["conv_id", "turn"])
+
+
+@query("l5_command_human_text", f"SELECT conv_id, turn, CASE {K} % 4 WHEN 0 THEN '/go → out ' || CAST(turn AS VARCHAR) WHEN 1 THEN '/go' WHEN 2 THEN '→ x' ELSE '' END AS text FROM conversations")
+def l5(spark, sf):
+    got = rows(spark, sf, m=f"CASE {K} % 4 WHEN 0 THEN '<command-name>/go</command-name> y <local-command-stdout> out ' || turn || chr(10) || '</local-command-stdout>' WHEN 1 THEN '<command-name>/go</command-name><local-command-stdout>(no content)</local-command-stdout>' WHEN 2 THEN '<local-command-stdout>x</local-command-stdout>' ELSE 'plain' END")
+    return got.select("conv_id", "turn", x.command_text(F.col("m")).alias("text"))
+
+
+@query("l6_sanitize_controls", f"SELECT conv_id, turn, CASE {K} % 3 WHEN 0 THEN 'a\\x07b\\x1b[0m' WHEN 1 THEN 'c\\x7f\\x0ad' ELSE 'plain é' END AS shown, CASE {K} % 3 WHEN 0 THEN 'a b [0m' WHEN 1 THEN 'c d' ELSE 'plain é' END AS flat FROM conversations")
+def l6(spark, sf):
+    got = rows(spark, sf, m=f"CASE {K} % 3 WHEN 0 THEN 'a' || chr(7) || 'b' || chr(27) || '[0m' WHEN 1 THEN 'c' || chr(127) || chr(10) || 'd' ELSE 'plain é' END")
+    return got.select("conv_id", "turn", n.sanitize_controls(F.col("m")).alias("shown"), n.flatten_controls(F.col("m")).alias("flat"))
+
+
+SCALARS = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'https://h/r' || CAST(o_orderkey AS {s}) WHEN 1 THEN 'h.org:o/r' ELSE 'plain' END AS n2_remote, 'Name ' || CAST(o_orderkey AS {s}) AS n5_name, CAST(o_orderkey AS DOUBLE) / 8 + 0.25 AS n9_usd, 'first ' || CAST(o_orderkey AS {s}) AS n11_line, o_orderkey % 4 IN (0, 3) AS n12_safe, o_orderkey % 4 = 0 AS n13_id FROM {t}"""
+
+
+@query("n_scalar_helpers", SCALARS.format(s="VARCHAR", t="orders"))
+def scalars(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey", "CASE o_orderkey % 3 WHEN 0 THEN 'https://user:pw@h/r' || o_orderkey WHEN 1 THEN 'git@h.org:o/r' ELSE 'plain' END AS remote", "'name ' || o_orderkey AS name", "o_orderkey / 8 + 0.25 AS usd", "chr(10) || '   ' || chr(10) || '  first ' || o_orderkey || ' ' || chr(10) || 'second' AS lines", "CASE o_orderkey % 4 WHEN 0 THEN 'a.b-c_' || o_orderkey WHEN 1 THEN '..' WHEN 2 THEN 'a/b' ELSE '-x' END AS part")
+    return o.select("o_orderkey", n.strip_userinfo(F.col("remote")).alias("n2_remote"), n.title_case(F.col("name")).alias("n5_name"), n.round_usd(F.col("usd").cast("double")).alias("n9_usd"), n.first_line(F.col("lines")).alias("n11_line"), n.safe_component(F.col("part")).alias("n12_safe"), n.artifact_id_ok(F.col("part")).alias("n13_id"))

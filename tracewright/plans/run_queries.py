@@ -54,17 +54,17 @@ def f5(spark, sf):
 
 
 TREE = """roots AS (SELECT run_id, execution_id FROM executions WHERE parent_execution_id IS NULL AND execution_kind = 'root' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY started_at NULLS LAST, execution_id) = 1),
-tree AS (SELECT run_id, execution_id, 0 AS depth, [execution_id] AS path FROM roots UNION ALL SELECT e.run_id, e.execution_id, t.depth + 1, list_append(t.path, e.execution_id) FROM tree t JOIN executions e ON e.run_id = t.run_id AND e.parent_execution_id = t.execution_id WHERE NOT list_contains(t.path, e.execution_id)),
-built AS (SELECT e.run_id, e.execution_id, e.parent_execution_id, t.depth, array_to_string(t.path, '/') AS path, CASE WHEN t.depth IS NOT NULL THEN 'placed' WHEN e.parent_execution_id IS NULL THEN 'second_root' WHEN p.execution_id IS NULL THEN 'orphan' ELSE 'unreached' END AS state
- FROM executions e LEFT JOIN tree t USING (run_id, execution_id) LEFT JOIN executions p ON p.run_id = e.run_id AND p.execution_id = e.parent_execution_id)"""
+tops AS (SELECT e.run_id, e.execution_id, coalesce(epoch_us(e.started_at), 9223372036854775807) AS began, CASE WHEN r.execution_id IS NOT NULL THEN 'placed' WHEN e.parent_execution_id IS NULL THEN 'second_root' ELSE 'orphan' END AS state FROM executions e LEFT JOIN roots r USING (run_id, execution_id) LEFT JOIN executions p ON p.run_id = e.run_id AND p.execution_id = e.parent_execution_id WHERE e.parent_execution_id IS NULL OR p.execution_id IS NULL),
+tree AS (SELECT run_id, execution_id, state, 0 AS depth, [execution_id] AS path, [{'a': began, 'e': execution_id}] AS walk FROM tops UNION ALL SELECT e.run_id, e.execution_id, t.state, t.depth + 1, list_append(t.path, e.execution_id), list_append(t.walk, {'a': coalesce(epoch_us(e.started_at), 9223372036854775807), 'e': e.execution_id}) FROM tree t JOIN executions e ON e.run_id = t.run_id AND e.parent_execution_id = t.execution_id WHERE NOT list_contains(t.path, e.execution_id)),
+built AS (SELECT e.run_id, e.execution_id, e.parent_execution_id, CASE WHEN t.state = 'placed' THEN t.depth END AS depth, CASE WHEN t.state = 'placed' THEN array_to_string(t.path, '/') END AS path, coalesce(t.state, 'cyclic') AS state, CASE WHEN t.state = 'placed' THEN t.walk END AS walk FROM executions e LEFT JOIN tree t USING (run_id, execution_id))"""
 
 
-@query("f7_build_tree", f"{EXECUTIONS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {TREE} SELECT * FROM built")
+@query("f7_build_tree", f"{EXECUTIONS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {TREE} SELECT * EXCLUDE (walk) FROM built")
 def f7(spark, sf):
-    return f.build_tree(executions(spark, sf))
+    return f.build_tree(executions(spark, sf)).drop("walk")
 
 
-@query("g1_run_walk", f"{EXECUTIONS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {TREE} SELECT run_id, execution_id, row_number() OVER (PARTITION BY run_id ORDER BY path)::INT AS place FROM built WHERE state = 'placed'")
+@query("g1_run_walk", f"{EXECUTIONS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {TREE} SELECT run_id, execution_id, row_number() OVER (PARTITION BY run_id ORDER BY walk)::INT AS place FROM built WHERE state = 'placed'")
 def g1(spark, sf):
     from tracewright.operators.run_report import walk
 
@@ -104,3 +104,15 @@ def f10(spark, sf):
 SELECT agent, root_id, session_id, depth FROM t""")
 def f12(spark, sf):
     return f.descendants(table(spark, sf, "sessions"))
+
+
+FIRST_START = f"{EXECUTIONS}, runs AS (SELECT run_id, min(started_at) AS started_at, count(*) AS executions FROM executions GROUP BY run_id)"
+
+
+@query("f6_run_time_filter", f"{FIRST_START} SELECT run_id, executions FROM runs WHERE started_at >= TIMESTAMP '1996-01-01' AND started_at < TIMESTAMP '1998-06-01'")
+def f6(spark, sf):
+    from tracewright.operators.pricing import in_range
+
+    runs = executions(spark, sf).groupBy("run_id").agg(F.min("started_at").alias("started_at"), F.count("*").alias("executions"))
+    at = lambda x: F.expr(f"TIMESTAMP_NTZ '{x} 00:00:00'")
+    return runs.where(in_range(F.col("started_at"), at("1996-01-01"), at("1998-06-01"))).select("run_id", "executions")

@@ -159,7 +159,7 @@ SESSION_COMMITS = "SELECT 'a' AS agent, 'k' || CAST(o_custkey AS {s}) AS session
 
 
 @query("c17_source_tickets", f"""WITH c AS ({SESSION_COMMITS.format(s='VARCHAR', t='orders')}), m AS (SELECT *, regexp_extract(subject, '\\[([^\\]]+)\\]', 1) AS ticket FROM c WHERE subject <> 'plain'), f AS (SELECT agent, session_id, ticket, min(seq) AS seq FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, ticket) AS n FROM f)
-SELECT agent, session_id, string_agg(ticket, ',' ORDER BY n) AS tickets FROM r WHERE n <= 5 GROUP BY ALL""")
+SELECT agent, session_id, string_agg(ticket, ',' ORDER BY n) AS tickets FROM r WHERE n <= 32 GROUP BY ALL""")
 def c17(spark, sf):
     spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("ticket_orders")
     return t.source_tickets(spark.sql(SESSION_COMMITS.format(s="STRING", t="ticket_orders"))).withColumn("tickets", F.array_join("tickets", ","))

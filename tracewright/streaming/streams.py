@@ -1,29 +1,21 @@
 """Streaming forms (P): files that arrive are folded in micro-batches; results are tables in the shared folder.
 
 Each function takes a streaming DataFrame and gives the batch DataFrame that holds after all that is
-there now has been read. Checkpoints and tables are in the shared folder, so a stream that stops goes on.
+there now has been read. Checkpoints and tables are in the folder ``at``: a stream that stops goes on when it is
+started again with the same one. Without ``at`` each call has a new place in the shared folder and starts anew.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.tables import new_path
 from tracewright.operators.journal import judged
 
 
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -36,17 +28,19 @@ def drained(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None]
     q.awaitTermination()
 
 
-def friction_density(friction: DataFrame, late: str = "2 days") -> DataFrame:
+def friction_density(friction: DataFrame, late: str = "2 days", at: str | None = None) -> DataFrame:
     """Counts by day, kind and signature; a later batch replaces the counts of its days. friction: ts, kind, signature."""
-    spark, at = friction.sparkSession, f"{shared_dir(friction.sparkSession)}/p4-{uuid.uuid4().hex}"
+    spark = friction.sparkSession
+    at = at or new_path(spark, "p4")
     days = friction.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "kind", "signature").agg(F.count("*").alias("events"))
     drained(days.select(F.col("w.start").alias("day"), "kind", "signature", "events"), "update", lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/table/part={n}"), at)
     return spark.read.parquet(f"{at}/table").groupBy("day", "kind", "signature").agg(F.max_by("events", "batch").alias("events"))
 
 
-def host_samples(samples: DataFrame) -> DataFrame:
+def host_samples(samples: DataFrame, at: str | None = None) -> DataFrame:
     """The last sample of each (host, ts) in line order, whatever batch it came with. samples: host, ts, line, value."""
-    spark, at = samples.sparkSession, f"{shared_dir(samples.sparkSession)}/p3-{uuid.uuid4().hex}"
+    spark = samples.sparkSession
+    at = at or new_path(spark, "p3")
     last = lambda df: df.groupBy("host", "ts").agg(F.max_by(F.struct("line", "value"), "line").alias("x")).select("host", "ts", "x.line", "x.value")
     drained(samples, "append", lambda df, n: last(df).write.mode("overwrite").parquet(f"{at}/table/part={n}"), at)
     return last(spark.read.parquet(f"{at}/table").drop("part"))
@@ -58,9 +52,10 @@ def sample_range(samples: DataFrame, since: str, until: str) -> DataFrame:
     return samples.where((F.unix_seconds(F.col("ts").cast("timestamp")) >= up(since)) & (F.unix_seconds(F.col("ts").cast("timestamp")) < up(until))).orderBy("host", "ts")
 
 
-def carried(stream: DataFrame, name: str, each: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+def carried(stream: DataFrame, name: str, each: Callable[[DataFrame, DataFrame | None], DataFrame], at: str | None = None) -> DataFrame:
     """The tables that ``each`` makes of a stream's batches, of a batch and the table of the batch before (none: the first)."""
-    spark, at = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = stream.sparkSession
+    at = at or new_path(spark, name)
     part = lambda n: f"{at}/table/part={n}"
 
     def take(df: DataFrame, n: int) -> None:
@@ -70,7 +65,7 @@ def carried(stream: DataFrame, name: str, each: Callable[[DataFrame, DataFrame |
     return spark.read.parquet(f"{at}/table").drop("part")
 
 
-def token_deltas(samples: DataFrame) -> DataFrame:
+def token_deltas(samples: DataFrame, at: str | None = None) -> DataFrame:
     """The advance of a cumulative counter by session; a counter that fell gives the sample's own usage.
 
     samples: session_id, seq, total, last. A batch is put in order by seq; samples arrive in order across batches. Each
@@ -85,10 +80,10 @@ def token_deltas(samples: DataFrame) -> DataFrame:
         base = F.lag("total").over(Window.partitionBy("session_id").orderBy(F.desc("start"), "seq"))
         return rows.withColumn("base", base).select("session_id", "seq", F.when(F.col("total") >= F.col("base"), F.col("total") - F.col("base")).otherwise(F.col("last")).alias("used"), "total", "start")
 
-    return carried(samples, "p6", each).where("not start").select("session_id", "seq", "used")
+    return carried(samples, "p6", each, at).where("not start").select("session_id", "seq", "used")
 
 
-def offsets(batches: DataFrame) -> DataFrame:
+def offsets(batches: DataFrame, at: str | None = None) -> DataFrame:
     """Delta batches by the session's accepted offset: append, replay, conflict or bad. batches: session_id, arrival, from_offset, to_offset.
 
     Each session's offset goes from batch to batch as a start row.
@@ -101,7 +96,7 @@ def offsets(batches: DataFrame) -> DataFrame:
             rows = rows.unionByName(base.withColumn("start", F.lit(True)), allowMissingColumns=True)
         return judged(rows)
 
-    return carried(batches, "p2", each).where("verdict is not null").select("session_id", "arrival", "verdict")
+    return carried(batches, "p2", each, at).where("verdict is not null").select("session_id", "arrival", "verdict")
 
 
 def sessions(lines: DataFrame, fold: Callable[[DataFrame], DataFrame], reread: Callable[[DataFrame], DataFrame], table: str) -> None:
