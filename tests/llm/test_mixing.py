@@ -73,6 +73,11 @@ def test_slots_and_spans_meet_by_index(spark):
         assert blocks == list(range(len(blocks))) and all(fill[number, b] == 64 for b in blocks[:-1])
 
 
+def test_slots_are_not_broadcast(spark):
+    plan = mixing.Mix(spark.createDataFrame(rows(), SCHEMA)).taken()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [number" in plan
+
+
 def test_mixed_documents_have_the_words_taken(spark):
     docs = spark.createDataFrame([r for r in rows() if r[0] is not None and r[0] < 1000], SCHEMA).dropDuplicates(["doc_id"])
     want = {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}

@@ -158,7 +158,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """Per document: doc_id, tk, size, source_size, target, taken, and the spans it gives: (epoch, first, words)."""
         times = self.slots().groupBy("number", "block").agg(F.collect_list("epoch").alias("epochs"))  # at most ``most`` for each block
-        both = self.spans().join(times, ["number", "block"], "left")
+        # slots grow with the corpus, though the table of sources that they are made from looks small: never broadcast
+        both = self.spans().hint("merge").join(times, ["number", "block"], "left")
         given = F.transform(F.coalesce("epochs", F.array()), lambda e: F.struct(e.alias("epoch"), F.col("first").alias("first"), F.col("words").alias("words")))
         both = both.withColumn("given", given).withColumn("part", F.size("given") * F.col("words"))
         return both.groupBy("number", "salt", "rn", "doc_id", "tk", "size", "source_size", "target").agg(F.sum("part").cast("long").alias("taken"), F.flatten(F.collect_list("given")).alias("given"))
