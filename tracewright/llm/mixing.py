@@ -144,7 +144,7 @@ class Mix:
 
         counts = self.spark.createDataFrame([(k, b, n) for _, k, _, _, b, n in self.sources if n], "number int, blocks long, slots long")
         # a source's shards are dealt out again, so that a large source is placed by many tasks
-        counts = counts.repartition("number").mapInArrow(drawn, "number int, blocks long, shard long, first long, n long").repartition("number", "shard")
+        counts = counts.repartition("number").mapInArrow(drawn, "number int, blocks long, shard long, first long, n long").repartition(max(1, -(-int(sum(n for *_, n in self.sources)) // SLOT_ROWS)), "number", "shard")
         return counts.mapInArrow(placed, "shard long, number int, block long, epoch int")
 
     def spans(self) -> DataFrame:
