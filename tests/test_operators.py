@@ -318,6 +318,24 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("s", 1, 10), ("s", 2, 5), ("s", 3, 0), ("s", 4, 3), ("t", 1, 7), ("t", 2, 2)]
 
 
+def test_stamps_asof_with_ties_gaps_and_nulls(spark):
+    from datetime import datetime as dt
+    from itertools import product
+
+    from tracewright.operators.friction import stamp_asof
+
+    at = lambda d, h=0: dt(2024, 1, d, h)
+    stamps = [("a", "p1", at(1, 5)), ("a", "p2", at(1, 5)), ("a", "p3", at(4, 9)), ("a", "p0", at(4, 7)), ("b", "q", at(3)), (None, "x", at(1)), ("a", "y", None), ("a", "p3", at(4, 9))]
+    sessions = [("g", f"{c}-{t}", c, t) for c, t in product(("a", "b", "c", None), (None, at(1), at(1, 5), at(1, 6), at(2), at(4, 8), at(4, 9), at(9)))]
+    got = stamp_asof(spark.createDataFrame(sessions, "agent string, session_id string, cwd string, start_time timestamp_ntz"), spark.createDataFrame(stamps, "work_root string, project_cwd string, stamped_at timestamp_ntz")).collect()
+    want = []
+    for agent, session, cwd, t in sessions:
+        met = [(s, p) for root, p, s in stamps if root is not None and root == cwd and s is not None and (t is None or s <= t)]
+        stamped, project = max(met, default=(None, None))
+        want.append((agent, session, project, stamped))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_end_events_of_calls(spark):
     from pyspark.sql import functions as F
 

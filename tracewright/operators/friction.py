@@ -69,11 +69,22 @@ def scope_collisions(resolved: DataFrame) -> DataFrame:
 def stamp_asof(sessions: DataFrame, stamps: DataFrame) -> DataFrame:
     """M8: the newest stamp of a throwaway directory at or before the session's start (the newest of all if it has none).
 
-    An equality on the directory with the time beside it, then the latest by ``max_by``.
+    One row a session; a stamp without directory or time counts for none. Sessions and stamps are walked in order of time
+    within a directory and day, beginning with the newest stamp of the days before. So no session meets all stamps, and
+    the sessions of one directory are dealt over many tasks.
     """
-    s = stamps.select(F.col("work_root").alias("root"), "project_cwd", "stamped_at")
-    both = sessions.join(s, (F.col("cwd") == F.col("root")) & (F.col("start_time").isNull() | (F.col("stamped_at") <= F.col("start_time"))), "left")
-    return both.groupBy("agent", "session_id").agg(F.max_by("project_cwd", F.struct("stamped_at", "project_cwd")).alias("project_cwd"), F.max("stamped_at").alias("stamped_at"))
+    day = F.coalesce(F.to_date("at"), F.lit("9999-12-31").cast("date"))
+    stamp = F.struct("stamped_at", "project_cwd").alias("stamp")
+    told = stamps.where("work_root is not null and stamped_at is not null").select(F.col("work_root").alias("cwd"), F.col("stamped_at").alias("at"), stamp).withColumn("day", day)
+    asked = sessions.select("agent", "session_id", "cwd", F.col("start_time").alias("at")).withColumn("day", day)
+    days = told.select("cwd", "day", "stamp").unionByName(asked.select("cwd", "day").where("cwd is not null"), allowMissingColumns=True).groupBy("cwd", "day").agg(F.max("stamp").alias("newest"))
+    earlier = Window.partitionBy("cwd").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("cwd", "day", F.max("newest").over(earlier).alias("before"))
+    both = told.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True).join(before, ["cwd", "day"], "left")
+    # a stamp comes before the sessions of its moment
+    upto = Window.partitionBy("cwd", "day").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("last", F.coalesce(F.max("stamp").over(upto), "before")).where("asks")
+    return both.select("agent", "session_id", "last.project_cwd", "last.stamped_at")
 
 
 def liveness(commits: DataFrame, now: Column, days: int = 60) -> DataFrame:

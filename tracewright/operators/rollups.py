@@ -95,6 +95,12 @@ PROJECT_SORTS = {
     "tool_calls": ["tool_calls desc nulls last", "project"],
     "errors": ["errors desc nulls last", "project"],
     "name": ["project"],
+    "activity": ["turns desc nulls last", "tool_calls desc nulls last", "project"],
+}
+IDENTITY_SORTS = {
+    "agents": ["agents", "identity"],
+    "size": ["bytes desc nulls last", "identity"],
+    "seen": ["last_activity desc nulls last", "identity"],
 }
 
 

@@ -108,6 +108,23 @@ for _key in r.PROJECT_SORTS:
     _d9(_key)
 
 
+def _d9_identities(key: str) -> None:
+    order = ", ".join(r.IDENTITY_SORTS[key])
+
+    @query(
+        f"d9_identities_by_{key}",
+        f"""{cte('sessions')}, {IDENTITY}, d AS (SELECT identity, array_to_string(list_sort(list(DISTINCT agent)), ',') AS agents, sum(source_size)::BIGINT AS bytes, max(start_time) AS last_activity FROM i WHERE identity IS NOT NULL GROUP BY identity)
+SELECT *, row_number() OVER (ORDER BY {order})::INT AS place FROM d""",
+    )
+    def f(spark, sf):
+        got = r.identity_rollup(table(spark, sf, "sessions")).select("identity", F.array_join("agents", ",").alias("agents"), "bytes", "last_activity")
+        return r.ranked(got, r.IDENTITY_SORTS[key])
+
+
+for _key in r.IDENTITY_SORTS:
+    _d9_identities(_key)
+
+
 @query("d10_ticket_summary", f"{cte('tickets')} SELECT 'status' AS dimension, status AS value, count(*) AS tickets FROM tickets GROUP BY ALL UNION ALL SELECT 'type', type, count(*) FROM tickets GROUP BY ALL UNION ALL SELECT 'priority', priority::VARCHAR, count(*) FROM tickets GROUP BY ALL")
 def d10(spark, sf):
     return r.ticket_summary(table(spark, sf, "tickets"))
