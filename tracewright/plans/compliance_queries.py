@@ -53,7 +53,15 @@ def h7b(spark, sf):
 PAIRS = "SELECT CAST(o_custkey AS BIGINT) AS session, o_orderkey AS ref, l_partkey AS cand, max((l_partkey * 7 + o_orderkey * 3) % 100) / CAST(100.0 AS DOUBLE) AS score FROM {l} JOIN {o} ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey, l_partkey"
 
 
-@query("m12_greedy_match")
+# of a session, pair n (best first) is taken if neither of its ends was taken by a pair before
+GREEDY = f"""WITH RECURSIVE p AS ({PAIRS.format(o='orders', l='lineitem')}), o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, ref, cand) AS n FROM p),
+g AS (SELECT session, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS refs, CAST([] AS BIGINT[]) AS cands, FALSE AS took FROM (SELECT DISTINCT session FROM p)
+UNION ALL SELECT g.session, o.n, CASE WHEN free THEN list_append(refs, ref) ELSE refs END, CASE WHEN free THEN list_append(cands, cand) ELSE cands END, free
+FROM g JOIN o ON o.session = g.session AND o.n = g.n + 1, LATERAL (SELECT NOT list_contains(refs, ref) AND NOT list_contains(cands, cand) AS free) f)
+SELECT o.session, ref, cand, score FROM o JOIN g ON o.session = g.session AND o.n = g.n WHERE took"""
+
+
+@query("m12_greedy_match", GREEDY)
 def m12(spark, sf):
     spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("match_orders")
     spark.read.parquet(f"{sf}/lineitem.parquet").createOrReplaceTempView("match_lines")

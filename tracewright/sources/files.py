@@ -104,9 +104,13 @@ def list_value(text: Column, key: str) -> Column:
 def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """A10, K1: Markdown notes below <root>/<status>/<type>/<scope>/; names that open with ``_`` and READMEs are left out, as are notes without id."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+    return parse_artifacts(files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value"), root)
+
+
+def parse_artifacts(files: DataFrame, root: str) -> DataFrame:
+    """A10, K1: the notes that files (path, modified, value) below ``root`` hold."""
     parts = F.split(F.regexp_replace("path", "^.*" + root.rstrip("/") + "/", ""), "/")
-    rows = rows.withColumn("p", parts).where((F.size("p") == 4) & ~F.get("p", 2).startswith("_") & ~F.get("p", 3).startswith("_") & (F.get("p", 3) != "README.md"))
+    rows = files.withColumn("p", parts).where((F.size("p") == 4) & ~F.get("p", 2).startswith("_") & ~F.get("p", 3).startswith("_") & (F.get("p", 3) != "README.md"))
     claim = F.regexp_replace(F.regexp_extract("value", r"(?s)\n## Claim\n(.*?)(?:\n## |\z)", 1), r"^\s+|\s+$", "")
     return rows.select(frontmatter(F.col("value"), "id").alias("id"), frontmatter(F.col("value"), "title").alias("title"), F.get("p", 2).alias("scope"), F.get("p", 1).alias("type"), F.coalesce(frontmatter(F.col("value"), "status"), F.get("p", 0)).alias("status"), list_value(F.col("value"), "evidence").alias("evidence"), list_value(F.col("value"), "contradicts").alias("contradicts"), claim.alias("claim"), frontmatter(F.col("value"), "first_noticed").alias("first_noticed"), "modified", "path").where("id is not null")
 
