@@ -102,3 +102,13 @@ def test_stream_of_sessions_equals_the_batch(spark, tmp_path):
     assert run() == [("a", 2), ("b", 1)]
     put(root / "claude-code/p/c.jsonl", user(1, promptId="p1"))
     assert run() == [("a", 2), ("b", 1), ("c", 1)]
+
+
+def test_a_state_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "state")
+    s.replace_state(spark.range(3), path, 0)
+    s.replace_state(spark.range(7, 9), path, 1)
+    s.replace_state(spark.range(5, 6), path, 1)
+    assert [r.id for r in s.current_state(spark, path).collect()] == [5]
+    s.replace_state(spark.range(0), path, 2)
+    assert s.current_state(spark, path).collect() == []

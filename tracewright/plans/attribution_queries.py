@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.functions.tables import new_path
 from tracewright.operators import attribution as a
 from tracewright.operators import run_report as g
 from tracewright.plans.adapters import cte, table
 from tracewright.plans.registry import query
 from tracewright.plans.run_queries import EXECUTIONS, TREE, executions
 from tracewright.operators import registry_runs
+from tracewright.sources.files import current_state, replace_state
+from tracewright.streaming.streams import events_stream, project_states
 
 MARK = r"coalesce(nullif(regexp_extract(subject, '^\[([^\] \t]+)\]', 1), ''), nullif(regexp_extract(subject, '\[([^\[\] \t]+)\]$', 1), ''))"
 BUGS = "bugs AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'ns/' ELSE '' END || 'tk-' || CAST(p_partkey AS {s}) AS ticket FROM {t} WHERE p_partkey % 5 < 3)"
@@ -124,15 +127,15 @@ SCOPE_COMMITS = f"sc AS (SELECT CASE WHEN contains({MARK}, '/') THEN split_part(
 SCOPE_TICKETS = "st AS (SELECT CASE WHEN contains(id, '/') THEN split_part(id, '/', 1) ELSE 'proj-' || CAST(priority AS VARCHAR) END AS scope, status, closed FROM tickets)"
 
 
-@query(
-    "j1_project_state",
-    f"""{cte('commits', 'sessions', 'tickets')}, {SCOPE_COMMITS}, {SCOPE_TICKETS}, scopes AS (SELECT 'ns' AS scope UNION SELECT project FROM sessions WHERE project IS NOT NULL),
+STATE = f"""{cte('commits', 'sessions', 'tickets')}, {SCOPE_COMMITS}, {SCOPE_TICKETS}, scopes AS (SELECT 'ns' AS scope UNION SELECT project FROM sessions WHERE project IS NOT NULL),
 c AS (SELECT scope, count(*) FILTER (m >= {A} AND m < {B}) AS n, max(m) AS last FROM (SELECT scope, commit_hash, min(committed_at) AS m FROM sc GROUP BY ALL) GROUP BY scope),
 s AS (SELECT project AS scope, count(*) FILTER (coalesce(end_time, start_time) >= {A} AND start_time < {B}) AS n, max(coalesce(end_time, start_time)) AS last FROM sessions GROUP BY 1),
 t AS (SELECT scope, count(*) FILTER (status <> 'closed') AS open, count(*) FILTER (closed >= {A} AND closed < {B}) AS n, max(closed) AS last FROM st GROUP BY 1)
 SELECT scope, coalesce(c.n, 0) AS commits_in_window, coalesce(s.n, 0) AS sessions_in_window, coalesce(t.open, 0) AS open_tickets, coalesce(t.n, 0) AS tickets_closed_in_window, c.last AS last_commit_at, s.last AS last_session_at, t.last AS last_ticket_closed_at, coalesce(c.n, 0) = 0 AND coalesce(s.n, 0) = 0 AND coalesce(t.n, 0) = 0 AS dormant
-FROM scopes LEFT JOIN c USING (scope) LEFT JOIN s USING (scope) LEFT JOIN t USING (scope)""",
-)
+FROM scopes LEFT JOIN c USING (scope) LEFT JOIN s USING (scope) LEFT JOIN t USING (scope)"""
+
+
+@query("j1_project_state", STATE)
 def j1(spark, sf):
     sessions = table(spark, sf, "sessions").withColumn("scope", F.col("project"))
     marked = a.with_marker(table(spark, sf, "commits")).join(sessions.select("agent", "session_id", "project"), ["agent", "session_id"])
@@ -142,6 +145,20 @@ def j1(spark, sf):
     return a.project_state(scopes, commits, sessions, tickets, *bounds())
 
 
+@query("j6_replace_state", STATE)
+def j6(spark, sf):
+    path, state = new_path(spark, "j6"), j1(spark, sf)
+    replace_state(state.where("dormant"), path, 0)
+    replace_state(state, path, 1)
+    return current_state(spark, path)
+
+
+@query("p5_stream_project_state", STATE)
+def p5(spark, sf):
+    return project_states(events_stream(spark, sf).select("event_id"), lambda: j1(spark, sf))
+
+
+
 @query("j2_session_window_overlap", f"{cte('sessions')} SELECT agent, session_id FROM sessions WHERE coalesce(end_time, start_time) >= {A} AND start_time < {B}")
 def j2(spark, sf):
     since, until = bounds()

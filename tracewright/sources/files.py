@@ -161,6 +161,21 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def replace_state(df: DataFrame, path: str, version: int) -> None:
+    """``df`` takes the place of the whole table at ``path``. Versions ascend; a version written again replaces itself.
+
+    A version is listed only when it is written whole, so a reader never meets half of one, and an empty state replaces a full one.
+    """
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    df.sparkSession.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/listed")
+
+
+def current_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version that is listed."""
+    version = spark.read.parquet(f"{path}/listed").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/version={version}")
+
+
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """A table from before the columns that a reader needs is refused rather than read as empty."""
     gone = [c for c in columns if c not in df.columns]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.tables import new_path
 from tracewright.operators.journal import judged
+from tracewright.sources.files import current_state, replace_state
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,22 @@ def friction_density(friction: DataFrame, late: str = "2 days", at: str | None =
     return spark.read.parquet(f"{at}/table").groupBy("day", "kind", "signature").agg(F.max_by("events", "batch").alias("events"))
 
 
+def project_states(arrivals: DataFrame, rebuilt: Callable[[], DataFrame], at: str | None = None, every: str | None = None) -> DataFrame:
+    """P5: when something arrives, the state that ``rebuilt`` gives replaces the whole table.
+
+    With ``every`` (as "10 minutes") the stream stays up and rebuilds at most that often, whatever arrives in between; without, it
+    reads what is there now and ends.
+    """
+    spark = arrivals.sparkSession
+    at = at or new_path(spark, "p5")
+    each = lambda df, n: replace_state(rebuilt(), f"{at}/table", n)
+    if every is None:
+        drained(arrivals, "append", each, at)
+    else:
+        arrivals.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/checkpoint").trigger(processingTime=every).start().awaitTermination()
+    return current_state(spark, f"{at}/table")
+
+
 def host_samples(samples: DataFrame, at: str | None = None) -> DataFrame:
     """The last sample of each (host, ts) in line order, whatever batch it came with. samples: host, ts, line, value."""
     spark = samples.sparkSession
