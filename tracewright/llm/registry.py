@@ -1,4 +1,4 @@
-"""The queries op1_ .. op10_ and the pipeline, with oracle SQL where SQL can express them."""
+"""The queries op1_ .. op13_ and the pipeline, with oracle SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracewright.llm import embedding_dedup, language_crf, mixing, near_dedup, packing, quality_model, quality_rules, suffix_dedup, token_store, warc
+from tracewright.llm import embedding_dedup, html_extract, language_crf, mixing, near_dedup, packing, quality_model, quality_rules, suffix_dedup, token_store, warc
 from tracewright.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,11 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.labelled(documents(spark, sf_dir))
 
 
+@query
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
