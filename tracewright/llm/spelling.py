@@ -38,6 +38,8 @@ FILTER_BYTES = 64 << 20
 SEGMENT = 512
 PIECE = 4 << 20
 COUNTED = 300_000
+#: Words whose edits a task makes, about.
+TASK_WORDS = 25_000
 #: Letters are bytes of Latin-1; other characters become "?" there, which is no letter.
 LETTERS = rb"a-z\xC0-\xFF"
 NOT_LETTER = re.compile(rb"[^" + LETTERS + rb"]")
@@ -256,6 +258,7 @@ def near_pairs(words: DataFrame, shortest: int = SHORTEST, filter_bytes: int = F
     shards = {s: p for s, (p, _) in plan.items()}
     keys = words.select("word").mapInArrow(lambda b: keyed(b, plan), "shard int, part int, segment int, h long")
     segments = written(keys.groupBy("shard", "part", "segment").applyInPandas(filled(plan), "shard int, part int, segment int, bits binary"), "op12-filters")
+    dealt = words.repartition(1 + sum(sizes.values()) // TASK_WORDS, "word")
     found = []
     for chosen in passes:
         # the filters of a pass, of filter_bytes at most
@@ -265,7 +268,7 @@ def near_pairs(words: DataFrame, shortest: int = SHORTEST, filter_bytes: int = F
             at = r.segment * SEGMENT * BLOCK_BITS // 8
             bits[r.shard, r.part][at : at + len(r.bits)] = r.bits
         filters = spark.sparkContext.broadcast({k: bytes(v) for k, v in bits.items()})
-        edited = words.mapInArrow(lambda b, f=filters: probed(b, f, shards, alphabet, shortest), "a string, na long, b string")
+        edited = dealt.mapInArrow(lambda b, f=filters: probed(b, f, shards, alphabet, shortest), "a string, na long, b string")
         found.append(written(edited, "op12-edits"))
         filters.unpersist()
     if not found:
