@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracewright.llm import embedding_dedup, html_extract, language_crf, mixing, near_dedup, packing, quality_model, quality_rules, spelling, suffix_dedup, token_store, warc
+from tracewright.llm import alignment, embedding_dedup, html_extract, language_crf, mixing, near_dedup, packing, quality_model, quality_rules, spelling, suffix_dedup, token_store, warc
 from tracewright.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
