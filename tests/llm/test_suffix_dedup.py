@@ -122,3 +122,15 @@ def test_column_names_with_dots_and_clashes(spark):
 
 def test_empty_table(spark):
     assert sd.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_identical_rows_take_linear_time(spark):
+    text = texts()[-1] * 3
+    other = "something else " * 5 + text[300:900]
+    rows = [(i % 3 or None, text) for i in range(1_500)] + [(7, other), (8, None)]
+    want = {t: w for t, w in zip((text, other, None), brute([text, text, other, None])[1:])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = sd.repeated_spans(docs).selectExpr("max(size(spans)) AS most").first().most
+    assert spans < 500
+    got = sd.remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").count().collect()
+    assert sorted((r.doc_id or 0, r["count"], r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted([(0, 500, *want[text]), (1, 500, *want[text]), (2, 500, *want[text]), (7, 1, *want[other]), (8, 1, *want[None])])

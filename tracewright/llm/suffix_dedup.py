@@ -433,7 +433,8 @@ def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame
     snips = written(texts.select("want", "text").mapInArrow(cut_snippets, SNIPPET), "op3-snips")
     runs = written(solve(snips, group_limit).where(F.size("runs") > 0), "op3-runs")
     parted = mixed.select("h", "sh", "doc_id", "tk", "lo").join(runs, ["h", "sh"]).select("doc_id", "tk", F.flatten(F.transform("lo", lambda lo: F.transform("runs", lambda r: span(lo + r["a"], lo + r["b"])))).alias("spans"))
-    return whole.union(parted).groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # every copy of a row has the same spans: each array is kept once, so they don't grow with the number of copies
+    return whole.union(parted).groupBy("doc_id", "tk").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def cut_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
