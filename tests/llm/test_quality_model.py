@@ -53,3 +53,11 @@ def test_column_names_with_dots_and_clashes(spark):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
     got = qm.accepted(docs, labels)
     assert got.columns == docs.columns and {r[2:] for r in got.collect()} == {(1, 2, 3)}
+
+
+def test_repeated_documents_and_labels_teach_as_plain_ones(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    twice = lambda df: df.crossJoin(spark.range(5)).drop("id")
+    score = lambda a, b: {r.doc_id: r.score for r in qm.scored(docs, qm.fit(a, b)).collect()}
+    assert score(docs, labels) == score(twice(docs), twice(labels))

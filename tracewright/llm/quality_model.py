@@ -154,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """Learn from at most ``sample`` labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & (bucket(F.col("label_id"), 5) != 0))
     known = known.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("y", "text")  # at most ``sample`` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    # where a doc_id or its label repeats, one row counts: at most ``sample`` rows
+    rows = rows.groupBy("label_id", "y").agg(F.min("text").alias("text")).select("y", "text")
 
     def measured(batches):
         return of_batches(batches, lambda b, at, x: pa.RecordBatch.from_arrays([b.column("y").take(at), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"]))
