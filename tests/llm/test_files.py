@@ -82,3 +82,16 @@ def test_warc_deals_a_hot_page_id_over_shards(spark):
 def test_warc_without_pages(spark):
     uri, manifest = warc.write(spark.createDataFrame([], "page_id long, url string, html string"))
     assert manifest == [] and warc.read(spark, uri).collect() == []
+
+
+def test_token_store_deals_a_hot_doc_id_over_tasks(spark):
+    docs = spark.createDataFrame([(None if k % 2 else 5, f"text {k} " * 30) for k in range(400)], "doc_id long, text string")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        uri, manifest = token_store.write(docs)
+    finally:
+        spark.conf.unset(coalesce)
+    assert max(m["documents"] for m in manifest) < 200
+    ids = [r.doc_id for r in sorted(token_store.read(spark, uri).collect(), key=lambda r: r.start)]
+    assert ids == [None] * 200 + [5] * 200

@@ -89,3 +89,17 @@ def test_odd_rows(spark):
     assert [by[k].lang_pred for k in (50, 51, 52)] == ["und"] * 3 and by[53].lang_pred == "de" and by[None].lang_pred == "en"
     assert crf.labelled(spark.createDataFrame([], schema)).collect() == []
     assert {r.lang_pred for r in crf.labelled(spark.createDataFrame(odd[:2], schema)).collect()} == {"und"}
+
+
+def test_numerals_are_no_letters(spark):
+    docs = documents(spark, SF).select("doc_id", "text", "lang").limit(60)
+    odd = spark.createDataFrame([(10**6 + k, t, None) for k, t in enumerate(["²", "½ Ⅷ", "①②", "١٢", "_ — 🙂"])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in crf.labelled(docs.union(odd)).collect()}
+    assert {got[10**6 + k] for k in range(5)} == {"und"}
+
+
+def test_a_table_that_repeats_teaches_as_much(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    many = docs.crossJoin(spark.range(50)).drop("id")
+    plain, repeated = crf.fit(docs), crf.fit(many)
+    assert plain.languages == repeated.languages and np.array_equal(plain.grams, repeated.grams)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sampled(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+def sampled(rows: DataFrame, keys: list[str], most: int, without_key: list[str] | None = None) -> DataFrame:
     """At most ``most`` rows of ``rows``, one for each value of ``keys``, those with the least hash of it.
 
-    Rows above a cut of the hash that the number of rows gives are dropped where they are read, so about 1.5
-    times ``most`` rows are ordered and no more reach the driver, however many tasks read them.
+    Where a key is null, the columns ``without_key`` stand for it. Keys above a cut of the hash are dropped where they are
+    read. The cut lets about 1.2 times ``most`` different keys through, however often a key repeats, with a margin beyond what
+    chance and the approximate count of keys can lack, so no more are ordered and the sample is never short.
     """
-    n = rows.count()
-    rows = rows.withColumn("sample_k", F.xxhash64(*keys))
-    if 2 * n > 3 * most:
-        rows = rows.where(F.col("sample_k") < F.lit(-(1 << 63) + (3 * most << 63) // n))
+    k = F.xxhash64(*keys)
+    if without_key:
+        k = F.when(reduce(lambda x, y: x | y, (F.col(c).isNull() for c in keys)), F.xxhash64(*keys, *without_key)).otherwise(k)
+    rows = rows.withColumn("sample_k", k)
+    n = rows.agg(F.approx_count_distinct("sample_k", 0.02)).first()[0]
+    wanted = int(1.2 * most + 8 * most**0.5) + 40
+    if n > wanted:
+        rows = rows.where(F.col("sample_k") < F.lit(-(1 << 63) + (wanted << 64) // n))
     # rows with equal keys are one, the least
     return rows.groupBy("sample_k").agg(F.min(F.struct(*(c for c in rows.columns if c != "sample_k"))).alias("row")).orderBy("sample_k").limit(most).select("row.*")
 

@@ -19,12 +19,12 @@ row is labelled, also where doc_ids repeat or are null.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ ROUNDS, RATE, DECAY = 40, 0.5, 1e-4
 SEGMENT = 128
 #: Characters of a text that are held as features at once; a piece ends between words, or within one that is longer.
 PIECE_CHARS = 1_000_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 UND = "und"
@@ -280,7 +280,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` texts (least hash of doc_id) with a language that are not held out; of each a piece from a place drawn by the hash."""
     rows = docs.where(F.col("lang").isNotNull() & (F.col("text") != "") & (bucket(F.col("doc_id"), 4) != 2))
     rows = rows.select("doc_id", "lang", drawn(F.col("text"), F.col("doc_id"), 20 * TEXT_WORDS).alias("text"))
-    got = sampled(rows, ["doc_id"], sample).collect()
+    got = sampled(rows, ["doc_id"], sample, ["text"]).collect()
     return learn([(r.text, r.lang) for r in got])
 
 

@@ -48,7 +48,7 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def train_dictionary(docs: DataFrame, end_id: int = END_ID, path: str | None = None) -> bytes:
     """A zstandard dictionary of the ids of at most SAMPLE_DOCUMENTS documents (least hash of doc_id), SAMPLE_CHARS characters of each from a place drawn by the hash."""
-    some = sampled(docs.select("doc_id", drawn(F.col("text"), F.col("doc_id"), SAMPLE_CHARS).alias("text")).where("text <> ''"), ["doc_id"], SAMPLE_DOCUMENTS)
+    some = sampled(docs.select("doc_id", drawn(F.col("text"), F.col("doc_id"), SAMPLE_CHARS).alias("text")).where("text <> ''"), ["doc_id"], SAMPLE_DOCUMENTS, ["text"])
     end = np.array([end_id], "<u4").tobytes()
     samples = [x + end for x in encoder(path).encode([r.text for r in some.collect()])]
     if sum(map(len, samples)) < 8 * DICTIONARY_BYTES or len(samples) < 16:
@@ -127,8 +127,9 @@ def write(docs: DataFrame, end_id: int = END_ID, path: str | None = None, uri: s
             kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "name", "first_id", "documents", "ids", "bytes"])
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-    dealt = dealt.withColumn("tk", F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "tk").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    # documents without a doc_id, or with one and the same, are dealt by their texts
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tk"))
+    dealt = keyed.repartitionByRange(F.asc_nulls_first("doc_id"), "tk").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tk").select("doc_id", "text", F.spark_partition_id().alias("part"))
     # one row per file of up to FILE_BYTES, the files of a part in their order
     manifest = [r.asDict() for r in dealt.mapInArrow(files, MANIFEST).collect()]
     order = {id(m): k for k, m in enumerate(manifest)}
