@@ -139,26 +139,15 @@ def test_human_executions_are_judged_on_what_is_merged_so_far(spark):
     assert sorted(map(tuple, got.collect())) == [("e", 1, "parent_execution_id"), ("e", 3, "agent"), ("e", 4, "session_id"), ("f", 2, "execution_kind")]
 
 
-def test_a_record_serves_one_call(spark):
-    from datetime import datetime as dt
-
-    from tracewright.operators import compliance as h
-
-    at = lambda s: dt(2024, 1, 1, 0, 0, s)
-    calls = spark.createDataFrame([("r", "c1", "x", at(10), at(20)), ("r", "c2", "x", at(12), at(20)), ("r", "c3", "x", at(40), None), ("r", "c4", "y", at(10), at(20))], "run_id string, call_id string, lens string, started_at timestamp, ended_at timestamp")
-    records = spark.createDataFrame([("r", "a", "c3", "x", at(1)), ("r", "b", None, "x", at(6)), ("r", "c", None, "x", at(25)), ("r", "d", None, "x", at(26)), ("r", "e", None, "z", at(11))], "run_id string, record_id string, dispatch_id string, r_lens string, r_started timestamp")
-    assert sorted(map(tuple, h.call_windows(calls, records).collect())) == [("r", "c1", "b", "time"), ("r", "c2", "c", "time"), ("r", "c3", "a", "dispatch")]
-
-
 def test_review_blocks(spark):
     from tracewright.operators import derive as d
 
-    ok = '{"lens": "contract", "verdict": "pass", "summary": "fine", "context": {"state": "contaminated"}, "criteria": [{"id": "1", "status": "met"}], "findings": [{"file": "a", "line": 3}]}'
-    text = f'x ```json\n{ok}\n``` y ```py\nno "lens"\n``` ```json\n{{"other": 1}}\n``` ```json\n{{"lens": "odd"}}\n``` ```json [1, "lens"] ``` ```json {{"lens": "docs", "verdict": "pass", "findings": 3}}``` ```json {{"lens": "docs", "summary": "cut'
+    ok = '{"lens": "contract", "verdict": "satisfied", "summary": "fine", "context": {"state": "contaminated"}, "criteria": [{"id": "1", "status": "met"}], "findings": [{"file": "a", "line": 3}]}'
+    text = f'x ```json\n{ok}\n``` y ```py\nno "lens"\n``` ```json\n{{"other": 1}}\n``` ```json\n{{"lens": "odd"}}\n``` ```json [1, "lens"] ``` ```json {{"lens": "tests", "verdict": "satisfied"}}``` ```json {{"lens": "quality", "verdict": "findings", "findings": 3}}``` ```json {{"lens": "docs", "summary": "cut'
     rows = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "id int, text string")
     got = d.lens_status(d.lens_blocks(rows)).orderBy("ordinal").collect()
-    assert [(g.ordinal, g.status, g.reason, g.lens) for g in got] == [(0, "parsed", None, "contract"), (1, "malformed", "unknown_lens", "odd"), (2, "malformed", "not_object", None), (3, "malformed", "invalid_findings", "docs"), (4, "malformed", "unterminated", "docs")]
-    blocks = d.lens_status(d.lens_blocks(rows)).withColumn("response_id", d.response_id(F.col("id").cast("string"), F.col("ordinal").cast("string")))
+    assert [(g.ordinal, g.status, g.reason, g.lens) for g in got] == [(0, "parsed", None, "contract"), (1, "malformed", "unknown_lens", "odd"), (2, "malformed", "not_object", None), (3, "malformed", "unknown_lens", "tests"), (4, "malformed", "invalid_findings", "quality"), (5, "malformed", "unterminated", "docs")]
+    blocks = d.lens_status(d.lens_blocks(rows)).withColumn("response_id", d.response_id(F.lit("a"), F.col("id").cast("string"), F.lit(1), F.lit("assistant"), F.lit(None), F.col("ordinal")))
     assert [(r.ordinal, r.id, r.status) for r in d.lens_items(blocks, "criteria").collect()] == [(0, "1", "met")]
     assert [(r.file, r.line) for r in d.lens_items(blocks, "findings").collect()] == [("a", 3)]
 
@@ -191,7 +180,7 @@ def test_commitment_lines(spark):
     from tracewright.operators import derive as d
 
     got = one(spark, d.commitments, "Dispatching (x/t-1 round 2): contract, Quality\ndispatching (round 3, final) : security\nDispatching (no number): docs")
-    assert (got.lines, got.max_round, got.unparseable, got.lenses) == (3, 3, True, ["contract", "quality", "security", "docs"])
+    assert (got.lines, got.max_round, got.unparseable, got.lenses) == (3, 3, True, ["contract", "quality", "security"])
     got = one(spark, d.commitments, "none")
     assert (got.lines, got.max_round, got.unparseable) == (0, 0, False)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import transcripts as t
 from tracewright.sources import files as s
+from tracewright.sources import versions
 from tracewright.streaming import streams
 
 
@@ -95,7 +96,7 @@ def test_stream_of_sessions_equals_the_batch(spark, tmp_path):
     def run():
         stream = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(str(root)).withColumn("path", F.col("_metadata.file_path"))
         streams.sessions(s.with_path_keys(stream, str(root)), fold, reread, table)
-        return sorted((r.session_id, r.turns) for r in spark.read.parquet(table).collect())
+        return sorted((r.session_id, r.turns) for r in versions.current(spark, table).collect())
 
     put(root / "claude-code/p/a.jsonl", user(1, promptId="p1") + "\n" + user(2, promptId="p2"))
     put(root / "claude-code/p/b.jsonl", user(1, promptId="p1"))
@@ -112,3 +113,61 @@ def test_a_state_is_replaced_whole(spark, tmp_path):
     assert [r.id for r in s.current_state(spark, path).collect()] == [5]
     s.replace_state(spark.range(0), path, 2)
     assert s.current_state(spark, path).collect() == []
+
+
+def test_a_failed_batch_leaves_the_version_before(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(r, "session_id string, n int")
+    shown = lambda: sorted(map(tuple, versions.current(spark, table).collect()))
+    put_ = lambda r, batch=None, keys=None: versions.upsert(table, ["session_id"], keys or r.select("session_id"), lambda: r, batch)
+    with pytest.raises(ValueError, match="no version"):
+        shown()
+    put_(rows(("a", 1), ("a", 2), ("b", 1)), 0)
+    broken = rows(("a", 9), ("b", 9)).withColumn("n", F.when(F.col("session_id") == "b", F.raise_error("torn").cast("int")).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="torn"):
+        put_(broken, 1)
+    assert shown() == [("a", 1), ("a", 2), ("b", 1)]
+    # a rewrite drops a session's old rows; a batch that runs again changes nothing
+    assert put_(rows(("a", 3)), 1) == 1 and put_(rows(("a", 4)), 1) == 1
+    assert shown() == [("a", 3), ("b", 1)]
+    put_(rows(("c", 1)).limit(0), 2, rows(("b", 0)).select("session_id"))
+    assert shown() == [("a", 3)]
+
+
+def test_of_two_writers_one_starts_again(spark, tmp_path, monkeypatch):
+    table, real, raced = str(tmp_path / "t"), versions.publish, []
+    rows = lambda *r: spark.createDataFrame(r, "session_id string, n int")
+
+    def publish(session, where, version):
+        if not raced:
+            raced.append(1)
+            monkeypatch.setattr(versions, "publish", real)
+            versions.upsert(table, ["session_id"], rows(("b", 1)).select("session_id"), lambda: rows(("b", 1)))
+        real(session, where, version)
+
+    monkeypatch.setattr(versions, "publish", publish)
+    assert versions.upsert(table, ["session_id"], rows(("a", 1)).select("session_id"), lambda: rows(("a", 1))) == 1
+    assert sorted(map(tuple, versions.current(spark, table).collect())) == [("a", 1), ("b", 1)]
+    for k in range(5):
+        versions.upsert(table, ["session_id"], rows(("a", 1)).select("session_id"), lambda k=k: rows(("a", k)))
+    assert len(list((tmp_path / "t/versions").glob("[0-9]*.json"))) == versions.KEPT + 0 and sorted(map(tuple, versions.current(spark, table).collect())) == [("a", 4), ("b", 1)]
+
+
+def test_a_stream_goes_on_after_a_restart_with_its_state(spark, tmp_path):
+    schema = "session_id string, arrival long, from_offset long, to_offset long"
+    at = str(tmp_path / "stream")
+
+    def arrive(k, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/f={k}")
+        return {tuple(r) for r in streams.offsets(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), at).collect()}
+
+    (tmp_path / "in").mkdir()
+    first = arrive(0, [("s", 0, 0, 5), ("t", 0, 0, 3)])
+    assert first == {("s", 0, "append"), ("t", 0, "append")}
+    # what comes late, with an earlier arrival, is judged by the offset that is accepted by then
+    second = arrive(1, [("s", 2, 5, 9), ("s", 1, 0, 5), ("u", 0, 1, 2)])
+    assert second - first == {("s", 1, "replay"), ("s", 2, "append"), ("u", 0, "conflict")}
+    third = arrive(2, [("t", 1, 3, 4)])
+    assert third - second == {("t", 1, "append")}
+    # a batch writes its own rows only
+    assert spark.read.parquet(f"{at}/table/part=2").count() == 1

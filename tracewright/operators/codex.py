@@ -29,6 +29,12 @@ def picked(kind: Column, what: int) -> Column:
     return out
 
 
+def shell_summary(exit_code: Column, stdout: Column, stderr: Column) -> Column:
+    """What a shell call gave: its exit code and its outputs, each cut at 400 bytes, the whole at 800."""
+    part = lambda name, c: F.concat(F.lit(f"{name}: "), truncate_bytes(F.nullif(c, F.lit("")), 400))
+    return truncate_bytes(F.concat_ws("\n", F.concat(F.lit("exit="), exit_code.cast("string")), part("stdout", stdout), part("stderr", stderr)), 800)
+
+
 def with_results(calls: DataFrame, ends: DataFrame) -> DataFrame:
     """The calls of a session with the last end event of their id; an event without a call makes one, at its own line.
 
@@ -39,9 +45,8 @@ def with_results(calls: DataFrame, ends: DataFrame) -> DataFrame:
     e = ends.groupBy(*KEY, "call_id").agg(F.max_by(F.struct("kind", "exit_code", "success", "stdout", "stderr", "duration", "result", "ts"), "line_no").alias("e"), F.min_by(F.struct("line_no", "turn", "command", "kind"), "line_no").alias("first"))
     both = calls.withColumn("known", F.lit(True)).join(e, [*KEY, "call_id"], "full_outer")
     kind = F.col("e.kind")
-    joined = F.concat_ws("\n", F.nullif("e.stdout", F.lit("")), F.nullif("e.stderr", F.lit("")))
     success = F.coalesce("e.success", F.lit(False))
-    summary = F.when(kind == "exec", truncate_bytes(joined, 800)).when(kind == "patch", truncate_bytes(F.when(success, F.col("e.stdout")).otherwise(F.col("e.stderr")), 400)).when(kind == "mcp", truncate_bytes(F.col("e.result"), 400))
+    summary = F.when(kind == "exec", shell_summary(F.col("e.exit_code"), F.col("e.stdout"), F.col("e.stderr"))).when(kind == "patch", truncate_bytes(F.when(success, F.col("e.stdout")).otherwise(F.col("e.stderr")), 400)).when(kind == "mcp", truncate_bytes(F.col("e.result"), 400))
     failed = F.when(kind == "exec", F.coalesce(F.col("e.exit_code") != 0, F.lit(False))).when(kind == "patch", ~success).otherwise(F.lit(False))
     own = F.nullif(F.nullif("tool_kind", F.lit("")), F.lit("function"))
     shown = F.when(kind == "exec", F.coalesce(own, F.lit("bash"))).when(kind.isNotNull(), picked(kind, 0)).otherwise(F.col("tool_kind"))
@@ -68,7 +73,7 @@ def errors(ends: DataFrame, aborted: DataFrame, others: DataFrame) -> DataFrame:
     aborted and others: agent, session_id, line_no, turn, source, message.
     """
     failed = (F.col("kind") == "exec") & (F.col("exit_code") != 0) | (F.col("kind") == "patch") & ~F.coalesce("success", F.lit(False))
-    text = F.when(F.col("kind") == "exec", truncate_bytes(F.concat_ws("\n", F.nullif("stdout", F.lit("")), F.nullif("stderr", F.lit(""))), 800)).otherwise(truncate_bytes(F.col("stderr"), 400))
+    text = F.when(F.col("kind") == "exec", shell_summary(F.col("exit_code"), F.col("stdout"), F.col("stderr"))).otherwise(truncate_bytes(F.col("stderr"), 400))
     own = ends.where(failed).select(*KEY, "line_no", "turn", F.concat("kind", F.lit("_error")).alias("source"), text.alias("message"))
     message = F.when(F.col("source") == "stop_hook", truncate_bytes(F.col("message"), 1000)).otherwise(F.col("message"))
     rest = aborted.union(others).select(*KEY, "line_no", "turn", "source", message.alias("message"))

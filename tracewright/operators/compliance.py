@@ -46,32 +46,6 @@ def missing_attempts(committed: DataFrame, attempts: DataFrame) -> DataFrame:
     return committed.select("run_id", "lens").distinct().join(attempts, ["run_id", "lens"], "left_anti")
 
 
-def call_windows(calls: DataFrame, records: DataFrame, slack: int = 5) -> DataFrame:
-    """H5: the record of each lens call: by dispatch id, else the earliest of the lens that starts in the call's time widened by ``slack`` seconds; a record serves one call.
-
-    calls: run_id, call_id, lens, started_at, ended_at; records: run_id, record_id, dispatch_id, r_lens, r_started. The calls of
-    a run take their records in order of time, which is a fold within the run.
-    """
-    by_id = calls.join(records.where("dispatch_id is not null").select("run_id", F.col("dispatch_id").alias("call_id"), "record_id"), ["run_id", "call_id"])
-    rest = calls.join(by_id.select("run_id", "call_id"), ["run_id", "call_id"], "left_anti")
-    free = records.join(by_id.select("run_id", "record_id"), ["run_id", "record_id"], "left_anti")
-    wide = F.expr(f"INTERVAL {slack} SECONDS")
-    near = rest.join(free.select("run_id", "record_id", "r_lens", "r_started"), "run_id").where((F.col("lens") == F.col("r_lens")) & (F.col("r_started") >= F.col("started_at") - wide) & (F.col("r_started") <= F.coalesce("ended_at", "started_at") + wide))
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, done, out = set(), set(), []
-        for r in pdf.sort_values(["started_at", "call_id", "r_started", "record_id"]).itertuples():
-            if r.call_id not in done and r.record_id not in used:
-                used.add(r.record_id)
-                done.add(r.call_id)
-                out.append((r.run_id, r.call_id, r.record_id))
-        return pd.DataFrame(out, columns=["run_id", "call_id", "record_id"])
-
-    kinds = dict(near.dtypes)
-    greedy = near.groupBy("run_id").applyInPandas(take, f"run_id {kinds['run_id']}, call_id {kinds['call_id']}, record_id {kinds['record_id']}")
-    return by_id.select("run_id", "call_id", "record_id", F.lit("dispatch").alias("basis")).union(greedy.withColumn("basis", F.lit("time")))
-
-
 def truth_similarity() -> Column:
     """Of reference (r_) and candidate (c_) title words, claim words and evidence paths; 1 where the ids are equal."""
     jaccard = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)

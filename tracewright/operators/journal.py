@@ -43,6 +43,15 @@ def path_collisions(folds: DataFrame) -> DataFrame:
     return rows.where("n = 1 and paths > 1").select("agent", "session_id", "path", "paths")
 
 
+def verdict_of(at: int | None, a: int | None, b: int | None) -> tuple[str, int | None]:
+    """What becomes of a batch [a, b) where ``at`` is accepted next, and what is accepted after it."""
+    if None not in (a, b) and b < a:
+        return "bad", at
+    if None not in (a, at) and a == at:
+        return "append", b
+    return ("replay" if None not in (b, at) and b <= at else "conflict"), at
+
+
 def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For rows (session_id, arrival, from_offset, to_offset, start) sorted by session and arrival: session_id, arrival, verdict, n (place in the session), next (the offset accepted next).
 
@@ -56,12 +65,8 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 session, n, at = (s,), 0, 0
             if start:
                 verdict, at = None, b
-            elif None not in (a, b) and b < a:
-                verdict = "bad"
-            elif None not in (a, at) and a == at:
-                verdict, at = "append", b
             else:
-                verdict = "replay" if None not in (b, at) and b <= at else "conflict"
+                verdict, at = verdict_of(at, a, b)
             n += 1
             verdicts.append(verdict)
             places.append(n)

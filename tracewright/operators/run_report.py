@@ -101,9 +101,10 @@ def run_time(executions: DataFrame) -> DataFrame:
 
 
 def stage_groups(executions: DataFrame) -> DataFrame:
-    """Attempts of each (stage, occurrence) of a run, an untold occurrence being 0; retries are those after the first."""
-    at = F.array_sort(F.collect_list(F.struct("started_at", "execution_id")))
-    got = executions.where("stage is not null").groupBy("run_id", "stage", F.coalesce("stage_occurrence", F.lit(0)).alias("occurrence")).agg(F.count("*").alias("attempts"), F.array_join(F.transform(at, lambda x: x["execution_id"]), ",").alias("order"))
+    """Attempts of each (stage, occurrence) of a run's executions of kind stage, in the order of the walk (``place``); an untold occurrence is 0, an untold stage
+    empty; retries are those after the first."""
+    at = F.array_sort(F.collect_list(F.struct("place", "execution_id")))
+    got = executions.where("execution_kind = 'stage'").groupBy("run_id", F.coalesce("stage", F.lit("")).alias("stage"), F.coalesce("stage_occurrence", F.lit(0)).alias("occurrence")).agg(F.count("*").alias("attempts"), F.array_join(F.transform(at, lambda x: x["execution_id"]), ",").alias("order"))
     return got.withColumn("retries", F.col("attempts") - 1)
 
 

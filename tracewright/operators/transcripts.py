@@ -14,7 +14,7 @@ from tracewright.functions.scalars import first_non_empty, parse_time, truncate_
 KEY = ["agent", "session_id"]
 BLOCK = "type STRING, text STRING, id STRING, name STRING, input STRING, tool_use_id STRING, content STRING, is_error BOOLEAN"
 USAGE = "input_tokens BIGINT, output_tokens BIGINT, cache_read_input_tokens BIGINT, cache_creation_input_tokens BIGINT, cache_creation STRUCT<ephemeral_5m_input_tokens: BIGINT, ephemeral_1h_input_tokens: BIGINT>, speed STRING"
-RECORD = f"type STRING, subtype STRING, uuid STRING, timestamp STRING, cwd STRING, version STRING, gitBranch STRING, promptId STRING, isSidechain BOOLEAN, isMeta BOOLEAN, effort STRING, perTurnEffort STRING, content STRING, toolUseID STRING, message STRUCT<id: STRING, role: STRING, model: STRING, stop_reason: STRING, content: STRING, usage: STRUCT<{USAGE}>>"
+RECORD = f"type STRING, subtype STRING, uuid STRING, logicalParentUuid STRING, timestamp STRING, cwd STRING, version STRING, gitBranch STRING, promptId STRING, isSidechain BOOLEAN, isMeta BOOLEAN, effort STRING, perTurnEffort STRING, content STRING, toolUseID STRING, message STRUCT<id: STRING, role: STRING, model: STRING, stop_reason: STRING, content: STRING, usage: STRUCT<{USAGE}>>"
 #: The record types that are understood, tool kinds by name, and the argument that tells a call apart.
 TYPES = ["user", "assistant", "system", "attachment", "progress", "queue-operation", "file-history-snapshot", "permission-mode", "agent-name", "custom-title", "last-prompt", "pr-link"]
 TOOL_KINDS = {"Bash": "bash", "Edit": "edit", "Write": "write", "Read": "read", "NotebookEdit": "read", "Grep": "grep", "Glob": "glob", "Task": "task", "Agent": "task", "WebFetch": "web_fetch", "WebSearch": "web_search", "ExitPlanMode": "plan", "EnterPlanMode": "plan"}
@@ -126,9 +126,9 @@ def errors(turned: DataFrame, routed: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def compactions(routed: DataFrame) -> DataFrame:
-    """The places where a transcript was compacted."""
+    """The places where a transcript was compacted, anchored at the record that each logically follows."""
     rows = routed.where("route = 'system' and r.subtype = 'compact_boundary'")
-    return rows.select(*KEY, (F.row_number().over(by_line()).cast("long") - 1).alias("seq"), parse_time(F.col("r.timestamp")).alias("ts"), F.col("r.uuid").alias("anchor"))
+    return rows.select(*KEY, (F.row_number().over(by_line()).cast("long") - 1).alias("seq"), parse_time(F.col("r.timestamp")).alias("ts"), F.col("r.logicalParentUuid").alias("anchor"))
 
 
 def session_header(routed: DataFrame, turned: DataFrame, calls: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.tables import new_path
@@ -17,8 +18,8 @@ from tracewright.streaming.streams import events_stream, project_states
 MARK = r"coalesce(nullif(regexp_extract(subject, '^\[([^\] \t]+)\]', 1), ''), nullif(regexp_extract(subject, '\[([^\[\] \t]+)\]$', 1), ''))"
 BUGS = "bugs AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'ns/' ELSE '' END || 'tk-' || CAST(p_partkey AS {s}) AS ticket FROM {t} WHERE p_partkey % 5 < 3)"
 FIXES = "fixes AS (SELECT DISTINCT ticket, commit_hash, session_id FROM (SELECT *, " + MARK + " AS marker FROM commits) c JOIN (SELECT ticket, ticket AS m FROM bugs UNION SELECT ticket, regexp_replace(ticket, '^[^/]*/', '') FROM bugs) i ON c.marker = i.m)"
-BLAME = "blame AS (SELECT f.ticket, substring(md5(CAST(l_orderkey AS {s})), 1, 12) AS introducing_hash, CASE WHEN l_linenumber = 7 THEN 'vendor/x' || CAST(l_linenumber AS {s}) || '.go' ELSE '/src/m' || CAST(l_partkey % 50 AS {s}) || '.py' END AS path FROM {t} l JOIN fixes f ON f.session_id = 'o' || CAST(l_suppkey * 2 AS {s}))"
-ROLL = r"""roll AS (SELECT ticket, introducing_hash, count(*) AS lines FROM blame b WHERE NOT regexp_matches(path, '(^|/)(vendor|node_modules|dist)/|\.(lock|sum|snap)$|_pb2\.py$') AND NOT EXISTS (SELECT 1 FROM fixes x WHERE x.ticket = b.ticket AND x.commit_hash = b.introducing_hash) GROUP BY ALL),
+BLAME = "blame AS (SELECT f.ticket, substring(md5(CAST(l_orderkey AS {s})), 1, 12) AS introducing_hash, CASE WHEN l_linenumber = 7 THEN 'tests/golden/x' || CAST(l_linenumber AS {s}) || '.go' WHEN l_linenumber = 6 THEN 'vendor/tests/golden/y.lock' ELSE '/src/m' || CAST(l_partkey % 50 AS {s}) || '.py' END AS path FROM {t} l JOIN fixes f ON f.session_id = 'o' || CAST(l_suppkey * 2 AS {s}))"
+ROLL = r"""roll AS (SELECT ticket, introducing_hash, count(*) AS lines FROM blame b WHERE NOT starts_with(path, 'tests/golden/') AND NOT EXISTS (SELECT 1 FROM fixes x WHERE x.ticket = b.ticket AND x.commit_hash = b.introducing_hash) GROUP BY ALL),
 n AS (SELECT ticket, count(*) AS commits FROM roll GROUP BY 1), nf AS (SELECT ticket, count(*) AS fixes FROM fixes GROUP BY 1),
 att AS (SELECT b.ticket, coalesce(n.commits, 0) AS commits, CASE WHEN coalesce(n.commits, 0) = 1 THEN 'single' WHEN n.commits > 1 THEN 'multi' ELSE 'unattributable' END AS class, CASE WHEN n.commits IS NULL THEN CASE WHEN nf.fixes IS NULL THEN 'no fix commit' ELSE 'no blamed lines' END END AS reason FROM bugs b LEFT JOIN n USING (ticket) LEFT JOIN nf USING (ticket))"""
 FULL = f"{cte('commits')}, {BUGS.format(s='VARCHAR', t='part')}, {FIXES}, {BLAME.format(s='VARCHAR', t='lineitem')}, {ROLL}"
@@ -35,7 +36,7 @@ def fixes(spark, sf):
 
 def rollup(spark, sf):
     f = fixes(spark, sf)
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("'o' || CAST(l_suppkey * 2 AS STRING) AS session_id", "substring(md5(CAST(l_orderkey AS STRING)), 1, 12) AS introducing_hash", "CASE WHEN l_linenumber = 7 THEN 'vendor/x' || CAST(l_linenumber AS STRING) || '.go' ELSE '/src/m' || CAST(l_partkey % 50 AS STRING) || '.py' END AS path")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("'o' || CAST(l_suppkey * 2 AS STRING) AS session_id", "substring(md5(CAST(l_orderkey AS STRING)), 1, 12) AS introducing_hash", "CASE WHEN l_linenumber = 7 THEN 'tests/golden/x' || CAST(l_linenumber AS STRING) || '.go' WHEN l_linenumber = 6 THEN 'vendor/tests/golden/y.lock' ELSE '/src/m' || CAST(l_partkey % 50 AS STRING) || '.py' END AS path")
     return a.blame_rollup(lines.join(f, "session_id").select("ticket", "introducing_hash", "path"), f)
 
 
@@ -271,6 +272,8 @@ def g7(spark, sf):
     return g.run_time(executions(spark, sf))
 
 
-@query("g9_stage_groups", f"""{EXECUTIONS}, o AS (SELECT *, coalesce(CASE WHEN records < 3 THEN records END, 0) AS occurrence FROM executions) SELECT run_id, stage, occurrence, count(*) AS attempts, string_agg(execution_id, ',' ORDER BY started_at, execution_id) AS "order", count(*) - 1 AS retries FROM o WHERE stage IS NOT NULL GROUP BY ALL""")
+@query("g9_stage_groups", f"""{EXECUTIONS}, o AS (SELECT *, coalesce(CASE WHEN records < 3 THEN records END, 0) AS occurrence, sum(records) OVER (PARTITION BY run_id ORDER BY execution_id DESC) AS place FROM executions) SELECT run_id, coalesce(stage, '') AS stage, occurrence, count(*) AS attempts, string_agg(execution_id, ',' ORDER BY place) AS "order", count(*) - 1 AS retries FROM o WHERE execution_kind = 'subagent' GROUP BY ALL""")
 def g9(spark, sf):
-    return g.stage_groups(executions(spark, sf).withColumn("stage_occurrence", F.when(F.col("records") < 3, F.col("records"))))
+    # any order will do for a walk here; it is not that of the starts
+    walk = F.sum("records").over(Window.partitionBy("run_id").orderBy(F.desc("execution_id")))
+    return g.stage_groups(executions(spark, sf).withColumns({"stage_occurrence": F.when(F.col("records") < 3, F.col("records")), "place": walk, "execution_kind": F.when(F.col("execution_kind") == "subagent", "stage").otherwise(F.col("execution_kind"))}))

@@ -28,7 +28,7 @@ def ends(spark):
 
 
 B = f"b AS ({BASE.format(t='lineitem')}), e AS (SELECT *, 'out ' || CAST(p AS VARCHAR) AS stdout, CASE WHEN p % 2 = 0 THEN 'err' ELSE '' END AS stderr, p % 5 <> 0 AS success, p % 4 AS code FROM b WHERE k < 6)"
-JOINED = "stdout || CASE WHEN stderr <> '' THEN chr(10) || stderr ELSE '' END"
+JOINED = "'exit=' || CAST(code AS VARCHAR) || chr(10) || 'stdout: ' || CASE WHEN length(stdout) > 400 THEN left(stdout, 400) || '…' ELSE stdout END || CASE WHEN stderr <> '' THEN chr(10) || 'stderr: ' || stderr ELSE '' END"
 
 
 @query("b14_codex_exec_results", f"""WITH {B}, j AS (SELECT b.o, b.k, b.p, b.k % 2 = 0 AS called, e.kind AS kind, stdout, stderr, success, code FROM b LEFT JOIN e ON b.o = e.o AND b.k = e.k WHERE b.k % 2 = 0 OR b.k < 6)

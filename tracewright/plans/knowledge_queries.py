@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import friction_signature
 from tracewright.functions.tables import shared_dir
+from tracewright.functions.tables import new_path
 from tracewright.operators import journal as j
 from tracewright.operators import knowledge as k
 from tracewright.operators import text as x
 from tracewright.plans.adapters import cte
 from tracewright.plans.friction_queries import SIGNATURE
 from tracewright.plans.registry import query
+from tracewright.sources import versions
 from tracewright.streaming import streams as p
 
 STOP = ", ".join(f"'{w}'" for w in k.STOP_WORDS)
@@ -154,6 +156,29 @@ def p2(spark, sf):
     return p.offsets(p.events_stream(spark, sf).selectExpr("CAST(user_id AS STRING) AS session_id", "event_id AS arrival", "CAST(5 * (event_id % 3) AS BIGINT) AS from_offset", "CAST(5 * (event_id % 3) + 5 - 7 * CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS BIGINT) AS to_offset"))
 
 
+SESSION_EVENTS = ["'events' AS agent", "'u' || CAST(user_id AS STRING) AS session_id", "event_id", "ts", "value"]
+
+
+@query("p1_stream_sessions", "SELECT 'events' AS agent, 'u' || CAST(user_id AS VARCHAR) AS session_id, count(*) AS records, min(event_id) AS first_id, max(ts) AS last_ts FROM events GROUP BY user_id")
+def p1(spark, sf):
+    table = new_path(spark, "p1")
+    whole = spark.read.parquet(f"{sf}/events.parquet").selectExpr(*SESSION_EVENTS)
+    fold = lambda rows: rows.groupBy("agent", "session_id").agg(F.count("*").alias("records"), F.min("event_id").alias("first_id"), F.max("ts").alias("last_ts"))
+    p.sessions(p.events_stream(spark, sf).selectExpr(*SESSION_EVENTS), fold, lambda touched: whole.join(touched, ["agent", "session_id"], "left_semi"), table)
+    return versions.current(spark, table)
+
+
+# all sessions first; then every third is read again, of which only the calls above the first are left, and every sixth has none
+@query("a6_upsert_session", "SELECT 'o' || CAST(l_orderkey AS VARCHAR) AS session_id, l_linenumber AS seq, count(*) AS rows FROM lineitem WHERE l_orderkey % 3 <> 0 OR (l_orderkey % 6 <> 0 AND l_linenumber > 1) GROUP BY ALL")
+def a6(spark, sf):
+    table = new_path(spark, "a6")
+    calls = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("session_id"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("seq")).agg(F.count("*").alias("rows"))
+    versions.upsert(table, ["session_id"], calls.select("session_id"), lambda: calls.drop("k"))
+    again = calls.where("k % 3 = 0")
+    versions.upsert(table, ["session_id"], again.select("session_id"), lambda: again.where("k % 6 <> 0 AND seq > 1").drop("k"))
+    return versions.current(spark, table)
+
+
 @query("p3_stream_host_samples", "SELECT 'h' || CAST(user_id AS VARCHAR) AS host, date_trunc('hour', ts) AS ts, max(event_id) AS line, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def p3(spark, sf):
     return p.host_samples(p.events_stream(spark, sf).selectExpr("'h' || CAST(user_id AS STRING) AS host", "CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS ts", "event_id AS line", "value"))

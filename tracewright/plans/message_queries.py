@@ -38,7 +38,7 @@ def c14(spark, sf):
 LINES = f"CASE {K} % 3 WHEN 0 THEN 'Dispatching (x round ' || CAST(turn AS STRING) || '): contract, Quality' || chr(10) || 'dispatching (round 2): docs' WHEN 1 THEN 'dispatching (no number): tests' ELSE 'none' END"
 
 
-@query("c15_dispatch_commitments", f"SELECT conv_id, turn, CASE {K} % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS lines, CASE {K} % 3 WHEN 0 THEN greatest(turn, 2) ELSE 0 END::INT AS max_round, {K} % 3 = 1 AS unparseable, CASE {K} % 3 WHEN 0 THEN 'contract,quality,docs' WHEN 1 THEN 'tests' ELSE '' END AS lenses FROM conversations")
+@query("c15_dispatch_commitments", f"SELECT conv_id, turn, CASE {K} % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS lines, CASE {K} % 3 WHEN 0 THEN greatest(turn, 2) ELSE 0 END::INT AS max_round, {K} % 3 = 1 AS unparseable, CASE {K} % 3 WHEN 0 THEN 'contract,quality' ELSE '' END AS lenses FROM conversations")
 def c15(spark, sf):
     got = rows(spark, sf, m=LINES).withColumn("c", d.commitments(F.col("m")))
     return got.select("conv_id", "turn", "c.lines", "c.max_round", "c.unparseable", F.array_join("c.lenses", ",").alias("lenses"))
@@ -53,21 +53,40 @@ def c11(spark, sf):
     return rows(spark, sf, s=SUMMARY, state=STATE).select("conv_id", "turn", d.contaminated(F.col("state"), F.col("s")).alias("contaminated"))
 
 
-@query("c10_lens_response_id", "SELECT conv_id, turn, sha256(concat_ws(chr(31), 'a', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))) AS response_id FROM conversations")
+@query("c10_lens_response_id", f"SELECT conv_id, turn, sha256('claude-code|s' || CAST(conv_id AS VARCHAR) || '|' || CAST(turn * 4 AS VARCHAR) || '|assistant|' || CASE WHEN {K} % 3 = 0 THEN 'd' || CAST(turn AS VARCHAR) ELSE '' END || '|' || CAST(turn % 2 AS VARCHAR)) AS response_id FROM conversations")
 def c10(spark, sf):
-    return rows(spark, sf).select("conv_id", "turn", d.response_id(F.lit("a"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("response_id"))
-
-
-EVENT = f"""CASE {K} % 7 WHEN 0 THEN 'The user doesn''t want this' WHEN 1 THEN 'permission was denied by the classifier' WHEN 2 THEN 'exit 1' WHEN 3 THEN '[Request interrupted by user]' ELSE 'plain' END"""
-
-
-@query("c5_friction_events", f"SELECT conv_id, turn, CASE {K} % 7 WHEN 0 THEN 'permission.denied_by_user' WHEN 1 THEN 'permission.classifier_denied' WHEN 2 THEN 'tool.error' WHEN 3 THEN 'user.interrupt' WHEN 4 THEN 'hook.ask' ELSE 'hook.deny' END AS kind FROM conversations WHERE {K} % 7 <> 6")
+    got = rows(spark, sf, dispatch=f"CASE WHEN {K} % 3 = 0 THEN 'd' || CAST(turn AS STRING) END")
+    return got.select("conv_id", "turn", d.response_id(F.lit("claude-code"), F.concat(F.lit("s"), F.col("conv_id").cast("string")), F.col("turn") * 4, F.lit("assistant"), F.col("dispatch"), F.col("turn") % 2).alias("response_id"))
+
+
+#: A record for each message: kind, hook name, decision of a hook, exit code, stderr, tool, failure, text; the message's number makes each its own.
+N = "CAST(turn AS STRING)"
+FRICTION = {
+    "kind": f"CASE WHEN {K} % 14 < 6 THEN 'hook' WHEN {K} % 14 < 12 THEN 'result' ELSE 'text' END",
+    "hook_name": f"CASE WHEN {K} % 14 = 5 THEN 'Stop' ELSE 'PreToolUse:Bash' END",
+    "stdout": f"""CASE {K} % 14 WHEN 0 THEN '{{"hookSpecificOutput":{{"permissionDecision":"ask","permissionDecisionReason":"rule ' || {N} || '"}}}}' WHEN 1 THEN '{{"hookSpecificOutput":{{"permissionDecision":"deny"}},"reason":"policy ' || {N} || '"}}' WHEN 2 THEN '{{"decision":"block"}}' WHEN 3 THEN 'not a decision' WHEN 4 THEN '{{"hookSpecificOutput":{{"permissionDecision":"allow"}}}}' ELSE '' END""",
+    "exit_code": f"CASE WHEN {K} % 14 IN (3, 5) THEN 2 ELSE 0 END",
+    "stderr": f"CASE WHEN {K} % 14 IN (2, 3, 5) THEN chr(10) || '  no: ' || {N} || chr(10) || 'more' END",
+    "tool": f"CASE WHEN {K} % 2 = 0 THEN 'Bash' ELSE 'Edit' END",
+    "is_error": f"{K} % 14 <> 11",
+    "text": f"""CASE {K} % 14 WHEN 6 THEN 'It was denied by the Claude Code auto mode classifier. Reason: unsafe ' || {N} WHEN 7 THEN 'The user doesn''t want to proceed with this tool use (' || {N} || '), denied by the Claude Code auto mode classifier' WHEN 8 THEN '  User rejected tool use' || chr(10) || 'x' WHEN 9 THEN chr(10) || ' exit ' || {N} || chr(10) || 'y' WHEN 10 THEN 'the user denied it' WHEN 12 THEN '[Request interrupted by user for tool use]' ELSE 'plain' END""",
+}
+
+
+@query(
+    "c5_friction_events",
+    f"""WITH r AS (SELECT conv_id, turn, {K} % 14 AS c, CAST(turn AS VARCHAR) AS n, CASE WHEN turn >= 100 THEN '<n>' ELSE CAST(turn AS VARCHAR) END AS m, CASE WHEN {K} % 2 = 0 THEN 'Bash' ELSE 'Edit' END AS t FROM conversations)
+SELECT conv_id, turn, CASE c WHEN 0 THEN 'hook.ask' WHEN 6 THEN 'permission.classifier_denied' WHEN 7 THEN 'permission.classifier_denied' WHEN 8 THEN 'permission.denied_by_user' WHEN 9 THEN 'tool.error' WHEN 10 THEN 'tool.error' WHEN 12 THEN 'user.interrupt' ELSE 'hook.deny' END AS kind,
+CASE c WHEN 0 THEN 'PreToolUse:Bash: rule ' || m WHEN 1 THEN 'PreToolUse:Bash: policy ' || m WHEN 2 THEN 'PreToolUse:Bash: no: ' || m WHEN 3 THEN 'PreToolUse:Bash: no: ' || m WHEN 5 THEN 'Stop: no: ' || m WHEN 6 THEN 'unsafe ' || m WHEN 7 THEN 'The user doesn''t want to proceed with this tool use (' || m || '), denied by the Claude Code auto mode classifier' WHEN 8 THEN t WHEN 9 THEN t || ': exit ' || m WHEN 10 THEN t || ': the user denied it' ELSE '[Request interrupted by user for tool use]' END AS signature,
+CASE WHEN c = 5 OR c = 12 THEN '' WHEN c < 6 THEN 'Bash' ELSE t END AS tool,
+CASE c WHEN 0 THEN 'rule ' || n WHEN 1 THEN 'policy ' || n WHEN 2 THEN 'no: ' || n WHEN 3 THEN 'no: ' || n WHEN 5 THEN 'no: ' || n WHEN 6 THEN 'unsafe ' || n WHEN 7 THEN 'The user doesn''t want to proceed with this tool use (' || n || '), denied by the Claude Code auto mode classifier' WHEN 8 THEN 'User rejected tool use' WHEN 9 THEN 'exit ' || n WHEN 10 THEN 'the user denied it' ELSE '[Request interrupted by user for tool use]' END AS detail
+FROM r WHERE c NOT IN (4, 11, 13)""",
+)
 def c5(spark, sf):
-    got = rows(spark, sf, e=EVENT, r=f"{K} % 7 < 3", h=f"CASE {K} % 7 WHEN 4 THEN 'ask' WHEN 5 THEN 'deny' END")
-    return got.select("conv_id", "turn", d.friction_kind(F.col("r"), F.col("r"), F.col("e"), F.col("h")).alias("kind")).where("kind is not null")
+    return d.friction_events(rows(spark, sf, **FRICTION)).select("conv_id", "turn", "kind", "signature", "tool", "detail")
 
 
-FENCED = f"""'intro' || chr(10) || '```json' || chr(10) || CASE {K} % 5 WHEN 0 THEN '{{"lens":"contract","verdict":"pass","summary":"s' || CAST(turn AS STRING) || '","criteria":[{{"id":"c1","text":"t","status":"met","evidence":"e"}},{{"id":"c2"}}]}}' WHEN 1 THEN '{{"lens": "tests", ' WHEN 2 THEN '{{"lens":"taste","verdict":"pass"}}' WHEN 3 THEN '{{"lens":"docs","verdict":"fail"}}' ELSE '{{"a":1}}' END || chr(10) || CASE {K} % 5 WHEN 3 THEN '' ELSE '```' || chr(10) || 'after' END"""
+FENCED = f"""'intro' || chr(10) || '```json' || chr(10) || CASE {K} % 5 WHEN 0 THEN '{{"lens":"contract","verdict":"satisfied","summary":"s' || CAST(turn AS STRING) || '","criteria":[{{"id":"c1","text":"t","status":"met","evidence":"e"}},{{"id":"c2"}}]}}' WHEN 1 THEN '{{"lens": "tests", ' WHEN 2 THEN '{{"lens":"taste","verdict":"satisfied"}}' WHEN 3 THEN '{{"lens":"docs","verdict":"findings"}}' ELSE '{{"a":1}}' END || chr(10) || CASE {K} % 5 WHEN 3 THEN '' ELSE '```' || chr(10) || 'after' END"""
 
 
 def blocks(spark, sf):

@@ -20,7 +20,7 @@ SELECT agent, session_id, turn * 4 + 1, to_json(named_struct('type', 'assistant'
 UNION ALL
 SELECT agent, session_id, turn * 4 + 2, to_json(named_struct('type', 'user', 'timestamp', ts2, 'message', named_struct('role', 'user', 'content', array(named_struct('type', 'tool_result', 'tool_use_id', 't' || turn, 'content', 'out ' || turn, 'is_error', turn % 3 = 1))))) FROM c WHERE role = 'assistant' AND turn % 5 <> 4
 UNION ALL
-SELECT agent, session_id, turn * 4, to_json(named_struct('type', 'system', 'timestamp', ts, 'subtype', 'compact_boundary', 'uuid', 'u' || conv)) FROM c WHERE role = 'system'
+SELECT agent, session_id, turn * 4, to_json(named_struct('type', 'system', 'timestamp', ts, 'subtype', 'compact_boundary', 'uuid', 'x' || conv, 'logicalParentUuid', 'u' || conv)) FROM c WHERE role = 'system'
 UNION ALL
 SELECT agent, session_id, turn * 4 + 3, CASE conv % 3 WHEN 0 THEN '{{"type": "broken' WHEN 1 THEN to_json(named_struct('type', 'user', 'isSidechain', 'yes', 'timestamp', ts)) ELSE to_json(named_struct('type', 'mystery', 'subtype', 'x', 'timestamp', ts)) END FROM c WHERE turn = 0
 """

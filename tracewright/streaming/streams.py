@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.tables import new_path
-from tracewright.operators.journal import judged
 from tracewright.sources.files import current_state, replace_state
+from tracewright.sources.versions import upsert
+from tracewright.streaming.keyed import Offsets, Totals, keyed
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,71 +70,43 @@ def sample_range(samples: DataFrame, since: str, until: str) -> DataFrame:
     return samples.where((F.unix_seconds(F.col("ts").cast("timestamp")) >= up(since)) & (F.unix_seconds(F.col("ts").cast("timestamp")) < up(until))).orderBy("host", "ts")
 
 
-def carried(stream: DataFrame, name: str, each: Callable[[DataFrame, DataFrame | None], DataFrame], at: str | None = None) -> DataFrame:
-    """The tables that ``each`` makes of a stream's batches, of a batch and the table of the batch before (none: the first)."""
+def _kept(stream: DataFrame, name: str, at: str | None) -> DataFrame:
+    """The rows that a stream puts out, a folder a batch: a batch that is run again replaces its own."""
     spark = stream.sparkSession
     at = at or new_path(spark, name)
-    part = lambda n: f"{at}/table/part={n}"
+    # nothing may have arrived yet
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{at}/table/part=none")
+    drained(stream, "append", lambda df, n: df.write.mode("overwrite").parquet(f"{at}/table/part={n}"), at)
+    return spark.read.schema(stream.schema).parquet(f"{at}/table/part=*")
 
-    def take(df: DataFrame, n: int) -> None:
-        each(df, df.sparkSession.read.parquet(part(n - 1)) if n else None).write.mode("overwrite").parquet(part(n))
 
-    drained(stream, "append", take, at)
-    return spark.read.parquet(f"{at}/table").drop("part")
-
-
-def token_deltas(samples: DataFrame, at: str | None = None) -> DataFrame:
+def token_deltas(samples: DataFrame, at: str | None = None, idle: str | None = None) -> DataFrame:
     """The advance of a cumulative counter by session; a counter that fell gives the sample's own usage.
 
-    samples: session_id, seq, total, last. A batch is put in order by seq; samples arrive in order across batches. Each
-    session's last total goes from batch to batch as a start row; a window, which spills, looks back one sample.
+    samples: session_id, seq, total, last. A batch is put in order by seq; samples arrive in order across batches. The state is each
+    session's last total.
     """
+    rows = samples.select("session_id", *(F.col(c).cast("long").alias(c) for c in ("seq", "total", "last")))
+    return _kept(keyed(rows, Totals, "session_id string, seq long, used long", idle), "p6", at)
 
-    def each(df: DataFrame, before: DataFrame | None) -> DataFrame:
-        rows = df.select("session_id", F.col("seq").cast("long").alias("seq"), F.col("total").cast("long").alias("total"), F.col("last").cast("long").alias("last"), F.lit(False).alias("start"))
-        if before is not None:
-            base = before.groupBy("session_id").agg(F.max_by("total", F.struct(~F.col("start"), "seq")).alias("total"))
-            rows = rows.unionByName(base.withColumn("start", F.lit(True)), allowMissingColumns=True)
-        base = F.lag("total").over(Window.partitionBy("session_id").orderBy(F.desc("start"), "seq"))
-        return rows.withColumn("base", base).select("session_id", "seq", F.when(F.col("total") >= F.col("base"), F.col("total") - F.col("base")).otherwise(F.col("last")).alias("used"), "total", "start")
-
-    return carried(samples, "p6", each, at).where("not start").select("session_id", "seq", "used")
 
-
-def offsets(batches: DataFrame, at: str | None = None) -> DataFrame:
+def offsets(batches: DataFrame, at: str | None = None, idle: str | None = None) -> DataFrame:
     """Delta batches by the session's accepted offset: append, replay, conflict or bad. batches: session_id, arrival, from_offset, to_offset.
 
-    Each session's offset goes from batch to batch as a start row.
+    The state is each session's offset.
     """
-
-    def each(df: DataFrame, before: DataFrame | None) -> DataFrame:
-        rows = df.select("session_id", "arrival", "from_offset", "to_offset", F.lit(False).alias("start"))
-        if before is not None:
-            base = before.groupBy("session_id").agg(F.max_by("next", "n").alias("to_offset"))
-            rows = rows.unionByName(base.withColumn("start", F.lit(True)), allowMissingColumns=True)
-        return judged(rows)
-
-    return carried(batches, "p2", each, at).where("verdict is not null").select("session_id", "arrival", "verdict")
+    rows = batches.select("session_id", *(F.col(c).cast("long").alias(c) for c in ("arrival", "from_offset", "to_offset")))
+    return _kept(keyed(rows, Offsets, "session_id string, arrival long, verdict string", idle), "p2", at)
 
 
 def sessions(lines: DataFrame, fold: Callable[[DataFrame], DataFrame], reread: Callable[[DataFrame], DataFrame], table: str) -> None:
-    """Of the files that arrive, re-read whole sessions, fold them and replace their rows in ``table`` (partitioned by bucket).
+    """Of the files that arrive, re-read whole sessions, fold them and replace their rows in ``table``, a batch at once.
 
-    reread gives all lines of the sessions of a batch; a bucket that a batch touches is written anew as a whole.
+    reread gives all lines of the sessions of a batch. A batch that failed half-way, or is run again, leaves the version before it or its own.
     """
-    spark = lines.sparkSession
 
     def replace(batch: DataFrame, n: int) -> None:
         touched = batch.select("agent", "session_id").distinct()
-        new = fold(reread(touched)).withColumn("bucket", F.pmod(F.hash("session_id"), F.lit(64)))
-        try:
-            old = spark.read.parquet(table).join(touched, ["agent", "session_id"], "left_anti")
-            old = old.join(new.select("bucket").distinct(), "bucket", "left_semi")
-            new = old.select(*new.columns).unionByName(new)
-        except Exception as e:  # the table is not there before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows = new.checkpoint()
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        upsert(table, ["agent", "session_id"], touched, lambda: fold(reread(touched)), n)
 
     drained(lines, "append", replace, table + "-stream")
