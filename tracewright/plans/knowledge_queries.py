@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import friction_signature
-from tracewright.functions.tables import shared_dir
-from tracewright.functions.tables import new_path
+from tracewright.functions.tables import new_path, shared_dir
 from tracewright.operators import journal as j
 from tracewright.operators import knowledge as k
 from tracewright.operators import text as x

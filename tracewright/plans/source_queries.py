@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.functions.tables import new_path
+from tracewright.functions.tables import new_path, written
 from tracewright.operators.knowledge import path_tokens
 from tracewright.plans.adapters import AGENT, cte, table
 from tracewright.plans.registry import query
 from tracewright.sources import files as a
+from tracewright.sources import ranges
+from tracewright.streaming import streams
 
 
 def read(spark, sf, name, *columns):
@@ -105,3 +107,44 @@ def a14(spark, sf):
 def k11(spark, sf):
     text = F.concat(F.lit("see /src/"), "id", F.lit(".py, (lib/"), "type", F.lit(".go) or README.md and README.md: "), "title")
     return artifacts(spark, sf).select("id", F.array_join(path_tokens(text), "|").alias("paths"))
+
+
+def text_files(df, path: str, *columns: str) -> None:
+    """Rows as lines of JSON in files of a folder."""
+    df.select(F.to_json(F.struct(*columns)).alias("value")).write.mode("append").text(path)
+
+
+# lines that Spark wrote are read by ranges of 20,000 bytes; the numbers of a file's lines are without gaps
+@query("a1_scan_transcripts", "SELECT CASE WHEN conv_id % 2 = 0 THEN 'claude-code' ELSE 'codex-cli' END AS agent, 'p' || CAST(conv_id % 2 AS VARCHAR) AS project, conv_id, turn, true AS dense FROM conversations")
+def a1(spark, sf):
+    root, rows = new_path(spark, "a1"), spark.read.parquet(f"{sf}/conversations.parquet")
+    for k, agent in enumerate(("claude-code", "codex-cli")):
+        text_files(rows.where(F.col("conv_id") % 2 == k), f"{root}/{agent}/p{k}", "conv_id", "turn", "role", "text")
+    lines = a.with_path_keys(ranges.numbered(ranges.scan(spark, root, ".txt", 20_000)), root)
+    per = lines.groupBy("path").agg((F.count("*") == F.max("line_no")).alias("dense"))
+    parsed = F.from_json("value", "conv_id LONG, turn LONG")
+    kinds = dict(rows.dtypes)
+    return lines.join(per, "path").select("agent", "project", *(parsed[c].cast(kinds[c]).alias(c) for c in ("conv_id", "turn")), "dense")
+
+
+# even events are in the files at the first scan, odd ones have come by the second, which reads their bytes alone
+@query("a15_incremental_scan", "SELECT event_id, event_id % 2 + 1 AS run FROM events")
+def a15_incremental(spark, sf):
+    root, rows = new_path(spark, "a15"), spark.read.parquet(f"{sf}/events.parquet")
+    at, found = {}, None
+    for k in (0, 1):
+        text_files(rows.where(F.col("event_id") % 2 == k), root, "event_id", "ts")
+        lines = written(ranges.scan(spark, root, ".txt", 50_000, offsets=at), "a15-run")
+        at = ranges.advanced(lines, at)
+        run = lines.select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.lit(k + 1).cast("long").alias("run"))
+        found = run if found is None else found.union(run)
+    return found
+
+
+@query("a9_stream_host_samples", "SELECT 'h' || CAST(user_id AS VARCHAR) AS host, event_id AS line, value FROM events")
+def a9_stream(spark, sf):
+    root = new_path(spark, "a9")
+    text_files(spark.read.parquet(f"{sf}/events.parquet").withColumn("host", F.concat(F.lit("h"), F.col("user_id").cast("string"))), root, "host", "event_id", "value")
+    parsed = F.from_json("value", "host STRING, event_id LONG, value DOUBLE")
+    lines = ranges.stream(spark, root, ".txt", 50_000).select(parsed.alias("s"))
+    return streams.kept_rows(lines.select("s.host", F.col("s.event_id").alias("line"), "s.value"), "a9-lines", None)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions.scalars import parse_time
+from tracewright.sources.ranges import numbered, scan
 
 LONG_LINE = 1 << 20
 
@@ -18,11 +19,12 @@ def with_path_keys(df: DataFrame, root: str) -> DataFrame:
     return df.select("*", F.get(parts, 0).alias("agent"), F.get(parts, 1).alias("project"), F.regexp_replace(F.element_at(parts, -1), r"\.(meta\.json|subagent\.json|jsonl)$", "").alias("session_id"), inner.contains("/subagents/").alias("is_subagent"))
 
 
-def scan_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
-    """Lines of files with a number that is their order in the file: path, line_no (from 1), value, size, mtime. Blank lines are dropped, numbers stay."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"), F.posexplode(F.split("value", "\n")).alias("pos", "value"))
-    return rows.where(F.trim("value") != "").select("path", (F.col("pos") + 1).cast("long").alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"), "size", "mtime")
+def scan_lines(spark: SparkSession, root: str, suffix: str = ".jsonl") -> DataFrame:
+    """Lines of files with a number that is their order in the file: path, line_no (from 1), value, size, mtime. Blank lines are dropped, numbers stay.
+
+    Large files are read by ranges of bytes, so no file has to be one string or one task.
+    """
+    return numbered(scan(spark, root, suffix))
 
 
 def scan_transcripts(spark: SparkSession, root: str) -> DataFrame:

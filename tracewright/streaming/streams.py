@@ -70,7 +70,7 @@ def sample_range(samples: DataFrame, since: str, until: str) -> DataFrame:
     return samples.where((F.unix_seconds(F.col("ts").cast("timestamp")) >= up(since)) & (F.unix_seconds(F.col("ts").cast("timestamp")) < up(until))).orderBy("host", "ts")
 
 
-def _kept(stream: DataFrame, name: str, at: str | None) -> DataFrame:
+def kept_rows(stream: DataFrame, name: str, at: str | None) -> DataFrame:
     """The rows that a stream puts out, a folder a batch: a batch that is run again replaces its own."""
     spark = stream.sparkSession
     at = at or new_path(spark, name)
@@ -87,7 +87,7 @@ def token_deltas(samples: DataFrame, at: str | None = None, idle: str | None = N
     session's last total.
     """
     rows = samples.select("session_id", *(F.col(c).cast("long").alias(c) for c in ("seq", "total", "last")))
-    return _kept(keyed(rows, Totals, "session_id string, seq long, used long", idle), "p6", at)
+    return kept_rows(keyed(rows, Totals, "session_id string, seq long, used long", idle), "p6", at)
 
 
 def offsets(batches: DataFrame, at: str | None = None, idle: str | None = None) -> DataFrame:
@@ -96,7 +96,7 @@ def offsets(batches: DataFrame, at: str | None = None, idle: str | None = None)
     The state is each session's offset.
     """
     rows = batches.select("session_id", *(F.col(c).cast("long").alias(c) for c in ("arrival", "from_offset", "to_offset")))
-    return _kept(keyed(rows, Offsets, "session_id string, arrival long, verdict string", idle), "p2", at)
+    return kept_rows(keyed(rows, Offsets, "session_id string, arrival long, verdict string", idle), "p2", at)
 
 
 def sessions(lines: DataFrame, fold: Callable[[DataFrame], DataFrame], reread: Callable[[DataFrame], DataFrame], table: str) -> None:
