@@ -81,3 +81,43 @@ def command_text(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_extract(text, r"(?s)<local-command-stdout>(.*?)</local-command-stdout>", 1), r"^\s+|\s+$", "")
     out = F.when((out != "") & (out != "(no content)"), F.concat(F.lit("→ "), out))
     return F.concat_ws(" ", name, out)
+
+
+# How much of a tool's result is shown, and the labels of a thread's blocks.
+RESULT_CHARS = 500
+CONTENT = "ARRAY<STRUCT<type: STRING, text: STRING, name: STRING, input: STRING, content: STRING, is_error: BOOLEAN>>"
+
+
+def thread_blocks(records: DataFrame) -> DataFrame:
+    """L3: the blocks of conversation threads in order: session_id, line_no, part_no, block.
+
+    records: session_id, line_no, type, content (a text, or JSON of an array of blocks). An assistant's texts and tool calls, a user's texts,
+    commands and tool results make blocks; thinking and other records don't. Results are redacted before they are cut, so no
+    credential's beginning is left at the cut, and a mark that the cut breaks goes; every other text is redacted whole.
+    """
+    key = ["session_id", "line_no", "part_no"]
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    rows = records.where(F.col("type").isin("assistant", "user")).withColumn("parts", F.when(F.col("content").startswith("["), F.from_json("content", CONTENT)))
+    of_user = F.col("type") == "user"
+    # a plain text is one block of its own
+    plain = rows.where(of_user & F.col("parts").isNull()).select("session_id", "line_no", F.lit(0).alias("part_no"), strip(F.col("content")).alias("text"))
+    command = plain["text"].startswith("<local-command-caveat>") | plain["text"].startswith("<command-name>")
+    plain = plain.select(*key, F.lit("USER: ").alias("label"), F.when(command, command_text(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    parts = rows.select("session_id", "line_no", "type", F.posexplode("parts").alias("part_no", "b"))
+    kind = F.col("b.type")
+    said = parts.where(kind == "text").select(*key, F.when(of_user, "USER: ").otherwise("ASSISTANT:\n").alias("label"), strip(F.col("b.text")).alias("text")).where((F.col("label") != "USER: ") | ~F.col("text").startswith("<"))
+    texts = redacted(plain.union(said).where("text <> ''")).select(*key, F.concat("label", "text", F.lit("\n")).alias("block"))
+    called = parts.where(~of_user & (kind == "tool_use")).select(*key, F.coalesce("b.name", F.lit("?")).alias("name"), F.coalesce("b.input", F.lit("{}")).alias("input"))
+    tools = called.select(*key, "name").join(tool_input_summary(called, key), key).select(*key, F.concat(F.lit("TOOL: "), "name", F.lit("("), "summary", F.lit(")")).alias("block"))
+    inner = F.when(F.col("b.content").startswith("["), F.from_json("b.content", "ARRAY<STRUCT<type: STRING, text: STRING>>"))
+    joined = F.coalesce(F.array_join(F.transform(F.filter(inner, lambda x: x["type"] == "text"), lambda x: F.coalesce(x["text"], F.lit(""))), "\n"), F.col("b.content"))
+    results = parts.where(of_user & (kind == "tool_result")).select(*key, F.coalesce("b.is_error", F.lit(False)).alias("failed"), strip(joined).alias("text")).where("text <> ''").withColumn("n", F.length("text"))
+    cut = F.concat(F.lit("RESULT: ("), F.col("n").cast("string"), F.lit(" chars, truncated)\n"), shortened(F.col("text"), RESULT_CHARS), F.lit("\n"))
+    block = F.when(F.col("failed"), F.concat(F.lit("ERROR:\n"), "text", F.lit("\n"))).when(F.length("text") > RESULT_CHARS, cut).otherwise(F.concat(F.lit("RESULT:\n"), "text", F.lit("\n")))
+    return texts.union(tools).union(redacted(results).select(*key, block.alias("block")))
+
+
+def conversation_thread(records: DataFrame) -> DataFrame:
+    """L3: session_id and its whole thread, blocks in order of line and place, joined by line feeds. A thread is a value of its session's row."""
+    at = F.array_sort(F.collect_list(F.struct("line_no", "part_no", "block")))
+    return thread_blocks(records).groupBy("session_id").agg(F.array_join(F.transform(at, lambda x: x["block"]), "\n").alias("thread"))

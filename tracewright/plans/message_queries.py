@@ -135,3 +135,23 @@ SCALARS = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'https://h/r' ||
 def scalars(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey", "CASE o_orderkey % 3 WHEN 0 THEN 'https://user:pw@h/r' || o_orderkey WHEN 1 THEN 'git@h.org:o/r' ELSE 'plain' END AS remote", "'name ' || o_orderkey AS name", "o_orderkey / 8 + 0.25 AS usd", "chr(10) || '   ' || chr(10) || '  first ' || o_orderkey || ' ' || chr(10) || 'second' AS lines", "CASE o_orderkey % 4 WHEN 0 THEN 'a.b-c_' || o_orderkey WHEN 1 THEN '..' WHEN 2 THEN 'a/b' ELSE '-x' END AS part")
     return o.select("o_orderkey", n.strip_userinfo(F.col("remote")).alias("n2_remote"), n.title_case(F.col("name")).alias("n5_name"), n.round_usd(F.col("usd").cast("double")).alias("n9_usd"), n.first_line(F.col("lines")).alias("n11_line"), n.safe_component(F.col("part")).alias("n12_safe"), n.artifact_id_ok(F.col("part")).alias("n13_id"))
+
+
+# each turn gives a record by its number: a user's text, a command, an assistant's text and call, and results: short, failed, long with a secret across the cut, in parts
+SAID = "'note ' || md5(text)"
+KEY_ = "'sk-ant-' || repeat('k', 30)"
+THREAD = f"""CASE turn % 7 WHEN 0 THEN '  ' || {SAID} || ' ' WHEN 1 THEN '<command-name>/clear</command-name>' WHEN 2 THEN to_json(array(named_struct('type', 'text', 'text', {SAID} || ' ' || {KEY_}), named_struct('type', 'thinking', 'text', 'hm')))
+ WHEN 3 THEN to_json(array(named_struct('type', 'tool_use', 'name', 'Read', 'input', named_struct('file_path', '/src/' || turn))))
+ WHEN 4 THEN to_json(array(named_struct('type', 'tool_result', 'content', 'ok ' || turn, 'is_error', turn % 2 = 0))) WHEN 5 THEN to_json(array(named_struct('type', 'tool_result', 'content', repeat('x', 480) || ' ' || {KEY_} || repeat(' y', 40))))
+ ELSE to_json(array(named_struct('type', 'tool_result', 'content', array(named_struct('type', 'text', 'text', 'part ' || turn), named_struct('type', 'image', 'text', 'no'), named_struct('type', 'text', 'text', 'two'))))) END"""
+
+
+@query(
+    "l3_conversation_thread",
+    f"""WITH b AS (SELECT conv_id, turn, CASE turn % 7 WHEN 0 THEN 'USER: ' || {SAID} || chr(10) WHEN 1 THEN 'USER: /clear' || chr(10) WHEN 2 THEN 'ASSISTANT:' || chr(10) || {SAID} || ' [REDACTED:anthropic-key]' || chr(10) WHEN 3 THEN 'TOOL: Read(/src/' || CAST(turn AS VARCHAR) || ')'
+ WHEN 4 THEN CASE WHEN turn % 2 = 0 THEN 'ERROR:' ELSE 'RESULT:' END || chr(10) || 'ok ' || CAST(turn AS VARCHAR) || chr(10) WHEN 5 THEN 'RESULT: (598 chars, truncated)' || chr(10) || repeat('x', 480) || ' ...' || chr(10) ELSE 'RESULT:' || chr(10) || 'part ' || CAST(turn AS VARCHAR) || chr(10) || 'two' || chr(10) END AS block FROM conversations)
+SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_id, string_agg(block, chr(10) ORDER BY turn) AS thread FROM b GROUP BY conv_id""",
+)
+def l3(spark, sf):
+    records = rows(spark, sf, content=THREAD).select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.col("turn").alias("line_no"), F.when((F.col("turn") % 7).isin(2, 3), "assistant").otherwise("user").alias("type"), "content")
+    return x.conversation_thread(records)

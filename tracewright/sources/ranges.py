@@ -30,24 +30,24 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def listed(root: str, suffix: str) -> list[pafs.FileInfo]:
-    """The files below a folder whose names end so, hidden ones left out."""
-    fs, at = opened(root)
+def listed(root: str, suffix: str) -> list[tuple[str, int, float]]:
+    """(path below ``root`` as that is written, size, time of change) of the files of a folder whose names end so, hidden ones left out."""
+    fs, at = opened(root.rstrip("/"))
     found = fs.get_file_info(pafs.FileSelector(at, recursive=True, allow_not_found=True))
-    return sorted((x for x in found if x.is_file and x.base_name.endswith(suffix) and not x.base_name.startswith((".", "_"))), key=lambda x: x.path)
+    return sorted((root.rstrip("/") + x.path[len(at) :], x.size, x.mtime.timestamp()) for x in found if x.is_file and x.base_name.endswith(suffix) and not x.base_name.startswith((".", "_")))
 
 
-def last_line_end(root: str, path: str, size: int, low: int = 0) -> int:
+def last_line_end(path: str, size: int, low: int = 0) -> int:
     """The offset behind the last line feed of a file's first ``size`` bytes, ``low`` if there is none from there on."""
-    fs, _ = opened(root)
-    with fs.open_input_file(path) as f:
+    fs, at = opened(path)
+    with fs.open_input_file(at) as f:
         high = size
         while high > low:
             start = max(low, high - BLOCK)
             f.seek(start)
-            at = f.read(high - start).rfind(b"\n")
-            if at >= 0:
-                return start + at + 1
+            found = f.read(high - start).rfind(b"\n")
+            if found >= 0:
+                return start + found + 1
             high = start
     return low
 
@@ -70,10 +70,10 @@ def ranges(path: str, low: int, limit: int, size: int, mtime: float, bytes_: int
     return [Range(path, k, a, min(limit, a + bytes_), low, limit, size, mtime) for k, a in enumerate(range(low, limit, bytes_))]
 
 
-def lines_of(root: str, r: Range) -> Iterator[tuple[int, int, bytes]]:
+def lines_of(r: Range) -> Iterator[tuple[int, int, bytes]]:
     """(offset, offset behind, line) of the lines that begin in a range."""
-    fs, _ = opened(root)
-    with fs.open_input_file(r.path) as f:
+    fs, path = opened(r.path)
+    with fs.open_input_file(path) as f:
         # one byte earlier: a line feed there means that a line begins with the range
         at = r.start if r.start == r.first else r.start - 1
         f.seek(at)
@@ -97,7 +97,7 @@ def lines_of(root: str, r: Range) -> Iterator[tuple[int, int, bytes]]:
             yield at, at + len(held), held
 
 
-def batches_of(root: str, r: Range) -> Iterator[pa.RecordBatch]:
+def batches_of(r: Range) -> Iterator[pa.RecordBatch]:
     rows, size = [], 0
 
     def out() -> pa.RecordBatch:
@@ -105,7 +105,7 @@ def batches_of(root: str, r: Range) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array([r.path] * n), pa.array([r.number] * n, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))), pa.array([r.size] * n, pa.int64()), pa.array([int(r.mtime * 1e6)] * n, pa.timestamp("us", tz="UTC"))], schema=KINDS)
 
-    for k, (begin, after, line) in enumerate(lines_of(root, r)):
+    for k, (begin, after, line) in enumerate(lines_of(r)):
         rows.append((k, begin, after, line.removesuffix(b"\r").decode(errors="replace")))
         size += len(line)
         if size > BATCH_BYTES or len(rows) >= BATCH_LINES:
@@ -123,16 +123,16 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out = []
-        for x in listed(self.root, self.suffix):
-            low = self.offsets.get(x.path, 0)
-            low = low if low <= x.size else 0
-            limit = x.size if self.whole else last_line_end(self.root, x.path, x.size, low)
-            out += ranges(x.path, low, limit, x.size, x.mtime.timestamp(), self.bytes)
+        for path, size, mtime in listed(self.root, self.suffix):
+            low = self.offsets.get(path, 0)
+            low = low if low <= size else 0
+            limit = size if self.whole else last_line_end(path, size, low)
+            out += ranges(path, low, limit, size, mtime, self.bytes)
         return out or [Range("", 0, 0, 0, 0, 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition.path:
-            yield from batches_of(self.root, partition)
+            yield from batches_of(partition)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -145,12 +145,12 @@ class StreamReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         now = {}
-        for x in listed(self.root, self.suffix):
-            size, end = self.ends.get(x.path, (-1, 0))
-            if size != x.size:
-                end = last_line_end(self.root, x.path, x.size)
-                self.ends[x.path] = (x.size, end)
-            now[x.path] = end
+        for path, size, _ in listed(self.root, self.suffix):
+            before, end = self.ends.get(path, (-1, 0))
+            if before != size:
+                end = last_line_end(path, size)
+                self.ends[path] = (size, end)
+            now[path] = end
         return now
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -163,7 +163,7 @@ class StreamReader(DataSourceStreamReader):
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition.path:
-            yield from batches_of(self.root, partition)
+            yield from batches_of(partition)
 
     def commit(self, end: dict) -> None:
         pass
