@@ -332,3 +332,27 @@ def test_end_events_of_calls(spark):
 
     raw = spark.createDataFrame([('{"secs":2,"nanos":5000000}',), ("0.25",), ('"x"',), (None,), ("",)], "d string")
     assert [r[0] for r in raw.select(c.duration_ms(F.col("d"))).collect()] == [2005, 250, 0, 0, 0]
+
+
+def test_a_word_in_every_note_makes_no_pairs(spark):
+    import random
+
+    from tracewright.operators import knowledge as k
+
+    rng = random.Random(6)
+    sets = [(i, 0, ["common", "usual", *{f"w{rng.randrange(4000)}" for _ in range(rng.choice([2, 9, 11]))}]) for i in range(600)]
+    sets += [(1000 + i, i % 2, [*sets[i][2][: rng.randrange(3, 8)], f"x{i}"]) for i in range(60)] + [(2000, 0, []), (2001, 0, ["common"]), (2002, 0, ["common"])]
+    rows = spark.createDataFrame(sets, "node long, file int, words array<string>")
+    want = {}
+    for least in (0.2, 0.5):
+        for i, (a, _, wa) in enumerate(sets):
+            for b, _, wb in sets[i + 1 :]:
+                score = len({*wa} & {*wb}) / max(1, len({*wa} | {*wb}))
+                if score >= least:
+                    want[least, a, b] = score
+    for least in (0.2, 0.5):
+        got = {(least, r.a, r.b): r.score for r in k.jaccard_pairs(rows, least).collect()}
+        assert got == {p: s for p, s in want.items() if p[0] == least}
+    # long sets meet by their rare words; all pairs of the common word would be 190,000
+    longer = rows.where("size(words) > 8")
+    assert k.candidate_pairs(longer, 0.4).count() < 5 * longer.count()
