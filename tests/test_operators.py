@@ -356,3 +356,70 @@ def test_a_word_in_every_note_makes_no_pairs(spark):
     # long sets meet by their rare words; all pairs of the common word would be 190,000
     longer = rows.where("size(words) > 8")
     assert k.candidate_pairs(longer, 0.4).count() < 5 * longer.count()
+
+
+INVOCATION = "agent STRING, session_id STRING, idx BIGINT, ticket STRING, started_at TIMESTAMP_NTZ, until TIMESTAMP_NTZ, last_idx BIGINT"
+
+
+def test_transcripts_are_declared_taken_from_the_root_or_inferred(spark):
+    from datetime import datetime
+
+    from tracewright.operators import registry_runs
+
+    at = lambda hour: datetime(2024, 1, 1 + hour // 24, hour % 24)
+    invocations = spark.createDataFrame([("claude-code", "s1", 0, "tk-1", at(1), at(5), 3), ("claude-code", "s1", 4, "tk-2", at(5), at(30), None), ("claude-code", "s2", 0, "tk-1", at(3), None, None), ("codex-cli", "s3", 0, "tk-1", at(1), None, 7), ("codex-cli", "s3", 8, "tk-9", at(4), at(9), None)], INVOCATION)
+    runs = [
+        ("own", "codex-cli", "tk-1", "claude-code", "s1", None, at(5)),
+        ("own, outranks none", None, None, "claude-code", "s2", "none", None),
+        ("of root", "claude-code", "tk-2", "", None, "none", at(6)),
+        ("none", "claude-code", "tk-2", None, None, "none", at(6)),
+        ("inferred", "claude-code", "tk-2", None, "", None, at(29)),
+        ("at the start", "claude-code", "tk-1", None, None, None, at(1)),
+        ("two", "claude-code", "tk-1", None, None, None, at(4)),
+        ("after the end", "claude-code", "tk-2", None, None, None, at(30)),
+        ("end unknown", "codex-cli", "tk-1", None, None, None, at(2)),
+        ("no ticket", "claude-code", "", None, None, None, at(6)),
+        ("no start", "claude-code", "tk-2", None, None, None, None),
+        ("half named", "claude-code", "tk-2", "claude-code", "", None, at(6)),
+    ]
+    nodes = [(r[0], f"{r[0]}/1", None, "root", None, "", at(2)) for r in runs if r[0] != "none"]
+    nodes += [("of root", "of root/0", "", "root", "codex-cli", "s3", at(1)), ("of root", "a", None, "human", "x", "y", at(0)), ("inferred", "a", "up", "root", "x", "y", at(0))]
+    schema = "run_id STRING, runtime STRING, ticket STRING, agent STRING, session_id STRING, root_transcript STRING, started_at TIMESTAMP_NTZ"
+    node = "run_id STRING, execution_id STRING, parent_execution_id STRING, execution_kind STRING, agent STRING, session_id STRING, started_at TIMESTAMP_NTZ"
+    got = {r.run_id: r for r in registry_runs.declared_transcripts(spark.createDataFrame(runs, schema), spark.createDataFrame(nodes, node), invocations).collect()}
+    assert len(got) == len(runs)
+    assert {k: (r.agent, r.session_id, r.basis, r.idx, r.invocations) for k, r in got.items()} == {
+        "own": ("claude-code", "s1", "declared", 4, None),
+        "own, outranks none": ("claude-code", "s2", "declared", 0, None),
+        "of root": ("codex-cli", "s3", "declared", 8, None),
+        "none": (None, None, "none", None, None),
+        "inferred": ("claude-code", "s1", "invocation", 4, None),
+        "at the start": ("claude-code", "s1", "invocation", 0, None),
+        "two": (None, None, None, None, 2),
+        "after the end": (None, None, None, None, None),
+        "end unknown": (None, None, None, None, None),
+        "no ticket": (None, None, None, None, None),
+        "no start": (None, None, None, None, None),
+        "half named": ("claude-code", None, "declared", None, None),
+    }
+    assert (got["inferred"].root_agent, got["inferred"].root_session_id, got["own"].root_agent, got["none"].root_execution_id) == ("claude-code", "s1", None, None)
+    assert [k for k, r in got.items() if r.diagnostic == "ambiguous_join"] == ["two"]
+    none = registry_runs.declared_transcripts(spark.createDataFrame([], schema), spark.createDataFrame([], node), spark.createDataFrame([], INVOCATION))
+    assert none.count() == 0
+
+
+def test_many_runs_and_spans_of_one_ticket_do_not_meet_pair_by_pair(spark):
+    """30,000 runs and 30,000 spans of one runtime and ticket, over weeks: 900 million pairs if they met."""
+    from tracewright.operators import registry_runs
+
+    begin = "timestampadd(SECOND, CAST(id * 60 AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00')"
+    spans = spark.range(30_000).selectExpr("'a' AS agent", "'s' || id AS session_id", "0L AS idx", "'t' AS ticket", f"{begin} AS started_at", f"timestampadd(SECOND, CASE WHEN id % 100 = 7 THEN 7200 WHEN id % 100 > 50 THEN 60 ELSE 30 END, {begin}) AS until", "CAST(NULL AS BIGINT) AS last_idx")
+    runs = spark.range(30_000).selectExpr("'r' || id AS run_id", "'a' AS agent", "'t' AS ticket", f"timestampadd(SECOND, 45, {begin}) AS started_at")
+    got = {r.run_id: (r.matches, r.session_id) for r in registry_runs.infer_invocation(runs, spans).collect()}
+    long = [j for j in range(30_000) if j % 100 == 7]
+
+    def brute(i):
+        hold = [j for j in long if 0 <= (i - j) * 60 + 45 < 7200] + ([i] if i % 100 > 50 and i % 100 != 7 else [])
+        return len(hold), f"s{hold[0]}" if len(hold) == 1 else None
+
+    assert all(got[f"r{i}"] == brute(i) for i in range(0, 30_000, 13))

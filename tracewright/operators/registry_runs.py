@@ -80,22 +80,78 @@ def build_tree(executions: DataFrame, deepest: int = 64) -> DataFrame:
     return got.select("run_id", "execution_id", "parent_execution_id", under(F.col("depth")).alias("depth"), under(F.array_join("path", "/")).alias("path"), "state", under(F.col("walk")).alias("walk"))
 
 
+def stabbed(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """For each point (run_id, ``keys``, at): how many spans of its keys hold ``at``, and agent, session_id and idx of the one where it is one.
+
+    A span holds [started_at, until); without ``until`` only a session's last (no last_idx) is open, another's end is unknown and
+    holds nothing, like a span or point without start or key. Starts and ends are steps of a running sum, so spans of one
+    key never meet its points pair by pair; sums of whole days are carried over, so that a hot key is dealt by days. The open
+    spans' places are summed with them: where one is open, the sums are its own place.
+    """
+    known = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
+    day = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    held = spans.where(known & F.expr("started_at is not null and (until > started_at or until is null and last_idx is null)"))
+    columns = list(dict.fromkeys([*keys, "agent", "session_id", "idx", "started_at", "until"]))
+    placed = held.select(*columns, day("started_at").alias("born")).withColumn("place", F.row_number().over(Window.partitionBy(*keys, "born").orderBy("started_at", "session_id", "idx")).cast("long"))
+    placed = written(placed, "spans")
+    marks = placed.select(*keys, "born", "place", F.explode(F.array(F.struct(F.col("started_at").alias("at"), F.lit(1).cast("long").alias("open")), F.struct(F.col("until").alias("at"), F.lit(-1).cast("long").alias("open")))).alias("m")).where("m.at is not null")
+    steps = marks.select(*keys, F.col("m.at").alias("at"), F.lit(None).cast("string").alias("run_id"), F.col("m.open").alias("open"), (F.col("m.open") * F.col("born")).alias("born"), (F.col("m.open") * F.col("place")).alias("place"))
+    zero = F.lit(0).cast("long")
+    asked = points.where(known & F.col("at").isNotNull()).select(*keys, "at", "run_id", zero.alias("open"), zero.alias("born"), zero.alias("place"))
+    sums = ["open", "born", "place"]
+    before = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = steps.unionByName(asked).withColumn("day", day("at")).groupBy(*keys, "day").agg(*(F.sum(c).alias(c) for c in sums))
+    days = days.select(*keys, "day", *(F.coalesce(F.sum(c).over(before), zero).alias(f"{c}_before") for c in sums))
+    within = Window.partitionBy(*keys, "day").orderBy("at", F.col("run_id").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = steps.unionByName(asked).withColumn("day", day("at")).select(*keys, "day", "run_id", *(F.sum(c).over(within).alias(c) for c in sums)).where("run_id is not null")
+    run = run.join(days, [*keys, "day"]).select(*keys, "run_id", *((F.col(c) + F.col(f"{c}_before")).alias(c) for c in sums))
+    one = placed.select(*keys, "born", "place", F.col("agent").alias("of_agent"), F.col("session_id").alias("of_session"), F.col("idx").alias("of_idx"), F.lit(1).cast("long").alias("open"))
+    got = run.join(one, [*keys, "born", "place", "open"], "left").select("run_id", F.col("open").alias("matches"), F.col("of_agent").alias("agent"), F.col("of_session").alias("session_id"), F.col("of_idx").alias("idx"))
+    return points.select("run_id").join(got, "run_id", "left").withColumn("matches", F.coalesce("matches", zero))
+
+
 def spanning_invocation(runs: DataFrame, invocations: DataFrame) -> DataFrame:
     """F8: the invocation of a run: the only one of its session, else the one whose time span holds the run's start; else none."""
-    i = invocations.withColumn("of_session", F.count("*").over(Window.partitionBy("agent", "session_id")))
-    r = runs.select("run_id", F.col("agent").alias("r_agent"), F.col("session_id").alias("r_session"), F.col("started_at").alias("r_start"))
-    both = r.join(i, (F.col("r_agent") == F.col("agent")) & (F.col("r_session") == F.col("session_id")) & ((F.col("of_session") == 1) | ((F.col("r_start") >= F.col("started_at")) & (F.col("until").isNull() | (F.col("r_start") < F.col("until"))))), "left")
-    got = both.groupBy("run_id").agg(F.count("idx").alias("n"), F.min("idx").alias("idx"))
-    return got.select("run_id", F.when(F.col("n") == 1, F.col("idx")).alias("idx"))
+    only = invocations.groupBy("agent", "session_id").agg(F.count("*").alias("of_session"), F.min("idx").alias("only_idx")).where("of_session = 1")
+    held = stabbed(runs.select("run_id", "agent", "session_id", F.col("started_at").alias("at")), invocations, ["agent", "session_id"]).select("run_id", "idx")
+    got = runs.select("run_id", "agent", "session_id").join(only, ["agent", "session_id"], "left").join(held, "run_id")
+    return got.select("run_id", F.coalesce("only_idx", "idx").alias("idx"))
 
 
 def infer_invocation(runs: DataFrame, invocations: DataFrame) -> DataFrame:
-    """for runs without a transcript: the one invocation of the same runtime and ticket whose span holds the start; several are ambiguous."""
-    i = invocations.select(F.col("agent").alias("i_agent"), F.col("ticket").alias("i_ticket"), F.col("session_id").alias("i_session"), "idx", F.col("started_at").alias("i_start"), "until")
-    both = runs.join(i, (F.col("agent") == F.col("i_agent")) & (F.col("ticket") == F.col("i_ticket")) & (F.col("started_at") >= F.col("i_start")) & (F.col("until").isNull() | (F.col("started_at") < F.col("until"))), "left")
-    got = both.groupBy("run_id").agg(F.count("idx").alias("matches"), F.min("i_session").alias("session_id"), F.min("idx").alias("idx"))
-    one = F.col("matches") == 1
-    return got.select("run_id", "matches", F.when(one, F.col("session_id")).alias("session_id"), F.when(one, F.col("idx")).alias("idx"), F.when(F.col("matches") > 1, "ambiguous_transcript").alias("diagnostic"))
+    """for runs without a transcript: the one invocation of the same runtime (``agent``) and ticket, both named, whose span holds the start; several are ambiguous."""
+    named = F.when(F.col("ticket") != "", F.col("ticket"))
+    got = stabbed(runs.select("run_id", F.col("agent"), named.alias("ticket"), F.col("started_at").alias("at")), invocations, ["agent", "ticket"])
+    return got.select("run_id", "matches", "session_id", "idx", F.when(F.col("matches") > 1, "ambiguous_transcript").alias("diagnostic"))
+
+
+def declared_transcripts(runs: DataFrame, executions: DataFrame, invocations: DataFrame) -> DataFrame:
+    """one row a run: its transcript, on what evidence it stands (basis), and the invocation it is read under.
+
+    First what the run's record names (an agent or a session), then what its root names, both ``declared``. A run that names
+    neither and says root_transcript ``none`` has basis ``none`` and joins nothing. Any other takes the one invocation of its
+    runtime and ticket whose span holds its start (``invocation``), and so does its root; with several it stays without,
+    as ambiguous_join. The root is the first parentless execution of kind root by (started_at, execution_id).
+    Names that are null or empty are missing; a run without root has null root columns; no run is dropped.
+    """
+    text = lambda c: F.when(F.col(c) != "", F.col(c))
+    order = F.struct(F.col("started_at").isNull(), "started_at", "execution_id")
+    top = executions.where("coalesce(parent_execution_id, '') = '' and execution_kind = 'root'")
+    roots = top.groupBy("run_id").agg(F.min_by(F.struct("execution_id", text("agent").alias("agent"), text("session_id").alias("session_id")), order).alias("root"))
+    r = runs.select("run_id", "runtime", "ticket", "root_transcript", "started_at", text("agent").alias("agent"), text("session_id").alias("session_id")).join(roots, "run_id", "left")
+    own = F.col("agent").isNotNull() | F.col("session_id").isNotNull()
+    by_root = F.col("root.agent").isNotNull() | F.col("root.session_id").isNotNull()
+    said = F.when(own, F.struct("agent", "session_id")).when(by_root, F.struct("root.agent", "root.session_id"))
+    r = written(r.select("run_id", "runtime", "ticket", "root_transcript", "started_at", "root", said.alias("said")), "run-evidence")
+    spanning = spanning_invocation(r.where("said is not null").select("run_id", "said.agent", "said.session_id", "started_at"), invocations).select("run_id", F.col("idx").alias("said_idx"))
+    open_runs = r.where("said is null and not root_transcript <=> 'none'").select("run_id", text("runtime").alias("agent"), "ticket", "started_at")
+    inferred = infer_invocation(open_runs, invocations).select("run_id", "matches", "session_id", F.col("idx").alias("open_idx"))
+    got = r.join(spanning, "run_id", "left").join(inferred, "run_id", "left")
+    found = F.when(F.col("matches") == 1, F.struct(F.col("runtime").alias("agent"), "session_id"))
+    basis = F.when(F.col("said").isNotNull(), "declared").when(F.expr("root_transcript <=> 'none'"), "none").when(found.isNotNull(), "invocation")
+    of_root = F.when(F.col("root").isNotNull(), F.when(found.isNotNull(), found).otherwise(F.struct("root.agent", "root.session_id")))
+    final = got.select("run_id", F.coalesce("said", found).alias("t"), basis.alias("basis"), F.coalesce("said_idx", "open_idx").alias("idx"), F.coalesce("matches", F.lit(0).cast("long")).alias("matches"), F.col("root.execution_id").alias("root_execution_id"), of_root.alias("of_root"))
+    return final.select("run_id", "t.agent", "t.session_id", "basis", "idx", "root_execution_id", F.col("of_root.agent").alias("root_agent"), F.col("of_root.session_id").alias("root_session_id"), F.when(F.col("matches") > 1, "ambiguous_join").alias("diagnostic"), F.when(F.col("matches") > 1, F.col("matches")).alias("invocations"))
 
 
 def historical_runs(invocations: DataFrame, claimed: DataFrame) -> DataFrame:

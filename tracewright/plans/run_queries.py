@@ -78,7 +78,7 @@ def f8(spark, sf):
     return f.spanning_invocation(runs, spans(spark, sf))
 
 
-RUNS = "SELECT 'q' || CAST(o_orderkey AS {s}) AS run_id, CASE o_custkey % 3 WHEN 0 THEN 'claude-code' WHEN 1 THEN 'codex-cli' ELSE 'cursor-cli' END AS agent, 'tk-' || CAST(o_orderkey % 30 AS {s}) AS ticket, o_orderdate AS started_at FROM {t} WHERE o_orderkey % 20 = 0"
+RUNS = "SELECT 'q' || CAST(o_orderkey AS {s}) AS run_id, CASE o_custkey % 3 WHEN 0 THEN 'claude-code' WHEN 1 THEN 'codex-cli' ELSE 'cursor-cli' END AS agent, 'tk-' || CAST(o_orderkey % 30 AS {s}) AS ticket, o_orderdate AS started_at FROM {t}"
 INFER = f"""{cte('invocations')}, {SPANS}, r AS ({RUNS.format(s='VARCHAR', t='orders')}),
 inferred AS (SELECT run_id, count(idx) AS matches, CASE WHEN count(idx) = 1 THEN min(s.session_id) END AS session_id, CASE WHEN count(idx) = 1 THEN min(idx) END AS idx, CASE WHEN count(idx) > 1 THEN 'ambiguous_transcript' END AS diagnostic
  FROM r LEFT JOIN spans s ON r.agent = s.agent AND r.ticket = s.ticket AND r.started_at >= s.started_at AND (until IS NULL OR r.started_at < until) GROUP BY run_id)"""
@@ -94,6 +94,28 @@ def f9(spark, sf):
     return inferred(spark, sf)
 
 
+DECLARED = """SELECT 'q' || CAST(o_orderkey AS {s}) AS run_id, CASE WHEN o_orderkey % 11 <> 0 THEN CASE o_custkey % 3 WHEN 0 THEN 'claude-code' WHEN 1 THEN 'codex-cli' ELSE 'cursor-cli' END END AS runtime, CASE WHEN o_orderkey % 13 <> 0 THEN 'tk-' || CAST(o_orderkey % 30 AS {s}) ELSE '' END AS ticket,
+ CASE WHEN o_orderkey % 4 = 0 THEN CASE o_custkey % 3 WHEN 0 THEN 'claude-code' WHEN 1 THEN 'codex-cli' ELSE 'cursor-cli' END ELSE '' END AS agent, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 5 <> 0 THEN 'k' || CAST(o_custkey AS {s}) END AS session_id, CASE WHEN o_orderkey % 7 = 3 THEN 'none' END AS root_transcript, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate END AS started_at FROM {t}"""
+NODES = """SELECT 'q' || CAST(l_orderkey AS {s}) AS run_id, 'q' || CAST(l_orderkey AS {s}) || '-' || CAST(l_linenumber AS {s}) || '-' || CAST(l_partkey AS {s}) || '-' || CAST(l_suppkey AS {s}) AS execution_id, CASE WHEN l_linenumber > 2 THEN 'up' ELSE '' END AS parent_execution_id, CASE WHEN l_linenumber = 1 OR l_tax > 0.04 THEN 'root' ELSE 'subagent' END AS execution_kind,
+ CASE WHEN l_partkey % 3 = 0 THEN CASE l_suppkey % 3 WHEN 0 THEN 'claude-code' WHEN 1 THEN 'codex-cli' ELSE 'cursor-cli' END END AS agent, CASE WHEN l_partkey % 3 = 0 THEN 'k' || CAST(l_suppkey AS {s}) ELSE '' END AS session_id, CASE WHEN l_discount > 0.01 THEN l_shipdate END AS started_at FROM {t}"""
+
+
+@query("f13_declared_transcript", f"""{cte('invocations')}, {SPANS}, counted AS (SELECT *, count(*) OVER (PARTITION BY agent, session_id) AS of_session, last_idx IS NULL AS final FROM spans),
+r AS (SELECT * REPLACE (nullif(agent, '') AS agent, nullif(session_id, '') AS session_id) FROM ({DECLARED.format(s='VARCHAR', t='orders')})),
+roots AS (SELECT run_id, execution_id AS root_execution_id, nullif(agent, '') AS n_agent, nullif(session_id, '') AS n_session FROM ({NODES.format(s='VARCHAR', t='lineitem')}) WHERE parent_execution_id = '' AND execution_kind = 'root' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY started_at NULLS LAST, execution_id) = 1),
+e AS (SELECT r.*, root_execution_id, n_agent, n_session, coalesce(agent, session_id) IS NOT NULL AS own, coalesce(n_agent, n_session) IS NOT NULL AS by_root FROM r LEFT JOIN roots USING (run_id)),
+d AS (SELECT *, CASE WHEN own THEN agent WHEN by_root THEN n_agent END AS d_agent, CASE WHEN own THEN session_id WHEN by_root THEN n_session END AS d_session FROM e),
+said AS (SELECT d.run_id, CASE WHEN count(c.idx) = 1 THEN min(c.idx) END AS idx FROM d LEFT JOIN counted c ON c.agent = d.d_agent AND c.session_id = d.d_session AND (of_session = 1 OR (d.started_at >= c.started_at AND (d.started_at < until OR (until IS NULL AND final)))) WHERE own OR by_root GROUP BY d.run_id),
+guess AS (SELECT d.run_id, count(c.idx) AS matches, min(c.session_id) AS session_id, min(c.idx) AS idx FROM d LEFT JOIN counted c ON c.agent = d.runtime AND c.ticket = d.ticket AND d.ticket <> '' AND d.started_at >= c.started_at AND (d.started_at < until OR (until IS NULL AND final)) WHERE NOT own AND NOT by_root AND root_transcript IS NULL GROUP BY d.run_id)
+SELECT d.run_id, CASE WHEN matches = 1 THEN runtime ELSE d_agent END AS agent, CASE WHEN matches = 1 THEN guess.session_id ELSE d_session END AS session_id, CASE WHEN own OR by_root THEN 'declared' WHEN root_transcript = 'none' THEN 'none' WHEN matches = 1 THEN 'invocation' END AS basis,
+ CASE WHEN matches = 1 THEN guess.idx ELSE said.idx END AS idx, root_execution_id, CASE WHEN root_execution_id IS NULL THEN NULL WHEN matches = 1 THEN runtime ELSE n_agent END AS root_agent, CASE WHEN root_execution_id IS NULL THEN NULL WHEN matches = 1 THEN guess.session_id ELSE n_session END AS root_session_id, CASE WHEN matches > 1 THEN 'ambiguous_join' END AS diagnostic, CASE WHEN matches > 1 THEN matches END AS invocations
+FROM d LEFT JOIN said USING (run_id) LEFT JOIN guess USING (run_id)""")
+def f13(spark, sf):
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("declared_orders")
+    spark.read.parquet(f"{sf}/lineitem.parquet").createOrReplaceTempView("declared_nodes")
+    return f.declared_transcripts(spark.sql(DECLARED.format(s="STRING", t="declared_orders")), spark.sql(NODES.format(s="STRING", t="declared_nodes")), spans(spark, sf))
+
+
 @query("f10_historical_runs", f"{cte('invocations')} SELECT 'transcript:' || agent || ':' || session_id || ':' || CAST(idx AS VARCHAR) AS run_id, agent, session_id, idx, ticket, started_at FROM invocations WHERE idx <> 1")
 def f10(spark, sf):
     i = table(spark, sf, "invocations")
