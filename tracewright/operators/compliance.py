@@ -30,6 +30,60 @@ def compliance_totals(classified: DataFrame) -> DataFrame:
     return classified.groupBy("class").agg(F.count("*").alias("runs"))
 
 
+# The tool that moves a ticket's status, the status of a criterion nobody verified, the runtimes that review in their own context.
+TICKET_EDIT, UNVERIFIED, INLINING = "ticket_edit", "unverified", ["codex", "cursor"]
+
+
+def compliance_runs(runs: DataFrame, texts: DataFrame, calls: DataFrame, responses: DataFrame, attempts: DataFrame, committed: DataFrame) -> DataFrame:
+    """H1: one row a run: review rounds, evidence of a fan-out, contamination reports, unverified criteria, time from open to done, class.
+
+    runs: run_id, runtime, first_idx, last_idx; texts: run_id, turn_idx, text; calls: run_id, turn_idx, kind, key_arg, tool_name,
+    started_at; responses: run_id, turn_idx, response_id, origin, lens, status, criteria (statuses; null: not readable);
+    attempts: H6's without records; committed: run_id of E8's runs with a commit. Turns outside [first_idx, last_idx] do not
+    count. Criteria are those of the last contract attempt that stands. Nothing measured is null, not 0: rounds without a
+    commitment line, criteria without such an attempt, open to done with fewer than two edits. Each table is summed by run before
+    it is joined.
+    """
+    span = runs.select("run_id", "first_idx", "last_idx")
+    inside = lambda df: df.join(span, "run_id").where(F.col("turn_idx").between(F.col("first_idx"), F.col("last_idx")))
+    heads = F.regexp_extract_all("text", F.lit(r"(?i)dispatching \(([^)\n]*)\)\s*:"), 1)
+    rounds = F.transform(heads, lambda h: F.nullif(F.regexp_extract(h, r"(?i)round (\d+)", 1), F.lit("")).try_cast("bigint"))
+    said = inside(texts).select("run_id", (F.regexp_replace("text", r"\s", "") != "").alias("spoken"), rounds.alias("rounds"))
+    said = said.groupBy("run_id").agg(F.max("spoken").alias("spoken"), F.sum(F.size("rounds")).alias("lines"), F.max(F.array_max("rounds")).alias("round"), F.max(F.exists("rounds", lambda r: r.isNull())).alias("unreadable"))
+    low = F.lower("key_arg")
+    edit = F.when(F.col("tool_name").contains(TICKET_EDIT), F.col("started_at"))
+    did = inside(calls).groupBy("run_id").agg(F.count("*").alias("calls"), F.count_if((F.col("kind") == "task") & (low.contains("lens") | low.contains("review"))).alias("lens_agents"), F.count(edit).alias("edits"), F.min(edit).alias("opened"), F.max(edit).alias("done"))
+    whole = (F.col("status") == "parsed") & F.col("origin").isin("assistant", "file_write")
+    inlined = inside(responses).groupBy("run_id").agg(*(F.max(whole & (F.col("lens") == n)).alias(f"inlined_{n}") for n in ("contract", "quality")))
+    parsed = F.col("status") == "parsed"
+    stands = parsed & ~F.col("superseded") & (F.col("lens") == "contract")
+    tried = attempts.groupBy("run_id").agg(
+        F.count_distinct(F.when(parsed & F.col("contaminated"), F.coalesce("response_id", F.lit("")))).alias("contamination_reports"),
+        F.count_if(parsed & F.col("routed") & (F.coalesce("provenance", F.lit("")) != "")).alias("lens_routers"),
+        F.max_by("response_id", F.when(stands, F.col("place"))).alias("response_id"),
+    )
+    unverified = responses.groupBy("run_id", "response_id").agg(F.max(F.size(F.filter("criteria", lambda c: c == UNVERIFIED))).alias("criteria_unverified"))
+    unverified = unverified.where("response_id <> ''").withColumn("criteria_unverified", F.when(F.col("criteria_unverified") >= 0, F.col("criteria_unverified")))
+    landed = committed.select("run_id").distinct().withColumn("committed", F.lit(True))
+    r = runs.select("run_id", "runtime").join(said, "run_id", "left").join(did, "run_id", "left").join(inlined, "run_id", "left").join(tried, "run_id", "left").join(unverified, ["run_id", "response_id"], "left").join(landed, "run_id", "left")
+    zeros, flags = ["lines", "calls", "lens_agents", "edits", "lens_routers", "contamination_reports"], ["spoken", "unreadable", "inlined_contract", "inlined_quality", "committed"]
+    r = r.fillna(0, zeros).fillna(False, flags)
+    by_tool = F.when(F.col("runtime") == "claude", (F.col("lens_agents") >= 2) | ((F.col("lens_agents") >= 1) & (F.col("lens_routers") > 0))).when(F.col("runtime").isin(INLINING), F.col("lens_routers") > 0).otherwise(False)
+    r = r.withColumn("tool_evidence", by_tool).withColumn("evidence", F.col("tool_evidence") | (F.col("runtime").isin(INLINING) & F.col("inlined_contract") & F.col("inlined_quality")))
+    r = r.withColumn("activity", F.col("spoken") | (F.col("calls") > 0)).withColumn("readable", ~F.col("unreadable"))
+    ms = F.unix_micros(F.col("done").cast("timestamp")) - F.unix_micros(F.col("opened").cast("timestamp"))
+    return r.select("run_id", "runtime", F.when(F.col("lines") > 0, F.coalesce("round", F.lit(0).cast("long"))).alias("review_iterations"), F.col("evidence").alias("fan_out_dispatched"), "contamination_reports", F.col("criteria_unverified").cast("long").alias("criteria_unverified"), F.when(F.col("edits") >= 2, F.floor(ms / 1000)).alias("open_to_done_ms"), "committed", classify_run().alias("class"))
+
+
+def attempt_responses(attempts: DataFrame, responses: DataFrame) -> DataFrame:
+    """The whole text (raw; null: empty) of the response that each attempt paired with, by run, lens, round and attempt.
+
+    Attempts without a response, or whose response is gone, have no row; of repeated responses one is taken.
+    """
+    raw = responses.where("response_id <> ''").groupBy("response_id").agg(F.coalesce(F.max("raw"), F.lit("")).alias("raw"))
+    return attempts.where("response_id <> ''").select("run_id", "lens", "round", "attempt", "response_id").join(raw, "response_id").select("run_id", "lens", "round", "attempt", "raw")
+
+
 def number_attempts(attempts: DataFrame) -> DataFrame:
     """H7: the number of each attempt of a lens in a round, whether a later one supersedes it, and its order in the run.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators import compliance as h
 from tracewright.operators import lenses as ln
 from tracewright.plans.registry import query
 
@@ -149,3 +150,40 @@ def h8(spark, sf):
     last = F.concat(F.when(F.col("turn_idx") == 1, "last").otherwise("early"), F.lit("-"), F.substring("session_id", 7, 99))
     responses = said.select("agent", "session_id", F.col("turn_idx").cast("long").alias("turn_idx"), F.lit(0).alias("ord"), F.when(F.col("turn_idx") == 2, "result").otherwise("assistant").alias("origin"), last.alias("response_id"), "lens", F.lit("parsed").alias("status"), *(F.lit(None).cast("string").alias(c) for c in ("reason", "source_path", "verdict", "summary", "context_kind", "context_state")), F.lit(None).cast("long").alias("source_line"), F.lit(False).alias("contaminated"))
     return ln.child_verdicts(attempts, t["records"], t["runs"].select("run_id", "run_agent", "run_session"), responses).select(*SHOWN, "response_id")
+
+
+#: case, commitment lines, highest round, a round is unreadable, spoken or called, lens subagents, routed verdicts, inlined fan-out, parsed responses, a contract attempt stands: worked out by hand
+RUN_FACTS = """(0,1,1,false,true,3,1,false,3,true), (1,1,1,false,true,0,0,false,0,false), (2,1,1,false,true,0,1,false,1,false), (3,1,1,false,true,0,0,false,0,false), (4,1,1,false,true,0,0,false,0,false), (5,1,1,false,true,1,0,false,0,false), (6,1,1,false,true,1,0,false,1,true),
+(7,0,NULL,false,true,0,0,false,0,false), (8,0,NULL,false,true,0,0,false,0,false), (9,2,2,false,true,0,0,true,2,true), (10,3,2,true,true,2,0,false,1,true), (11,1,1,false,true,1,0,false,1,false), (12,0,NULL,false,false,0,0,false,0,false)"""
+RUNTIME = "CASE o_custkey % 4 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' WHEN 2 THEN 'cursor' ELSE 'unknown' END"
+
+# a returned line item is a ticket edit of its order's run, and each line item a criterion of its contract responses
+H1_SQL = f"""WITH f(k, lines, round, unreadable, activity, agents, routers, inlined, parsed, stands) AS (VALUES {RUN_FACTS}),
+i AS (SELECT l_orderkey, count(*) FILTER (l_linestatus = 'O') AS open, count(*) FILTER (l_returnflag = 'R') AS edits, min(l_shipdate) FILTER (l_returnflag = 'R') AS first, max(l_shipdate) FILTER (l_returnflag = 'R') AS last, count(*) AS items FROM lineitem GROUP BY 1),
+r AS (SELECT 'r' || CAST(o_orderkey AS VARCHAR) AS run_id, {RUNTIME} AS runtime, o_custkey % 5 = 0 AS dirty, o_orderkey % 2 = 0 AS committed, f.*, i.*, activity OR coalesce(edits, 0) > 0 AS active FROM orders JOIN f ON o_orderkey % {CASES} = k LEFT JOIN i ON l_orderkey = o_orderkey),
+t AS (SELECT *, CASE runtime WHEN 'claude' THEN agents >= 2 OR (agents >= 1 AND routers > 0) WHEN 'unknown' THEN false ELSE routers > 0 END AS tool FROM r),
+e AS (SELECT *, tool OR (runtime IN ('codex', 'cursor') AND inlined) AS evidence FROM t)
+SELECT run_id, runtime, round::BIGINT AS review_iterations, evidence AS fan_out_dispatched, CASE WHEN dirty THEN parsed ELSE 0 END AS contamination_reports, CASE WHEN stands AND items > 0 THEN open END AS criteria_unverified, CASE WHEN edits >= 2 THEN epoch_ms(last) - epoch_ms(first) END AS open_to_done_ms, committed,
+CASE WHEN runtime = 'unknown' OR NOT active OR unreadable THEN 'unknown' WHEN lines > 0 AND evidence THEN 'compliant' WHEN lines = 0 AND tool THEN 'compliant' WHEN lines = 0 AND NOT evidence AND committed THEN 'skipped_fan_out' WHEN lines = 0 AND NOT evidence THEN 'incomplete' ELSE 'unknown' END AS class FROM e"""
+
+
+@query("h1_compliance_runs", H1_SQL)
+def h1(spark, sf):
+    t = run_tables(spark, sf)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("run_id"), F.expr(RUNTIME).alias("runtime"), F.expr("o_custkey % 5 = 0").alias("dirty"), F.expr("o_orderkey % 2 = 0").alias("landed"))
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("run_id"), "l_shipdate", "l_returnflag", "l_linestatus")
+    edits = items.where("l_returnflag = 'R'").select("run_id", F.lit(0).cast("long").alias("turn_idx"), F.lit("mcp").alias("kind"), F.lit(None).cast("string").alias("key_arg"), F.lit("mcp__tk__ticket_edit").alias("tool_name"), F.col("l_shipdate").cast("timestamp").alias("started_at"))
+    calls = t["calls"].select("run_id", "turn_idx", "kind", "key_arg", F.col("kind").alias("tool_name"), "started_at").unionByName(edits)
+    criteria = items.groupBy("run_id").agg(F.collect_list(F.when(F.col("l_linestatus") == "O", "unverified").otherwise("met")).alias("criteria"))
+    t["responses"] = t["responses"].drop("contaminated").join(orders.select("run_id", F.col("dirty").alias("contaminated")), "run_id")
+    none = t["records"].where(F.lit(False))
+    attempts = ln.attempt_walk(ln.lens_events(t["runs"], t["texts"], t["calls"], t["responses"], none, ln.join_records(t["calls"], none)))
+    return h.compliance_runs(t["runs"].join(orders.select("run_id", "runtime"), "run_id"), t["texts"], calls, t["responses"].join(criteria, "run_id", "left"), attempts, orders.where("landed"))
+
+
+@query("g12_run_detail_responses", f"""{EXPECTED}, p AS (SELECT k, lens, round, attempt FROM e WHERE status IN ('parsed', 'responded'))
+SELECT 'r' || CAST(o_orderkey AS VARCHAR) AS run_id, lens, round, attempt, 'verdict of ' || CAST(o_custkey AS VARCHAR) AS raw FROM orders JOIN p ON o_orderkey % {CASES} = k WHERE o_orderkey % 10 <> 7""")
+def g12(spark, sf):
+    t = run_tables(spark, sf)
+    of = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 10 <> 7").select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("run_id"), F.concat(F.lit("verdict of "), F.col("o_custkey").cast("string")).alias("raw"))
+    return h.attempt_responses(run_attempts(t), t["responses"].join(of, "run_id").select("response_id", "raw"))
