@@ -273,6 +273,10 @@ def test_walks_are_depth_first_and_what_is_left_out_says_why(spark):
     tree = f.build_tree(runs)
     assert [r.execution_id for r in walk(tree).orderBy("place").collect()] == ["a", "b", "c", "b-1", "late"]
     state = {r.execution_id: r.state for r in tree.collect()}
+    kinds = F.when(F.col("execution_id").isin("late", "c", "o2", "z"), "human").otherwise(F.col("execution_kind"))
+    below = spark.createDataFrame([("r", "c1", "c", "x", 10), ("r", "c2", "c1", "human", 11)], runs.schema)
+    barred = {r.execution_id: r.state for r in f.build_tree(runs.withColumn("execution_kind", kinds).union(below)).collect()}
+    assert barred == state | dict.fromkeys(("c", "c1", "c2", "o2"), "invalid_parent")
     assert state == {**dict.fromkeys(("a", "b", "c", "b-1", "late"), "placed"), **dict.fromkeys(("r2", "below"), "second_root"), **dict.fromkeys(("o", "o2"), "orphan"), **dict.fromkeys(("y", "z", "w"), "cyclic")}
 
 

@@ -54,11 +54,12 @@ def grown(first: DataFrame, step: Callable[[DataFrame], DataFrame], deepest: int
 
 
 def build_tree(executions: DataFrame, deepest: int = 64) -> DataFrame:
-    """each execution with its depth, path and walk under its run's root, or what keeps it out: second_root, orphan or cyclic.
+    """each execution with its depth, path and walk under its run's root, or what keeps it out: second_root, orphan, cyclic or invalid_parent.
 
     The root is the first parentless ``root`` by (started_at, execution_id). A level is one join on (run, parent). What
     hangs below a second root or below an execution whose parent is missing has the state of that topmost one; what no top
-    reaches is in a cycle or below one. ``walk``: the keys of the ancestors, by which siblings go in the order of their starts.
+    reaches is in a cycle or below one. A human hangs under the root alone: under any other parent it and what is below it have an
+    invalid_parent. ``walk``: the keys of the ancestors, by which siblings go in the order of their starts.
     """
     executions = written(executions, "tree-executions")
     first = F.row_number().over(Window.partitionBy("run_id").orderBy(F.asc_nulls_last("started_at"), "execution_id"))
@@ -68,14 +69,15 @@ def build_tree(executions: DataFrame, deepest: int = 64) -> DataFrame:
     marked = executions.join(roots, ["run_id", "execution_id"], "left").join(parents, ["run_id", "parent_execution_id"], "left")
     state = F.when(F.col("is_root"), "placed").when(F.col("parent_execution_id").isNull(), "second_root").otherwise("orphan")
     tops = marked.where("is_root or parent_execution_id is null or has_parent is null")
-    edges = executions.select("run_id", F.col("parent_execution_id").alias("above"), F.col("execution_id").alias("child"), key.alias("key"))
+    edges = executions.select("run_id", F.col("parent_execution_id").alias("above"), F.col("execution_id").alias("child"), key.alias("key"), F.coalesce(F.col("execution_kind") == "human", F.lit(False)).alias("human"))
+    barred = F.col("barred") | (F.col("human") & ~((F.col("depth") == 0) & (F.col("state") == "placed")))
 
     def step(level: DataFrame) -> DataFrame:
         both = level.withColumnRenamed("execution_id", "above").join(edges, ["run_id", "above"]).where(~F.array_contains("path", F.col("child")))
-        return both.select("run_id", F.col("child").alias("execution_id"), "state", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.concat("walk", F.array("key")).alias("walk"))
+        return both.select("run_id", F.col("child").alias("execution_id"), "state", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.concat("walk", F.array("key")).alias("walk"), barred.alias("barred"))
 
-    reached = grown(tops.select("run_id", "execution_id", state.alias("state"), F.lit(0).alias("depth"), F.array("execution_id").alias("path"), F.array(key).alias("walk")), step, deepest, "tree")
-    got = executions.select("run_id", "execution_id", "parent_execution_id").join(reached, ["run_id", "execution_id"], "left").withColumn("state", F.coalesce("state", F.lit("cyclic")))
+    reached = grown(tops.select("run_id", "execution_id", state.alias("state"), F.lit(0).alias("depth"), F.array("execution_id").alias("path"), F.array(key).alias("walk"), F.lit(False).alias("barred")), step, deepest, "tree")
+    got = executions.select("run_id", "execution_id", "parent_execution_id").join(reached, ["run_id", "execution_id"], "left").withColumn("state", F.when(F.col("barred"), "invalid_parent").otherwise(F.coalesce("state", F.lit("cyclic"))))
     under = lambda c: F.when(F.col("state") == "placed", c)
     return got.select("run_id", "execution_id", "parent_execution_id", under(F.col("depth")).alias("depth"), under(F.array_join("path", "/")).alias("path"), "state", under(F.col("walk")).alias("walk"))
 

@@ -104,7 +104,7 @@ TABLES: dict[str, tuple[str, list[str], str]] = {
             "'r' || CAST(l_orderkey AS STRING) AS run_id",
             "'r' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS execution_id",
             "CASE WHEN l_linenumber = 7 THEN 'r' || CAST(l_orderkey AS STRING) || '-7' WHEN l_linenumber > 1 THEN 'r' || CAST(l_orderkey AS STRING) || '-' || CAST(CAST(floor(l_linenumber / 2) AS INT) AS STRING) END AS parent_execution_id",
-            "CASE WHEN l_linenumber = 1 THEN 'root' WHEN l_partkey % 29 = 0 THEN 'other' ELSE 'subagent' END AS execution_kind",
+            "CASE WHEN l_linenumber = 1 THEN 'root' WHEN l_partkey % 29 = 0 THEN 'other' WHEN l_partkey % 7 = 0 THEN 'human' ELSE 'subagent' END AS execution_kind",
             "CASE l_returnflag WHEN 'A' THEN 'success' WHEN 'R' THEN 'failed' END AS outcome",
             "CASE WHEN l_discount > 0.02 THEN l_linestatus END AS stage",
             "l_shipdate AS started_at",

@@ -55,8 +55,8 @@ def f5(spark, sf):
 
 TREE = """roots AS (SELECT run_id, execution_id FROM executions WHERE parent_execution_id IS NULL AND execution_kind = 'root' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY started_at NULLS LAST, execution_id) = 1),
 tops AS (SELECT e.run_id, e.execution_id, coalesce(epoch_us(e.started_at), 9223372036854775807) AS began, CASE WHEN r.execution_id IS NOT NULL THEN 'placed' WHEN e.parent_execution_id IS NULL THEN 'second_root' ELSE 'orphan' END AS state FROM executions e LEFT JOIN roots r USING (run_id, execution_id) LEFT JOIN executions p ON p.run_id = e.run_id AND p.execution_id = e.parent_execution_id WHERE e.parent_execution_id IS NULL OR p.execution_id IS NULL),
-tree AS (SELECT run_id, execution_id, state, 0 AS depth, [execution_id] AS path, [{'a': began, 'e': execution_id}] AS walk FROM tops UNION ALL SELECT e.run_id, e.execution_id, t.state, t.depth + 1, list_append(t.path, e.execution_id), list_append(t.walk, {'a': coalesce(epoch_us(e.started_at), 9223372036854775807), 'e': e.execution_id}) FROM tree t JOIN executions e ON e.run_id = t.run_id AND e.parent_execution_id = t.execution_id WHERE NOT list_contains(t.path, e.execution_id)),
-built AS (SELECT e.run_id, e.execution_id, e.parent_execution_id, CASE WHEN t.state = 'placed' THEN t.depth END AS depth, CASE WHEN t.state = 'placed' THEN array_to_string(t.path, '/') END AS path, coalesce(t.state, 'cyclic') AS state, CASE WHEN t.state = 'placed' THEN t.walk END AS walk FROM executions e LEFT JOIN tree t USING (run_id, execution_id))"""
+tree AS (SELECT run_id, execution_id, state, 0 AS depth, [execution_id] AS path, [{'a': began, 'e': execution_id}] AS walk, false AS barred FROM tops UNION ALL SELECT e.run_id, e.execution_id, t.state, t.depth + 1, list_append(t.path, e.execution_id), list_append(t.walk, {'a': coalesce(epoch_us(e.started_at), 9223372036854775807), 'e': e.execution_id}), t.barred OR (coalesce(e.execution_kind, '') = 'human' AND NOT (t.depth = 0 AND t.state = 'placed')) FROM tree t JOIN executions e ON e.run_id = t.run_id AND e.parent_execution_id = t.execution_id WHERE NOT list_contains(t.path, e.execution_id)),
+built AS (SELECT e.run_id, e.execution_id, e.parent_execution_id, CASE WHEN t.state = 'placed' THEN t.depth END AS depth, CASE WHEN t.state = 'placed' THEN array_to_string(t.path, '/') END AS path, coalesce(t.state, 'cyclic') AS state, CASE WHEN t.state = 'placed' THEN t.walk END AS walk FROM executions e LEFT JOIN (SELECT * REPLACE (CASE WHEN barred THEN 'invalid_parent' ELSE state END AS state) FROM tree) t USING (run_id, execution_id))"""
 
 
 @query("f7_build_tree", f"{EXECUTIONS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {TREE} SELECT * EXCLUDE (walk) FROM built")
