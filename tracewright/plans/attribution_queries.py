@@ -56,9 +56,9 @@ def i1(spark, sf):
     return fixes(spark, sf)
 
 
-@query("i2_resolve_short_hash", f"{cte('commits')}, s AS (SELECT DISTINCT substring(md5(CAST(l_orderkey AS VARCHAR)), 1, 5 + l_linenumber) AS short_hash FROM lineitem WHERE l_partkey % 20 = 0), h AS (SELECT DISTINCT commit_hash FROM commits) SELECT short_hash, CASE WHEN count(commit_hash) = 1 THEN min(commit_hash) END AS hash FROM s LEFT JOIN h ON len(short_hash) >= 7 AND starts_with(commit_hash, short_hash) GROUP BY short_hash")
+@query("i2_resolve_short_hash", f"{cte('commits')}, s AS (SELECT DISTINCT substring(md5(CAST(l_orderkey AS VARCHAR)), 1, 5 + l_linenumber) AS short_hash FROM lineitem), h AS (SELECT DISTINCT commit_hash FROM commits) SELECT short_hash, CASE WHEN count(commit_hash) = 1 THEN min(commit_hash) END AS hash FROM s LEFT JOIN h ON len(short_hash) >= 7 AND substring(commit_hash, 1, 7) = substring(short_hash, 1, 7) AND starts_with(commit_hash, short_hash) GROUP BY short_hash")
 def i2(spark, sf):
-    short = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey % 20 = 0").selectExpr("substring(md5(CAST(l_orderkey AS STRING)), 1, 5 + l_linenumber) AS short_hash")
+    short = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("substring(md5(CAST(l_orderkey AS STRING)), 1, 5 + l_linenumber) AS short_hash")
     return a.resolve_short(short, table(spark, sf, "commits").select(F.col("commit_hash").alias("hash")))
 
 

@@ -82,12 +82,12 @@ def m5(spark, sf):
     return m.plan_backfill(resolved(spark, sf), visited, scopes(spark, sf), 3, F.expr("TIMESTAMP_NTZ '2001-01-01 00:00:00'"), ["claude-code", "codex-cli"], 50)
 
 
-STAMPS = "stamps AS (SELECT '/work/p' || CAST(o_custkey % 20 AS VARCHAR) AS work_root, 'cwd-' || CAST(o_orderkey AS VARCHAR) AS project_cwd, o_orderdate AS stamped_at FROM orders WHERE o_orderkey % 50 = 0)"
+STAMPS = "stamps AS (SELECT '/work/p' || CAST(o_custkey % 20 AS VARCHAR) AS work_root, 'cwd-' || CAST(o_orderkey AS VARCHAR) AS project_cwd, o_orderdate AS stamped_at FROM orders)"
 
 
 @query("m8_stamp_asof", f"{cte('sessions')}, {STAMPS} SELECT agent, session_id, arg_max(project_cwd, (stamped_at, project_cwd)) AS project_cwd, max(stamped_at) AS stamped_at FROM sessions s LEFT JOIN stamps t ON s.cwd = t.work_root AND (start_time IS NULL OR stamped_at <= start_time) GROUP BY agent, session_id")
 def m8(spark, sf):
-    stamps = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 50 = 0").selectExpr("'/work/p' || CAST(o_custkey % 20 AS STRING) AS work_root", "'cwd-' || CAST(o_orderkey AS STRING) AS project_cwd", "o_orderdate AS stamped_at")
+    stamps = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("'/work/p' || CAST(o_custkey % 20 AS STRING) AS work_root", "'cwd-' || CAST(o_orderkey AS STRING) AS project_cwd", "o_orderdate AS stamped_at")
     return m.stamp_asof(table(spark, sf, "sessions"), stamps)
 
 
