@@ -37,7 +37,7 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tracewright.plans import attribution_queries, children_queries, codex_queries, compliance_queries, friction_queries, knowledge_queries, lens_queries, message_queries, pricing_queries, report_queries, rollup_queries, run_queries, source_queries, transcript_queries  # noqa: F401
+    from tracewright.plans import attribution_queries, children_queries, codex_queries, compliance_queries, friction_queries, knowledge_queries, lens_queries, message_queries, meter_queries, pricing_queries, report_queries, rollup_queries, run_queries, source_queries, transcript_queries  # noqa: F401
 
 
 def names() -> list[str]:
