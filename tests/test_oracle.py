@@ -44,7 +44,9 @@ def test_query_matches_its_oracle(spark, duck, name):
     got = registry.queries()[name](spark, SF).toPandas()
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert len(got.columns) > 0
+        from tests import test_without_sql
+
+        assert hasattr(test_without_sql, f"test_{name}") and len(got.columns) > 0
         return
     want = duck.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
