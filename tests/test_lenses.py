@@ -3,6 +3,7 @@
 import pytest
 
 from tracewright.operators import lenses as ln
+from tracewright.plans import registry
 
 CALL = "~/.codex/codex-lens.sh --lens security --payload /tmp/c.md"
 ALONE = {
@@ -37,3 +38,15 @@ def test_a_record_without_an_end_in_the_call_s_time(spark):
     records = spark.createDataFrame([("r", "late", None, "security", at(50)), ("r", "soon", None, "security", at(19)), ("r", "early", None, "security", at(4)), ("r", "named", "c3", "quality", None)], "run_id string, record_id string, dispatch_id string, r_lens string, r_started string")
     got = ln.join_records(calls.withColumn("started_at", calls.started_at.cast("timestamp")), records.withColumn("r_started", records.r_started.cast("timestamp")))
     assert sorted(tuple(r) for r in got.collect()) == [("r", "c1", "soon", "time"), ("r", "c3", "named", "dispatch")]
+
+
+def test_child_verdicts_of_order_keys_beyond_an_int(spark, tmp_path):
+    keys = [13 * k + 8 for k in (1, 2, 3)]
+    spark.createDataFrame([(k + 13 * 10**9, k % 3, None) for k in keys], "o_orderkey long, o_custkey long, o_orderdate timestamp").selectExpr("o_orderkey", "o_custkey", "timestamp '1995-01-01 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            got = registry.queries()["h8_child_lens_verdict"](spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+        assert sorted(r.run_id for r in got) == sorted(f"r{k + 13 * 10**9}" for k in keys)

@@ -144,7 +144,7 @@ CASE c WHEN 1 THEN 'lens mismatch: response names quality, dispatch named securi
 )
 def h8(spark, sf):
     t = run_tables(spark, sf)
-    attempts = run_attempts({k: v.join(t["runs"].where("pmod(int(substring(run_id, 2)), 13) = 8").select("run_id"), "run_id", "left_semi") for k, v in t.items()})
+    attempts = run_attempts({k: v.join(t["runs"].where("pmod(bigint(substring(run_id, 2)), 13) = 8").select("run_id"), "run_id", "left_semi") for k, v in t.items()})
     orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_custkey % 3 < 2")
     said = orders.select(F.lit("codex-cli").alias("agent"), F.concat(F.lit("child-r"), F.col("o_orderkey").cast("string")).alias("session_id"), F.when(F.col("o_custkey") % 3 == 0, "security").otherwise("quality").alias("lens"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("turn_idx"))
     last = F.concat(F.when(F.col("turn_idx") == 1, "last").otherwise("early"), F.lit("-"), F.substring("session_id", 7, 99))
