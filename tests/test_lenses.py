@@ -50,3 +50,12 @@ def test_child_verdicts_of_order_keys_beyond_an_int(spark, tmp_path):
         finally:
             spark.conf.unset("spark.sql.ansi.enabled")
         assert sorted(r.run_id for r in got) == sorted(f"r{k + 13 * 10**9}" for k in keys)
+
+
+def test_records_are_joined_once_for_all_events(spark):
+    from tracewright.plans import lens_queries as q
+
+    t = q.run_tables(spark, "/root/testdata/sf0.001")
+    events = ln.lens_events(t["runs"], t["texts"], t["calls"], t["responses"], t["records"], ln.join_records(t["calls"], t["records"]))
+    # the walk of records would run again for each kind of event
+    assert "MapInArrow" not in events._jdf.queryExecution().optimizedPlan().toString()

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tracewright.functions.tables import written
+
 # The lenses a router or a subagent can run, in their order, and the router's name.
 ROUTED_LENSES = ["contract", "quality", "security"]
 ROUTER = r"codex-lens\.sh"
@@ -363,8 +365,9 @@ def lens_events(runs: DataFrame, texts: DataFrame, calls: DataFrame, responses:
     span = runs.select("run_id", "first_idx", "last_idx", "inlines")
     inside = (F.col("turn_idx") >= F.col("first_idx")) & (F.col("turn_idx") <= F.col("last_idx"))
     lens = F.coalesce(F.nullif("r_lens", F.lit("")), "lens")
-    calls = calls.join(span, "run_id").where(inside).join(joined, ["run_id", "call_id"], "left").withColumn("lens", lens).where(F.coalesce("lens", "reads", F.col("started_at").cast("string")).isNotNull())
-    items = text_items(texts.join(span, "run_id").where(inside))
+    # both are met several times, and calls come from a walk of their own
+    calls = written(calls.join(span, "run_id").where(inside).join(joined, ["run_id", "call_id"], "left").withColumn("lens", lens).where(F.coalesce("lens", "reads", F.col("started_at").cast("string")).isNotNull()), "lens-calls")
+    items = written(text_items(texts.join(span, "run_id").where(inside)), "lens-items")
     ahead = _as_events(items.where("event = 'line'"), phase=F.lit(0), event=F.lit("line_ahead"), sub=F.lit(0))
     # a turn without a line takes its rounds from the records that its calls joined
     silent = calls.where("r_round > 0").join(items.where("event = 'line'").select("run_id", "turn_idx").distinct(), ["run_id", "turn_idx"], "left_anti")
