@@ -59,3 +59,8 @@ def test_records_are_joined_once_for_all_events(spark):
     events = ln.lens_events(t["runs"], t["texts"], t["calls"], t["responses"], t["records"], ln.join_records(t["calls"], t["records"]))
     # the walk of records would run again for each kind of event
     assert "MapInArrow" not in events._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_executions_are_folded_once_for_all_groups(spark):
+    got = registry.queries()["g10_lens_groups"](spark, "/root/testdata/sf0.001")
+    assert "l_orderkey" not in got._jdf.queryExecution().optimizedPlan().toString()
