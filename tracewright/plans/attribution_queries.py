@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.tables import new_path
+from tracewright.functions.tables import new_path, written
 from tracewright.operators import attribution as a
 from tracewright.operators import run_report as g
 from tracewright.plans.adapters import cte, table
@@ -196,15 +196,14 @@ UNITS = f"{EXECUTIONS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {TREE}"
 
 
 def units(spark, sf):
-    e = executions(spark, sf)
-    tree = registry_runs.build_tree(e).where("state = 'placed'").select("execution_id", "depth")
-    return e.join(tree, "execution_id")
+    """Executions with their kind, records and state and, where they are placed, their depth."""
+    return registry_runs.build_tree(executions(spark, sf), trail=(), keep=("execution_kind", "records"))
 
 
 @query("g5_meter_scopes", f"""{UNITS}, u AS (SELECT e.*, b.depth, CASE WHEN b.depth = 0 OR execution_kind = 'human' THEN 'parent' ELSE 'descendants' END AS part FROM executions e JOIN built b USING (run_id, execution_id) WHERE state = 'placed')
 SELECT run_id, coalesce(part, 'total') AS scope, count(*) AS units, sum(records)::BIGINT AS records FROM u GROUP BY GROUPING SETS ((run_id, part), (run_id))""")
 def g5(spark, sf):
-    return g.meter_scopes(units(spark, sf), ["records"])
+    return g.meter_scopes(units(spark, sf).where("state = 'placed'"), ["records"])
 
 
 @query("g4_meter_tokens", f"""{cte('tool_calls')}, t AS (SELECT session_id AS run_id, agent, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cached_tokens)::BIGINT AS cached_tokens FROM tool_calls GROUP BY ALL)
@@ -222,9 +221,14 @@ e AS (SELECT unit, count(*) FILTER (source = 'api_error') AS api_failures, count
 metered AS (SELECT unit, coalesce(turns, 0) AS turns, coalesce(turns_with_model, 0) AS turns_with_model, coalesce(turns_with_effort, 0) AS turns_with_effort, coalesce(turns_with_cli_version, 0) AS turns_with_cli_version, coalesce(tool_calls, 0) AS tool_calls, coalesce(errored_calls, 0) AS errored_calls, coalesce(timed_calls, 0) AS timed_calls, tool_ms, coalesce(calls_by_kind, '') AS calls_by_kind, coalesce(api_failures, 0) AS api_failures, coalesce(tool_failures, 0) AS tool_failures, coalesce(process_failures, 0) AS process_failures, coalesce(other_failures, 0) AS other_failures, coalesce(hook_signals, 0) AS hook_signals FROM u LEFT JOIN t USING (unit) LEFT JOIN kk USING (unit) LEFT JOIN e USING (unit))"""
 
 
+def spanned(spark, sf):
+    """The units of sessions with a span of turns."""
+    return table(spark, sf, "sessions").where("turn_count > 1").selectExpr("session_id || '/a' AS unit", "agent", "session_id", "2 AS first", "5 AS last")
+
+
 def metered(spark, sf):
     s = table(spark, sf, "sessions")
-    u = s.where("turn_count > 1").selectExpr("session_id || '/a' AS unit", "agent", "session_id", "2 AS first", "5 AS last").union(s.where("turn_count IS NULL").selectExpr("session_id || '/b'", "agent", "session_id", "0", "CAST(NULL AS INT)"))
+    u = spanned(spark, sf).union(s.where("turn_count IS NULL").selectExpr("session_id || '/b'", "agent", "session_id", "0", "CAST(NULL AS INT)"))
     c = table(spark, sf, "tool_calls").withColumn("turn_idx", (F.col("seq") + 1).cast("int"))
     turns = c.selectExpr("agent", "session_id", "turn_idx AS idx", "tool_kind AS model", "'' AS effort", "CAST(duration_ms AS STRING) AS cli_version")
     return g.meter_units(u, turns, c, table(spark, sf, "errors"))
@@ -238,9 +242,10 @@ def g3(spark, sf):
 @query("g11_run_summaries", f"""{METER.replace('WITH ', 'WITH RECURSIVE ', 1)}, {EXECUTIONS.replace('WITH ', '', 1)}, {TREE}, r AS (SELECT DISTINCT run_id FROM executions), n AS (SELECT run_id, count(*) AS units, count(*) FILTER (NOT (b.depth = 0 OR execution_kind = 'human')) AS children FROM executions e JOIN built b USING (run_id, execution_id) WHERE state = 'placed' GROUP BY run_id)
 SELECT r.run_id, units, children, api_failures + tool_failures + process_failures + other_failures AS failures FROM r LEFT JOIN n USING (run_id) LEFT JOIN metered ON unit = 'o' || substring(run_id, 2) || '/a'""")
 def g11(spark, sf):
-    runs = executions(spark, sf).select("run_id").distinct()
-    failures = metered(spark, sf).where(F.col("unit").endswith("/a")).withColumn("run_id", F.concat(F.lit("r"), F.regexp_extract("unit", "^o(.*)/a$", 1)))
-    return g.run_summaries(runs, g.meter_scopes(units(spark, sf), ["records"]), failures)
+    # one fold and one tree give the runs and their units
+    tree = written(units(spark, sf).select("run_id", "state", "depth", "execution_kind", "records"), "run-units")
+    failures = g.unit_failures(spanned(spark, sf), table(spark, sf, "errors")).withColumn("run_id", F.concat(F.lit("r"), F.regexp_extract("unit", "^o(.*)/a$", 1)))
+    return g.run_summaries(tree.select("run_id").distinct(), g.meter_scopes(tree.where("state = 'placed'"), ["records"]), failures)
 
 
 @query("g14_drift_gaps", "SELECT 's' || CAST(user_id AS VARCHAR) AS session_id, event_type || ':t' || CAST(user_id % 3 AS VARCHAR) || ' count=' || CAST(count(*) AS VARCHAR) AS gap FROM events WHERE user_id % 3 = 2 AND event_type <> 'view' GROUP BY user_id, event_type")
