@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +30,37 @@ PATTERNS = [
     ("env-secret", rf"(?i)(\b(?:{ENV_NAME}[\"']?\s*[=:]\s*|{NAME}[\"']?\s*=\s*|{NAME}[\"']?\s*[=:]\s*(?=[\"']))([\"']?))(?![$<])(?!{MARK}(?:[\s\"']|$))(?!(?-i:[A-Z]+(?:_[A-Z]+)+)(?:[\s\"']|$))(?:(?<=[\"'])[^\"'\r\n]+|[^\s\"']+)(\2|(?=\r?\n|$))"),
 ]
 KINDS = list(dict.fromkeys(k for k, _ in PATTERNS))
+#: What a text must hold, in lower case, for a pattern of a kind to match: of each group one string.
+HELD = {
+    "private-key": [["-----begin "]],
+    "anthropic-key": [["sk-ant-"]],
+    "openai-key": [["sk-"]],
+    "github-token": [["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"]],
+    "aws-access-key": [["akia", "asia"]],
+    "slack-token": [["xox"]],
+    "google-api-key": [["aiza"]],
+    "jwt": [["eyj"]],
+    "bearer": [["bearer "]],
+    "url-credential": [["://"], ["@"]],
+    "env-secret": [[*KEYWORDS.lower().split("|"), "auth"], ["=", ":"]],
+}
 
 
 def redacted(df: DataFrame, column: str = "text") -> DataFrame:
     """L1, L2: the column with each credential as ``[REDACTED:kind]``, and ``n_<kind>`` spans of each kind; a mark that the text itself spells is defanged."""
-    text = F.regexp_replace(F.regexp_replace(F.col(column), f"[{OPEN}{CLOSE}]", ""), r"\[REDACTED:", r"[REDACTED\\:")
+    bare = F.replace(F.replace(F.col(column), F.lit(OPEN), F.lit("")), F.lit(CLOSE), F.lit(""))
+    text = F.replace(bare, F.lit("[REDACTED:"), F.lit("[REDACTED\\:"))
     out = df.withColumn(column, text)
     counts: dict[str, Column] = {}
     for k, (kind, pattern) in enumerate(PATTERNS):
+        # a text without a pattern's fixed strings is not searched; a redaction changes what the next ones are looked for in
+        out = out.withColumn("lower_", F.lower(column))
+        likely = reduce(Column.__and__, (reduce(Column.__or__, (F.contains("lower_", F.lit(x)) for x in group)) for group in HELD[kind]))
         # the count is of the column as it stands before this pattern
-        out = out.withColumn(f"hits_{k}", F.regexp_count(column, F.lit(pattern))).withColumn(column, F.when(F.col(f"hits_{k}") > 0, F.regexp_replace(column, pattern, f"$1{OPEN}{kind}{CLOSE}$3")).otherwise(F.col(column)))
+        hits = F.when(likely, F.regexp_count(column, F.lit(pattern))).when(F.col(column).isNotNull(), 0)
+        out = out.withColumn(f"hits_{k}", hits).withColumn(column, F.when(F.col(f"hits_{k}") > 0, F.regexp_replace(column, pattern, f"$1{OPEN}{kind}{CLOSE}$3")).otherwise(F.col(column)))
         counts[kind] = counts[kind] + F.col(f"hits_{k}") if kind in counts else F.col(f"hits_{k}")
-    shown = F.regexp_replace(column, f"{OPEN}([a-z-]+){CLOSE}", "[REDACTED:$1]")
+    shown = F.when(F.contains(F.col(column), F.lit(OPEN)), F.regexp_replace(column, f"{OPEN}([a-z-]+){CLOSE}", "[REDACTED:$1]")).otherwise(F.col(column))
     names = [c for c in df.columns if c != column]
     return out.select(*names, shown.alias(column), *(n.alias("n_" + kind.replace("-", "_")) for kind, n in counts.items()))
 
