@@ -74,7 +74,8 @@ NOTE_TEXT = r"'---\nid: first\ntitle: \"' || title || '\"\nevidence: [/src/' ||
 
 def artifacts(spark, sf):
     spark.read.parquet(f"{sf}/part.parquet").createOrReplaceTempView("artifact_parts")
-    notes = spark.sql(NOTES.format(s="STRING", t="artifact_parts"))
+    # a small file of many short rows is read by few tasks; its notes are made and parsed by all
+    notes = spark.sql(NOTES.format(s="STRING", t="artifact_parts")).repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
     path = "'file:/kb/' || status || '/' || type || '/' || CASE WHEN p_partkey % 17 = 5 THEN '_draft' ELSE scope END || '/' || CASE WHEN p_partkey % 19 = 5 THEN 'README' ELSE id END || '.md' AS path"
     return a.parse_artifacts(notes.selectExpr(path, "TIMESTAMP '2024-02-01 00:00:00' AS modified", f"{NOTE_TEXT} AS value"), "/kb")
 
