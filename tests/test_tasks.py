@@ -5,3 +5,13 @@ from tracewright.plans import source_queries as q
 
 def test_notes_of_a_small_table_go_to_all_tasks(spark):
     assert q.artifacts(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_small_ranges_share_tasks():
+    from tracewright.sources import ranges as r
+
+    found = r.ranges("/f", 0, 40_000_000, 40_000_000, 0.0, 20_000) + r.ranges("/g", 0, 30, 30, 0.0, 20_000)
+    tasks = r.packed(found)
+    assert [x for t in tasks for x in t.ranges] == found and len(found) == 2001 and 96 <= len(tasks) <= 110
+    assert [len(t.ranges) for t in r.packed(r.ranges("/f", 0, 4 * r.RANGE_BYTES, 0, 0.0, r.RANGE_BYTES))] == [1] * 4
+    assert [t.ranges for t in r.packed([])] == [[]]

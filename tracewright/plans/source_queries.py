@@ -122,10 +122,12 @@ def a1(spark, sf):
     for k, agent in enumerate(("claude-code", "codex-cli")):
         text_files(rows.where(F.col("conv_id") % 2 == k), f"{root}/{agent}/p{k}", "conv_id", "turn", "role", "text")
     lines = a.with_path_keys(ranges.numbered(ranges.scan(spark, root, ".txt", 20_000)), root)
-    per = lines.groupBy("path").agg((F.count("*") == F.max("line_no")).alias("dense"))
     parsed = F.from_json("value", "conv_id LONG, turn LONG")
     kinds = dict(rows.dtypes)
-    return lines.join(per, "path").select("agent", "project", *(parsed[c].cast(kinds[c]).alias(c) for c in ("conv_id", "turn")), "dense")
+    # the lines are counted and shown from one reading
+    lines = written(lines.select("path", "line_no", "agent", "project", *(parsed[c].cast(kinds[c]).alias(c) for c in ("conv_id", "turn"))), "a1-lines")
+    per = lines.groupBy("path").agg((F.count("*") == F.max("line_no")).alias("dense"))
+    return lines.join(per, "path").select("agent", "project", "conv_id", "turn", "dense")
 
 
 # even events are in the files at the first scan, odd ones have come by the second, which reads their bytes alone

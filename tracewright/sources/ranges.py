@@ -66,6 +66,30 @@ class Range(InputPartition):
     mtime: float
 
 
+@dataclass
+class Ranges(InputPartition):
+    """The ranges that one task reads, one after the other."""
+
+    ranges: list[Range]
+
+
+#: Fixed value: small ranges are put together for at least so many tasks.
+LEAST_TASKS = 96
+
+
+def packed(found: list[Range]) -> list[InputPartition]:
+    """Ranges in tasks: a task's start costs more than reading a few kilobytes, so small ranges that follow each other share one, of up to RANGE_BYTES."""
+    most = min(RANGE_BYTES, sum(r.end - r.start for r in found) // LEAST_TASKS)
+    out, size = [Ranges([])], 0
+    for r in found:
+        if out[-1].ranges and size + r.end - r.start > most:
+            out.append(Ranges([]))
+            size = 0
+        out[-1].ranges.append(r)
+        size += r.end - r.start
+    return out
+
+
 def ranges(path: str, low: int, limit: int, size: int, mtime: float, bytes_: int) -> list[Range]:
     return [Range(path, k, a, min(limit, a + bytes_), low, limit, size, mtime) for k, a in enumerate(range(low, limit, bytes_))]
 
@@ -128,11 +152,11 @@ class Reader(DataSourceReader):
             low = low if low <= size else 0
             limit = size if self.whole else last_line_end(path, size, low)
             out += ranges(path, low, limit, size, mtime, self.bytes)
-        return out or [Range("", 0, 0, 0, 0, 0, 0, 0)]
+        return packed(out)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.path:
-            yield from batches_of(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges:
+            yield from batches_of(r)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -159,11 +183,11 @@ class StreamReader(DataSourceStreamReader):
             low = start.get(path, 0)
             low = low if low <= limit else 0
             out += ranges(path, low, limit, limit, 0.0, self.bytes)
-        return out or [Range("", 0, 0, 0, 0, 0, 0, 0)]
+        return packed(out)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.path:
-            yield from batches_of(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges:
+            yield from batches_of(r)
 
     def commit(self, end: dict) -> None:
         pass
