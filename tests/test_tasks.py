@@ -1,5 +1,9 @@
 """Small inputs of many rows or ranges go to a number of tasks that fits them."""
 
+import re
+
+from tracewright.functions import tables
+from tracewright.plans import registry
 from tracewright.plans import source_queries as q
 
 
@@ -15,3 +19,18 @@ def test_small_ranges_share_tasks():
     assert [x for t in tasks for x in t.ranges] == found and len(found) == 2001 and 96 <= len(tasks) <= 110
     assert [len(t.ranges) for t in r.packed(r.ranges("/f", 0, 4 * r.RANGE_BYTES, 0, 0.0, r.RANGE_BYTES))] == [1] * 4
     assert [t.ranges for t in r.packed([])] == [[]]
+
+
+def dealings(df):
+    return re.findall(r"hashpartitioning\(.*, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pairs_of_a_larger_table_go_to_more_tasks(spark, monkeypatch):
+    """Lines, orders and pairs are each dealt to tasks of about TASK_ROWS rows, and nothing is dealt by the setting."""
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, registry.queries()["m12_greedy_match"](spark, d).collect()))
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    tasks = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 500)
+    got = registry.queries()["m12_greedy_match"](spark, d)
+    assert tasks > 4 and dealings(got) == [str(tasks)] * 3
+    assert sorted(map(tuple, got.collect())) == want

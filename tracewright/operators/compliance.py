@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.tables import dealt
+
 
 def classify_run() -> Column:
     """H2: the class of a run by ordered tests of runtime, activity, readable, lines, evidence, tool_evidence and committed."""
@@ -107,10 +109,11 @@ def truth_similarity() -> Column:
     return F.when(F.col("r_id") == F.col("c_id"), 1.0).otherwise(F.least(score, F.lit(1.0)))
 
 
-def greedy_match(pairs: DataFrame) -> DataFrame:
+def greedy_match(pairs: DataFrame, rows: int | None = None) -> DataFrame:
     """One-to-one matches of each session, best scores first (ties: reference order, then candidate order).
 
-    pairs: session, ref, cand, score. Of a session only the references and candidates that are taken are kept.
+    pairs: session, ref, cand, score; rows: about how many, so that tasks don't grow with them. Of a session only the references
+    and candidates that are taken are kept.
     """
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +132,7 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
     kinds = dict(pairs.dtypes)
     score = F.col("score").cast("double")
     best = F.desc_nulls_last(F.when(~F.isnan(score), score))
-    ordered = pairs.select("session", "ref", "cand", score.alias("score")).repartition("session").sortWithinPartitions("session", best, "ref", "cand")
+    ordered = dealt(pairs.select("session", "ref", "cand", score.alias("score")), rows, "session").sortWithinPartitions("session", best, "ref", "cand")
     return ordered.mapInArrow(match, f"session {kinds['session']}, ref {kinds['ref']}, cand {kinds['cand']}, score double")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.functions.tables import dealt
 from tracewright.operators import compliance as h
 from tracewright.plans.adapters import cte, table
 from tracewright.plans.pricing_queries import SPANS, spans
@@ -63,9 +64,11 @@ SELECT o.session, ref, cand, score FROM o JOIN g ON o.session = g.session AND o.
 
 @query("m12_greedy_match", GREEDY)
 def m12(spark, sf):
-    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("match_orders")
-    spark.read.parquet(f"{sf}/lineitem.parquet").createOrReplaceTempView("match_lines")
-    return h.greedy_match(spark.sql(PAIRS.format(o="match_orders", l="match_lines")))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    rows = lines.count()
+    dealt(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey"), rows, "o_orderkey").createOrReplaceTempView("match_orders")
+    dealt(lines.select("l_orderkey", "l_partkey"), rows, "l_orderkey").createOrReplaceTempView("match_lines")
+    return h.greedy_match(spark.sql(PAIRS.format(o="match_orders", l="match_lines")), rows)
 
 
 @query("m13_eval_matrix", "SELECT l_suppkey AS session, avg(l_quantity) FILTER (l_returnflag = 'A') AS A, avg(l_quantity) FILTER (l_returnflag = 'N') AS N, avg(l_quantity) FILTER (l_returnflag = 'R') AS R FROM lineitem GROUP BY l_suppkey")
