@@ -34,3 +34,16 @@ def test_pairs_of_a_larger_table_go_to_more_tasks(spark, monkeypatch):
     got = registry.queries()["m12_greedy_match"](spark, d)
     assert tasks > 4 and dealings(got) == [str(tasks)] * 3
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_commits_are_read_where_their_call_is(spark):
+    """No line of a result is dealt or sorted; two calls of one number don't mix, and a statistics line counts for the commit before it only."""
+    from tracewright.operators import transcripts as t
+
+    text = "9 files changed\n\t[main abcdef1] one \r\nnoise\n 1 file changed\n2 files changed\n[main abcdef2] two\n[x (root-commit) abcdef3] 5 files changed\n[no] 7\n \x0b3 files changed"
+    rows = [("s", 0, "bash", text), ("s", 0, "custom", "[dev 1234567] three"), ("s", 1, "bash", None), ("s", 2, "bash", "4 files changed"), ("s", 3, "read", text), ("s", 4, "bash", "")]
+    calls = spark.createDataFrame(rows, "session_id string, seq long, tool_kind string, result_summary string").selectExpr("'a' AS agent", "*", "timestamp_ntz'2024-01-01' AS started_at", "timestamp_ntz'2024-01-01' AS session_start")
+    got = t.extract_commits(calls)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert sorted(tuple(r) for r in got.select("seq", "part", "branch", "commit_hash", "subject", "files_changed").collect()) == [(0, 1, "dev", "1234567", "three", None), (0, 1, "main", "abcdef1", "one", 1), (0, 2, "main", "abcdef2", "two", None), (0, 3, "x (root-commit)", "abcdef3", "5 files changed", 3)]

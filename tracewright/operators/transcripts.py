@@ -174,6 +174,9 @@ def codex_turns(records: DataFrame) -> DataFrame:
 
 
 COMMIT_LINE = r"^\[(.+) ([0-9a-f]{7,40})\] (.+)$"
+STAT = r"(\d+) files? changed"
+#: What a pattern's \s stands for.
+SPACE = " \t\n\x0b\f\r"
 ONE_LINE = r"^([0-9a-f]{7,40}) (.+)$"
 RUNS_COMMIT = r"\bgit(?:\s+(?:-[Cc]\s+\S+|--\S+))*\s+commit(?:\s|$)"
 
@@ -181,16 +184,21 @@ RUNS_COMMIT = r"\bgit(?:\s+(?:-[Cc]\s+\S+|--\S+))*\s+commit(?:\s|$)"
 def extract_commits(calls: DataFrame) -> DataFrame:
     """Commits that results of shell calls confirm, several a call; files changed from the first statistics line before the next commit.
 
-    calls: agent, session_id, seq, tool_kind, result_summary, started_at, session_start.
+    calls: agent, session_id, seq, tool_kind, result_summary, started_at, session_start. A result is read where its row is.
     """
-    lines = calls.where(F.col("tool_kind").isin("bash", "custom")).select(*KEY, "seq", F.coalesce("started_at", "session_start").alias("committed_at"), F.posexplode(F.split("result_summary", "\n")).alias("pos", "line"))
-    trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
-    lines = lines.withColumn("is_commit", trimmed.rlike(COMMIT_LINE)).withColumn("text", trimmed)
-    part = F.sum(F.col("is_commit").cast("int")).over(Window.partitionBy(*KEY, "seq").orderBy("pos"))
-    lines = lines.withColumn("part", part).where("part > 0")
-    stat = F.nullif(F.regexp_extract("line", r"(\d+) files? changed", 1), F.lit(""))
-    got = lines.groupBy(*KEY, "seq", "part").agg(F.max(F.when(F.col("is_commit"), F.col("text"))).alias("text"), F.first("committed_at").alias("committed_at"), F.min_by(stat, F.when(stat.isNotNull() & ~F.col("is_commit"), F.col("pos"))).cast("long").alias("files_changed"))
-    return got.select(*KEY, "seq", "part", "committed_at", F.regexp_extract("text", COMMIT_LINE, 1).alias("branch"), F.regexp_extract("text", COMMIT_LINE, 2).alias("commit_hash"), F.regexp_extract("text", COMMIT_LINE, 3).alias("subject"), "files_changed")
+    trimmed = F.transform(F.split("result_summary", "\n"), lambda x: F.btrim(x, F.lit(SPACE)))
+    rows = calls.where(F.col("tool_kind").isin("bash", "custom")).select(*KEY, "seq", F.coalesce("started_at", "session_start").alias("committed_at"), trimmed.alias("lines"))
+    places = F.transform("lines", lambda x, i: F.when(x.startswith("[") & x.rlike(COMMIT_LINE), i))
+    rows = rows.withColumn("places", F.filter(places, lambda i: i.isNotNull()))
+
+    def commit(at: Column, k: Column) -> Column:
+        """Commit ``k`` of a call, at line ``at``: its line and what follows up to the next one's."""
+        end = F.coalesce(F.get("places", k + 1), F.size("lines"))
+        own = F.slice("lines", at + 2, end - at - 1)
+        return F.struct((k + 1).cast("long").alias("part"), F.get("lines", at).alias("text"), F.get(F.filter(own, lambda x: x.rlike(STAT)), F.lit(0)).alias("stat"))
+
+    got = rows.select(*KEY, "seq", "committed_at", F.inline(F.transform("places", commit)))
+    return got.select(*KEY, "seq", "part", "committed_at", F.regexp_extract("text", COMMIT_LINE, 1).alias("branch"), F.regexp_extract("text", COMMIT_LINE, 2).alias("commit_hash"), F.regexp_extract("text", COMMIT_LINE, 3).alias("subject"), F.regexp_extract("stat", STAT, 1).cast("long").alias("files_changed"))
 
 
 def quiet_commits(calls: DataFrame) -> DataFrame:
