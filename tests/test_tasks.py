@@ -47,3 +47,14 @@ def test_commits_are_read_where_their_call_is(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
     assert sorted(tuple(r) for r in got.select("seq", "part", "branch", "commit_hash", "subject", "files_changed").collect()) == [(0, 1, "dev", "1234567", "three", None), (0, 1, "main", "abcdef1", "one", 1), (0, 2, "main", "abcdef2", "two", None), (0, 3, "x (root-commit)", "abcdef3", "5 files changed", 3)]
+
+
+def test_paths_of_a_larger_table_go_to_more_tasks(spark, monkeypatch):
+    """Calls and events (grouped to one a line, twice) and their paths are each dealt to tasks of about TASK_ROWS rows, and nothing is dealt by the setting."""
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, registry.queries()["b9_codex_files"](spark, d).collect()))
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    tasks = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 500)
+    got = registry.queries()["b9_codex_files"](spark, d)
+    assert tasks > 4 and dealings(got) == [str(tasks)] * 3
+    assert sorted(map(tuple, got.collect())) == want

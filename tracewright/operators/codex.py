@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import first_non_empty, truncate_bytes
+from tracewright.functions.tables import dealt
 
 KEY = ["agent", "session_id"]
 #: What a call is called that only its end event tells of, by the event's kind: tool kind and tool name.
@@ -80,17 +81,20 @@ def errors(ends: DataFrame, aborted: DataFrame, others: DataFrame) -> DataFrame:
     return own.union(rest).withColumn("seq", F.row_number().over(Window.partitionBy(*KEY).orderBy("line_no", "source")).cast("long") - 1)
 
 
-def files_touched(calls: DataFrame, ends: DataFrame) -> DataFrame:
+def files_touched(calls: DataFrame, ends: DataFrame, rows: int | None = None) -> DataFrame:
     """Paths and operations of patches, by the type of each change, and of calls with a path argument (exec for a shell call, else edit).
 
-    calls: agent, session_id, tool_name, arguments (JSON); ends: agent, session_id, kind, changes (JSON of path to change).
+    calls: agent, session_id, tool_name, arguments (JSON); ends: agent, session_id, kind, changes (JSON of path to change); rows:
+    about how many paths, so that tasks don't grow with them.
     """
     change = ends.where("kind = 'patch'").select(*KEY, F.explode(F.from_json("changes", "MAP<STRING, STRUCT<type: STRING>>")).alias("path", "change"))
     table = F.create_map(*(F.lit(x) for kv in CHANGE_OPS.items() for x in kv))
     patched = change.select(*KEY, "path", F.coalesce(F.try_element_at(table, F.col("change.type")), F.lit("patch")).alias("op"))
     path = first_non_empty(F.get_json_object("arguments", "$.file_path"), F.get_json_object("arguments", "$.path"))
     called = calls.select(*KEY, path.alias("path"), F.when(F.col("tool_name") == "shell", "exec").otherwise("edit").alias("op")).where("path is not null")
-    return patched.union(called).groupBy(*KEY, "path", "op").agg(F.count("*").alias("count"))
+    touched = patched.union(called)
+    touched = touched if rows is None else dealt(touched, rows, *KEY, "path", "op")
+    return touched.groupBy(*KEY, "path", "op").agg(F.count("*").alias("count"))
 
 
 def parent_spawn(source: Column, parent_thread_id: Column) -> tuple[Column, Column]:

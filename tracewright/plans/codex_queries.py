@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.functions.tables import dealt
 from tracewright.operators import codex as c
 from tracewright.plans.registry import query
 
@@ -13,8 +14,12 @@ BASE = f"SELECT l_orderkey AS o, l_linenumber AS k, min(l_partkey) AS p, CASE mi
 
 
 def base(spark, sf):
-    spark.read.parquet(f"{sf}/lineitem.parquet").createOrReplaceTempView("codex_lines")
+    """Makes the view of the base; returns the number of line items, which it doesn't exceed."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = lines.count()
+    dealt(lines, rows, "l_orderkey", "l_linenumber").createOrReplaceTempView("codex_lines")
     spark.sql(BASE.format(t="codex_lines")).createOrReplaceTempView("codex_base")
+    return rows
 
 
 def calls(spark):
@@ -56,8 +61,8 @@ def b7(spark, sf):
 @query("b9_codex_files", f"""WITH {B} SELECT session_id, path, op, count(*) AS count FROM (SELECT 's' || CAST(o AS VARCHAR) AS session_id, '/a' || CAST(p % 5 AS VARCHAR) AS path, CASE p % 4 WHEN 0 THEN 'write' WHEN 1 THEN 'edit' WHEN 2 THEN 'delete' ELSE 'patch' END AS op FROM e WHERE kind = 'patch'
  UNION ALL SELECT 's' || CAST(o AS VARCHAR), '/f' || CAST(p % 7 AS VARCHAR), CASE WHEN p % 5 = 0 THEN 'exec' ELSE 'edit' END FROM b WHERE k % 2 = 0) GROUP BY ALL""")
 def b9(spark, sf):
-    base(spark, sf)
-    return c.files_touched(calls(spark), ends(spark)).drop("agent")
+    rows = base(spark, sf)
+    return c.files_touched(calls(spark), ends(spark), rows).drop("agent")
 
 
 @query("b17_fold_parent_spawn", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'p' || CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'g' || CAST(o_orderkey AS VARCHAR) WHEN 2 THEN 'g' || CAST(o_orderkey AS VARCHAR) END AS parent, CASE o_orderkey % 4 WHEN 0 THEN greatest(o_orderkey % 3, 1) WHEN 1 THEN 1 WHEN 2 THEN 1 END::INT AS depth FROM orders")
