@@ -64,3 +64,20 @@ def test_records_are_joined_once_for_all_events(spark):
 def test_executions_are_folded_once_for_all_groups(spark):
     got = registry.queries()["g10_lens_groups"](spark, "/root/testdata/sf0.001")
     assert "l_orderkey" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_calls_and_records_of_a_run_meet_where_both_come_from_joins_on_it(spark):
+    """Without a broadcast both sides of the union are dealt by run already, and adaptive execution reads each in its own number of tasks."""
+    runs = [f"r{k}" for k in range(400)]
+    of = lambda rows, names: spark.createDataFrame(rows, names).join(spark.createDataFrame([(r,) for r in runs], "run_id string"), "run_id", "left_semi")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        calls = of([(r, 0, 1, "c", "task", "security", False, None, 0) for r in runs], "run_id string, turn_idx long, seq long, call_id string, kind string, lens string, cut boolean, started_at timestamp, duration_ms long")
+        records = of([(r, f"e{k}", "c" if k == 7 else f"{k}{r * 9}", "security", None) for r in runs for k in range(20)], "run_id string, record_id string, dispatch_id string, r_lens string, r_started timestamp")
+        got = ln.join_records(calls, records).collect()
+        assert sorted(tuple(r) for r in got) == sorted((r, "c", "e7", "dispatch") for r in runs)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tracewright.functions.tables import written
+from tracewright.functions.tables import gathered, written
 
 # The lenses a router or a subagent can run, in their order, and the router's name.
 ROUTED_LENSES = ["contract", "quality", "security"]
@@ -109,8 +109,8 @@ def walked(batches: Iterator[pa.RecordBatch], schema: pa.Schema, state) -> Itera
 
 def fold_runs(events: DataFrame, order: list[str], result: str, state) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(result))
-    dealt = events.repartition("run_id").sortWithinPartitions("run_id", *order)
-    return dealt.mapInArrow(lambda b: walked(b, schema, state), result)
+    sorted_ = gathered(events, "run_id").sortWithinPartitions("run_id", *order)
+    return sorted_.mapInArrow(lambda b: walked(b, schema, state), result)
 
 
 class Joins:
